@@ -21,6 +21,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+PART = np.zeros(256, bool)
+PART[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,19 +84,27 @@ class Texts(NamedTuple):
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Lower-cased bytes, the words' starts and ends, and at which word each text begins (with the end)."""
         data = LOWER[self.data]
-        inside = ~SPACE[data]
+        starts, ends = self._runs(~SPACE[data])
+        return data, starts, ends, np.searchsorted(starts, self.offsets)
+
+    def letters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for runs of letters and digits (and of bytes beyond ASCII)."""
+        data = LOWER[self.data]
+        starts, ends = self._runs(PART[data])
+        return data, starts, ends, np.searchsorted(starts, self.offsets)
+
+    def _runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
         edges = self.offsets[:-1]
-        edges = edges[edges < len(data)]
+        edges = edges[edges < len(inside)]
         begin[edges] = inside[edges]
         starts = np.flatnonzero(begin)
         stop = inside.copy()
         stop[:-1] &= ~inside[1:]
         last = self.offsets[1:][self.offsets[1:] > 0] - 1
         stop[last] = inside[last]
-        ends = np.flatnonzero(stop) + 1
-        return data, starts, ends, np.searchsorted(starts, self.offsets)
+        return starts, np.flatnonzero(stop) + 1
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -20,11 +20,11 @@ their text's hash; an empty table gives no files. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +34,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .session import parts_for, pick, prepare, shared_dir, text_bytes
+from .words import SPACE, Texts, span_hashes, texts
 
 BLOCK, FILE_IDS, SHARD_BYTES = 1 << 16, 1 << 20, 24 << 20
 MAGIC, VERSION, HEAD = b"PLNE", 1, struct.Struct("<4sIIQQI")
-#: Pieces whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 1 << 18
-#: A single space between other characters always begins a token of its own in byte-level vocabularies.
-CUT = re.compile(r"(?<=\S)(?= \S)")
-
-Encoder = Callable[[list[str]], list[bytes]]
+#: Pieces whose ids a worker remembers, about; and unseen ones that are encoded together.
+REMEMBERED, TOGETHER = 1 << 20, 1 << 14
+#: ASCII bytes beside which a space is no cut, and first bytes of Unicode's other spaces.
+BLANK, LEAD = SPACE.copy(), np.zeros(256, bool)
+BLANK[28:32] = True
+LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def planes(ids: np.ndarray, width: int) -> list[bytes]:
@@ -116,57 +117,112 @@ class TokenFile:
         return np.concatenate([self.block(i) for i in range(len(self.index))]) if self.index else np.zeros(0, "<u4")
 
 
-_ENCODERS: dict[str, Encoder] = {}
+class Encoder:
+    """Texts to ids, remembering the ids of pieces of texts.
 
+    A text is cut before each single space between other characters: byte-level vocabularies begin a token there in
+    any case. Pieces are looked up by a 64-bit hash and their length; unseen ones are encoded together as
+    one text, whose ids are dealt back by the tokens' lengths, and about REMEMBERED of them are kept.
+    """
 
-def encoder(path: str) -> Encoder:
-    """Texts to their ids' bytes (little-endian, 32 bits). Remembers the ids of pieces between single spaces."""
-    if path not in _ENCODERS:
+    def __init__(self, path: str, end: int) -> None:
         from tokenizers import Tokenizer
 
-        tokenizer, known = Tokenizer.from_file(path), {}
-        tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-
-        def encode(texts: list[str]) -> list[bytes]:
-            out = []
-            for text in texts:
-                pieces = CUT.split(text)
-                if new := list(set(pieces).difference(known)):
-                    if len(known) + len(new) > REMEMBERED:
-                        known.clear()
-                        new = list(set(pieces))
-                    for piece, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                        known[piece] = np.array(found.ids, "<u4").tobytes()
-                out.append(b"".join(map(known.__getitem__, pieces)))
-            return out
-
-        _ENCODERS[path] = encode
-    return _ENCODERS[path]
+        self.tokenizer, self.known, self.end = Tokenizer.from_file(path), {}, end
+        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.size[i] = len(token)  # a byte-level token has one character for each byte
+        self.pool, self.first, self.count = np.array([end], "<u4"), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _plain(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _encode(self, pieces: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(pieces)
+        inner = [i for i, p in enumerate(pieces) if p[0] == " " and not p[-1].isspace()]
+        for at in range(0, len(inner), TOGETHER):
+            some = inner[at : at + TOGETHER]
+            (ids,) = self._plain(["".join([pieces[i] for i in some])])
+            cuts = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(pieces[i].encode()) for i in some])) + 1
+            for i, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._plain([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def __call__(self, chunk: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, each text's ended by the end id; and how many each text has."""
+        data, edges = chunk.data, chunk.offsets
+        starts = pieces(data, edges)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        h = span_hashes(data, starts, ends)
+        place = np.fromiter(map(self.known.get, h.tolist(), repeat(-1)), np.int64, len(h))
+        lost = np.flatnonzero(place < 0)
+        pool, first, count = self.pool, self.first, self.count
+        if len(lost):
+            new, where, back = np.unique(h[lost], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            found = self._encode([raw[starts[i] : ends[i]].decode() for i in lost[where].tolist()])
+            sizes = np.array([len(x) for x in found], np.int64)
+            place[lost] = len(first) + back
+            first = np.concatenate([first, len(pool) + np.cumsum(sizes) - sizes])
+            count, pool = np.concatenate([count, sizes]), np.concatenate([pool, *found])
+            if len(self.known) < REMEMBERED:
+                self.known.update(zip(new.tolist(), range(len(self.first), len(first)), strict=True))
+                self.pool, self.first, self.count = pool, first, count
+        stops = np.searchsorted(starts, edges[1:])
+        place = np.insert(place, stops, 0)
+        each = count[place]
+        done = np.cumsum(each)
+        ids = pool[np.repeat(first[place] - (done - each), each) + np.arange(int(done[-1]) if len(done) else 0)]
+        upto = done[stops + np.arange(len(stops))]
+        return ids, np.diff(upto, prepend=0)
+
+
+def pieces(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where pieces begin. Where a neighbour may be one of Unicode's other spaces, there is no cut."""
+    dark = ~BLANK[data]
+    cut = data == 32
+    cut[:-1] &= dark[1:] & ~LEAD[data[1:]]
+    cut[-1:] = False
+    cut[1:] &= dark[:-1]
+    cut[2:] &= data[:-2] != 0xC2
+    cut[3:] &= ~LEAD[data[:-3]] | (data[:-3] == 0xC2)
+    own = edges[:-1][np.diff(edges) > 0]
+    cut[own] = True
+    return np.flatnonzero(cut)
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end: int) -> Encoder:
+    if (path, end) not in _ENCODERS:
+        _ENCODERS[path, end] = Encoder(path, end)
+    return _ENCODERS[path, end]
 
 
 def _writer(path: str, end: int, width: int):
     schema = pa.schema([("shard", pa.int32()), ("file", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64()), ("blob", pa.binary())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, file = encoder(path), TaskContext.get().partitionId(), 0
-        last = np.array([end], "<u4").tobytes()
-        keys, valid, found, n = [], [], [], 0
+        encode, shard, file = encoder(path, end), TaskContext.get().partitionId(), 0
+        held, n = [], 0
 
         def done() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(found), "<u4")
-            blob = write_file(np.array(keys, np.int64), np.array(valid, bool), np.array([len(x) // 4 for x in found]), ids, width)
-            return pa.record_batch([[shard], [file], [len(keys)], [len(ids)], [blob]], schema=schema)
-
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found.append(encode([text.as_py() or ""])[0] + last)
-                keys.append(key or 0)
-                valid.append(key is not None)
-                n += len(found[-1]) // 4
-                if n >= FILE_IDS:
-                    yield done()
-                    keys, valid, found, n, file = [], [], [], 0, file + 1
-        if keys:
+            keys, valid, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.record_batch([[shard], [file], [len(keys)], [len(ids)], [write_file(keys, valid, counts, ids, width)]], schema=schema)
+
+        for chunk in texts(batches):
+            ids, counts = encode(chunk)
+            held.append((chunk.ids, chunk.valid, counts, ids))
+            n += len(ids)
+            if n >= FILE_IDS:
+                yield done()
+                held, n, file = [], 0, file + 1
+        if held:
             yield done()
 
     return write

@@ -11,19 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import keep
+from .session import discard, keep
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of ``links`` (a, b): the least node that it reaches."""
     both = keep(links.filter("a <> b").select("a", "b").union(links.filter("a <> b").select("b", "a")).distinct())
     labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
+    was = labels
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         pushed = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         up = labels.select(F.col("node").alias("new"), F.col("component").alias("top"))
         moved = keep(pushed.join(up, "new", "left").select("node", "old", F.least("new", F.coalesce("top", "new")).alias("component")))
         changed = moved.filter("component <> old").limit(1).count()
-        labels = moved.select("node", "component")
+        discard(was)
+        was, labels = moved, moved.select("node", "component")
         if not changed:
+            discard(both)
             return labels

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import keep, pick, prefilter, prepare, text_bytes
+from .session import discard, keep, pick, prefilter, prepare, text_bytes, tidy
 from .shared_keys import shared_keys
 from .words import BASE, Texts, U, mix, runs, span_hashes, texts
 
@@ -90,8 +90,8 @@ def bands(size: int, t: float) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def sketch_keys(s: np.ndarray, t: float, common: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys of a set, with notes: the band, and how many keys must be set aside before a link can be lost."""
+def sketch_keys(s: np.ndarray, t: float, common: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Keys of a set, with a note: the band, and how many keys must be set aside before a link can be lost."""
     often = common[(s >> U(64 - COMMON_BITS)).astype(np.int64)]
     for band, d, slack, m in bands(len(s), t):
         with np.errstate(over="ignore"):
@@ -108,7 +108,7 @@ def sketch_keys(s: np.ndarray, t: float, common: np.ndarray) -> Iterator[tuple[n
             keys = keys[first]
             if spare <= 0:  # all members may be in parts that differ: such sets of a band meet under one key
                 keys, spare = np.append(keys, mix(np.array([band], U))), 0
-        yield keys, np.full(len(keys), band << 24 | spare, np.int64)
+        yield keys, band << 24 | spare
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
 
     found = some.mapInArrow(slots, "shingle long").groupBy("shingle").count().filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON)
     table = np.zeros(1 << COMMON_BITS, bool)
-    got = np.array([r["shingle"] for r in found.select("shingle").toLocalIterator()], np.int64).view(U)
+    got = found.select("shingle").toArrow().column(0).to_numpy().view(U)
     table[(got >> U(64 - COMMON_BITS)).astype(np.int64)] = True
     return table
 
@@ -146,7 +146,7 @@ def _expand(n: int, t: float, common: np.ndarray):
     seen: dict[int, None] = {}
 
     def expand(chunk: Texts):
-        twins, keys, place, notes = [], [], [], []
+        owners, notes, keys, place = [], [], [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for ok, s in zip(chunk.valid, word_sets(chunk, n), strict=True):
             if not ok or len(s) < 3:
                 continue
@@ -157,13 +157,11 @@ def _expand(n: int, t: float, common: np.ndarray):
                 seen[fp] = None
             for k, note in sketch_keys(s, t, common):
                 keys.append(k)
+                place.append(np.full(len(k), len(owners), np.int64))
+                owners.append(fp)
                 notes.append(note)
-                place.append(np.full(len(k), len(twins), np.int64))
-            twins.append(fp)
-        twin = np.array(twins, np.int64)
-        if not keys:
-            return twin, twin, np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return twin, twin, np.concatenate(keys), np.concatenate(place), np.concatenate(notes)
+        keys = np.concatenate(keys)
+        return np.array(owners, np.int64), np.array(notes, np.int64), keys, np.concatenate(place), np.zeros(len(keys), np.uint32)
 
     return expand
 
@@ -180,29 +178,28 @@ def _fresh(n: int, t: float, table):
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, fp, fp2 of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64())])
+    """doc_id, n_shingles, fp, fp2 and parity of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("parity", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in texts(batches):
-            rows = [(len(s), *fingerprint(s)) for s in word_sets(chunk, n)]
-            size, fp, fp2 = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-            yield pa.record_batch([pa.array(chunk.ids, mask=~chunk.valid), pa.array(size), pa.array(fp), pa.array(fp2)], schema=schema)
+            rows = [(len(s), *fingerprint(s), parity(s).tobytes()) for s in word_sets(chunk, n)]
+            size, fp, fp2, sketch = zip(*rows, strict=True)
+            yield pa.record_batch([pa.array(chunk.ids, mask=~chunk.valid), *[pa.array(x, pa.int64()) for x in (size, fp, fp2)], pa.array(sketch, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, fp long, fp2 long")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, fp long, fp2 long, parity binary")
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, n: int, members: bool = True) -> DataFrame:
-    """(node, size, parity, members) of the sets of ``nodes`` (node, doc_id)."""
-    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("parity", pa.binary()), ("members", pa.binary())])
+def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, members) of the sets of ``nodes`` (node, doc_id)."""
+    schema = pa.schema([("node", pa.int64()), ("members", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in texts(batches):
-            found = list(word_sets(chunk, n))
-            yield pa.record_batch([pa.array(chunk.ids), pa.array([len(s) for s in found], pa.int64()), pa.array([parity(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() if members else b"" for s in found], pa.binary())], schema=schema)
+            yield pa.record_batch([pa.array(chunk.ids), pa.array([s.tobytes() for s in word_sets(chunk, n)], pa.binary())], schema=schema)
 
     near = prefilter(docs, "doc_id", nodes.select("doc_id"))
-    return near.join(nodes, "doc_id").select("node", "text").mapInArrow(make, "node long, size long, parity binary, members binary")
+    return near.join(nodes, "doc_id").select("node", "text").mapInArrow(make, "node long, members binary")
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -245,18 +242,19 @@ def _verify(num: int, den: int):
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link."""
-    pairs = keep(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
-    sets = keep(_sets_of(docs, nodes, n))
+    """Those of ``pairs`` (a, b) that link: first by sizes and parities, then by the sets of the rest."""
 
-    def both(of: DataFrame, *columns: str) -> DataFrame:
+    def both(of: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
         for side in "ab":
-            of = of.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+            of = of.join(table.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
         return of
 
-    near = both(pairs, "size", "parity").mapInArrow(_near(num, den), "a long, b long")
-    return keep(both(near, "members").mapInArrow(_verify(num, den), "a long, b long"))
+    near = keep(both(pairs, classes, "size", "parity").mapInArrow(_near(num, den), "a long, b long"))
+    nodes = keep(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "doc_id"))
+    sets = keep(_sets_of(docs, nodes, n))
+    links = keep(both(near, sets, "members").mapInArrow(_verify(num, den), "a long, b long"))
+    discard(near, nodes, sets)
+    return links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100, cross: int = CROSS) -> DataFrame:
@@ -268,26 +266,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = pick(docs, doc_id=id_col, text=text_col)
     t = num / den
     signed = keep(signatures(docs, n))
-    classes = keep(signed.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("doc_id")))
+    named = signed.filter("n_shingles > 0 and doc_id is not null")
+    one = named.groupBy("fp").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("size"), "parity")).alias("one"))
+    classes = keep(one.select(F.col("fp").alias("node"), "one.*"))
     table = docs.sparkSession.sparkContext.broadcast(np.packbits(common_shingles(docs, n)))
-    keys = keep(shared_keys(docs, _fresh(n, t, table), text_bytes(docs) / 8, distinct=True).select("key", F.col("twin").alias("node"), "note").distinct())
+    keys = shared_keys(docs, _fresh(n, t, table), text_bytes(docs) / 11, distinct=True)
+    keys = keep(keys.select("key", F.col("owner").alias("node"), F.col("remark").alias("note")).distinct())
+    tidy(docs.sparkSession)
 
     leaders = keys.groupBy("key").agg(F.min("node").alias("b"))
     star = keys.join(leaders, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     links = _linked(star, docs, classes, n, num, den)
-
     for _ in range(HUBS):
-        parts = components(links)
-        links = keep(links.union(_linked(hub_pairs(keys, parts, links), docs, classes, n, num, den)))
+        links = keep(links.union(_linked(hub_pairs(keys, components(links), links), docs, classes, n, num, den)))
     cold, families = cross_pairs(keys, components(links), cross)
-    families = keep(families)
-    sets = keep(_sets_of(docs, families.select("node").distinct().join(classes, "node"), n, members=False))
-    rest = cold.union(family_pairs(families, sets, num, den)).distinct()
+    rest = cold.union(family_pairs(families, classes, num, den)).distinct()
     found = links.union(_linked(rest, docs, classes, n, num, den))
     # An id with several texts joins their components.
-    same = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b")
-    more = signed.select("doc_id", "fp", "n_shingles").filter("n_shingles > 0").join(same.select("doc_id", "a"), "doc_id").select("a", F.col("fp").alias("b")).distinct()
-    final = components(found.union(more))
+    same = named.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("doc_id", "a")
+    final = components(found.union(named.join(same, "doc_id").select("a", F.col("fp").alias("b")).distinct()))
+    discard(keys)
 
     placed = classes.join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -307,9 +305,12 @@ def _mixed(keys: DataFrame, parts: DataFrame, cross: int) -> DataFrame:
 def hub_pairs(keys: DataFrame, parts: DataFrame, links: DataFrame) -> DataFrame:
     """Each key's members against its member with the most links, where their components differ."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    some = _mixed(keys, parts, 0).join(degree, "node", "left")
+    kept = _mixed(keys, parts, 0)
+    some = kept.join(degree, "node", "left")
     hub = some.groupBy("key").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.col("node").alias("b"), F.col("part").alias("part_b"))).alias("hub"))
-    return some.join(hub.select("key", "hub.b", "hub.part_b"), "key").filter("part <> part_b").select(F.col("node").alias("a"), "b").distinct()
+    pairs = keep(some.join(hub.select("key", "hub.b", "hub.part_b"), "key").filter("part <> part_b").select(F.col("node").alias("a"), "b").distinct())
+    discard(kept)
+    return pairs
 
 
 def cross_pairs(keys: DataFrame, parts: DataFrame, cross: int) -> tuple[DataFrame, DataFrame]:
@@ -324,9 +325,11 @@ def cross_pairs(keys: DataFrame, parts: DataFrame, cross: int) -> tuple[DataFram
     pairs = left.join(right, "key").filter("part_a < part_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     hot = some.filter("hot")
     risky = hot.groupBy("node", "note").agg(F.count(F.lit(1)).alias("n")).filter("n >= note & 16777215").select("node", "note")
-    hot = keep(hot.join(risky, ["node", "note"], "left_semi").select("key", "node", "part"))
+    hot = hot.join(risky, ["node", "note"], "left_semi").select("key", "node", "part")
     largest = hot.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "part")).getField("part").alias("family"))
-    return pairs, hot.join(largest, "key").select("family", "node", "part").distinct()
+    out = keep(pairs), keep(hot.join(largest, "key").select("family", "node", "part").distinct())
+    discard(some)
+    return out
 
 
 def _block_pairs(num: int, den: int):

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from . import quality, toxicity
 from .decontaminate import contaminated
 from .labelled import fold
+from .line_dedup import dedup_lines
+from .lm_score import scores
 from .mixing import rates
 from .ngram_join import jaccard_components
 from .session import pick, table
+from .substring_dedup import repeated_passages
 from .token_files import tokens_round_trip
 from .topk import top_k
 
@@ -96,3 +99,19 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scores(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return scored.withColumn("held_out", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows in an Arrow batch; at Spark's default of 10,000 a run of long texts would not fit in a worker.
 ARROW_ROWS = 512
@@ -43,9 +46,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage, so a lost executor costs one stage at most."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it again: later steps don't repeat it when executors are lost.
+
+    The table goes when discard() is told so, or when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    path = f"{shared_dir(spark)}/kept/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of keep() that nothing needs any more, and let Spark drop shuffle files that nothing refers to."""
+    for df in tables:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    tidy(tables[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files that nothing refers to; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -64,26 +91,42 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(text).cast("bigint")), F.lit(0)).alias("n")).first()["n"]
 
 
-def prefilter(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key may be among the single column of ``wanted``; no row of a wanted key is lost.
+def _maybe(df: DataFrame, column: str, wanted: DataFrame) -> tuple[DataFrame, Column]:
+    """``df`` with a table of bits, and whether a row's key may be among the single column of ``wanted``.
 
-    The filter has FILTER_WORDS words at most, which is its size bound; a join still has to follow.
-    It spares the shuffle of texts that no pair needs.
+    The table has FILTER_WORDS words, whatever the size of ``wanted``: that bounds the broadcast.
     """
     key = wanted.columns[0]
     bit = lambda c, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(FILTER_WORDS * 64))
     slots = wanted.select(F.explode(F.array(*[bit(F.col(key), s) for s in (1, 2)])).alias("bit"))
     slots = slots.groupBy(F.expr("cast(bit div 64 as int)").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("word"))
-    words = [0] * FILTER_WORDS
-    for slot, word in slots.toLocalIterator():
-        words[slot] = word
-    filled = df.sparkSession.createDataFrame([(words,)], T.StructType([T.StructField("words_", T.ArrayType(T.LongType()))]))
+    got = slots.toArrow()
+    words = np.zeros(FILTER_WORDS, np.int64)
+    words[got.column("slot").to_numpy()] = got.column("word").to_numpy()
+    filled = df.sparkSession.createDataFrame(pa.table({"words_": pa.array([words], pa.list_(pa.int64()))}))
 
     def hit(seed: int) -> Column:
         b = bit(F.col(column), seed)
         return F.expr("words_")[(b / 64).cast("int")].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (b % 64).cast("int"))) != 0
 
-    return df.crossJoin(F.broadcast(filled)).filter(hit(1) & hit(2)).drop("words_")
+    return df.crossJoin(F.broadcast(filled)), F.coalesce(hit(1) & hit(2) & F.col(column).isNotNull(), F.lit(False))
+
+
+def prefilter(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``wanted``; no row of a wanted key is lost, and a join still has to follow.
+
+    It spares the shuffle of texts that no join needs.
+    """
+    both, hit = _maybe(df, column, wanted)
+    return both.filter(hit).drop("words_")
+
+
+def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key isn't among the single column of ``gone``; only those that may be are shuffled."""
+    both, hit = _maybe(df, column, gone)
+    gone = gone.select(F.col(gone.columns[0]).cast("bigint").alias("gone_"))
+    some = both.filter(hit).drop("words_")
+    return both.filter(~hit).drop("words_").unionByName(some.join(gone, some[column].cast("bigint") == gone["gone_"], "left_anti"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,0 +1,86 @@
+"""Substring dedup by content-defined chunks.
+
+A gear hash rolls over the bytes: each byte's random number is added to twice the last value, so after 16 bytes of 16-bit
+arithmetic a byte is forgotten. A chunk ends where the hash's high bits are zero, which depends on
+the last 16 bytes alone: an insertion shifts chunks and changes only those it touches. Of ends closer than
+SHORTEST, the later go; a chunk of LONGEST bytes is cut. Chunks are equal when their digests are (72 bits: a key
+of 56 bits, 16 more, and the length). The earliest of equal chunks, in order of (doc_id, hash of the text, place), stays,
+later ones are duplicates; runs of adjoining duplicates of at least ``least`` bytes are passages to remove.
+
+Hot chunks cost their count: packets carry a task's repeats past the sort, minima combine before the shuffle,
+and adaptive execution splits the join back.
+
+Cases: null and empty texts have no chunks; identical rows are one row; null ids come first; a text shorter than a chunk
+is one chunk. Other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .line_dedup import _rows
+from .session import keep, pick, prepare, text_bytes, tidy
+from .shared_keys import shared_keys
+from .words import Texts, U, mix, span_hashes
+
+AVERAGE_BITS, SHORTEST, LONGEST, LEAST = 5, 12, 1024, 160
+GEAR = (mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407)) >> U(48)).astype(np.uint16)
+
+
+def gear(data: np.ndarray) -> np.ndarray:
+    """The rolling hash after each byte, by doubling: of 1, 2, 4, 8, 16 bytes."""
+    h = GEAR[data]
+    for span in (1, 2, 4, 8):
+        more = h.copy()
+        more[span:] += h[:-span] << np.uint16(span)
+        h = more
+    return h
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all texts' chunks."""
+    end = (gear(data) >> np.uint16(16 - AVERAGE_BITS)) == 0
+    ends = np.flatnonzero(end) + 1
+    near = np.zeros(len(ends), bool)
+    near[1:] = np.diff(ends) < SHORTEST
+    own = offsets[1:][np.diff(offsets) > 0]
+    ends = np.unique(np.concatenate([ends[~near], own]))
+    starts = np.concatenate([[0], ends[:-1]])
+    more = (ends - starts - 1) // LONGEST
+    if more.any():
+        place = np.repeat(np.arange(len(ends)), more)
+        step = np.arange(len(place)) - np.repeat(np.cumsum(more) - more, more) + 1
+        ends = np.sort(np.concatenate([ends, starts[place] + step * LONGEST]))
+        starts = np.concatenate([[0], ends[:-1]])
+    return starts, ends
+
+
+def _expand(chunk: Texts):
+    if not len(chunk.data):
+        none = np.zeros(0, np.int64)
+        return chunk.ids[:0], none, none.astype(U), none, none
+    starts, ends = chunks(chunk.data, chunk.offsets)
+    h = span_hashes(chunk.data, starts, ends)
+    text = np.searchsorted(chunk.offsets, starts, side="right") - 1
+    check = mix(h ^ U(0x51ED270B0A1F5D27)) & U(0xFFFF)
+    note = ((starts - chunk.offsets[text]) << 28) | ((ends - starts) << 16) | check.astype(np.int64)
+    return np.where(chunk.valid, chunk.ids, np.iinfo(np.int64).min), _rows(chunk).view(np.int64), h, text, note
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """(doc_id, start_byte, n_bytes, n_chunks, kept_doc_id): passages that an earlier place has, and where its first chunk stays."""
+    prepare(docs.sparkSession)
+    docs = pick(docs, doc_id=id_col, text=text_col)
+    found = shared_keys(docs, _expand, text_bytes(docs) / 36)
+    held = keep(found.select("key", F.expr("note & 268435455").alias("tail"), F.col("owner").alias("doc"), F.col("remark").alias("row"), F.expr("shiftright(note, 28)").alias("start")))
+    tidy(docs.sparkSession)
+    first = held.groupBy("key", "tail").agg(F.min(F.struct("doc", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = held.join(first, ["key", "tail"]).filter(F.struct("doc", "row", "start") != F.col("first"))
+    later = later.select("doc", "row", "start", (F.col("start") + F.expr("shiftright(tail, 16)")).alias("end"), F.col("first.doc").alias("kept")).distinct()
+    by = Window.partitionBy("doc", "row").orderBy("start")
+    runs = later.withColumn("new", F.when(F.lag("end").over(by) == F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
+    out = runs.groupBy("doc", "row", "run").agg(F.min("start").alias("start_byte"), (F.max("end") - F.min("start")).alias("n_bytes"), F.count(F.lit(1)).alias("n_chunks"), F.min_by("kept", "start").alias("kept"))
+    none = lambda c: F.when(F.col(c) != np.iinfo(np.int64).min, F.col(c))
+    return out.filter(F.col("n_bytes") >= least).select(none("doc").alias("doc_id"), "start_byte", "n_bytes", "n_chunks", none("kept").alias("kept_doc_id"))

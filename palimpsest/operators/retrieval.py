@@ -1,0 +1,188 @@
+"""Scored retrieval: dense top-k exact and by cells, BM25, and document lookup."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import Protocol
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import truncate, word_set
+
+#: Queries in a block: its matrix is what goes to all tasks at once. Below PLAIN pairs of scores a plain join is used.
+BLOCK = 4096
+K1, B = 0.9, 0.4
+HITS = "qid string, docid string, score double"
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    """Best k of each query, ties by docid; partial limits run before the exchange."""
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "docid"))
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _scorer(ids: list, matrix: np.ndarray, k: int, digits: int):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs = np.asarray(batch.column("docid").to_pylist(), object)
+            vectors = np.asarray(batch.column("embedding").flatten()).astype(np.float64).reshape(len(docs), -1)
+            scores = np.round(matrix @ vectors.T, digits)
+            order = np.argsort(docs)
+            docs, scores = docs[order], scores[:, order]
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            n = best.shape[1]
+            yield pa.record_batch([pa.array(np.repeat(ids, n)), pa.array(docs[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["qid", "docid", "score"])
+
+    return score
+
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = BLOCK, digits: int = 6) -> DataFrame:
+    """(qid, docid, score, rank): the k greatest inner products, in doubles rounded to ``digits``.
+
+    ``queries`` (qid, embedding) are the stated set; they go in blocks of at most ``block`` as a matrix to one pass
+    over ``corpus`` (docid, embedding) each, whose batches are multiplied at once and cut to k before the exchange.
+    Rows with a null or empty vector take no part; with fewer than k documents there are fewer hits.
+    """
+    sound = lambda df, key: df.filter(F.col(key).isNotNull() & (F.size("embedding") > 0)).select(F.col(key).cast("string").alias(key), "embedding")
+    queries, corpus = sound(queries, "qid"), sound(corpus, "docid")
+    blocks, out = queries.count() // block + 1, None
+    for b in range(blocks):
+        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        got = own.toArrow()
+        if not len(got):
+            continue
+        matrix = np.array(got.column("embedding").to_pylist(), np.float64)
+        part = corpus.mapInArrow(_scorer(got.column("qid").to_pylist(), matrix, k, digits), HITS)
+        out = part if out is None else out.union(part)
+    return _ranked(corpus.sparkSession.createDataFrame([], HITS) if out is None else out, k)
+
+
+class Cells:
+    """An inverted file: vectors by their nearest centre. Centres come from at most ``sample`` vectors, all vectors are indexed."""
+
+    def __init__(self, corpus: DataFrame, cells: int = 32, sample: int = 20_000, rounds: int = 10, seed: int = 1) -> None:
+        vectors = corpus.filter(F.size("embedding") > 0)
+        some = vectors.orderBy(F.xxhash64("docid")).limit(sample).select("embedding").toArrow()
+        points = np.array(some.column(0).to_pylist(), np.float64)
+        rng = np.random.default_rng(seed)
+        self.centres = points[rng.choice(len(points), min(cells, len(points)), replace=False)] if len(points) else np.zeros((0, 1))
+        for _ in range(rounds if len(points) else 0):
+            own = np.argmax(points @ self.centres.T, axis=1)
+            for c in range(len(self.centres)):
+                if (own == c).any():
+                    self.centres[c] = points[own == c].mean(axis=0)
+            self.centres /= np.maximum(np.linalg.norm(self.centres, axis=1, keepdims=True), 1e-12)
+        self.index = self._placed(vectors.select(F.col("docid").cast("string").alias("docid"), "embedding"), "docid", 1)
+
+    def _placed(self, df: DataFrame, key: str, probes: int) -> DataFrame:
+        centres = self.centres
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.asarray(batch.column("embedding").flatten()).astype(np.float64).reshape(batch.num_rows, -1)
+                    near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
+                    again = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+                    yield pa.record_batch([batch.column(key).take(again), batch.column("embedding").cast(pa.list_(pa.float64())).take(again), pa.array(near.ravel().astype(np.int32))], names=[key, "embedding", "cell"])
+
+        return df.select(key, "embedding").mapInArrow(place, f"{key} string, embedding array<double>, cell int")
+
+    def search(self, queries: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
+        """Top k among the documents in each query's ``probes`` nearest cells."""
+        asked = self._placed(queries.select(F.col("qid").cast("string").alias("qid"), "embedding"), "qid", probes).withColumnRenamed("embedding", "q")
+        score = F.round(F.aggregate(F.zip_with("q", "embedding", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6)
+        return _ranked(self.index.join(asked, "cell").select("qid", "docid", score.alias("score")), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(queries, recall): the share of the exact hits that were found."""
+    both = exact.select("qid", "docid").join(found.select("qid", "docid", F.lit(1).alias("hit")), ["qid", "docid"], "left")
+    return both.agg(F.countDistinct("qid").alias("queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
+def terms(docs: DataFrame) -> DataFrame:
+    """(docid, term, tf) of (docid, text): runs of a-z and 0-9 of the lower-cased text."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return docs.select("docid", F.explode(words).alias("term")).groupBy("docid", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def lengths(docs: DataFrame) -> DataFrame:
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return docs.select("docid", F.size(words).cast("bigint").alias("len"))
+
+
+def bm25_stats(docs: DataFrame) -> DataFrame:
+    """(n_docs, total_len, n_terms): the index's size; fails unless all documents were indexed."""
+    counts = lengths(docs).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("total_len"))
+    distinct = docs.select(F.explode(word_set("text")).alias("term")).distinct().agg(F.count(F.lit(1)).alias("n_terms"))
+    there = docs.agg(F.count(F.lit(1)).alias("there"))
+    both = counts.crossJoin(distinct).crossJoin(there)
+    checked = F.when(F.col("n_docs") == F.col("there"), F.col("n_docs")).otherwise(F.raise_error(F.lit("not all documents were indexed")))
+    return both.select(checked.cast("bigint").alias("n_docs"), "total_len", "n_terms")
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
+    """(qid, docid, score, rank) for queries (qid, text) by BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5)).
+
+    Only the queries' terms are kept of the documents, before anything is shuffled by document; a term's idf meets its postings
+    by a join on the term, which adaptive execution splits where a term is hot.
+    """
+    asked = queries.select(F.col("qid").cast("string").alias("qid"), F.explode(word_set("text")).alias("term"))
+    wanted = asked.select("term").distinct()
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    cut = docs.select("docid", words.alias("words")).withColumn("len", F.size("words"))  # else the length is taken anew for each word
+    postings = cut.select("docid", "len", F.explode("words").alias("term")).join(wanted, "term", "left_semi").groupBy("docid", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sizes = lengths(docs).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
+    weight = df.crossJoin(F.broadcast(sizes)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
+    scored = postings.join(weight, "term").select("docid", "term", part.alias("part"))
+    hits = asked.join(scored, "term").groupBy("qid", F.col("docid").cast("string").alias("docid")).agg(F.round(F.sum("part"), digits).alias("score"))
+    return _ranked(hits, k)
+
+
+def get_documents(asked: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(docid, text) for the docids of ``asked``; an unknown one has a null text."""
+    return asked.select(F.col("docid").cast("string").alias("docid")).join(corpus.select("docid", "text"), "docid", "left")
+
+
+def document_view(asked: DataFrame, corpus: DataFrame, n: int = 512) -> DataFrame:
+    """(docid, view): what an agent is shown of a document."""
+    view = F.when(F.col("text").isNull(), F.concat(F.lit("Document not found: "), F.col("docid"))).otherwise(truncate("text", n))
+    return get_documents(asked, corpus).select("docid", view.alias("view"))
+
+
+class Searcher(Protocol):
+    """Anything that turns queries into hits (qid, docid, score, rank)."""
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame: ...
+
+
+class DenseSearcher:
+    def __init__(self, corpus: DataFrame) -> None:
+        self.corpus = corpus
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        return dense_topk(queries, self.corpus, k)
+
+
+class BM25Searcher:
+    def __init__(self, corpus: DataFrame) -> None:
+        self.corpus = corpus
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        return bm25_topk(queries, self.corpus, k)
+
+
+SEARCHERS = {"dense": DenseSearcher, "bm25": BM25Searcher, "cells": Cells}
+
+
+def searcher(name: str, corpus: DataFrame, **options) -> Searcher:
+    if name not in SEARCHERS:
+        raise ValueError(f"unknown searcher {name}; there are {', '.join(SEARCHERS)}")
+    return SEARCHERS[name](corpus, **options)

@@ -6,7 +6,6 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import strip
 
@@ -33,17 +32,16 @@ def rename_corpus(raw: DataFrame, id_col: str = "id", text_col: str = "contents"
 
 def read_corpus(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
     """A corpus in JSON lines; of repeated docids the last row of the last file stays. ``only`` (docid) restricts it by a semi join."""
-    rows = spark.read.schema(CORPUS).json(path).filter("docid is not null")
+    rows = spark.read.schema(CORPUS).json(path)
+    rows = rows.withColumn("order_", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())).filter("docid is not null")
     if only is not None:
         rows = rows.join(only.select("docid"), "docid", "left_semi")
-    order = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
-    return rows.withColumn("order_", order).groupBy("docid").agg(F.max_by("text", "order_").alias("text"))
+    return rows.groupBy("docid").agg(F.max_by("text", "order_").alias("text"))
 
 
 def read_trajectories(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Trajectories, one JSON document a file; ``bad`` says which files hold no JSON or no result. ``strict`` fails on those."""
-    schema = T._parse_datatype_string(f"struct<{TRAJECTORY}>") if hasattr(T, "_parse_datatype_string") else TRAJECTORY
-    reader = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+    reader = spark.read.schema(TRAJECTORY).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
     rows = reader.json(path).withColumn("file", F.col("_metadata.file_name"))
     return rows.withColumn("bad", F.col("result").isNull())
 

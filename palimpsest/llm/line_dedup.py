@@ -11,8 +11,8 @@ join, and each key needs only its earliest line, so a key's work is linear howev
 are then verified by the edit distance of the lines' words.
 
 Only lines that can have a partner send variants: one edit leaves the first or the second half of the shorter
-line whole, so first the halves (four keys a line) are joined, and a bit table of the lines that share one, of
-FILTER_BITS bits, goes to all tasks. The table only spares work: lines it lets through in error find no partner.
+line whole, so first the halves (four keys a line) are joined. A bit table of the lines that share one, of
+FILTER_BITS bits, goes to all tasks, which then read those lines' words, once for variants and verification.
 
 Cases: null and empty texts have no lines; identical rows are one row, kept or dropped alike; null ids come first; an empty
 table gives an empty result. Other columns are ignored.
@@ -70,66 +70,66 @@ class Lines:
         left = self.part(lo, word)
         return line, place, left + self.part(word + 1, hi) * self.up[place]
 
+    def halves(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Four keys of each line, and whether it has them: its halves as the shorter of two lines, and as the longer by a word."""
+        first, size, out = self.first, self.size, []
+        for c in (size, size - 1):
+            half = c // 2
+            out.append(mix(self.part(first, first + half) + c.astype(U) * U(BASE)))
+            out.append(mix(self.part(first + size - (c - half), first + size) + c.astype(U) * U(INVERSE)))
+        return [(k, size >= LEAST - 1) for k in out]
+
 
 def _new(ids: np.ndarray) -> np.ndarray:
     """One place for each distinct id."""
     return np.sort(np.unique(ids, return_index=True)[1])
 
 
-def _halves(chunk: Texts):
-    lines = Lines(chunk)
-    use = _new(lines.id)
-    use = use[lines.size[use] >= LEAST - 1]
-    first, size = lines.first[use], lines.size[use]
-    keys = []
-    for c in (size, size - 1):
-        half = c // 2
-        keys.append(mix(lines.part(first, first + half) + c.astype(U) * U(BASE)))
-        keys.append(mix(lines.part(first + size - (c - half), first + size) + c.astype(U) * U(INVERSE)))
-    zero = np.zeros(len(use), np.int64)
-    return lines.id[use].view(np.int64), zero, np.concatenate(keys), np.tile(np.arange(len(use)), 4), np.zeros(4 * len(use), np.int64)
+def _half_keys(batch: pa.RecordBatch):
+    """Owners and keys from rows (id, k0, k1, k2, k3)."""
+    ids = batch.column("id").to_numpy()
+    keys, place = [], []
+    for c in ("k0", "k1", "k2", "k3"):
+        there = np.flatnonzero(~np.asarray(batch.column(c).is_null()))
+        keys.append(batch.column(c).fill_null(0).to_numpy()[there].view(U))
+        place.append(there)
+    keys = np.concatenate(keys)
+    return ids, np.zeros(len(ids), np.int64), keys, np.concatenate(place), np.zeros(len(keys), np.int64)
 
 
 def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
     return ((ids.astype(U) >> U(7)) % U(bits)).astype(np.int64)
 
 
-def _neighbourhood(table, bits: int):
-    """Keys of the lines that the table names: for replaced words (by position), for left-out words, and of the whole line (note 1)."""
-
-    def expand(chunk: Texts):
-        lines = Lines(chunk)
-        use = _new(lines.id)
-        slot = _slots(lines.id[use], bits)
-        use = use[(lines.size[use] >= LEAST - 1) & ((table.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1) == 1)]
-        long = use[lines.size[use] >= LEAST]
-        line, place, variant = lines.variants(long)
-        other = np.searchsorted(use, long)[line]
-        size = lines.size[long][line].astype(U)
-        swap = mix(variant + (place.astype(U) * U(64) + U(3)) * U(BASE) + size * U(INVERSE))
-        lack = mix(variant + (size - U(1)) * U(INVERSE))
-        whole = mix(lines.part(lines.first[use], lines.first[use] + lines.size[use]) + lines.size[use].astype(U) * U(INVERSE))
-        keys = np.concatenate([swap, lack, whole])
-        places = np.concatenate([other, other, np.arange(len(use))])
-        notes = np.concatenate([np.zeros(len(swap), np.int64), np.full(len(lack), 2), np.ones(len(whole), np.int64)])
-        return lines.id[use].view(np.int64), np.zeros(len(use), np.int64), keys, places, notes
-
-    return expand
+def _neighbourhood(chunk: Texts):
+    """Keys of lines (id, words): for replaced words (by position; note 0), for left-out words (note 2), and of the whole line (note 1)."""
+    lines = Lines(chunk)
+    use = np.arange(len(lines.first))
+    long = use[lines.size >= LEAST]
+    line, place, variant = lines.variants(long)
+    size = lines.size[long][line].astype(U)
+    swap = mix(variant + (place.astype(U) * U(64) + U(3)) * U(BASE) + size * U(INVERSE))
+    lack = mix(variant + (size - U(1)) * U(INVERSE))
+    whole = mix(lines.part(lines.first, lines.first + lines.size) + lines.size.astype(U) * U(INVERSE))
+    keys = np.concatenate([swap, lack, whole])
+    places = np.concatenate([long[line], long[line], use])
+    notes = np.concatenate([np.zeros(len(swap), np.int64), np.full(len(lack), 2), np.ones(len(whole), np.int64)])
+    return lines.id.view(np.int64), np.zeros(len(use), np.int64), keys, places, notes
 
 
-LINE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int64()), ("id", pa.int64())])
+LINE = pa.schema([(c, pa.int64()) for c in ("doc_id", "row", "line", "id", "k0", "k1", "k2", "k3")])
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line, id) of all lines with words; row is a hash of the text."""
+    """(doc_id, row, line, id, k0..k3) of all lines with words; row is a hash of the text, k0..k3 are the halves' keys."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in texts(batches):
             lines = Lines(chunk)
             row = _rows(chunk).view(np.int64)
-            yield pa.record_batch([pa.array(chunk.ids[lines.text], mask=~chunk.valid[lines.text]), pa.array(row[lines.text]), pa.array(lines.number), pa.array(lines.id.view(np.int64))], schema=LINE)
+            yield pa.record_batch([pa.array(chunk.ids[lines.text], mask=~chunk.valid[lines.text]), pa.array(row[lines.text]), pa.array(lines.number), pa.array(lines.id.view(np.int64)), *[pa.array(k.view(np.int64), mask=~there) for k, there in lines.halves()]], schema=LINE)
 
-    return docs.mapInArrow(split, "doc_id long, row long, line long, id long")
+    return docs.mapInArrow(split, ", ".join(f"{c} long" for c in LINE.names))
 
 
 def _rows(chunk: Texts) -> np.ndarray:
@@ -194,23 +194,22 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = pick(docs, doc_id=id_col, text=text_col)
     lines = keep(lines_of(docs))
     order = F.struct("doc_id", "row", "line")
-    first = keep(lines.groupBy("id").agg(F.min(order).alias("first")))
-    shared = keep(shared_keys(docs, _halves, 4 * text_bytes(docs) / 60, distinct=True).select(F.col("owner").alias("id")).distinct())
-    table = docs.sparkSession.sparkContext.broadcast(_table(shared, bits))
-    found = shared_keys(docs, _neighbourhood(table, bits), shared.count() * 40, distinct=False)
-    keys = keep(found.select("key", F.col("owner").alias("id"), F.col("note").alias("kind")).distinct().join(first, "id"))
+    first = keep(lines.groupBy("id").agg(F.min(order).alias("first"), *[F.min(k).alias(k) for k in ("k0", "k1", "k2", "k3")]))
+    halves = shared_keys(first.select("id", "k0", "k1", "k2", "k3"), _half_keys, 4 * first.count(), distinct=True, chunks=lambda batches: batches)
+    shared = keep(halves.select(F.col("owner").alias("id")).distinct())
+    words = keep(_texts_of(docs, shared, bits))
+    found = shared_keys(words, _neighbourhood, 2 * text_bytes(words, "words") / 6, each=1 << 19)
+    keys = keep(found.select("key", F.col("owner").alias("id"), F.col("note").alias("kind")).distinct().join(first.select("id", "first"), "id"))
     # Replaced words: all lines of a key are near, its earliest is enough. Left-out words: the whole line against the earliest longer one, each longer one against the whole.
     kind = lambda k: F.when(F.col("kind") == k, F.struct("first", "id"))
     least = keys.groupBy("key").agg(*[F.min(kind(k)).alias(f"of{k}") for k in (0, 1, 2)])
     other = F.when(F.col("kind") == 0, F.col("of0")).when(F.col("kind") == 1, F.col("of2")).otherwise(F.col("of1"))
     pairs = keys.join(least, "key").withColumn("other", other).filter(F.col("other.first") < F.col("first"))
     pairs = keep(pairs.groupBy("id").agg(F.min("other").getField("id").alias("earlier")))
-    wanted = pairs.select("id").union(pairs.select("earlier")).distinct()
-    words = keep(_texts_of(docs, wanted, bits))
     checked = pairs.join(words, "id").join(words.select(F.col("id").alias("earlier"), F.col("words").alias("other")), "earlier").select("id", "words", "other")
     near = keep(checked.mapInArrow(_verify, "id long").withColumn("near", F.lit(True)))
     discard(shared, keys, words, pairs)
-    placed = lines.join(first, "id").join(near, "id", "left")
+    placed = lines.select("doc_id", "row", "line", "id").join(first.select("id", "first"), "id").join(near, "id", "left")
     return placed.select("doc_id", "row", "line", (F.coalesce("near", F.lit(False)) | (F.col("first") != order)).alias("dropped"))
 
 

@@ -88,7 +88,7 @@ def _sorted(keys: np.ndarray, owners: np.ndarray, distinct: bool) -> np.ndarray:
     return order[np.argsort(keys[order], kind="stable")]
 
 
-def _sender(expand: Expand, bits: int, packet: int, distinct: bool):
+def _sender(expand: Expand, bits: int, packet: int, distinct: bool, chunks=texts):
     def flush(held) -> Iterator[pa.RecordBatch]:
         owners, remarks = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
         shift = np.cumsum([0] + [len(h[0]) for h in held])
@@ -116,7 +116,7 @@ def _sender(expand: Expand, bits: int, packet: int, distinct: bool):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for chunk in texts(batches):
+        for chunk in chunks(batches):
             made = expand(chunk)
             if len(made[2]):
                 held.append(made)
@@ -163,15 +163,15 @@ def _receiver(distinct: bool):
     return receive
 
 
-def shared_keys(docs: DataFrame, expand: Expand, n_keys: float, distinct: bool = False, packet: int = PACKET, each: int = RANGE) -> DataFrame:
+def shared_keys(docs: DataFrame, expand: Expand, n_keys: float, distinct: bool = False, packet: int = PACKET, each: int = RANGE, chunks=texts) -> DataFrame:
     """Rows (key, owner, remark, note) of every key that at least two of ``expand``'s rows have.
 
     With ``distinct``, of every key that at least two owners have; of a key and owner, one row or a few come.
-    ``docs`` has an id and a text; ``n_keys`` is how many keys to expect, which only sets the number of ranges.
+    ``docs`` has an id and a text, unless ``chunks`` takes batches otherwise; ``n_keys`` is how many keys to expect, which only sets the number of ranges.
     """
     bits = 0
     while each << bits < n_keys:
         bits += 1
-    packets = docs.mapInArrow(_sender(expand, bits, packet, distinct), "bucket int, packed binary")
+    packets = docs.mapInArrow(_sender(expand, bits, packet, distinct, chunks), "bucket int, packed binary")
     return packets.groupBy("bucket").applyInArrow(_receiver(distinct), "key long, owner long, remark long, note long")
 

@@ -5,7 +5,9 @@ arithmetic a byte is forgotten. A chunk ends where the hash's high bits are zero
 the last 16 bytes alone: an insertion shifts chunks and changes only those it touches. Of ends closer than
 SHORTEST, the later go; a chunk of LONGEST bytes is cut. Chunks are equal when their digests are (72 bits: a key
 of 56 bits, 16 more, and the length). The earliest of equal chunks, in order of (doc_id, hash of the text, place), stays,
-later ones are duplicates; runs of adjoining duplicates of at least ``least`` bytes are passages to remove.
+later ones are duplicates. Adjoining duplicates whose earliest places adjoin too are a run. A passage's ends lie inside
+chunks that differ, so each run of SEED bytes or more is extended to both sides as far as the two texts agree byte by byte (by
+CONTEXT bytes at most; a run is whole anyway), and is reported when it then holds ``least`` words.
 
 Hot chunks cost their count: packets carry a task's repeats past the sort, minima combine before the shuffle,
 and adaptive execution splits the join back.
@@ -16,16 +18,21 @@ is one chunk. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .line_dedup import _rows
-from .session import keep, pick, prepare, text_bytes, tidy
+from .session import discard, keep, pick, prefilter, prepare, text_bytes, tidy
 from .shared_keys import shared_keys
-from .words import Texts, U, mix, span_hashes
+from .words import SPACE, Texts, U, mix, span_hashes, texts
 
-AVERAGE_BITS, SHORTEST, LONGEST, LEAST = 5, 12, 1024, 160
+AVERAGE_BITS, SHORTEST, LONGEST, LEAST = 4, 8, 1024, 50
+SEED, CONTEXT = 40, 400
+NONE = np.iinfo(np.int64).min
 GEAR = (mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407)) >> U(48)).astype(np.uint16)
 
 
@@ -66,21 +73,92 @@ def _expand(chunk: Texts):
     text = np.searchsorted(chunk.offsets, starts, side="right") - 1
     check = mix(h ^ U(0x51ED270B0A1F5D27)) & U(0xFFFF)
     note = ((starts - chunk.offsets[text]) << 28) | ((ends - starts) << 16) | check.astype(np.int64)
-    return np.where(chunk.valid, chunk.ids, np.iinfo(np.int64).min), _rows(chunk).view(np.int64), h, text, note
+    return np.where(chunk.valid, chunk.ids, NONE), _rows(chunk).view(np.int64), h, text, note
+
+
+SIDES = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("words", pa.int64())])
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each place asked of a text: CONTEXT bytes before and after it, and how many words begin inside."""
+    for batch in batches:
+        asked, at = batch.column("asked").to_pylist(), 0
+        for chunk in texts(iter([batch.select(["doc", "text"])])):
+            dark = ~SPACE[chunk.data]
+            begin = dark.copy()
+            begin[1:] &= ~dark[:-1]
+            begin[chunk.offsets[:-1][np.diff(chunk.offsets) > 0]] |= dark[chunk.offsets[:-1][np.diff(chunk.offsets) > 0]]
+            total = np.concatenate([[0], np.cumsum(begin)])
+            raw, out = chunk.data.tobytes(), []
+            for doc, row, places, lo, hi in zip(chunk.ids.tolist(), _rows(chunk).view(np.int64).tolist(), asked[at : at + len(chunk.ids)], chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), strict=True):
+                for p in places:
+                    a, b = lo + p["start"], lo + p["start"] + p["size"]
+                    if p["row"] == row and b <= hi:
+                        out.append((doc, row, p["start"], p["size"], raw[max(lo, a - CONTEXT) : a], raw[b : min(hi, b + CONTEXT)], int(total[b] - total[a])))
+            at += len(chunk.ids)
+            if out:
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), SIDES, strict=True)], schema=SIDES)
+
+
+def agree(a: bytes, b: bytes) -> int:
+    """Length of the common start."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return int(differ[0]) if len(differ) else n
+
+
+def begun(x: bytes, lo: int, hi: int) -> int:
+    """How many words begin in ``x[lo:hi]``; the first byte begins one if it is no space."""
+    dark = ~SPACE[np.frombuffer(x, np.uint8)]
+    first = dark.copy()
+    first[1:] &= ~dark[:-1]
+    return int(first[lo:hi].sum())
+
+
+def _extend(least: int):
+    schema = pa.schema([("doc", pa.int64()), ("start_byte", pa.int64()), ("n_bytes", pa.int64()), ("n_words", pa.int64()), ("kept", pa.int64())])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                back = agree(r["left"][::-1], r["kept_left"][::-1])
+                on = agree(r["right"], r["kept_right"])
+                # The byte before tells whether the extension begins with a whole word, the run's last one whether the rest does.
+                more = begun(r["left"], len(r["left"]) - back, len(r["left"])) + begun(b"." + r["right"], 1, 1 + on)
+                if r["words"] + more >= least:
+                    out.append((r["doc"], r["start"] - back, r["size"] + back + on, r["words"] + more, r["kdoc"]))
+            if out:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+
+    return extend
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """(doc_id, start_byte, n_bytes, n_chunks, kept_doc_id): passages that an earlier place has, and where its first chunk stays."""
+    """(doc_id, start_byte, n_bytes, n_words, kept_doc_id): passages of at least ``least`` words that an earlier place has, and whose place stays."""
     prepare(docs.sparkSession)
     docs = pick(docs, doc_id=id_col, text=text_col)
-    found = shared_keys(docs, _expand, text_bytes(docs) / 36)
+    found = shared_keys(docs, _expand, text_bytes(docs) / 20)
     held = keep(found.select("key", F.expr("note & 268435455").alias("tail"), F.col("owner").alias("doc"), F.col("remark").alias("row"), F.expr("shiftright(note, 28)").alias("start")))
     tidy(docs.sparkSession)
     first = held.groupBy("key", "tail").agg(F.min(F.struct("doc", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = held.join(first, ["key", "tail"]).filter(F.struct("doc", "row", "start") != F.col("first"))
-    later = later.select("doc", "row", "start", (F.col("start") + F.expr("shiftright(tail, 16)")).alias("end"), F.col("first.doc").alias("kept")).distinct()
+    later = later.select("doc", "row", "start", (F.col("start") + F.expr("shiftright(tail, 16)")).alias("end"), F.col("first.doc").alias("kdoc"), F.col("first.row").alias("krow"), F.col("first.start").alias("kstart")).distinct()
     by = Window.partitionBy("doc", "row").orderBy("start")
-    runs = later.withColumn("new", F.when(F.lag("end").over(by) == F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
-    out = runs.groupBy("doc", "row", "run").agg(F.min("start").alias("start_byte"), (F.max("end") - F.min("start")).alias("n_bytes"), F.count(F.lit(1)).alias("n_chunks"), F.min_by("kept", "start").alias("kept"))
-    none = lambda c: F.when(F.col(c) != np.iinfo(np.int64).min, F.col(c))
-    return out.filter(F.col("n_bytes") >= least).select(none("doc").alias("doc_id"), "start_byte", "n_bytes", "n_chunks", none("kept").alias("kept_doc_id"))
+    last = lambda c: F.lag(c).over(by)
+    joined = (last("end") == F.col("start")) & (last("kdoc") == F.col("kdoc")) & (last("krow") == F.col("krow")) & (F.col("start") - last("start") == F.col("kstart") - last("kstart"))
+    runs = later.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
+    runs = runs.groupBy("doc", "row", "run").agg(F.min(F.struct("start", "kdoc", "krow", "kstart")).alias("x"), F.max("end").alias("end"))
+    runs = keep(runs.select("doc", "row", "x.*", (F.col("end") - F.col("x.start")).alias("size")).filter(F.col("size") >= SEED))
+    discard(held)
+    own = runs.select("doc", "row", "start", "size")
+    asked = keep(own.union(runs.select("kdoc", "krow", "kstart", "size")).distinct())
+    places = asked.groupBy("doc").agg(F.collect_list(F.struct("row", "start", "size")).alias("asked"))
+    named = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), "text")
+    near = prefilter(named, "doc", asked.select("doc").distinct()).join(places, "doc").select("doc", "text", "asked")
+    sides = keep(near.mapInArrow(_sides, "doc long, row long, start long, size long, left binary, right binary, words long").dropDuplicates(["doc", "row", "start", "size"]))
+    kept = sides.select(F.col("doc").alias("kdoc"), F.col("row").alias("krow"), F.col("start").alias("kstart"), "size", F.col("left").alias("kept_left"), F.col("right").alias("kept_right"))
+    both = runs.join(sides, ["doc", "row", "start", "size"]).join(kept, ["kdoc", "krow", "kstart", "size"])
+    out = both.mapInArrow(_extend(least), "doc long, start_byte long, n_bytes long, n_words long, kept long").distinct()
+    none = lambda c: F.when(F.col(c) != NONE, F.col(c))
+    return out.select(none("doc").alias("doc_id"), "start_byte", "n_bytes", "n_words", none("kept").alias("kept_doc_id"))

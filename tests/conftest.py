@@ -11,8 +11,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[1]}:{os.environ.get('PYTHONPATH', '')}"
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+from oracle import SF, TABLES  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -30,25 +29,3 @@ def duck():
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
-
-
-def plain(value):
-    """Rows of both engines in one form."""
-    from pyspark.sql import Row
-
-    if isinstance(value, float):
-        return "nan" if value != value else f"{value:.9g}"
-    if isinstance(value, Row):
-        return [plain(x) for x in value]
-    if isinstance(value, list | tuple):
-        return [plain(x) for x in value]
-    return value
-
-
-def same(spark_rows, duck_relation):
-    columns = sorted(spark_rows.columns)
-    assert columns == sorted(duck_relation.columns)
-    left = sorted(repr([plain(x) for x in r]) for r in spark_rows.select(*columns).collect())
-    right = sorted(repr([plain(x) for x in r]) for r in duck_relation.select(*[f'"{c}"' for c in columns]).fetchall())
-    assert left == right
-    return len(left)

@@ -1,7 +1,7 @@
 """Every query with SQL against DuckDB, over whole tables."""
 
 import pytest
-from conftest import SF, same
+from oracle import SF, same
 
 from palimpsest import catalog
 

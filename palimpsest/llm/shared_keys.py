@@ -102,8 +102,8 @@ def _sender(expand: Expand, bits: int, packet: int, distinct: bool, chunks=texts
         first, several = _several(keys)
         rest = np.flatnonzero(~first)
         # Rows that bypass the ranges travel in packets with a negative bucket.
-        for at in range(0, len(rest), packet >> 3):
-            r = rest[at : at + (packet >> 3)]
+        for at in range(0, len(rest), max(1, packet >> 3)):
+            r = rest[at : at + max(1, packet >> 3)]
             yield one(-1 - int(keys[r[0]] >> np.uint64(40)) % (1 << 20), _pack(keys[r], place[r], notes[r], np.ones(len(r), bool), owners, remarks))
         keys, place, notes, marks = keys[first], place[first], notes[first], several[first]
         cuts = np.searchsorted(keys, (np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64))

@@ -24,7 +24,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,8 @@ from .words import SPACE, Texts, span_hashes, texts
 
 BLOCK, FILE_IDS, SHARD_BYTES = 1 << 16, 1 << 20, 24 << 20
 MAGIC, VERSION, HEAD = b"PLNE", 1, struct.Struct("<4sIIQQI")
-#: Pieces whose ids a worker remembers, about; and unseen ones that are encoded together.
-REMEMBERED, TOGETHER = 1 << 20, 1 << 14
+#: Slots in which a worker remembers pieces' ids (12 bytes each), ids it remembers, and unseen pieces that are encoded together.
+SLOTS, REMEMBERED, TOGETHER = 1 << 22, 3 << 20, 1 << 14
 #: ASCII bytes beside which a space is no cut, and first bytes of Unicode's other spaces.
 BLANK, LEAD = SPACE.copy(), np.zeros(256, bool)
 BLANK[28:32] = True
@@ -122,13 +121,15 @@ class Encoder:
 
     A text is cut before each single space between other characters: byte-level vocabularies begin a token there in
     any case. Pieces are looked up by a 64-bit hash and their length; unseen ones are encoded together as
-    one text, whose ids are dealt back by the tokens' lengths, and about REMEMBERED of them are kept.
+    one text, whose ids are dealt back by the tokens' lengths. They are kept, each in the slot its hash names, the first
+    piece of a slot for good, until there are REMEMBERED ids.
     """
 
     def __init__(self, path: str, end: int) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.end = Tokenizer.from_file(path), {}, end
+        self.tokenizer = Tokenizer.from_file(path)
+        self.keys, self.known = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -158,7 +159,8 @@ class Encoder:
         starts = pieces(data, edges)
         ends = np.append(starts[1:], len(data))[: len(starts)]
         h = span_hashes(data, starts, ends)
-        place = np.fromiter(map(self.known.get, h.tolist(), repeat(-1)), np.int64, len(h))
+        slot = (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        place = np.where(self.keys[slot] == h, self.known[slot], -1).astype(np.int64)
         lost = np.flatnonzero(place < 0)
         pool, first, count = self.pool, self.first, self.count
         if len(lost):
@@ -169,8 +171,10 @@ class Encoder:
             place[lost] = len(first) + back
             first = np.concatenate([first, len(pool) + np.cumsum(sizes) - sizes])
             count, pool = np.concatenate([count, sizes]), np.concatenate([pool, *found])
-            if len(self.known) < REMEMBERED:
-                self.known.update(zip(new.tolist(), range(len(self.first), len(first)), strict=True))
+            if len(self.pool) < REMEMBERED:
+                at = slot[lost[where]]
+                free = self.known[at] < 0
+                self.keys[at[free]], self.known[at[free]] = new[free], (len(self.first) + np.arange(len(new)))[free]
                 self.pool, self.first, self.count = pool, first, count
         stops = np.searchsorted(starts, edges[1:])
         place = np.insert(place, stops, 0)

@@ -14,9 +14,9 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text worked on at once; only a single longer text exceeds it.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Bytes hashed at once, in words as a whole.
-PIECE = 1 << 20
+PIECE = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import TRAINING
+from .functions import payload
 from .functions import text as T
 from .functions.normalize import normalize
 from .operators import control, history, retrieval, scoring, session, supervision, transcript
@@ -599,3 +601,57 @@ def strided_shard(spark, sf_dir):
 def steps(spark, sf_dir, an):
     counts = an.groupBy("traj").agg(F.count(F.when(F.col("type") == "search", 1)).cast("double").alias("s"), F.count(F.when(F.col("type") == "visit", 1)).cast("double").alias("v"))
     return counts.select("traj", scoring.steps_of(F.create_map(F.lit("search"), F.col("s"), F.lit("get_document"), F.col("v"))).alias("steps"))
+
+
+# ---- payloads, prefixes and the rest
+
+PREFIX = "CASE idx % 3 " + " ".join(f"WHEN {i} THEN 'Instruct: {payload.INSTRUCTIONS[k]}'" for i, k in enumerate(("i0", "i2", "i1"))) + " END || chr(10) || 'Query: ' || query"
+
+
+@stepped("", f"SELECT traj, idx, {PREFIX} AS encoded FROM st WHERE type = 'search'")
+def encoder_query(spark, sf_dir, an):
+    style = F.when(F.col("idx") % 3 == 0, "plain").when(F.col("idx") % 3 == 1, "i2").otherwise("i1")
+    return st.searches(an).select("traj", "idx", payload.encoder_text(style, F.col("query")).alias("encoded"))
+
+
+@stepped("", "SELECT traj, idx, returned AS docids FROM st WHERE type = 'search'")
+def docids_from_json(spark, sf_dir, an):
+    listed = F.to_json(F.transform("returned", lambda d: F.struct(d.alias("docid"), F.lit("x").alias("snippet"))))
+    output = F.when(F.col("idx") % 3 == 0, listed).when(F.col("idx") % 3 == 1, F.concat(F.lit('{"results": '), listed, F.lit("}"))).otherwise(F.concat(F.lit("cut "), listed))
+    return st.searches(an).select("traj", "idx", payload.docids_in_json(output).alias("docids"))
+
+
+@register(f"SELECT doc_id::VARCHAR AS docid, '[{{\"docid\":\"' || doc_id || '\",\"score\":1.5}}]' AS plain, '{{\"results\":[{{\"docid\":\"' || doc_id || '\",\"score\":1.5}}],\"returned_earlier_note\":\"{payload.EARLIER}\",\"returned_earlier\":[{{\"docid\":\"' || doc_id || '\",\"title\":' || to_json({TITLE}) || '}}]}}' AS both FROM documents")
+def json_payload(spark, sf_dir):
+    rows = bind.corpus(spark, sf_dir)
+    results = F.array(F.struct("docid", F.lit(1.5).alias("score")))
+    hidden = F.array(F.struct("docid", "text"))
+    return rows.select("docid", payload.results_json(results, F.slice(hidden, 1, 0)).alias("plain"), payload.results_json(results, hidden).alias("both"))
+
+
+@register(f"WITH {RUNS} SELECT avg(steps) AS avg_steps, avg({SHARE}) AS recall, count(*) AS n FROM ru LEFT JOIN g USING (qid)")
+def recall_only(spark, sf_dir):
+    runs = _runs(spark, sf_dir).withColumn("arm", F.lit("all"))
+    return scoring.judge_report(runs, _qrels(spark, sf_dir)).select("avg_steps", "recall", "n")
+
+
+@stepped(NEGS, "SELECT tier, count(*) AS n, any_value(CASE tier WHEN 'div' THEN 3.0 WHEN 'hard' THEN 1.0 ELSE 0.3 END)::DOUBLE AS weight FROM neg GROUP BY tier")
+def tier_weights(spark, sf_dir, an):
+    rows = supervision.negatives(an, *_chosen(spark, sf_dir, an)).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    weight = F.when(F.col("tier") == "div", TRAINING["weight_diversity"]).when(F.col("tier") == "hard", TRAINING["weight_hard"]).otherwise(TRAINING["weight_weak"])
+    return rows.withColumn("weight", weight)
+
+
+@register("SELECT conv_id, turn, 'Question: ' || text || chr(10) || 'Turn ' || turn AS prompt FROM conversations")
+def prompt_fill(spark, sf_dir):
+    return bind.table(spark, sf_dir, "conversations").select("conv_id", "turn", payload.fill("Question: {question}\nTurn {turn}", question=F.col("text"), turn=F.col("turn")).alias("prompt"))
+
+
+@register("WITH i AS (SELECT conv_id, turn, text, turn // 2 AS call, turn % 2 AS out FROM conversations), o AS (SELECT conv_id, call, arg_max(text, turn) AS output FROM i WHERE out = 1 GROUP BY ALL) SELECT c.conv_id AS traj, c.turn AS nth, 'tool_call' AS type, 'search' AS tool_name, c.text AS arguments, coalesce(o.output, '') AS output FROM i c LEFT JOIN o USING (conv_id, call) WHERE c.out = 0")
+def normalize_items(spark, sf_dir):
+    rows = bind.table(spark, sf_dir, "conversations")
+    is_out = F.col("turn") % 2 == 1
+    kind = F.when(is_out, "function_call_output").when(F.col("turn") % 4 == 0, "mcp_call").otherwise("function_call")
+    name = F.when(is_out, F.lit(None).cast("string")).when(F.col("turn") % 4 == 0, "functions.search").otherwise("search")
+    items = rows.select(F.col("conv_id").alias("traj"), F.col("turn").alias("nth"), kind.alias("type"), F.floor(F.col("turn") / 2).alias("call_id"), name.alias("name"), F.when(~is_out, F.col("text")).alias("arguments"), F.when(is_out, F.col("text")).alias("output"))
+    return transcript.normalize_items(items)

@@ -29,6 +29,8 @@ def test_toxic_words_are_learnt_and_thresholds_go_by_language(spark, frame):
     edge = toxicity.with_toxicity(frame([None, "", " ", "w " * 200_000]), model).select("score").collect()
     assert len({r["score"] for r in edge[:3]}) == 1 and all(0 <= r["score"] <= 1 for r in edge)
     assert toxicity.with_toxicity(frame([]), model).collect() == []
+    clash = frame(["a"]).withColumn("score", F.lit("old"))
+    assert 0 <= toxicity.with_toxicity(clash, model).first()["score"] <= 1
 
 
 def test_long_texts_are_scored_whole():

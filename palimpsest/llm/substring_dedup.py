@@ -1,9 +1,9 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the bytes: each byte's random number is added to twice the last value, so after 16 bytes of 16-bit
-arithmetic a byte is forgotten. A chunk ends where the hash's high bits are zero, which depends on
-the last 16 bytes alone: an insertion shifts chunks and changes only those it touches. Of ends closer than
-SHORTEST, the later go; a chunk of LONGEST bytes is cut. Chunks are equal when their digests are (72 bits: a key
+arithmetic a byte is forgotten. A chunk ends where the hash is greater than in the REACH places before and not less than in
+the REACH after: chunks have more than REACH bytes, twice that on average, and an end depends on the bytes around it
+alone, so an insertion shifts chunks and changes only those it touches. A chunk of LONGEST bytes is cut. Chunks are equal when their digests are (72 bits: a key
 of 56 bits, 16 more, and the length). The earliest of equal chunks, in order of (doc_id, hash of the text, place), stays,
 later ones are duplicates. Adjoining duplicates whose earliest places adjoin too are a run. A passage's ends lie inside
 chunks that differ, so each run of SEED bytes or more is extended to both sides as far as the two texts agree byte by byte (by
@@ -30,8 +30,8 @@ from .session import discard, keep, pick, prefilter, prepare, text_bytes, tidy
 from .shared_keys import shared_keys
 from .words import SPACE, Texts, U, mix, span_hashes, texts
 
-AVERAGE_BITS, SHORTEST, LONGEST, LEAST = 4, 8, 1024, 50
-SEED, CONTEXT = 40, 400
+REACH, LONGEST, LEAST = 16, 1024, 50
+SEED, CONTEXT = 64, 320
 NONE = np.iinfo(np.int64).min
 GEAR = (mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407)) >> U(48)).astype(np.uint16)
 
@@ -48,12 +48,16 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of all texts' chunks."""
-    end = (gear(data) >> np.uint16(16 - AVERAGE_BITS)) == 0
-    ends = np.flatnonzero(end) + 1
-    near = np.zeros(len(ends), bool)
-    near[1:] = np.diff(ends) < SHORTEST
+    h = gear(data)
+    most = h.copy()
+    for span in (1, 2, 4, 8):  # the greatest of REACH places up to each
+        most[span:] = np.maximum(most[span:], most[:-span])
+    before, after = np.zeros_like(h), np.zeros_like(h)
+    before[1:] = most[:-1]
+    after[:-REACH] = most[REACH:]
+    ends = np.flatnonzero((h > before) & (h >= after)) + 1
     own = offsets[1:][np.diff(offsets) > 0]
-    ends = np.unique(np.concatenate([ends[~near], own]))
+    ends = np.unique(np.concatenate([ends, own]))
     starts = np.concatenate([[0], ends[:-1]])
     more = (ends - starts - 1) // LONGEST
     if more.any():
@@ -76,7 +80,9 @@ def _expand(chunk: Texts):
     return np.where(chunk.valid, chunk.ids, NONE), _rows(chunk).view(np.int64), h, text, note
 
 
-SIDES = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("words", pa.int64())])
+PLACE = ("row", "start", "size", "kdoc", "krow", "kstart")
+SIDES = pa.schema([(c, pa.int64()) for c in ("doc", *PLACE)] + [("left", pa.binary()), ("right", pa.binary()), ("words", pa.int64())])
+SIDES_DDL = ", ".join(f"{c} long" for c in ("doc", *PLACE)) + ", left binary, right binary, words long"
 
 
 def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +100,7 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for p in places:
                     a, b = lo + p["start"], lo + p["start"] + p["size"]
                     if p["row"] == row and b <= hi:
-                        out.append((doc, row, p["start"], p["size"], raw[max(lo, a - CONTEXT) : a], raw[b : min(hi, b + CONTEXT)], int(total[b] - total[a])))
+                        out.append((doc, *[p[c] for c in PLACE], raw[max(lo, a - CONTEXT) : a], raw[b : min(hi, b + CONTEXT)], int(total[b] - total[a])))
             at += len(chunk.ids)
             if out:
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), SIDES, strict=True)], schema=SIDES)
@@ -138,7 +144,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, start_byte, n_bytes, n_words, kept_doc_id): passages of at least ``least`` words that an earlier place has, and whose place stays."""
     prepare(docs.sparkSession)
     docs = pick(docs, doc_id=id_col, text=text_col)
-    found = shared_keys(docs, _expand, text_bytes(docs) / 20)
+    found = shared_keys(docs, _expand, text_bytes(docs) / 30)
     held = keep(found.select("key", F.expr("note & 268435455").alias("tail"), F.col("owner").alias("doc"), F.col("remark").alias("row"), F.expr("shiftright(note, 28)").alias("start")))
     tidy(docs.sparkSession)
     first = held.groupBy("key", "tail").agg(F.min(F.struct("doc", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -151,14 +157,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     runs = runs.groupBy("doc", "row", "run").agg(F.min(F.struct("start", "kdoc", "krow", "kstart")).alias("x"), F.max("end").alias("end"))
     runs = keep(runs.select("doc", "row", "x.*", (F.col("end") - F.col("x.start")).alias("size")).filter(F.col("size") >= SEED))
     discard(held)
-    own = runs.select("doc", "row", "start", "size")
-    asked = keep(own.union(runs.select("kdoc", "krow", "kstart", "size")).distinct())
-    places = asked.groupBy("doc").agg(F.collect_list(F.struct("row", "start", "size")).alias("asked"))
+    nothing = F.lit(None).cast("bigint")
+    kept = runs.select("kdoc", "krow", "kstart", "size").distinct().select(F.col("kdoc").alias("doc"), F.col("krow").alias("row"), F.col("kstart").alias("start"), "size", nothing.alias("kdoc"), nothing.alias("krow"), nothing.alias("kstart"))
+    asked = keep(runs.select("doc", *PLACE).unionByName(kept))
+    places = asked.groupBy("doc").agg(F.collect_list(F.struct(*PLACE)).alias("asked"))
     named = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), "text")
     near = prefilter(named, "doc", asked.select("doc").distinct()).join(places, "doc").select("doc", "text", "asked")
-    sides = keep(near.mapInArrow(_sides, "doc long, row long, start long, size long, left binary, right binary, words long").dropDuplicates(["doc", "row", "start", "size"]))
-    kept = sides.select(F.col("doc").alias("kdoc"), F.col("row").alias("krow"), F.col("start").alias("kstart"), "size", F.col("left").alias("kept_left"), F.col("right").alias("kept_right"))
-    both = runs.join(sides, ["doc", "row", "start", "size"]).join(kept, ["kdoc", "krow", "kstart", "size"])
+    sides = keep(near.mapInArrow(_sides, SIDES_DDL))
+    discard(runs, asked)
+    own = sides.filter("kdoc is not null")
+    kept = sides.filter("kdoc is null").dropDuplicates(["doc", "row", "start", "size"])
+    kept = kept.select(F.col("doc").alias("kdoc"), F.col("row").alias("krow"), F.col("start").alias("kstart"), "size", F.col("left").alias("kept_left"), F.col("right").alias("kept_right"))
+    both = own.join(kept, ["kdoc", "krow", "kstart", "size"])
     out = both.mapInArrow(_extend(least), "doc long, start_byte long, n_bytes long, n_words long, kept long").distinct()
     none = lambda c: F.when(F.col(c) != NONE, F.col(c))
     return out.select(none("doc").alias("doc_id"), "start_byte", "n_bytes", "n_words", none("kept").alias("kept_doc_id"))

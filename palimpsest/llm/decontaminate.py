@@ -145,8 +145,16 @@ def find(chunk_words: np.ndarray, at: np.ndarray, items: Items) -> Iterator[tupl
                     tried.add((start, place))
                     item, text = items.words[place], int(text_of[start])
                     bound = int(items.ratio * len(item))
+                    best = seen.get((text, place))
+                    if best is not None and best[0] == 0 and best[1] + int(at[text]) <= start:
+                        continue  # an earlier window is the item itself
                     lo, hi = max(int(at[text]), start - bound), min(int(at[text + 1]), start + len(item) + 2 * bound)
-                    d, a, b = nearest(item, chunk_words[lo:hi])
+                    if np.array_equal(chunk_words[start : min(hi, start + len(item))], item):
+                        d, a, b = 0, start - lo, start - lo + len(item)
+                    elif np.isin(item, chunk_words[lo:hi]).sum() < len(item) - bound:
+                        continue  # each missing word is an edit
+                    else:
+                        d, a, b = nearest(item, chunk_words[lo:hi])
                     if d <= bound:
                         match = (d, lo + a - int(at[text]), b - a)
                         if (text, place) not in seen or match < seen[text, place]:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import Texts, texts
+from .words import Texts, release, texts
 
 #: Keys in a packet, and in a range.
 PACKET, RANGE = 1 << 19, 5 << 18
@@ -126,6 +126,7 @@ def _sender(expand: Expand, bits: int, packet: int, distinct: bool, chunks=texts
                 n = 0
         if held:
             yield from flush(held)
+        release()
 
     return send
 
@@ -159,6 +160,8 @@ def _receiver(distinct: bool):
         for at in range(0, len(out), 1 << 17):
             o = slice(at, at + (1 << 17))
             yield _rows(keys[o], owners[place[o]], remarks[place[o]], notes[o])
+        del keys, place, marks, owners, remarks, notes, order, out
+        release()
 
     return receive
 

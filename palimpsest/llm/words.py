@@ -6,6 +6,7 @@ polynomial of its bytes modulo 2**64, mixed; it depends on the bytes alone, so a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -119,6 +120,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker is idle, or another stage's, after its task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def texts(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[Texts]:
     """Batches of (id, text), cut into pieces of about ``chunk`` bytes; no text is cut."""
     for batch in batches:
@@ -131,6 +139,8 @@ def texts(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[Tex
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, side="right")) - 1)
             yield Texts(keys[at:to], valid[at:to], data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
             at = to
+        del batch, ids, column, data, offsets
+    release()
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:

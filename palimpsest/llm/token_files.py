@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .session import parts_for, pick, prepare, shared_dir, text_bytes
-from .words import SPACE, Texts, span_hashes, texts
+from .words import SPACE, Texts, kept, span_hashes, texts
 
 BLOCK, FILE_IDS, SHARD_BYTES = 1 << 16, 1 << 20, 24 << 20
 MAGIC, VERSION, HEAD = b"PLNE", 1, struct.Struct("<4sIIQQI")
@@ -199,13 +199,8 @@ def pieces(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder(path: str, end: int) -> Encoder:
-    if (path, end) not in _ENCODERS:
-        _ENCODERS[path, end] = Encoder(path, end)
-    return _ENCODERS[path, end]
+    return kept(("encoder", path, end), lambda: Encoder(path, end))
 
 
 def _writer(path: str, end: int, width: int):
@@ -221,6 +216,7 @@ def _writer(path: str, end: int, width: int):
 
         for chunk in texts(batches):
             ids, counts = encode(chunk)
+            encoder(path, end)  # still in use
             held.append((chunk.ids, chunk.valid, counts, ids))
             n += len(ids)
             if n >= FILE_IDS:

@@ -7,7 +7,8 @@ polynomial of its bytes modulo 2**64, mixed; it depends on the bytes alone, so a
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -120,8 +121,22 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: What a worker keeps for its next tasks, with when it was last used; dropped by release() when IDLE seconds have gone by.
+KEPT: dict[object, list] = {}
+IDLE = 15
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    if key not in KEPT:
+        KEPT[key] = [0.0, make()]
+    KEPT[key][0] = time.monotonic()
+    return KEPT[key][1]
+
+
 def release() -> None:
-    """Give freed memory back to the system: a worker is idle, or another stage's, after its task."""
+    """Drop what is idle and give freed memory back to the system: a worker is idle, or another stage's, after its task."""
+    for key in [k for k, (used, _) in KEPT.items() if time.monotonic() - used > IDLE]:
+        del KEPT[key]
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

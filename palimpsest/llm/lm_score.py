@@ -2,19 +2,19 @@
 
 Tokens are the words of a text, A-Z lower-cased, then one end; the end also stands before the first word. Counts of words and of
 word pairs are gathered over all training texts: tasks send counts of hashed keys, packed by range of the hash,
-and each range is merged once. Words keep exact counts. A pair seen c >= 2 times has level floor(log2 c)
+and each range is merged once. Words keep exact counts. A pair seen c times has level floor(log2 c) + 1
 and goes into the filter once for each level up to its own; a query probes levels until one is absent and
-so learns the count within a factor of 2. If all levels would take more than MOST_BITS bits, the least count is
-raised until they don't: MOST_BITS bounds the broadcast however large the corpus is. Each range has its own
-part of the filter, so parts are built in parallel and only bits come to the driver.
+so learns the count within a factor of 2. No pair is left out, those seen once have a level too. Each range has its
+own part of the filter, so the filter grows with the pairs while a part does not: a larger corpus has more ranges.
 
     p(w | h) = KEEP q(h, w) / c(h) + (1 - KEEP s(h) / c(h)) (c(w) + 1) / (N + V + 1)
 
 with q the count that the probes give (a power of 2, at most the pair's count; false positives are checked against
 the words' exact counts), s(h) the sum of q over h's pairs in the filter. It sums to at most 1.
 
-Exact counts of words are looked up without a broadcast: texts are dealt into blocks, a block asks each range once for
-its distinct words, and the answers meet the block's texts again.
+Words and pairs are looked up without a broadcast, and nothing of the filter comes to the driver: texts are dealt into
+blocks, a block asks each range once for its distinct words and pairs, and the answers meet the block's texts again. Pairs are
+asked for by SLIM bits within their range, as differences; an answer is a byte for each, in the order of the question.
 
 Cases: null and empty texts are one end; rows with a null id are scored and not learnt from; rows with equal ids are
 separate; an empty training set has N = V = 0. Words are told apart by 64-bit hashes. Other columns are ignored.
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from .session import discard, keep, parts_for, pick, prepare, text_bytes, tidy
 from .words import BASE, Texts, U, mix, span_hashes, texts
 
 KEEP, MOST_BITS, BITS_EACH, PROBES, LEVELS = 0.75, 1 << 28, 8, 5, 40
+#: Bits by which a pair is known within its range; a range has a bounded number of pairs.
+SLIM = 40
 #: Tokens counted together before they are sent; bytes of text for each range and block.
 PACKET, RANGE_BYTES, BLOCK_BYTES = 1 << 20, 24 << 20, 6 << 20
 END = U(0x2545F4914F6CDD1D)
@@ -60,6 +63,25 @@ def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (mix(first * U(BASE) + second) & U(0xFFFFFFFF00000000)) | (first & U(0xFFFFFFFF))
 
 
+def ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """The range of each pair."""
+    return keys >> U(64 - (n.bit_length() - 1)) if n > 1 else np.zeros(len(keys), U)
+
+
+def slim(keys: np.ndarray) -> np.ndarray:
+    """The bits of each pair that its range's filter knows."""
+    return mix(keys) >> U(64 - SLIM)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Ascending numbers of SLIM bits."""
+    return pa.compress(planes(np.diff(x, prepend=U(0)))[: SLIM // 8 * len(x)], "zstd", asbytes=True)
+
+
+def unpacked(raw: pa.Buffer, n: int) -> np.ndarray:
+    return np.cumsum(unplanes(pa.decompress(raw, SLIM // 8 * n, "zstd", asbytes=True) + bytes((8 - SLIM // 8) * n), U), dtype=U)
+
+
 def planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
@@ -81,7 +103,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _ranged(kind: int, keys: np.ndarray, counts: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
     """Rows of GRAMS, by range: of words by the low bits, of pairs by the high ones."""
-    where = (keys & U(n - 1)) if kind == 0 else (keys >> U(64 - (n.bit_length() - 1)) if n > 1 else np.zeros(len(keys), U))
+    where = (keys & U(n - 1)) if kind == 0 else ranges(keys, n)
     order = np.argsort(where, kind="stable")
     cuts = np.searchsorted(where[order], np.arange(n + 1, dtype=U))
     for r in range(n):
@@ -121,13 +143,11 @@ def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         keys += [unplanes(x.as_buffer(), U) for x in batch.column("keys")]
         counts += [unplanes(x.as_buffer(), np.int64) for x in batch.column("counts")]
     keys, counts = summed(np.concatenate(keys), np.concatenate(counts))
-    if kind == 1:  # pairs seen once are never in the filter
-        keys, counts = keys[counts > 1], counts[counts > 1]
     yield pa.record_batch([[kind], [r], [planes(keys)], [planes(counts)]], schema=GRAMS)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(counts).astype(np.int64), LEVELS)
+    return np.minimum(np.log2(counts).astype(np.int64) + 1, LEVELS)
 
 
 def mixed(keys: np.ndarray, q: int, probe: int) -> np.ndarray:
@@ -140,30 +160,30 @@ class Filter:
 
     def __init__(self, bits: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
         self.bits, self.first, self.size = bits, first, size
-        self.shift = 64 - (len(first).bit_length() - 1)
 
-    def counts(self, keys: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """For each pair the power of 2 that the probes give, 0 if absent; never above ``most``."""
-        out = np.zeros(len(keys), np.int64)
-        part = (keys >> U(self.shift)).astype(np.int64) if len(self.first) > 1 else np.zeros(len(keys), np.int64)
-        alive = np.flatnonzero((most >= 2) & (self.size[part] > 0))
+    def levels(self, known: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """For each pair (its slim bits and part) the level that the probes give, 0 if absent."""
+        out = np.zeros(len(known), np.uint8)
+        alive = np.flatnonzero(self.size[part] > 0)
         for q in range(1, LEVELS + 1):
-            alive = alive[most[alive] >= 1 << q]
             for probe in range(PROBES):
                 if not len(alive):
                     return out
                 p = part[alive]
-                spot = self.first[p] + mixed(keys[alive], q, probe) % self.size[p]
+                spot = self.first[p] + mixed(known[alive], q, probe) % self.size[p]
                 alive = alive[(self.bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1]
-            out[alive] = 1 << q
+            out[alive] = q
         return out
 
+    def counts(self, keys: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """For each pair the power of 2 that the probes give, 0 if absent; never above ``most``."""
+        return bounded(self.levels(slim(keys), ranges(keys, len(self.first)).astype(np.int64)), most)
+
 
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column("counts"):
-            n = np.bincount(level(unplanes(raw.as_buffer(), np.int64)), minlength=LEVELS + 1)
-            yield pa.record_batch([pa.array(np.arange(LEVELS + 1)), pa.array(n.astype(np.int64))], names=["level", "n"])
+def bounded(levels: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The levels' powers of 2, but never above ``most``: the power is then that of the probes that ``most`` leaves."""
+    top = np.minimum(levels, np.where(most > 0, level(np.maximum(most, 1)), 0)).astype(np.int64)
+    return np.where(top > 0, np.int64(1) << np.maximum(top - 1, 0), 0)
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,52 +193,60 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([[len(c)], [int(c.sum())]], names=["types", "tokens"])
 
 
-def _build(least: int):
+PARTS = pa.schema([*GRAMS, ("bits", pa.binary())])
+PARTS_DDL = GRAMS_DDL + ", bits binary"
+
+
+def _build(n: int):
+    """The filter's part of each range (kind 1), and for each first word (32 bits of it) the sum of its pairs' powers of 2, by range of words (kind 2)."""
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, raw, count in zip(*(batch.column(c) for c in ("range", "keys", "counts")), strict=True):
                 keys, levels = unplanes(raw.as_buffer(), U), level(unplanes(count.as_buffer(), np.int64))
-                keys, levels = keys[levels >= least], levels[levels >= least]
                 size = max(8, -(-int(levels.sum()) * BITS_EACH // 8) * 8)
                 bits = np.zeros(size // 8, np.uint8)
+                known = slim(keys)
                 for q in range(1, int(levels.max(initial=0)) + 1):
-                    own = keys[levels >= q]
+                    own = known[levels >= q]
                     for probe in range(PROBES):
                         spot = mixed(own, q, probe) % size
                         np.bitwise_or.at(bits, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
-                yield pa.record_batch([[r.as_py()], [bits.tobytes()]], schema=pa.schema([("range", pa.int32()), ("bits", pa.binary())]))
+                yield pa.record_batch([[1], [r.as_py()], [b""], [b""], [bits.tobytes()]], schema=PARTS)
+                for made in _ranged(0, *summed(keys & U(0xFFFFFFFF), np.int64(1) << (levels - 1)), n):
+                    yield pa.record_batch([[2], made.column("range"), made.column("keys"), made.column("counts"), pa.nulls(1, pa.binary())], schema=PARTS)
 
     return build
 
 
-def _kept(least: int, n: int):
-    """For each first word (32 bits of it), the sum of its pairs' powers of 2 in the filter, by range of words (kind 2)."""
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw, count in zip(batch.column("keys"), batch.column("counts"), strict=True):
-                keys, levels = unplanes(raw.as_buffer(), U) & U(0xFFFFFFFF), level(unplanes(count.as_buffer(), np.int64))
-                keys, levels = keys[levels >= least], levels[levels >= least]
-                for made in _ranged(0, *summed(keys, np.int64(1) << levels), n):
-                    yield pa.record_batch([[2], made.column("range"), made.column("keys"), made.column("counts")], schema=GRAMS)
-
-    return kept
+ASK = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary())])
+ASK_DDL = "kind int, range int, block int, n int, keys binary"
+TELL = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("kept", pa.binary())])
+TELL_DDL = ASK_DDL + ", counts binary, kept binary"
 
 
-ASK = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("keys", pa.binary())])
-TELL = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("kept", pa.binary())])
+def slots(keys: np.ndarray, n: int) -> np.ndarray:
+    """Ranges and slim bits of pairs, in one number."""
+    return (ranges(keys, n) << U(SLIM)) | slim(keys)
 
 
 def _ask(n: int):
     def ask(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, block = [], key[0].as_py()
+        words, pairs, block = [], [], key[0].as_py()
         for chunk in texts(b.select(["doc_id", "text"]) for b in batches):
-            found.append(np.unique(tokens(chunk)[0]))
-            if len(found) > 8:
-                found = [np.unique(np.concatenate(found))]
-        keys = np.unique(np.concatenate(found))
+            h, at = tokens(chunk)
+            words.append(np.unique(h))
+            pairs.append(np.unique(slots(pair(before(h, at), h), n)))
+            for held in (words, pairs):
+                if len(held) > 8:
+                    held[:] = [np.unique(np.concatenate(held))]
+        keys, asked = np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
         for made in _ranged(0, keys, np.zeros(len(keys), np.int64), n):
-            yield pa.record_batch([made.column("range"), pa.array([block], pa.int32()), made.column("keys")], schema=ASK)
+            yield pa.record_batch([pa.array([0], pa.int32()), made.column("range"), pa.array([block], pa.int32()), pa.array([0], pa.int32()), made.column("keys")], schema=ASK)
+        cuts = np.searchsorted(asked, np.arange(n + 1, dtype=U) << U(SLIM))
+        for r in np.flatnonzero(np.diff(cuts)).tolist():
+            own = asked[cuts[r] : cuts[r + 1]] & U((1 << SLIM) - 1)
+            yield pa.record_batch([[1], [r], [block], [len(own)], [packed(own)]], schema=ASK)
 
     return ask
 
@@ -231,32 +259,45 @@ def _look(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray
 
 
 def _tell(asked: pa.Table, grams: pa.Table) -> pa.Table:
-    known = {}
-    for kind, raw, count in zip(grams.column("kind").to_pylist(), grams.column("keys"), grams.column("counts"), strict=True):
-        known[kind] = unplanes(raw.as_buffer(), U), unplanes(count.as_buffer(), np.int64)
+    known, part = {}, np.zeros(0, np.uint8)
+    for kind, raw, count, bits in zip(grams.column("kind").to_pylist(), grams.column("keys"), grams.column("counts"), grams.column("bits"), strict=True):
+        if kind == 1:
+            part = np.frombuffer(bits.as_buffer(), np.uint8)
+        else:
+            known[kind] = unplanes(raw.as_buffer(), U), unplanes(count.as_buffer(), np.int64)
+    own = Filter(part, np.zeros(1, np.int64), np.array([8 * len(part)]))
     none = np.zeros(0, U), np.zeros(0, np.int64)
-    counts, kept = [], []
-    for raw in asked.column("keys"):
+    sent, counts, kept = [], [], []
+    for kind, n, raw in zip(asked.column("kind").to_pylist(), asked.column("n").to_pylist(), asked.column("keys"), strict=True):
+        if kind == 1:
+            levels = own.levels(unpacked(raw.as_buffer(), n), np.zeros(n, np.int64))
+            sent.append(b"")
+            counts.append(pa.compress(levels.tobytes(), "zstd", asbytes=True))
+            kept.append(b"")
+            continue
         keys = unplanes(raw.as_buffer(), U)
         c = _look(keys, *known.get(0, none))
+        sent.append(raw.as_py())
         counts.append(planes(c))
         kept.append(planes(np.minimum(_look(keys & U(0xFFFFFFFF), *known.get(2, none)), c)))
-    return pa.table([asked.column("block"), asked.column("keys"), pa.array(counts, pa.binary()), pa.array(kept, pa.binary())], schema=TELL)
+    return pa.table([*(asked.column(c) for c in ("kind", "range", "block", "n")), pa.array(sent, pa.binary()), pa.array(counts, pa.binary()), pa.array(kept, pa.binary())], schema=TELL)
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(held, n_tokens: int, n_types: int):
+def _score(n_tokens: int, n_types: int, n: int):
     def score(told: pa.Table, docs: pa.Table) -> pa.Table:
-        own = Filter(*held.value)
-        join = lambda column, kind: np.concatenate([unplanes(x.as_buffer(), kind) for x in told.column(column)])
+        of_kind = [told.filter(pc.equal(told.column("kind"), kind)).sort_by("range") for kind in (0, 1)]
+        join = lambda column, kind: np.concatenate([unplanes(x.as_buffer(), kind) for x in of_kind[0].column(column)])
         keys = join("keys", U)
         order = np.argsort(keys)
         keys, counts, kept = keys[order], join("counts", np.int64)[order], join("kept", np.int64)[order]
+        levels = np.concatenate([np.frombuffer(pa.decompress(x.as_buffer(), size, "zstd", asbytes=True), np.uint8) for x, size in zip(of_kind[1].column("counts"), of_kind[1].column("n").to_pylist(), strict=True)])
+        chunks = [(chunk.ids, chunk.valid, *tokens(chunk)) for chunk in texts(docs.select(["doc_id", "text"]).to_batches())]
+        asked = np.unique(np.concatenate([np.unique(slots(pair(before(h, at), h), n)) for _, _, h, at in chunks]))
         out = []
-        for chunk in texts(docs.select(["doc_id", "text"]).to_batches()):
-            h, at = tokens(chunk)
+        for ids, valid, h, at in chunks:
             place = np.searchsorted(keys, h)
             first = before(h, at)
             c, last = counts[place], np.empty(len(h), np.int64)
@@ -264,47 +305,42 @@ def _score(held, n_tokens: int, n_types: int):
             last[at[:-1]] = np.searchsorted(keys, END)
             c_first, s_first = counts[last], kept[last]
             p = (c + 1) / (n_tokens + n_types + 1)
-            q = own.counts(pair(first, h), np.minimum(np.minimum(c_first, c), s_first))
+            q = bounded(levels[np.searchsorted(asked, slots(pair(first, h), n))], np.minimum(np.minimum(c_first, c), s_first))
             seen = np.maximum(c_first, 1)
             model = np.where(c_first > 0, KEEP * q / seen + (1 - KEEP * s_first / seen) * p, p)
             total = lambda x: np.add.reduceat(x, at[:-1])
-            out.append(pa.record_batch([pa.array(chunk.ids, mask=~chunk.valid), pa.array(np.diff(at)), pa.array(total((c > 0).astype(np.int64))), pa.array(total(np.log10(p))), pa.array(total(np.log10(model)))], schema=SCORED))
+            out.append(pa.record_batch([pa.array(ids, mask=~valid), pa.array(np.diff(at)), pa.array(total((c > 0).astype(np.int64))), pa.array(total(np.log10(p))), pa.array(total(np.log10(model)))], schema=SCORED))
         return pa.Table.from_batches(out, SCORED)
 
     return score
 
 
 def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
-    """For each row: doc_id, n_tokens, n_known, train_tokens, base_score, score. ``learn``: which rows (by doc_id) are learnt from."""
+    """For each row: doc_id, n_tokens, n_known, train_tokens, base_score, score. ``learn``: which rows (by doc_id) are learnt from.
+
+    ``most_bits``: about the most bits of one range's part of the filter; smaller parts make more of them and lose nothing.
+    """
     prepare(docs.sparkSession)
     spark = docs.sparkSession
     docs = pick(docs, doc_id=id_col, text=text_col)
     size = text_bytes(docs)
     n = 1
-    while n * RANGE_BYTES < size:
+    while n * RANGE_BYTES < size or n * most_bits < BITS_EACH * size / 6:  # a token has about six bytes and adds one level at most
         n *= 2
     packets = docs.filter(learn).mapInArrow(_count(n), GRAMS_DDL)
     grams = keep(packets.groupBy("kind", "range").applyInArrow(_merge, GRAMS_DDL))
     tidy(spark)
     pairs = grams.filter("kind = 1")
     sizes = grams.filter("kind = 0").mapInArrow(_totals, "types long, tokens long").agg(F.coalesce(F.sum("types"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()
-    of_level = {r["level"]: r["n"] for r in pairs.mapInArrow(_levels, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    least = 1
-    while BITS_EACH * sum(q * k for q, k in of_level.items() if q >= least) > most_bits:
-        least += 1
-    parts = {r: np.frombuffer(b, np.uint8) for r, b in pairs.mapInArrow(_build(least), "range int, bits binary").toLocalIterator()}
-    lengths = np.array([len(parts.get(r, ())) for r in range(n)], np.int64)
-    bits = np.concatenate([parts.get(r, np.zeros(0, np.uint8)) for r in range(n)])
-    held = spark.sparkContext.broadcast((bits, 8 * (np.cumsum(lengths) - lengths), 8 * lengths))
-    del parts, bits
-
-    kept = pairs.mapInArrow(_kept(least, n), GRAMS_DDL).groupBy("kind", "range").applyInArrow(_merge, GRAMS_DDL)
-    known = keep(grams.filter("kind = 0").unionByName(kept))
-    discard(grams)
+    built = keep(pairs.mapInArrow(_build(n), PARTS_DDL))
+    kept = built.filter("kind = 2").drop("bits").groupBy("kind", "range").applyInArrow(_merge, GRAMS_DDL)
+    bare = grams.filter("kind = 0").unionByName(kept).withColumn("bits", F.lit(None).cast("binary"))
+    known = keep(bare.unionByName(built.filter("kind = 1")))
+    discard(grams, built)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts_for(size, BLOCK_BYTES))).cast("int"))
-    asked = dealt.groupBy("block").applyInArrow(_ask(n), "range int, block int, keys binary")
-    told = asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_tell, "block int, keys binary, counts binary, kept binary")
+    asked = dealt.groupBy("block").applyInArrow(_ask(n), ASK_DDL)
+    told = asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_tell, TELL_DDL)
     told = keep(told)
     discard(known)
-    out = told.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_score(held, sizes["n"], sizes["v"]), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = told.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_score(sizes["n"], sizes["v"], n), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(sizes["n"]).cast("bigint").alias("train_tokens"), "base_score", "score")

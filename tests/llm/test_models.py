@@ -101,6 +101,31 @@ def test_language_model(frame):
     assert all(math.isfinite(r["score"]) for r in bounded)
 
 
+def test_no_pair_is_left_out_of_the_model(frame):
+    said = [" ".join(f"w{(i * 37 + k * (i + 1)) % 97}" for k in range(40)) for i in range(60)]
+    counts, pairs = collections.Counter(), collections.Counter()
+    words = {i: t.encode().split() + [None] for i, t in enumerate(said)}
+    for i, ws in words.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(ws)
+            pairs.update(zip([None, *ws[:-1]], ws, strict=True))
+    n, v, power = sum(counts.values()), len(counts), {p: 2 ** int(math.log2(c)) for p, c in pairs.items()}
+    own = collections.Counter()
+    for (h, _), q in power.items():
+        own[h] += q
+    assert sum(c == 1 for c in pairs.values()) > 0.2 * len(pairs)
+    for options in ({}, {"most_bits": 4096}):
+        over, tokens = 0, 0
+        for r in lm_rows(frame(said), 60, **options):
+            if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2:
+                continue  # a pair that isn't in the model may be a false positive; one that is has its level at least
+            ws = words[r["doc_id"]]
+            p = [lm_score.KEEP * power[h, w] / counts[h] + (1 - lm_score.KEEP * own[h] / counts[h]) * (counts[w] + 1) / (n + v + 1) for h, w in zip([None, *ws[:-1]], ws, strict=True)]
+            assert r["score"] - sum(map(math.log10, p)) > -1e-9
+            over, tokens = over + r["score"] - sum(map(math.log10, p)), tokens + len(ws)
+        assert over < 0.02 * tokens
+
+
 def test_language_model_of_nothing(frame):
     assert lm_score.scores(frame([]), fold("doc_id", 7) != 2).collect() == []
     (row,) = lm_rows(frame(["a b"], ids=[None]), 1)

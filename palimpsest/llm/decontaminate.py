@@ -1,13 +1,11 @@
 """Benchmark decontamination: passages of texts within a word edit distance of a benchmark item.
 
 Words are runs of letters and digits, lower-cased. An item of L words matches where some window of a text is within
-floor(RATIO * L) edits of it. Windows begin at every word. A CGK walk reads the word it is at and then
-stays or moves on by a random bit of that word and the step: two strings an edit apart soon walk in
-step again, so edit distance becomes Hamming distance of what the walks read. Of each walk a few steps are
-sampled; equal samples make a candidate (bit-sampling LSH), and WALKS independent walks bring the
-recall to its target. As a walk from a window's first word never looks at its end, windows of all items' sizes
-share it; items of like length form a class with its own steps. Before walking, a window must hold as many of
-the class's words as the edit bound leaves, which loses nothing. Candidates are verified by exact edit distance.
+floor(RATIO * L) edits of it. Windows begin at every word. An item with a bound of e edits is cut into e + 1 pieces
+of equally many words; e edits leave one of them whole, so every window within the bound has a piece where it
+should stand, give or take e words, and no match is lost. Texts are probed for the pieces by hashes of runs of words. Hits of
+an item whose windows overlap are one candidate, verified by exact edit distance; it must first hold as many of the item's words
+as the bound leaves, which loses nothing.
 
 Items are the stated query set: in blocks of at most ITEMS they go to all tasks, one pass over the texts for each
 block. Texts are not shuffled.
@@ -27,77 +25,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import parts_for, pick, prepare
-from .words import Texts, U, mix, span_hashes, texts
+from .words import Texts, U, runs, span_hashes, texts
 
-RATIO, WALKS, SAMPLES, ITEMS = 0.15, 6, 3, 20_000
-#: Classes hold items whose lengths differ by less than this factor.
-SPREAD = 1.4
-VOCABULARY_BITS = 20
+RATIO, ITEMS = 0.15, 20_000
+TABLE_BITS = 20
+#: Hits expanded together, of one text or more.
+HITS = 1 << 20
 
 
-class Class(NamedTuple):
-    """Items of like length. ``keys``: for each walk, sorted keys and the items' places in that order."""
+class Pieces(NamedTuple):
+    """Pieces of one size: sorted keys, whose they are and where they stand in them; by their first bits, whether there is a key."""
 
-    least: int
-    edits: int
-    steps: int
-    samples: list[np.ndarray]
-    keys: list[tuple[np.ndarray, np.ndarray]]
+    keys: np.ndarray
+    items: np.ndarray
+    offsets: np.ndarray
+    table: np.ndarray
 
 
 class Items(NamedTuple):
     words: list[np.ndarray]
-    classes: list[Class]
-    vocabulary: np.ndarray
+    pieces: dict[int, Pieces]
     ratio: float
 
 
-def walk(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int, seed: int, sampled: np.ndarray) -> np.ndarray:
-    """Keys of the walks that begin at ``starts`` and read nothing from ``ends`` on."""
-    at, key = starts.copy(), np.zeros(len(starts), U)
-    odd, wanted = U((0x9E3779B97F4A7C15 * (2 * seed + 1)) & (2**64 - 1) | 1), set(sampled.tolist())
-    top = len(words) - 1
-    for j in range(steps):
-        inside = at < ends
-        w = np.where(inside, words[np.minimum(at, top)], U(0))
-        if j in wanted:
-            key = mix(key + w)
-        at += ((w * odd >> U(63 - j % 48)) & U(1)).astype(np.int64)
-    return key
-
-
-def prepare_items(words: list[np.ndarray], ratio: float = RATIO, walks: int = WALKS, samples: int = SAMPLES) -> Items:
-    """Classes of the items, their walks' keys, and for each word (by its first bits) the classes that have it."""
-    lengths = np.array([len(w) for w in words])
-    classes, vocabulary = [], np.zeros(1 << VOCABULARY_BITS, np.uint32)
-    rng = np.random.default_rng(5)
-    rest = np.unique(lengths[lengths > 0])
-    while len(rest):
-        least = int(rest[0])
-        inside = rest[(rest < least * SPREAD) | (rest == least)] if ratio * least >= 1 else rest[:1]
-        rest = rest[len(inside) :]
-        most = int(inside[-1])
-        edits = int(ratio * most)
-        chosen = np.flatnonzero((lengths >= least) & (lengths <= most))
-        steps = max(2, int(1.7 * least)) if edits else 2 * least
-        sampled = [np.sort(rng.choice(steps, min(samples, steps), replace=False)) if edits else np.arange(steps) for _ in range(walks if edits else 1)]
-        flat = np.concatenate([words[i] for i in chosen])
-        stop = np.cumsum(lengths[chosen])
-        keys = []
-        for seed, own in enumerate(sampled):
-            k = walk(flat, stop - lengths[chosen], stop, steps, seed, own)
-            order = np.argsort(k)
-            keys.append((k[order], chosen[order]))
-        if len(classes) < 31:
-            bit = len(classes)
-            for w in words_of(words, chosen):
-                vocabulary[w] |= np.uint32(1 << bit)
-        classes.append(Class(least, edits, steps, sampled, keys))
-    return Items(words, classes, vocabulary, ratio)
-
-
-def words_of(words: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
-    return np.unique(np.concatenate([words[i] for i in chosen]) >> U(64 - VOCABULARY_BITS)).astype(np.int64)
+def prepare_items(words: list[np.ndarray], ratio: float = RATIO) -> Items:
+    """The items' pieces by size."""
+    made: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for i, item in enumerate(words):
+        if len(item):
+            edits = int(ratio * len(item))
+            size = len(item) // (edits + 1)
+            offsets = np.arange(edits + 1) * size
+            made.setdefault(size, []).append((runs(item, size)[offsets], np.full(edits + 1, i), offsets))
+    pieces = {}
+    for size, held in sorted(made.items()):
+        keys, owners, offsets = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(keys, kind="stable")
+        table = np.zeros(1 << TABLE_BITS, bool)
+        table[(keys >> U(64 - TABLE_BITS)).astype(np.int64)] = True
+        pieces[size] = Pieces(keys[order], owners[order], offsets[order], table)
+    return Items(words, pieces, ratio)
 
 
 def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -119,46 +86,64 @@ def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(origin[end]), end
 
 
+def candidates(chunk_words: np.ndarray, at: np.ndarray, items: Items) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, item, words where the item would begin): those of a text and item whose windows overlap."""
+    text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    end_of = at[1:][text_of]
+    found, total = [], np.zeros(len(at) - 1, np.int64)
+    for size, own in items.pieces.items():
+        h = runs(chunk_words, size)
+        spots = np.flatnonzero(own.table[(h >> U(64 - TABLE_BITS)).astype(np.int64)])
+        spots = spots[spots + size <= end_of[spots]]
+        first = np.searchsorted(own.keys, h[spots])
+        n = np.searchsorted(own.keys, h[spots], side="right") - first
+        spots, first, n = spots[n > 0], first[n > 0], n[n > 0]
+        found.append((own, spots, first, n))
+        total += np.bincount(text_of[spots], n, len(total)).astype(np.int64)
+    lengths = np.array([len(w) for w in items.words])
+    group = np.cumsum(total) // HITS
+    for g in np.unique(group[total > 0]).tolist():
+        hits = []
+        for own, spots, first, n in found:
+            inside = group[text_of[spots]] == g
+            place, begin, count = spots[inside], first[inside], n[inside]
+            which = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+            place = np.repeat(place, count)
+            hits.append((text_of[place], own.items[which], place - own.offsets[which]))
+        text, item, start = (np.concatenate(x) for x in zip(*hits, strict=True))
+        order = np.lexsort((start, item, text))
+        text, item, start = text[order], item[order], start[order]
+        reach = lengths[item] + 2 * (items.ratio * lengths[item]).astype(np.int64)
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(start) > reach[1:])
+        cuts = [*np.flatnonzero(new).tolist(), len(text)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(text[a]), int(item[a]), np.unique(start[a:b])
+
+
 def find(chunk_words: np.ndarray, at: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, first word, words, distance) of matches in a chunk."""
     if not len(chunk_words):
         return
-    marks = items.vocabulary[(chunk_words >> U(64 - VOCABULARY_BITS)).astype(np.int64)]
-    text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    end_of = at[1:][text_of]
     seen: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for c, own in enumerate(items.classes):
-        known = ((marks >> np.uint32(c)) & np.uint32(1)).astype(np.int64) if c < 31 else np.ones(len(marks), np.int64)
-        total = np.concatenate([[0], np.cumsum(known)])
-        n = len(known)
-        upto = np.minimum(np.arange(n) + own.least, n)
-        starts = np.flatnonzero((total[upto] - total[:-1] >= own.least - own.edits) & (end_of - np.arange(n) >= own.least - own.edits))
-        tried: set[tuple[int, int]] = set()
-        for seed, (sampled, (keys, places)) in enumerate(zip(own.samples, own.keys, strict=True)):
-            got = walk(chunk_words, starts, end_of[starts], own.steps, seed, sampled)
-            first, last = np.searchsorted(keys, got), np.searchsorted(keys, got, side="right")
-            for hit in np.flatnonzero(first < last).tolist():
-                for place in places[first[hit] : last[hit]].tolist():
-                    start = int(starts[hit])
-                    if (start, place) in tried:
-                        continue
-                    tried.add((start, place))
-                    item, text = items.words[place], int(text_of[start])
-                    bound = int(items.ratio * len(item))
-                    best = seen.get((text, place))
-                    if best is not None and best[0] == 0 and best[1] + int(at[text]) <= start:
-                        continue  # an earlier window is the item itself
-                    lo, hi = max(int(at[text]), start - bound), min(int(at[text + 1]), start + len(item) + 2 * bound)
-                    if np.array_equal(chunk_words[start : min(hi, start + len(item))], item):
-                        d, a, b = 0, start - lo, start - lo + len(item)
-                    elif np.isin(item, chunk_words[lo:hi]).sum() < len(item) - bound:
-                        continue  # each missing word is an edit
-                    else:
-                        d, a, b = nearest(item, chunk_words[lo:hi])
-                    if d <= bound:
-                        match = (d, lo + a - int(at[text]), b - a)
-                        if (text, place) not in seen or match < seen[text, place]:
-                            seen[text, place] = match
+    for text, place, starts in candidates(chunk_words, at, items):
+        item, low, high = items.words[place], int(at[text]), int(at[text + 1])
+        bound = int(items.ratio * len(item))
+        best = seen.get((text, place))
+        if best is not None and best[0] == 0:
+            continue  # an earlier window is the item itself
+        lo, hi = max(low, int(starts[0]) - bound), min(high, int(starts[-1]) + len(item) + bound)
+        same = next((x for x in starts.tolist() if low <= x <= high - len(item) and np.array_equal(chunk_words[x : x + len(item)], item)), None)
+        if same is not None:
+            d, a, b = 0, same - lo, same - lo + len(item)
+        elif np.isin(item, chunk_words[lo:hi]).sum() < len(item) - bound:
+            continue  # each missing word is an edit
+        else:
+            d, a, b = nearest(item, chunk_words[lo:hi])
+        if d <= bound:
+            match = (d, lo + a - low, b - a)
+            if best is None or match < best:
+                seen[text, place] = match
     for (text, place), (d, a, n) in sorted(seen.items()):
         yield text, place, a, n, d
 

@@ -74,6 +74,23 @@ def test_leaks_reach_their_recall_and_nothing_else_matches(spark, frame):
         assert distance(items[i], words) == d <= D.RATIO * len(items[i]) and planted[k][0] == i
 
 
+def test_leaks_at_the_whole_bound_are_found_at_any_length(spark, frame):
+    rng = random.Random(8)
+    sizes = [7, 14, 20, 30, 50, 59, 80, 120, 200, 400]
+    items = [prose(n, 3000 + n) for n in sizes]
+    texts = []
+    for k in range(200):
+        item, copy = items[k % len(items)], []
+        where = set(rng.sample(range(len(item)), int(D.RATIO * len(item))))
+        for j, w in enumerate(item):
+            copy += {0: ["changed"], 1: [], 2: [w, "added"], 3: [w]}[rng.randint(0, 2) if j in where else 3]
+        at = rng.randint(0, 60)
+        texts.append(" ".join(prose(60, k)[:at] + copy + prose(60, k)[at:]))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in D.contaminated(frame(texts), bench).collect()}
+    assert got == {(k, k % len(items)): distance(items[k % len(items)], t.split()) for k, t in enumerate(texts)}
+
+
 def test_leaks_of_short_items_and_empty_tables(spark, frame):
     bench = spark.createDataFrame([(1, "Two words."), (2, "two words"), (3, "x")], "item_id long, text string")
     got = D.contaminated(frame(["see two WORDS, here", "two other words", "two"], ids=[7, 8, None]), bench).collect()

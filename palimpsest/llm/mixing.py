@@ -13,7 +13,7 @@ Targets: sources in code point order, null last, weigh ``weights`` in turn and s
 target stops at ``most`` times its source's words, the excess going to the others by weight.
 
 Cases: a null or empty text has size 0 and takes nothing; rows with equal ids are separate; null ids stay; an empty
-table gives an empty result. Other columns are kept by mixed() and ignored by rates().
+table gives an empty result. Other columns are kept by mixed(), where rows that differ in any of them are separate, and ignored by rates().
 """
 
 from __future__ import annotations
@@ -79,14 +79,15 @@ def _diffuse(most: int):
     return diffuse
 
 
-def rates(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """For each row: doc_id, h (a hash of the row), source, size, source_size, target, copies (0 to ``most``), taken."""
+def rates(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """For each row: doc_id, h (a hash of the row), source, size, source_size, target, copies (0 to ``most``), taken; ``row_col`` is kept, as row."""
     prepare(docs.sparkSession)
-    docs = pick(docs, doc_id=id_col, text=text_col, source=source_col)
-    sized = keep(docs.select("doc_id", F.xxhash64("doc_id", "text", "source").alias("h"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")))
+    row = {"row": row_col} if row_col else {}
+    docs = pick(docs, doc_id=id_col, text=text_col, source=source_col, **row)
+    sized = keep(docs.select("doc_id", F.xxhash64("doc_id", "text", "source").alias("h"), *row, "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     named = keep(targets(sizes, weights, share, most))
-    placed = keep(sized.join(named.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "h", "k", "size"))
+    placed = keep(sized.join(named.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "h", *row, "k", "size"))
     counts = keep(placed.filter("size > 0").groupBy("k", "size").agg(F.count(F.lit(1)).alias("n")))
     solved = counts.join(solve(counts, named, most), "k")
     rate = F.when(F.col("target") <= 0, 0.0).otherwise(most / (1 + F.exp(-F.col("l") * F.col("size") / F.col("unit"))))
@@ -94,18 +95,21 @@ def rates(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     # A row's place among those of its source and size: by parts of about TOGETHER rows, then within them.
     salted = placed.join(whole, ["k", "size"]).withColumn("salt", F.pmod(F.col("h"), F.expr(f"n div {TOGETHER} + 1")))
     first = salted.groupBy("k", "size", "salt").agg(F.count(F.lit(1)).alias("m")).withColumn("first", F.coalesce(F.sum("m").over(Window.partitionBy("k", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("k", "size", "salt").orderBy("h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("k", "size", "salt").orderBy("h", "doc_id", *row))
     place = salted.withColumn("rank", rank).join(first.drop("m"), ["k", "size", "salt"]).withColumn("place", F.col("first") + F.col("rank"))
-    got = place.select("doc_id", "h", "k", "size", F.expr("(copies * place) div n - (copies * (place - 1)) div n").alias("copies"))
-    none = placed.filter("size = 0").select("doc_id", "h", "k", "size", F.lit(0).cast("bigint").alias("copies"))
-    return got.unionByName(none).join(named, "k").select("doc_id", "h", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    got = place.select("doc_id", "h", *row, "k", "size", F.expr("(copies * place) div n - (copies * (place - 1)) div n").alias("copies"))
+    none = placed.filter("size = 0").select("doc_id", "h", *row, "k", "size", F.lit(0).cast("bigint").alias("copies"))
+    return got.unionByName(none).join(named, "k").select("doc_id", "h", *row, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix: rows of ``docs`` with all their columns, each as often as its copies say."""
-    copies = rates(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    copies = copies.filter("copies > 0").groupBy(F.col("doc_id").alias("id_"), F.col("h").alias("h_")).agg(F.sum("copies").cast("int").alias("copies_"))
-    h = F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col), F.col(source_col))
-    rows = docs.withColumn("h_", h).withColumn("id_", F.col(id_col).cast("bigint")).dropDuplicates(["id_", "h_"])
+    # Hashes pass over nulls, so which columns are null is hashed too; maps can't be hashed but as text.
+    value = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    row = F.xxhash64(*[value(f) for f in docs.schema], F.array(*[F.col(f"`{c}`").isNull() for c in docs.columns]))
+    named = docs.withColumn("h_", row)
+    copies = rates(named, id_col=id_col, text_col=text_col, source_col=source_col, row_col="h_", **options)
+    copies = copies.filter("copies > 0").groupBy(F.col("doc_id").alias("id_"), F.col("row").alias("h_")).agg(F.sum("copies").cast("int").alias("copies_"))
+    rows = named.withColumn("id_", F.col(id_col).cast("bigint")).dropDuplicates(["id_", "h_"])
     joined = rows.alias("r").join(copies.alias("c"), F.col("r.id_").eqNullSafe(F.col("c.id_")) & (F.col("r.h_") == F.col("c.h_")))
     return joined.withColumn("copy_", F.explode(F.array_repeat(F.lit(0), F.col("copies_")))).select(*[F.col(f"r.`{c}`") for c in docs.columns])

@@ -96,6 +96,16 @@ def test_mixed_rows_keep_their_columns(frame):
     assert found == {i: c for i, c in copies.items() if c}
 
 
+def test_rows_that_differ_in_other_columns_keep_their_own_copies(frame):
+    docs = frame(["a b"] * 10, ids=[1] * 10)
+    langs = [f"l{i}" if i else None for i in range(10)]
+    rows = [(*list(r)[:2], lang, *list(r)[3:]) for r, lang in zip(docs.collect(), langs, strict=True)]
+    found = {}
+    for r in mixing.mixed(docs.sparkSession.createDataFrame(rows, docs.schema)).collect():
+        found[r["lang"]] = found.get(r["lang"], 0) + 1
+    assert set(found) == set(langs) and sum(found.values()) == 15 and max(found.values()) == 2
+
+
 def test_mix_of_nothing_and_of_equal_rows(frame):
     assert mixing.rates(frame([])).collect() == [] and mixing.mixed(frame([])).collect() == []
     rows = mixing.rates(frame(["", None])).collect()

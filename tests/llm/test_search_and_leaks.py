@@ -30,10 +30,28 @@ def test_top_k_equals_brute_force(spark):
 
 def test_top_k_with_few_rows_repeats_and_none(spark):
     one = spark.createDataFrame([(0, [1.0], 0), (0, [1.0], 0), (1, [2.0], 0)], VECTORS)
-    assert [list(r) for r in K.top_k(one, F.col("vec_id") % 50 == 0).collect()] == [[0, 1, 1, 256 * 512]]
+    # The query's own row is left out once; its repeat is a candidate like any other row.
+    got = [list(r) for r in K.top_k(one, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert got == [[0, 1, 1, 256 * 512], [0, 2, 0, 256 * 256]]
     assert K.top_k(one.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_top_k_keeps_repeated_rows_and_large_scores(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-4, 5, size=(40, 12)) * 1.0
+    x[:, :3] *= 3e5  # scores beyond 2**53
+    rows = [(int(i % 23), [float(v) for v in x[i]], 0) for i in range(40)] + [(7, [float(v) for v in x[7]], 0)] * 7
+    q = [(i, [int(256 * v) for v in v]) for i, v, _ in rows]
+    for options in ({}, {"rows": 8, "queries": 1}):
+        got = K.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 5 == 0, **options).collect()
+        for own in range(0, 23, 5):
+            asks = max((v for i, v in q if i == own), key=lambda v: [float(a) for a in v])
+            others = list(q)
+            others.remove((own, asks))
+            scores = sorted((-sum(a * b for a, b in zip(asks, v, strict=True)), i) for i, v in others)[:5]
+            assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == own] == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+
+
 def distance(item, text):
     """Least edit distance of the item to any window."""
     row = [0] * (len(text) + 1)

@@ -122,7 +122,8 @@ class Encoder:
     A text is cut before each single space between other characters: byte-level vocabularies begin a token there in
     any case. Pieces are looked up by a 64-bit hash and their length; unseen ones are encoded together as
     one text, whose ids are dealt back by the tokens' lengths. They are kept, each in the slot its hash names, the first
-    piece of a slot for good, until there are REMEMBERED ids.
+    piece of a slot for good, until there are REMEMBERED ids. A text that holds the string of one of the tokenizer's added tokens is
+    encoded as a whole, since such a token may be anywhere in it.
     """
 
     def __init__(self, path: str, end: int) -> None:
@@ -130,7 +131,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keys, self.known = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.size[i] = len(token)  # a byte-level token has one character for each byte
@@ -141,7 +142,8 @@ class Encoder:
 
     def _encode(self, pieces: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(pieces)
-        inner = [i for i, p in enumerate(pieces) if p[0] == " " and not p[-1].isspace()]
+        together = not any(SPACE[b] for x in self.added for b in x)  # else pieces side by side might make an added token
+        inner = [i for i, p in enumerate(pieces) if together and p[0] == " " and not p[-1].isspace()]
         for at in range(0, len(inner), TOGETHER):
             some = inner[at : at + TOGETHER]
             (ids,) = self._plain(["".join([pieces[i] for i in some])])
@@ -155,6 +157,25 @@ class Encoder:
 
     def __call__(self, chunk: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's ended by the end id; and how many each text has."""
+        raw = chunk.data.tobytes() if self.added else b""
+        if any(x in raw for x in self.added):
+            return self._with_added(chunk, raw)
+        return self._pieces(chunk)
+
+    def _with_added(self, chunk: Texts, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The same where some texts hold an added token's string: these by themselves, the others in runs between them."""
+        edges, out, lo = chunk.offsets.tolist(), [], 0
+        whole = [i for i in range(len(edges) - 1) if any(x in raw[edges[i] : edges[i + 1]] for x in self.added)]
+        for i in [*whole, len(edges) - 1]:
+            if lo < i:
+                out.append(self._pieces(Texts(chunk.ids[lo:i], chunk.valid[lo:i], chunk.data[edges[lo] : edges[i]], chunk.offsets[lo : i + 1] - edges[lo])))
+            if i < len(edges) - 1:
+                ids = np.append(self._plain([raw[edges[i] : edges[i + 1]].decode()])[0], self.pool[:1])
+                out.append((ids, np.array([len(ids)])))
+            lo = i + 1
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _pieces(self, chunk: Texts) -> tuple[np.ndarray, np.ndarray]:
         data, edges = chunk.data, chunk.offsets
         starts = pieces(data, edges)
         ends = np.append(starts[1:], len(data))[: len(starts)]

@@ -28,11 +28,11 @@ def test_ids_and_places_equal_the_tokenizer(spark, frame, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     said = [" ".join(prose(30, i)) for i in range(40)]
-    said += [None, "", " ", "a  b", " lead", "trail \n", "it's <|endoftext|> x", "é  b c", "　x y", "tab\t x", "emoji \U0001f600 y", "a \x1c b", "x" * 30000, "word " * 20000, "x  y  z"]
+    said += [None, "", " ", "a  b", " lead", "trail \n", "it's <|endoftext|> x", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> ", "<|endoftext", "a plain one", "  <|endoftext|>\n" + "long " * 5000, "é  b c", "　x y", "tab\t x", "emoji \U0001f600 y", "a \x1c b", "x" * 30000, "word " * 20000, "x  y  z"]
     ids = [100 - i for i in range(len(said))]
     rows = {r["doc_id"]: r for r in token_files.tokens_round_trip(frame(said, ids), tokenizer_path(), str(tmp_path / "t")).collect()}
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     start = 0
     for i, t in sorted(zip(ids, said, strict=True)):
         own = plain.encode(t or "", add_special_tokens=False).ids + [0]

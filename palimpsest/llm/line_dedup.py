@@ -14,7 +14,7 @@ Only lines that can have a partner send variants: one edit leaves the first or t
 line whole, so first the halves (four keys a line) are joined. A bit table of the lines that share one, of
 FILTER_BITS bits, goes to all tasks, which then read those lines' words, once for variants and verification.
 
-Cases: null and empty texts have no lines; identical rows are one row, kept or dropped alike; null ids come first; an empty
+Cases: null, empty and blank texts have no lines, and their documents no dropped ones; identical rows are kept or dropped alike and each has its row in the result; null ids come first; an empty
 table gives an empty result. Other columns are ignored.
 """
 
@@ -121,13 +121,16 @@ LINE = pa.schema([(c, pa.int64()) for c in ("doc_id", "row", "line", "id", "k0",
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line, id, k0..k3) of all lines with words; row is a hash of the text, k0..k3 are the halves' keys."""
+    """(doc_id, row, line, id, k0..k3) of all lines with words; row is a hash of the text, k0..k3 are the halves' keys. A text without such lines has one row with nulls."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in texts(batches):
             lines = Lines(chunk)
             row = _rows(chunk).view(np.int64)
             yield pa.record_batch([pa.array(chunk.ids[lines.text], mask=~chunk.valid[lines.text]), pa.array(row[lines.text]), pa.array(lines.number), pa.array(lines.id.view(np.int64)), *[pa.array(k.view(np.int64), mask=~there) for k, there in lines.halves()]], schema=LINE)
+            bare = np.setdiff1d(np.arange(len(chunk.ids)), lines.text)
+            if len(bare):
+                yield pa.record_batch([pa.array(chunk.ids[bare], mask=~chunk.valid[bare]), pa.array(row[bare]), *[pa.nulls(len(bare), pa.int64()) for _ in LINE.names[2:]]], schema=LINE)
 
     return docs.mapInArrow(split, ", ".join(f"{c} long" for c in LINE.names))
 
@@ -189,10 +192,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = FILTER_BITS) -> DataFrame:
-    """For each line with words: doc_id, row, line, dropped."""
+    """For each line with words: doc_id, row, line, dropped; a text without such lines has one row with a null line."""
     prepare(docs.sparkSession)
     docs = pick(docs, doc_id=id_col, text=text_col)
-    lines = keep(lines_of(docs))
+    every = keep(lines_of(docs))
+    lines = every.filter("line is not null")
     order = F.struct("doc_id", "row", "line")
     first = keep(lines.groupBy("id").agg(F.min(order).alias("first"), *[F.min(k).alias(k) for k in ("k0", "k1", "k2", "k3")]))
     halves = shared_keys(first.select("id", "k0", "k1", "k2", "k3"), _half_keys, 4 * first.count(), distinct=True, chunks=lambda batches: batches)
@@ -210,11 +214,14 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = keep(checked.mapInArrow(_verify, "id long").withColumn("near", F.lit(True)))
     discard(shared, keys, words, pairs)
     placed = lines.select("doc_id", "row", "line", "id").join(first.select("id", "first"), "id").join(near, "id", "left")
-    return placed.select("doc_id", "row", "line", (F.coalesce("near", F.lit(False)) | (F.col("first") != order)).alias("dropped"))
+    bare = every.filter("line is null").select("doc_id", "row", "line", F.lit(False).alias("dropped"))
+    return placed.select("doc_id", "row", "line", (F.coalesce("near", F.lit(False)) | (F.col("first") != order)).alias("dropped")).unionByName(bare)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = FILTER_BITS) -> DataFrame:
-    """For each document with words, (doc_id, n_lines, n_dropped, dropped): its lines, and which of them (from 0) go."""
+    """For each document, (doc_id, n_lines, n_dropped, dropped): its lines with words, and which of its lines (from 0) go."""
     lines = dropped_lines(docs, id_col, text_col, bits)
     gone = F.array_sort(F.collect_set(F.when(F.col("dropped"), F.col("line"))))
-    return lines.groupBy("doc_id", "row").agg(F.countDistinct("line").alias("n_lines"), gone.alias("dropped")).select("doc_id", "n_lines", F.size("dropped").cast("bigint").alias("n_dropped"), "dropped")
+    found = lines.groupBy("doc_id", "row").agg(F.countDistinct("line").alias("n_lines"), F.count(F.lit(1)).alias("rows"), gone.alias("dropped"))
+    same = F.expr("array_repeat(0, cast(rows div greatest(n_lines, 1) as int))")  # equal rows have the same lines
+    return found.withColumn("copy", F.explode(same)).select("doc_id", "n_lines", F.size("dropped").cast("bigint").alias("n_dropped"), "dropped")

@@ -19,7 +19,7 @@ def lines_brute(texts):
         a, b = sorted((a, b), key=len)
         return any(a == b[:i] + b[i + 1 :] for i in range(len(b)))
 
-    out = {}
+    out = {d: (0, []) for d in range(len(texts))}
     for k, (d, i, w) in enumerate(rows):
         kept = out.setdefault(d, (0, []))
         out[d] = (kept[0] + 1, kept[1] + ([i] if any(near(w, v) for _, _, v in rows[:k]) else []))
@@ -40,7 +40,7 @@ def test_lines_equal_brute_force(frame):
         if k % 5 == 4:
             words[1], words[2] = "both", "new"
         texts.append("\n".join([" ".join(words), " ".join(prose(9, 50 + k)), "short line", ""]))
-    texts += [None, "", "a a b c d e f g h", "a a x c d e f g h", "Short  LINE"]
+    texts += [None, "", " \n\t\n ", "a a b c d e f g h", "a a x c d e f g h", "Short  LINE"]
     got = {r["doc_id"]: (r["n_lines"], r["dropped"]) for r in L.dedup_lines(frame(texts), bits=1 << 16).collect()}
     assert got == lines_brute(texts)
 
@@ -49,6 +49,8 @@ def test_lines_of_an_empty_table_and_of_null_ids(frame):
     assert L.dedup_lines(frame([]), bits=1 << 16).collect() == []
     got = {r["doc_id"]: r["n_dropped"] for r in L.dedup_lines(frame(["one line", "one line"], ids=[None, 3]), bits=1 << 16).collect()}
     assert got == {None: 0, 3: 1}
+    rows = L.dedup_lines(frame(["x y\nz", "x y\nz", "", "", None, "q\nx  Y"], ids=[5, 5, 6, 6, None, 7]), bits=1 << 16).collect()
+    assert sorted((r["doc_id"] or 0, r["n_lines"], r["n_dropped"], r["dropped"]) for r in rows) == [(0, 0, 0, []), (5, 2, 0, []), (5, 2, 0, []), (6, 0, 0, []), (6, 0, 0, []), (7, 2, 1, [1])]
 
 
 def test_edits():

@@ -5,6 +5,8 @@ Regular expressions follow Unicode ``\\s`` and ``\\b`` with Java's ``(?U)``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def _c(x: Text) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, however often ``f`` refers to it, also inside other lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(x: Text) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
@@ -52,8 +59,8 @@ def words(x: Text) -> Column:
 
 
 def truncate(x: Text, n: int) -> Column:
-    """The first n words. The tokenizer is the white space; other tokenizers are columns computed beforehand."""
-    return F.array_join(F.slice(words(x), 1, n), " ")
+    """The first n words; what follows them is not looked at. The tokenizer is the white space; for others see ``tokens``."""
+    return one_line(F.regexp_extract(F.coalesce(_c(x), F.lit("")), rf"(?U)^\s*+(?:\S++\s++){{0,{n - 1}}}+\S*+", 0)) if n > 0 else F.lit("")
 
 
 def token_length(x: Text) -> Column:
@@ -69,23 +76,31 @@ def sentences(x: Text) -> Column:
     return F.split(strip(F.coalesce(_c(x), F.lit(""))), r"(?U)(?<=[.!?])\s+")
 
 
+def _says(s: Column, pattern: str) -> Column:
+    """Whether ``s`` holds the pattern in any case; Unicode's rules, which cost more, only where there is more than ASCII."""
+    return F.when(F.octet_length(s) == F.length(s), s.rlike("(?i)" + pattern)).otherwise(s.rlike("(?iU)" + pattern))
+
+
 def is_noise(s: Column) -> Column:
-    return s.rlike("(?iU)" + NOISE)
+    return _says(s, NOISE)
 
 
 def is_restatement(s: Column) -> Column:
-    return s.rlike("(?iU)" + RESTATEMENT)
+    return _says(s, RESTATEMENT)
 
 
 def is_plan(s: Column) -> Column:
-    return s.rlike("(?iU)" + PLAN)
+    return _says(s, PLAN)
 
 
 def overlaps(s: Column, question_words: Column, most: float = MAX_OVERLAP) -> Column:
     """Whether more than ``most`` of a longer sentence's distinct words are the question's."""
-    own = word_set(s)
-    share = F.size(F.array_intersect(own, question_words)) / F.size(own)
-    return (F.size(own) > OVERLAP_MORE_THAN) & (F.size(question_words) > 0) & (share > most)
+
+    def many(own: Column) -> Column:
+        share = F.size(F.array_intersect(own, question_words)) / F.size(own)
+        return (F.size(own) > OVERLAP_MORE_THAN) & (F.size(question_words) > 0) & (share > most)
+
+    return let(word_set(s), many)
 
 
 def _kept(x: Text) -> Column:
@@ -94,8 +109,8 @@ def _kept(x: Text) -> Column:
 
 def clean_reasoning(x: Text, question: Text, most: float = MAX_OVERLAP) -> Column:
     """The sentences that are neither tool mechanics nor a restatement of the question."""
-    asked = word_set(question)
-    return F.array_join(F.filter(_kept(x), lambda s: ~is_noise(s) & ~is_restatement(s) & ~overlaps(s, asked, most)), " ")
+    kept = lambda asked: F.filter(_kept(x), lambda s: ~is_noise(s) & ~is_restatement(s) & ~overlaps(s, asked, most))
+    return F.array_join(let(word_set(question), kept), " ")
 
 
 def clean_note(x: Text, question: Text, most: float = MAX_OVERLAP) -> Column:
@@ -143,6 +158,21 @@ def final_response(result: Text) -> Column:
     return F.when(last.isNull() | call, "").otherwise(strip(F.regexp_replace(output, r"(?s)<think>.*?</think>", "")))
 
 
+def judged_response(result: Text, calls: bool = False) -> Column:
+    """What a judge reads of (type, output) steps: the last output as it is. Without ``calls`` a tool call, or an output that holds one, is empty."""
+    last = F.try_element_at(_c(result), F.lit(-1))
+    output = F.coalesce(last["output"], F.lit(""))
+    return output if calls else F.when((last["type"] == "tool_call") | output.contains("<tool_call>"), "").otherwise(output)
+
+
+def original_question(source: Text, messages: Text, query: Text, question: Text) -> Column:
+    """A run's question: its metadata's, else the first user's message, else its query, else its question, else empty."""
+    said = F.filter(_c(messages), lambda m: m["role"] == "user")
+    first = F.when(F.size(said) > 0, F.coalesce(F.get(said, F.lit(0))["content"], F.lit("")))
+    some = lambda x: F.when(F.length(_c(x)) > 0, _c(x))
+    return F.coalesce(some(source), first, some(query), some(question), F.lit(""))
+
+
 def no_answer(x: Text) -> Column:
     x = F.coalesce(_c(x), F.lit(""))
     return (strip(x) == "") | x.contains("tool_call") | x.contains("user_query")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_note, clean_reasoning, one_line, token_length, truncate
+from ..functions.text import clean_note, clean_reasoning, let, one_line, token_length, truncate
 from ..plans.steps import before, searches, visits
 
 # For each style whether it shows documents, notes, their ids, and words of a document.
@@ -18,22 +18,77 @@ NOTE_WORDS, MEMORY_EACH, MEMORY_ALL, MEMORY_LEAST = 128, 64, 256, 8
 VISIT = "array<struct<docid:string,text:string,reasoning:string>>"
 
 
+def _shown(corpus: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(docid, text) of the documents ``wanted`` (docid), cut to what a query can show of them before anything collects them."""
+    return corpus.join(wanted.select("docid").distinct(), "docid", "left_semi").select("docid", truncate("text", n).alias("text"))
+
+
 def with_history(annotated: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(traj, idx, query, pre, history): each search with the interactions before it, [(query, [(docid, text, reasoning)])]."""
-    opened = visits(annotated).filter("turn > 0").join(corpus.select("docid", "text"), "docid", "left")
+    """(traj, idx, query, pre, history): each search with the interactions before it, [(query, [(docid, text, reasoning)])].
+
+    Of a document's text the first words are there, as many as a style can show. To render one style, rendered() does with less.
+    """
+    opened = visits(annotated).filter("turn > 0")
+    opened = opened.join(_shown(corpus, opened, max(x[3] for x in STYLES.values())), "docid", "left")
     grouped = opened.groupBy("traj", "turn").agg(F.sort_array(F.collect_list(F.struct("idx", "docid", F.coalesce("text", F.lit("")).alias("text"), "reasoning"))).alias("v"))
     each = searches(annotated).join(grouped, ["traj", "turn"], "left")
     seen = F.coalesce(F.transform("v", lambda x: F.struct(x["docid"].alias("docid"), x["text"].alias("text"), x["reasoning"].alias("reasoning"))), F.array().cast(VISIT))
     return each.withColumn("history", F.collect_list(F.struct("query", seen.alias("visits"))).over(before())).select("traj", "idx", "query", "pre", "history")
 
 
+def rendered(annotated: DataFrame, corpus: DataFrame, question: Column, style: str) -> DataFrame:
+    """(traj, idx, rendered): each search's query in one style; ``question`` is a Column of a trajectory.
+
+    A visit's document and note are cut and cleaned once, an interaction's lines are made once; later searches collect the lines.
+    """
+    rows = searches(annotated)
+    if style not in STYLES:
+        return rows.select("traj", "idx", render(style, question, history=F.array()).alias("rendered"))
+    docs, notes, tags, n = STYLES[style]
+    opened = visits(annotated).filter("turn > 0")
+    if docs:
+        opened = opened.join(_shown(corpus, opened, n), "docid", "left")
+    doc = _tagged(F.coalesce(F.col("text"), F.lit("")), tags, n) if docs else F.lit("")
+    note = _tagged(clean_note("reasoning", question), tags, NOTE_WORDS) if notes else F.lit("")
+    grouped = opened.groupBy("traj", "turn").agg(F.sort_array(F.collect_list(F.struct("idx", doc.alias("doc"), note.alias("note")))).alias("v"))
+    listed = lambda name: _or_empty(F.array_join(F.filter(F.transform(F.coalesce("v", F.array().cast("array<struct<idx:bigint,doc:string,note:string>>")), lambda x: x[name]), lambda x: x != ""), " ; "))
+    lines = _lines(style, F.col("turn"), F.col("query"), listed("doc"), listed("note"))
+    past = rows.join(grouped, ["traj", "turn"], "left").withColumn("past", F.collect_list(lines).over(before()))
+    return past.select("traj", "idx", F.concat_ws("\n", *_head(style, question, F.col("query"), F.coalesce("pre", F.lit(""))), _past(F.col("past"))).alias("rendered"))
+
+
 def _or_empty(x: Column) -> Column:
     return F.when(x == "", "<empty>").otherwise(x)
 
 
+def _tagged(x: Column, tags: bool, n: int, docid: Column | str = "docid") -> Column:
+    """The first n words with the document's id before them; empty stays empty."""
+    docid = F.col(docid) if isinstance(docid, str) else docid
+    return let(truncate(x, n), lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("[docs_id:"), docid, F.lit("] "), t) if tags else t))
+
+
 def _items(visits_: Column, pick: Callable[[Column], Column], tags: bool, n: int) -> Column:
-    made = F.transform(F.filter(visits_, lambda v: pick(v) != ""), lambda v: F.concat(F.lit("[docs_id:"), v["docid"], F.lit("] "), truncate(pick(v), n)) if tags else truncate(pick(v), n))
-    return _or_empty(F.array_join(made, " ; "))
+    return _or_empty(F.array_join(F.filter(F.transform(visits_, lambda v: _tagged(pick(v), tags, n, v["docid"])), lambda t: t != ""), " ; "))
+
+
+def _lines(style: str, number: Column, query: Column, docs: Column, notes: Column) -> Column:
+    """One interaction's lines."""
+    shows_docs, shows_notes, _, _ = STYLES[style]
+    lines = [F.concat(F.lit("Previous SubQuery "), number.cast("string"), F.lit(": "), query)]
+    if shows_docs:
+        lines.append(F.concat(F.lit("Visited Documents: "), docs))
+    if shows_notes:
+        lines.append(F.concat(F.lit("Visited Document Notes: "), notes))
+    return F.concat_ws("\n", *lines)
+
+
+def _past(lines: Column) -> Column:
+    return F.when(F.size(lines) == 0, "Previous Interactions: <empty>").otherwise(F.concat_ws("\n", F.lit("Previous Interactions:"), F.array_join(lines, "\n")))
+
+
+def _head(style: str, question: Column, query: Column, pre: Column) -> list[Column]:
+    now = [F.concat(F.lit("Current Reasoning: "), _or_empty(one_line(pre)))] if style == "i7" else []
+    return [F.concat(F.lit("Main Question: "), question), *now, F.concat(F.lit("Current Subquery: "), query)]
 
 
 def render(style: str, question: Column, query: Column = None, history: Column = None, pre: Column = None) -> Column:
@@ -44,31 +99,23 @@ def render(style: str, question: Column, query: Column = None, history: Column =
         return query
     if style == "i6":
         return F.concat(F.lit("Reasoning: "), F.when(pre == "", "Empty").otherwise(pre), F.lit("\n\nQuery: "), query)
-    head = [F.concat(F.lit("Main Question: "), question)]
-    if style == "i7":
-        head.append(F.concat(F.lit("Current Reasoning: "), _or_empty(one_line(pre))))
-    head.append(F.concat(F.lit("Current Subquery: "), query))
+    head = _head(style, question, query, pre)
     if style == "i1":
         return F.concat_ws("\n", *head)
     if style not in STYLES:
         raise ValueError(f"unknown style {style}")
-    docs, notes, tags, doc_words = STYLES[style]
+    tags, doc_words = STYLES[style][2:]
 
     def turn(x: Column, i: Column) -> Column:
-        lines = [F.concat(F.lit("Previous SubQuery "), (i + 1).cast("string"), F.lit(": "), x["query"])]
-        if docs:
-            lines.append(F.concat(F.lit("Visited Documents: "), _items(x["visits"], lambda v: one_line(v["text"]), tags, doc_words)))
-        if notes:
-            lines.append(F.concat(F.lit("Visited Document Notes: "), _items(x["visits"], lambda v: one_line(clean_note(v["reasoning"], question)), tags, NOTE_WORDS)))
-        return F.concat_ws("\n", *lines)
+        docs = _items(x["visits"], lambda v: v["text"], tags, doc_words)
+        notes = _items(x["visits"], lambda v: clean_note(v["reasoning"], question), tags, NOTE_WORDS)
+        return _lines(style, i + 1, x["query"], docs, notes)
 
-    past = F.when(F.size(history) == 0, "Previous Interactions: <empty>").otherwise(F.concat_ws("\n", F.lit("Previous Interactions:"), F.array_join(F.transform(history, turn), "\n")))
-    return F.concat_ws("\n", *head, past)
+    return F.concat_ws("\n", *head, _past(F.transform(history, turn)))
 
 
-def memory_block(reasonings: Column, question: Column, each: int = MEMORY_EACH, budget: int = MEMORY_ALL, least: int = MEMORY_LEAST) -> Column:
-    """Cleaned reasonings (oldest first in, newest first out) of at least ``least`` words until the first one beyond the budget."""
-    made = F.transform(F.filter(F.transform(F.reverse(reasonings), lambda r: clean_reasoning(r, question)), lambda c: token_length(c) >= least), lambda c: truncate(c, each))
+def _within(items: Column, budget: int, least: int) -> Column:
+    """Items (newest first) until the first one beyond the budget; as none has less than ``least`` words, only so many can count."""
     start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("kept"))
 
     def step(s: Column, x: Column) -> Column:
@@ -76,7 +123,22 @@ def memory_block(reasonings: Column, question: Column, each: int = MEMORY_EACH,
         full = s["full"] | (used > budget)
         return F.struct(F.when(full, s["used"]).otherwise(used).alias("used"), full.alias("full"), F.when(full, s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"))
 
-    return F.array_join(F.aggregate(made, start, step)["kept"], " ; ")
+    return F.array_join(F.aggregate(F.slice(items, 1, budget // max(least, 1) + 1), start, step)["kept"], " ; ")
+
+
+def memory_block(reasonings: Column, question: Column, each: int = MEMORY_EACH, budget: int = MEMORY_ALL, least: int = MEMORY_LEAST) -> Column:
+    """Cleaned reasonings (oldest first in, newest first out) of at least ``least`` words until the first one beyond the budget."""
+    made = F.filter(F.transform(F.reverse(reasonings), lambda r: clean_reasoning(r, question)), lambda c: token_length(c) >= least)
+    return _within(F.transform(made, lambda c: truncate(c, each)), budget, min(least, each))
+
+
+def with_memories(annotated: DataFrame, question: Column, each: int = MEMORY_EACH, budget: int = MEMORY_ALL, least: int = MEMORY_LEAST) -> DataFrame:
+    """(traj, idx, query, memory): each search with its memory block; a visit's reasoning is cleaned once, not once for each later search."""
+    noted = (F.col("type") == "visit") & F.col("docid").isNotNull() & (F.col("reasoning") != "")
+    item = F.when(noted, let(clean_reasoning("reasoning", question), lambda c: F.when(token_length(c) >= least, truncate(c, each))))
+    said = F.collect_list("item").over(before())
+    rows = annotated.select("traj", "idx", "type", "query", item.alias("item")).withColumn("items", said).filter("type = 'search'")
+    return rows.select("traj", "idx", "query", _within(F.reverse("items"), budget, min(least, each)).alias("memory"))
 
 
 def with_memory(annotated: DataFrame) -> DataFrame:

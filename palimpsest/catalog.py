@@ -386,8 +386,7 @@ def _rendered(style: str) -> tuple[str, str]:
 
 def _render(style: str) -> None:
     def run(spark: SparkSession, sf_dir: str, an: DataFrame) -> DataFrame:
-        rows = history.with_history(an, bind.corpus(spark, sf_dir)).withColumn("question", bind.question())
-        return rows.select("traj", "idx", F.md5(history.render(style, F.col("question"))).alias("digest"))
+        return history.rendered(an, bind.corpus(spark, sf_dir), bind.question(), style).select("traj", "idx", F.md5("rendered").alias("digest"))
 
     run.__name__ = f"render_{style}"
     head, body = _rendered(style)
@@ -404,7 +403,7 @@ mb AS (SELECT traj, idx, any_value(query) AS query, coalesce(string_agg(item, '
 
 
 def _memory(an: DataFrame) -> DataFrame:
-    return history.with_memory(an).withColumn("question", bind.question()).withColumn("memory", history.memory_block(F.col("reasonings"), F.col("question")))
+    return history.with_memories(an, bind.question())
 
 
 @stepped(MEMORY, "SELECT traj, idx, md5(memory) AS digest FROM mb")
@@ -414,7 +413,7 @@ def memory_block(spark, sf_dir, an):
 
 @stepped(MEMORY, f"SELECT traj, idx, md5('[Q] ' || {ASK} || chr(10) || '[Now] ' || query || CASE WHEN memory <> '' THEN chr(10) || '[Memory] ' || memory ELSE '' END) AS digest FROM mb")
 def legacy_query(spark, sf_dir, an):
-    return _memory(an).withColumn("q", history.legacy_query(F.col("question"), F.col("query"), F.col("memory"))).select("traj", "idx", _digest("q"))
+    return _memory(an).withColumn("q", history.legacy_query(bind.question(), F.col("query"), F.col("memory"))).select("traj", "idx", _digest("q"))
 
 
 # ---- supervision
@@ -551,9 +550,9 @@ def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind.table(spark, sf_dir, "benchmark").select("item_id", i.alias("i")).select((F.col("item_id") % 50).cast("string").alias("qid"), (F.col("item_id") * F.col("i") % 20).cast("string").alias("docid")).distinct()
 
 
-@register(f"WITH {RUNS}, b AS (SELECT contains({NORMAL % 'response'}, {NORMAL % 'b.text'}) AND response <> '' AS correct, steps FROM ru JOIN (SELECT * FROM benchmark WHERE item_id < 40) b ON b.item_id::VARCHAR = qid) SELECT count(*) AS n, avg(correct::INT) AS sr, avg(steps) AS avg_steps FROM b")
+@register(f"WITH {RUNS}, b AS (SELECT contains({NORMAL % 'response'}, {NORMAL % 'b.text'}) AND response <> '' AS correct, steps FROM ru JOIN benchmark b ON b.item_id::VARCHAR = qid) SELECT count(*) AS n, avg(correct::INT) AS sr, avg(steps) AS avg_steps FROM b")
 def exact_match_report(spark, sf_dir):
-    truth = bind.table(spark, sf_dir, "benchmark").filter("item_id < 40").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("answer"))
+    truth = bind.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("answer"))
     return scoring.exact_match_report(_runs(spark, sf_dir), truth)
 
 
@@ -579,11 +578,11 @@ def auto_fail(spark, sf_dir):
     return scoring.auto_fail(bind.table(spark, sf_dir, "conversations"), T.no_answer(said))
 
 
-@stepped("gold AS (SELECT t.traj, d.docid FROM (SELECT DISTINCT traj FROM st) t, (SELECT docid FROM rel WHERE docid::BIGINT < 100) d), r AS (SELECT g.traj, count(*) FILTER ((g.traj, g.docid) IN (SELECT (traj, docid) FROM ret)) / count(*) AS search_recall, count(*) FILTER ((g.traj, g.docid) IN (SELECT (traj, docid) FROM vis)) / count(*) AS visit_recall FROM gold g GROUP BY g.traj)", "SELECT *, CASE WHEN search_recall > 0 THEN visit_recall / search_recall END AS ratio FROM r")
+@stepped("""n AS (SELECT count(*) AS n FROM rel), s AS (SELECT traj, count(DISTINCT docid) AS s FROM ret WHERE docid IN (SELECT docid FROM rel) GROUP BY traj), v AS (SELECT traj, count(DISTINCT docid) AS v FROM vis WHERE docid IN (SELECT docid FROM rel) GROUP BY traj),
+r AS (SELECT t.traj, coalesce(s, 0) / n AS search_recall, coalesce(v, 0) / n AS visit_recall FROM (SELECT DISTINCT traj FROM st) t CROSS JOIN n LEFT JOIN s USING (traj) LEFT JOIN v USING (traj))""", "SELECT *, CASE WHEN search_recall > 0 THEN visit_recall / search_recall END AS ratio FROM r")
 def search_visit_recall(spark, sf_dir, an):
-    good = bind.verdicts(spark, sf_dir).filter("relevant").filter(F.col("docid").cast("bigint") < 100).select("docid").distinct()
-    gold = an.select("traj").distinct().crossJoin(F.broadcast(good))  # the binding's docids are below 100
-    return scoring.search_visit_recall(st.returned_ids(an).select("traj", "docid"), st.visits(an).select("traj", "docid"), gold)
+    good = bind.verdicts(spark, sf_dir).filter("relevant").select("docid").distinct()
+    return scoring.shared_recall(an.select("traj").distinct(), st.returned_ids(an).select("traj", "docid"), st.visits(an).select("traj", "docid"), good)
 
 
 @stepped("d AS (SELECT DISTINCT traj FROM st WHERE type = 'visit' AND k < 5)", "SELECT DISTINCT traj FROM st WHERE traj NOT IN (SELECT traj FROM d)")

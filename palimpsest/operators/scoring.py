@@ -49,3 +49,13 @@ def search_visit_recall(returned: DataFrame, visited: DataFrame, gold: DataFrame
     n = F.count(F.lit(1))
     out = both.groupBy("traj").agg((F.count("r") / n).alias("search_recall"), (F.count("v") / n).alias("visit_recall"))
     return out.withColumn("ratio", F.when(F.col("search_recall") > 0, F.col("visit_recall") / F.col("search_recall")))
+
+
+def shared_recall(runs: DataFrame, returned: DataFrame, visited: DataFrame, gold: DataFrame) -> DataFrame:
+    """search_visit_recall() where all ``runs`` (traj) share one set of evidence, ``gold`` (docid): its size is counted once and hits are joined."""
+    n = gold.agg(F.count(F.lit(1)).alias("n"))
+    hits = lambda df, name: df.distinct().join(gold, "docid", "left_semi").groupBy("traj").agg(F.count(F.lit(1)).alias(name))
+    both = runs.join(hits(returned, "s"), "traj", "left").join(hits(visited, "v"), "traj", "left").crossJoin(F.broadcast(n))  # one row
+    share = lambda c: F.when(F.col("n") > 0, F.coalesce(c, F.lit(0)) / F.col("n"))
+    out = both.select("traj", share("s").alias("search_recall"), share("v").alias("visit_recall"))
+    return out.withColumn("ratio", F.when(F.col("search_recall") > 0, F.col("visit_recall") / F.col("search_recall")))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate, word_set
+from .encoding import REASONING_INSTRUCTION, Encoder, encode
 
 #: Queries in a block: its matrix is what goes to all tasks at once. Below PLAIN pairs of scores a plain join is used.
 BLOCK = 4096
+#: Documents of one cell that a task holds.
+PART = 1 << 15
 K1, B = 0.9, 0.4
 HITS = "qid string, docid string, score double"
 
@@ -63,40 +66,88 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int =
 
 
 class Cells:
-    """An inverted file: vectors by their nearest centre. Centres come from at most ``sample`` vectors, all vectors are indexed."""
+    """An inverted file: vectors in the cells of their ``spill`` nearest centres, found in each query's ``probes`` nearest cells.
 
-    def __init__(self, corpus: DataFrame, cells: int = 32, sample: int = 20_000, rounds: int = 10, seed: int = 1) -> None:
+    Centres come from at most ``sample`` vectors by k-means on the driver, in float32; every vector is indexed. More probes find more; all of them make the search exact.
+    """
+
+    def __init__(self, corpus: DataFrame, cells: int = 32, sample: int = 20_000, rounds: int = 10, seed: int = 1, probes: int = 16, spill: int = 2) -> None:
         vectors = corpus.filter(F.size("embedding") > 0)
         some = vectors.orderBy(F.xxhash64("docid")).limit(sample).select("embedding").toArrow()
-        points = np.array(some.column(0).to_pylist(), np.float64)
+        points = np.asarray(some.column(0).combine_chunks().flatten()).astype(np.float32).reshape(some.num_rows, -1) if some.num_rows else np.zeros((0, 1), np.float32)
         rng = np.random.default_rng(seed)
-        self.centres = points[rng.choice(len(points), min(cells, len(points)), replace=False)] if len(points) else np.zeros((0, 1))
+        centres = points[rng.choice(len(points), min(cells, len(points)), replace=False)]
         for _ in range(rounds if len(points) else 0):
-            own = np.argmax(points @ self.centres.T, axis=1)
-            for c in range(len(self.centres)):
-                if (own == c).any():
-                    self.centres[c] = points[own == c].mean(axis=0)
-            self.centres /= np.maximum(np.linalg.norm(self.centres, axis=1, keepdims=True), 1e-12)
-        self.index = self._placed(vectors.select(F.col("docid").cast("string").alias("docid"), "embedding"), "docid", 1)
+            own = np.argmax(points @ centres.T, axis=1)
+            total = np.zeros_like(centres)
+            np.add.at(total, own, points)
+            many = np.bincount(own, minlength=len(centres))[:, None]
+            centres = np.where(many > 0, total / np.maximum(many, 1), centres)
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+        self._use(centres.astype(np.float64), probes)
+        self.index = self._placed(vectors, "docid", spill)
+
+    def _use(self, centres: np.ndarray, probes: int) -> None:
+        self.centres, self.probes = centres, probes
+
+    def save(self, path: str) -> None:
+        """The index as tables: the centres, and the vectors in a folder for each cell. A search reads its cells only."""
+        spark = self.index.sparkSession
+        spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(self.centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        self.index.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, probes: int | None = None) -> Cells:
+        """A saved index; ``probes`` overrides how many cells a query looks into."""
+        own = cls.__new__(cls)
+        rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()  # one row for each cell
+        own._use(np.array([r["centre"] for r in rows], np.float64).reshape(len(rows), -1), probes or 16)
+        own.index = spark.read.schema("docid string, embedding array<double>, cell int").parquet(f"{path}/cells")
+        return own
 
     def _placed(self, df: DataFrame, key: str, probes: int) -> DataFrame:
         centres = self.centres
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
+                if batch.num_rows and len(centres):
                     x = np.asarray(batch.column("embedding").flatten()).astype(np.float64).reshape(batch.num_rows, -1)
                     near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
                     again = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
                     yield pa.record_batch([batch.column(key).take(again), batch.column("embedding").cast(pa.list_(pa.float64())).take(again), pa.array(near.ravel().astype(np.int32))], names=[key, "embedding", "cell"])
 
-        return df.select(key, "embedding").mapInArrow(place, f"{key} string, embedding array<double>, cell int")
+        return df.select(F.col(key).cast("string").alias(key), "embedding").mapInArrow(place, f"{key} string, embedding array<double>, cell int")
+
+    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
+        """Top k among the documents in each query's nearest cells; a cell's queries and documents are multiplied as matrices."""
+        asked = self._placed(queries.filter(F.size("embedding") > 0), "qid", probes or self.probes)
+        schema = pa.schema([("qid", pa.string()), ("docid", pa.string()), ("score", pa.float64())])
+
+        def meet(own: pa.Table, docs: pa.Table) -> pa.Table:
+            if not len(own) or not len(docs):
+                return schema.empty_table()
+            matrix = np.asarray(own.column("embedding").combine_chunks().flatten()).reshape(len(own), -1)
+            out = [part for part in _scorer(own.column("qid").to_pylist(), matrix, k, 6)(docs.to_batches(max_chunksize=4096))]
+            return pa.Table.from_batches([b.cast(schema) for b in out], schema)
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
-        """Top k among the documents in each query's ``probes`` nearest cells."""
-        asked = self._placed(queries.select(F.col("qid").cast("string").alias("qid"), "embedding"), "qid", probes).withColumnRenamed("embedding", "q")
-        score = F.round(F.aggregate(F.zip_with("q", "embedding", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6)
-        return _ranked(self.index.join(asked, "cell").select("qid", "docid", score.alias("score")), k)
+        # A cell is dealt into parts of some thousand documents, so a large one is not one task's; the few queries go to each part.
+        counts = self.index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.expr(f"cast(n div {PART} + 1 as int)").alias("parts"))
+        docs = self.index.join(counts, "cell").withColumn("part", F.pmod(F.xxhash64("docid"), F.col("parts")).cast("int")).drop("parts")
+        asked = asked.join(counts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        hits = asked.groupBy("cell", "part").cogroup(docs.groupBy("cell", "part")).applyInArrow(meet, HITS)
+        return _ranked(hits.groupBy("qid", "docid").agg(F.max("score").alias("score")), k)
+
+
+def index_of(corpus: DataFrame, factory: str, **options) -> Searcher:
+    """An index by its factory's name: ``Flat`` is exact, ``IVFn,Flat`` has n cells. A graph (``HNSW...``) is no table, cells stand for it."""
+    kind = factory.split(",")[0].upper()
+    if kind == "FLAT":
+        return DenseSearcher(corpus)
+    if kind.startswith("IVF") and kind[3:].isdigit():
+        return Cells(corpus, cells=int(kind[3:]), **options)
+    if kind.startswith("HNSW"):
+        return Cells(corpus, **options)
+    raise ValueError(f"unknown factory {factory}")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -112,8 +163,7 @@ def terms(docs: DataFrame) -> DataFrame:
 
 
 def lengths(docs: DataFrame) -> DataFrame:
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    return docs.select("docid", F.size(words).cast("bigint").alias("len"))
+    return docs.select("docid", F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+")).cast("bigint").alias("len"))
 
 
 def bm25_stats(docs: DataFrame) -> DataFrame:
@@ -179,7 +229,22 @@ class BM25Searcher:
         return bm25_topk(queries, self.corpus, k)
 
 
-SEARCHERS = {"dense": DenseSearcher, "bm25": BM25Searcher, "cells": Cells}
+class InstructedSearcher:
+    """Dense search where the encoder always reads the same instruction before a query's text."""
+
+    def __init__(self, corpus: DataFrame, encoder: Encoder, instruction: str = REASONING_INSTRUCTION) -> None:
+        self.corpus, self.encoder, self.instruction = corpus, encoder, instruction
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        return dense_topk(encode(queries, self.encoder, self.instruction, key="qid"), self.corpus, k)
+
+
+SEARCHERS: dict[str, Callable[..., Searcher]] = {"dense": DenseSearcher, "bm25": BM25Searcher, "cells": Cells, "instructed": InstructedSearcher}
+
+
+def register_searcher(name: str, make: Callable[..., Searcher]) -> None:
+    """An own kind of searcher: ``make(corpus, **options)``; a name in use is replaced."""
+    SEARCHERS[name] = make
 
 
 def searcher(name: str, corpus: DataFrame, **options) -> Searcher:

@@ -65,6 +65,39 @@ def termination(annotated: DataFrame, budget: int = 50) -> DataFrame:
     return last.select("traj", label.alias("label"), F.when(label == "answer", "completed").otherwise(label).alias("status"))
 
 
+# What a tool call that is no JSON, or names no tool, is answered; other names of a tool.
+INVALID = 'Error: Tool call is not a valid JSON. Tool call must contain a valid "name" and "arguments" field.'
+ALIASES = {"visit": "get_document"}
+TOOLS = ("search", "get_document")
+
+
+def dispatch(calls: DataFrame) -> DataFrame:
+    """Adds to raw calls (column ``call``, JSON text): ``tool`` (by its own name), ``handler``, ``arguments`` and ``error``: the answer where no tool takes the call."""
+    is_object = F.coalesce(F.get_json_object("call", "$").startswith("{"), F.lit(False))
+    name = F.when(is_object, F.coalesce(F.get_json_object("call", "$.name"), F.lit("")))
+    alias = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    handler = F.coalesce(F.try_element_at(alias, F.col("tool")), F.col("tool"))
+    error = F.when(F.col("tool").isNull(), INVALID).when(~F.col("handler").isin(*TOOLS), F.concat(F.lit("Error: Tool "), F.col("tool"), F.lit(" not found")))
+    out = calls.withColumn("tool", name).withColumn("handler", handler)
+    out = out.withColumn("arguments", F.when(is_object, F.coalesce(F.get_json_object("call", "$.arguments"), F.lit("{}")))).withColumn("error", error)
+    return out.withColumn("handler", F.when(F.col("error").isNull(), F.col("handler")))
+
+
+def tool_counts(dispatched: DataFrame, answered: Column) -> DataFrame:
+    """(traj, tool, all_calls, answered_calls) of dispatch()'s rows with a traj; calls that are no JSON count as ``invalid_json``. ``answered``: whether a call gave docids."""
+    tool = F.coalesce("tool", F.lit("invalid_json"))
+    return dispatched.groupBy("traj", tool.alias("tool")).agg(F.count(F.lit(1)).alias("all_calls"), F.count(F.when(F.col("error").isNull() & answered, 1)).alias("answered_calls"))
+
+
+def ended(last_message: Column, calls_left: Column, token_limit: Column) -> Column:
+    """How a run ended, from its last message, the calls it had left, and whether its tokens (or calls) ran out and a final answer was asked for."""
+    answered = F.coalesce(last_message.contains("<answer>"), F.lit(False))
+    whole = answered & F.coalesce(last_message.contains("</answer>"), F.lit(False))
+    forced = F.when(whole, "generate an answer as token limit reached").otherwise("format error: generate an answer as token limit reached")
+    free = F.when(answered, "answer").when(calls_left == 0, "exceed available llm calls").otherwise("answer not found")
+    return F.when(F.coalesce(token_limit, F.lit(False)), forced).otherwise(free)
+
+
 def novelty_by_step(annotated: DataFrame) -> DataFrame:
     """(turn, searches, novel): how many of a session's t-th search's results are new, on average."""
     first = returned_ids(annotated).groupBy("traj", "docid").agg(F.min("idx").alias("idx")).groupBy("traj", "idx").agg(F.count(F.lit(1)).alias("new"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,3 +131,29 @@ def write_index(postings: DataFrame, vectors: DataFrame | None, path: str) -> No
     postings.write.mode("overwrite").parquet(f"{path}/postings")
     if vectors is not None:
         vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """The postings and vectors (if any) of write_index()."""
+    try:
+        vectors = spark.read.parquet(f"{path}/vectors")
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        vectors = None
+    return spark.read.parquet(f"{path}/postings"), vectors
+
+
+def write_embeddings(vectors: DataFrame, path: str, rows: int = 10_000) -> None:
+    """(docid, embedding) in Parquet files of at most ``rows`` rows; read_embeddings() reads them."""
+    vectors.select(F.col("docid").cast("string").alias("docid"), F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir; a temporary one only where there is one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="scratch-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"

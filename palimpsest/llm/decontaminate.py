@@ -1,16 +1,25 @@
 """Benchmark decontamination: passages of texts within a word edit distance of a benchmark item.
 
 Words are runs of letters and digits, lower-cased. An item of L words matches where some window of a text is within
-floor(RATIO * L) edits of it. Windows begin at every word. An item with a bound of e edits is cut into e + 1 pieces
-of equally many words; e edits leave one of them whole, so every window within the bound has a piece where it
-should stand, give or take e words, and no match is lost. Texts are probed for the pieces by hashes of runs of words. Hits of
-an item whose windows overlap are one candidate, verified by exact edit distance; it must first hold as many of the item's words
+floor(RATIO * L) edits of it. Windows begin at every word. A CGK walk reads the word it is at and then
+stays or moves on by a random bit of that word and the step: two strings an edit apart soon walk in
+step again, so edit distance becomes Hamming distance of what the walks read. Of each walk a few steps are
+sampled; equal samples make a candidate (bit-sampling LSH), and WALKS independent walks bring the recall to its target.
+
+The Hamming distance grows faster than the edits do, so one walk over a long item would need ever more repetitions.
+An item is therefore walked from each of its ceil(L / PART) equal parts' first words. Of a window within the bound at least one part has at most
+floor(RATIO * L) / ceil(L / PART) edits, which is one at most at the default ratio, so the recall of a
+single edit in at most PART words holds for items of any length. Items that allow no edit are walked whole, every step is
+sampled, and none is lost. A hit of a part that allows one edit is looked at word by word for it. Parts of like length form a class with its own steps. Before walking, a window must hold as many of
+the class's words as its edits leave.
+
+Hits of an item whose windows overlap are one candidate, verified by exact edit distance; it must first hold as many of the item's words
 as the bound leaves, which loses nothing.
 
 Items are the stated query set: in blocks of at most ITEMS they go to all tasks, one pass over the texts for each
 block. Texts are not shuffled.
 
-Cases: null and empty texts and items match nothing; items under five words at the default ratio match exactly only; repeated
+Cases: null and empty texts and items match nothing; items under seven words at the default ratio match exactly only; repeated
 items and rows each give their rows; null ids are kept. Other columns are ignored.
 """
 
@@ -25,46 +34,129 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import parts_for, pick, prepare
-from .words import Texts, U, runs, span_hashes, texts
+from .words import Texts, U, mix, span_hashes, texts
 
-RATIO, ITEMS = 0.15, 20_000
-TABLE_BITS = 20
+RATIO, PART, WALKS, SAMPLES, ITEMS = 0.15, 13, 16, 3, 20_000
+#: Steps of a walk for each word of its class's least part, of which SAMPLES are read.
+REACH = 1.4
+#: Classes hold parts whose lengths differ by less than this factor.
+SPREAD = 1.4
+VOCABULARY_BITS = 20
 #: Hits expanded together, of one text or more.
 HITS = 1 << 20
 
 
-class Pieces(NamedTuple):
-    """Pieces of one size: sorted keys, whose they are and where they stand in them; by their first bits, whether there is a key."""
+class Keys(NamedTuple):
+    """One walk's keys of the parts, sorted; whose they are, where their parts stand in them and how long they are. Two tables tell by
+    some bits of a key, and of what it is after all samples but one, whether any part has it."""
 
-    keys: np.ndarray
+    sorted: np.ndarray
     items: np.ndarray
     offsets: np.ndarray
+    sizes: np.ndarray
     table: np.ndarray
+    early: np.ndarray
+
+
+class Class(NamedTuple):
+    """Parts of like length, and the steps sampled of each walk."""
+
+    least: int
+    edits: int
+    samples: list[np.ndarray]
+    keys: list[Keys]
 
 
 class Items(NamedTuple):
+    """``flat``: all items' words; ``first``: where each item's begin, with the end."""
+
     words: list[np.ndarray]
-    pieces: dict[int, Pieces]
+    flat: np.ndarray
+    first: np.ndarray
+    classes: list[Class]
+    vocabulary: np.ndarray
     ratio: float
 
 
-def prepare_items(words: list[np.ndarray], ratio: float = RATIO) -> Items:
-    """The items' pieces by size."""
-    made: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for i, item in enumerate(words):
-        if len(item):
-            edits = int(ratio * len(item))
-            size = len(item) // (edits + 1)
-            offsets = np.arange(edits + 1) * size
-            made.setdefault(size, []).append((runs(item, size)[offsets], np.full(edits + 1, i), offsets))
-    pieces = {}
-    for size, held in sorted(made.items()):
-        keys, owners, offsets = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(keys, kind="stable")
-        table = np.zeros(1 << TABLE_BITS, bool)
-        table[(keys >> U(64 - TABLE_BITS)).astype(np.int64)] = True
-        pieces[size] = Pieces(keys[order], owners[order], offsets[order], table)
-    return Items(words, pieces, ratio)
+def odd(seed: int) -> U:
+    """A walk's multiplier: a bijection of words, whose bits tell where the walk moves on."""
+    return U((0x9E3779B97F4A7C15 * (2 * seed + 1)) & (2**64 - 1) | 1)
+
+
+def table_of(keys: np.ndarray) -> np.ndarray:
+    """By some bits of a key, whether there is one; 16 to 32 slots for each key."""
+    out = np.zeros(1 << max(12, (16 * len(keys)).bit_length()), bool)
+    out[slot(keys, out)] = True
+    return out
+
+
+def slot(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return (keys >> U(65 - len(table).bit_length())).view(np.int64)
+
+
+def walk(spread: np.ndarray, starts: np.ndarray, sampled: np.ndarray, early: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Walks over words times odd(): places in ``starts`` that are still walking at the end, their keys, and the keys before the last
+    sample. Walks that no part shares before the last sample are given up by the table ``early``."""
+    which, at, key, before = np.arange(len(starts)), starts.copy(), np.zeros(len(starts), U), np.zeros(len(starts), U)
+    wanted, last = set(sampled.tolist()), int(sampled[-1])
+    for j in range(last + 1):
+        w = spread[at]
+        if j in wanted:
+            before = key
+            key = mix(key + w)
+            if early is not None and len(sampled) > 1 and j == sampled[-2]:
+                on = np.flatnonzero(early[slot(key, early)])
+                which, at, key, w = which[on], at[on], key[on], w[on]
+        at += ((w >> U(63 - j % 48)) & U(1)).view(np.int64)
+    return which, key, before
+
+
+def padded(words: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+    """The words and as many zeros as a walk may read beyond them."""
+    return np.concatenate([words, np.zeros(int(sampled[-1]) + 1, U)])
+
+
+def parts(length: int, ratio: float) -> np.ndarray:
+    """Where an item's parts begin, and its end."""
+    n = -(-length // PART) if int(ratio * length) else 1
+    return np.arange(n + 1) * length // n
+
+
+def prepare_items(words: list[np.ndarray], ratio: float = RATIO, walks: int = WALKS, samples: int = SAMPLES) -> Items:
+    """Classes of the items' parts, their walks' keys, and for each word (by its first bits) the classes that have it."""
+    classes, vocabulary = [], np.zeros(1 << VOCABULARY_BITS, np.uint32)
+    flat = np.concatenate([*words, np.zeros(0, U)])
+    first = np.cumsum([0, *[len(w) for w in words]])
+    item, offset, size, edits = [], [], [], []
+    for i, w in enumerate(words):
+        cuts = parts(len(w), ratio) if len(w) else np.zeros(1, np.int64)
+        item += [i] * (len(cuts) - 1)
+        offset += cuts[:-1].tolist()
+        size += np.diff(cuts).tolist()
+        edits += [int(ratio * len(w)) // (len(cuts) - 1)] * (len(cuts) - 1) if len(w) else []
+        if len(w) and int(ratio * len(w)):
+            edits[-len(cuts) + 1 :] = [max(1, edits[-1])] * (len(cuts) - 1)
+    item, offset, size, edits = (np.array(x, np.int64) for x in (item, offset, size, edits))
+    rng = np.random.default_rng(5)
+    for none in (True, False):  # parts that allow no edit, one class for each length; the rest by like length
+        rest = np.unique(size[(edits == 0) == none])
+        while len(rest):
+            least = int(rest[0])
+            inside = rest[:1] if none else rest[rest < max(least * SPREAD, least + 1)]
+            rest = rest[len(inside) :]
+            chosen = np.flatnonzero(((edits == 0) == none) & (size >= least) & (size <= inside[-1]))
+            sampled = [np.arange(least)] if none else [np.sort(rng.choice(int(REACH * least), min(samples, least), replace=False)) for _ in range(walks)]
+            starts = first[item[chosen]] + offset[chosen]
+            keys = []
+            for seed, own in enumerate(sampled):
+                _, k, before = walk(padded(flat, own) * odd(seed), starts, own)
+                order = np.argsort(k, kind="stable")
+                keys.append(Keys(k[order], item[chosen][order], offset[chosen][order], size[chosen][order], table_of(k), table_of(before)))
+            if len(classes) < 31:
+                spots = np.repeat(starts, size[chosen]) + np.arange(size[chosen].sum()) - np.repeat(np.cumsum(size[chosen]) - size[chosen], size[chosen])
+                vocabulary[(flat[spots] >> U(64 - VOCABULARY_BITS)).astype(np.int64)] |= np.uint32(1 << len(classes))
+            classes.append(Class(least, int(edits[chosen].max()), sampled, keys))
+    return Items(words, flat, first, classes, vocabulary, ratio)
 
 
 def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -86,30 +178,62 @@ def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(origin[end]), end
 
 
+def one_edit(words: np.ndarray, at: np.ndarray, ends: np.ndarray, flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the words from each ``at`` (before ``ends``) begin with something at most an edit from the part of ``sizes`` words from ``first``.
+
+    The equal words at the start and those at the end, for each shift of an edit, then make up the part but for a word.
+    """
+    top, n = len(words) - 1, np.zeros(len(at), np.int64)
+    same = np.ones(len(at), bool)
+    for j in range(int(sizes.max(initial=0))):
+        same &= (j < sizes) & (at + j < ends) & (words[np.minimum(at + j, top)] == flat[np.minimum(first + j, len(flat) - 1)])
+        n += same
+    ok = n >= sizes - 1
+    for shift in (-1, 0, 1):
+        tail, same = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        for j in range(1, int(sizes.max(initial=0)) + 1):
+            spot = at + sizes - j + shift
+            same &= (j <= sizes) & (spot >= at) & (spot < ends) & (words[np.clip(spot, 0, top)] == flat[np.maximum(first + sizes - j, 0)])
+            tail += same
+        ok |= n + tail >= sizes - (shift <= 0)
+    return ok
+
+
 def candidates(chunk_words: np.ndarray, at: np.ndarray, items: Items) -> Iterator[tuple[int, int, np.ndarray]]:
     """(text, item, words where the item would begin): those of a text and item whose windows overlap."""
     text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
     end_of = at[1:][text_of]
+    marks = items.vocabulary[(chunk_words >> U(64 - VOCABULARY_BITS)).astype(np.int64)]
+    n = len(marks)
     found, total = [], np.zeros(len(at) - 1, np.int64)
-    for size, own in items.pieces.items():
-        h = runs(chunk_words, size)
-        spots = np.flatnonzero(own.table[(h >> U(64 - TABLE_BITS)).astype(np.int64)])
-        spots = spots[spots + size <= end_of[spots]]
-        first = np.searchsorted(own.keys, h[spots])
-        n = np.searchsorted(own.keys, h[spots], side="right") - first
-        spots, first, n = spots[n > 0], first[n > 0], n[n > 0]
-        found.append((own, spots, first, n))
-        total += np.bincount(text_of[spots], n, len(total)).astype(np.int64)
+    for c, own in enumerate(items.classes):
+        known = ((marks >> np.uint32(c)) & np.uint32(1)).astype(np.int64) if c < 31 else np.ones(n, np.int64)
+        sums = np.concatenate([[0], np.cumsum(known)])
+        least = own.least - own.edits
+        starts = np.flatnonzero((sums[np.minimum(np.arange(n) + own.least, n)] - sums[:-1] >= least) & (end_of - np.arange(n) >= least))
+        for seed, (sampled, keys) in enumerate(zip(own.samples, own.keys, strict=True)):
+            which, got, _ = walk(padded(chunk_words, sampled) * odd(seed), starts, sampled, keys.early)
+            some = np.flatnonzero(keys.table[slot(got, keys.table)])
+            which, got = which[some], got[some]
+            begin = np.searchsorted(keys.sorted, got)
+            count = np.searchsorted(keys.sorted, got, side="right") - begin
+            hit = count > 0
+            where = starts[which[hit]]
+            found.append((keys, own.edits, where, begin[hit], count[hit]))
+            total += np.bincount(text_of[where], count[hit], len(total)).astype(np.int64)
     lengths = np.array([len(w) for w in items.words])
     group = np.cumsum(total) // HITS
     for g in np.unique(group[total > 0]).tolist():
         hits = []
-        for own, spots, first, n in found:
+        for keys, edits, spots, first, times in found:
             inside = group[text_of[spots]] == g
-            place, begin, count = spots[inside], first[inside], n[inside]
+            place, begin, count = spots[inside], first[inside], times[inside]
             which = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
             place = np.repeat(place, count)
-            hits.append((text_of[place], own.items[which], place - own.offsets[which]))
+            if edits == 1:
+                near = one_edit(chunk_words, place, end_of[place], items.flat, items.first[keys.items[which]] + keys.offsets[which], keys.sizes[which])
+                place, which = place[near], which[near]
+            hits.append((text_of[place], keys.items[which], place - keys.offsets[which]))
         text, item, start = (np.concatenate(x) for x in zip(*hits, strict=True))
         order = np.lexsort((start, item, text))
         text, item, start = text[order], item[order], start[order]

@@ -95,3 +95,54 @@ def test_passages_of_an_empty_table_null_ids_and_equal_rows(frame):
     text = " ".join(prose(80, 5))
     rows = S.repeated_passages(frame([text, text, text], ids=[None, 4, 4])).collect()
     assert [(r["doc_id"], r["kept_doc_id"]) for r in rows] == [(4, None)]
+
+
+def whole(rows, texts, passages, but=0):
+    """How many (doc, passage) are inside a reported span of their document, but for ``but`` bytes; every span must stand in its kept text."""
+    for r in rows:
+        mine = texts[r["doc_id"]].encode()[r["start_byte"] : r["start_byte"] + r["n_bytes"]]
+        assert mine in texts[r["kept_doc_id"]].encode() and r["n_words"] >= 50
+    spans = {}
+    for r in rows:
+        spans.setdefault(r["doc_id"], []).append((r["start_byte"], r["start_byte"] + r["n_bytes"]))
+    found = 0
+    for d, p in passages:
+        at = texts[d].encode().find(p.encode())
+        found += any(min(b, at + len(p.encode())) - max(a, at) >= len(p.encode()) - but for a, b in spans.get(d, []))
+    return found
+
+
+def test_periodic_passages_are_found_whole(frame):
+    passages = ["a b c " * 150, "ab " * 200, "x " * 90, "one two three four five six seven eight nine ten eleven " * 12]
+    texts = [" ".join([*prose(40, 10 * i + j), p.strip(), *prose(40, 500 + 10 * i + j)]) for i, p in enumerate(passages) for j in range(2)]
+    rows = S.repeated_passages(frame(texts)).collect()
+    # Periodic text agrees with itself a few periods on, so an end of a span may be that far from the passage's.
+    assert whole(rows, texts, [(2 * i + 1, p.strip()) for i, p in enumerate(passages)], 64) == 4
+    assert len(rows) < 40
+
+
+def test_passages_of_short_words_and_of_lines_that_stand_elsewhere(frame):
+    import random
+
+    rng = random.Random(3)
+    short = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(40)]
+    texts, wanted = [], []
+    for i, p in enumerate(short):
+        for j in range(2):
+            texts.append(" ".join([*prose(30, 2000 + 2 * i + j), p, *prose(30, 3000 + 2 * i + j)]))
+        wanted.append((len(texts) - 1, p))
+    assert whole(S.repeated_passages(frame(texts)).collect(), texts, wanted) >= 36
+    texts, wanted = [], []
+    for i in range(12):  # lines of a passage alone in earlier documents, then documents that have them all in a row
+        lines = [" ".join(prose(30, 100 * i + k)) for k in range(5)]
+        texts += [" ".join([*prose(20, 5000 + 10 * i + k), line, *prose(20, 6000 + 10 * i + k)]) for k, line in enumerate(lines)]
+        for j in range(2):
+            texts.append(" ".join([*prose(20, 7000 + 2 * i + j), *lines, *prose(20, 8000 + 2 * i + j)]))
+        wanted.append((len(texts) - 1, " ".join(lines)))
+    for i in range(40):  # a phrase of the passage stands in an earlier document
+        words = prose(150, 9000 + i)
+        texts.append(" ".join([*prose(20, 9100 + i), *words[60:72], *prose(20, 9200 + i)]))
+        for j in range(2):
+            texts.append(" ".join([*prose(20, 9300 + 2 * i + j), *words, *prose(20, 9400 + 2 * i + j)]))
+        wanted.append((len(texts) - 1, " ".join(words)))
+    assert whole(S.repeated_passages(frame(texts)).collect(), texts, wanted) == 52

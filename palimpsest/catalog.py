@@ -604,7 +604,11 @@ def steps(spark, sf_dir, an):
 
 # ---- payloads, prefixes and the rest
 
-PREFIX = "CASE idx % 3 " + " ".join(f"WHEN {i} THEN 'Instruct: {payload.INSTRUCTIONS[k]}'" for i, k in enumerate(("i0", "i2", "i1"))) + " END || chr(10) || 'Query: ' || query"
+PREFIX = """CASE idx % 3
+  WHEN 0 THEN 'Instruct: Given a web search query, retrieve relevant passages that answer the query'
+  WHEN 1 THEN 'Instruct: Given the main question, the current sub-query, and the sub-queries already tried in previous interactions, retrieve documents relevant to the current sub-query that provide NEW information not yet found.'
+  ELSE 'Instruct: Given the main question and the current sub-query, retrieve documents relevant to the current sub-query.'
+END || chr(10) || 'Query: ' || query"""
 
 
 @stepped("", f"SELECT traj, idx, {PREFIX} AS encoded FROM st WHERE type = 'search'")

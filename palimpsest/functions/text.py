@@ -20,10 +20,9 @@ PLAN_VERBS = (
     r"(?:search|verify|check|open|look|try|examine|find|confirm|refine|visit|browse|query|google|think|consider|explore|"
     r"dig|investigate|scroll|request|ask|re-?get|re-?read|retrieve)"
 )
-PLAN_ADVERBS = r"(?:(?:also|now|then|first|next|just|instead|quickly)\s+)?"
 PLAN = (
-    r"(\blet'?s\s+" + PLAN_ADVERBS + PLAN_VERBS + r"\b"
-    r"|\b(?:we|i)\s+(?:need\s+to|should|will|may\s+need\s+to|might|could|can)\s+" + PLAN_ADVERBS + PLAN_VERBS + r"\b"
+    r"(\blet'?s\s+(?:(?:also|now|then|first|next|just|instead|quickly)\s+)?" + PLAN_VERBS + r"\b"
+    r"|\b(?:we|i)\s+(?:need\s+to|should|will|may\s+need\s+to|might|could|can)\s+(?:(?:also|now|then|first|next|just|instead|quickly)\s+)?" + PLAN_VERBS + r"\b"
     r"|^(?:search|try\s+searching|use\s+search)\b"
     r"|\bnext,?\s+(?:search|step|we'?ll|let'?s)\b"
     r"|\bmaybe\s+(?:search|check|try|look)\b)"

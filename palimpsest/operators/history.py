@@ -15,6 +15,11 @@ STYLES = {"i2": (False, False, True, 128), "i3": (True, False, False, 64), "i4":
 ALL_STYLES = ("i0", "i1", "i2", "i3", "i4", "i5", "i6", "i7")
 NOTE_WORDS, MEMORY_EACH, MEMORY_ALL, MEMORY_LEAST = 128, 64, 256, 8
 
+# The labels that queries of the styles are made of.
+QUESTION, REASONING, NOW, SUBQUERY, PAST, EMPTY = "Main Question: ", "Current Reasoning: ", "Current Subquery: ", "Previous SubQuery ", "Previous Interactions:", "<empty>"
+DOCUMENTS, NOTES, DOCID, BARE_REASONING, BARE_QUERY = "Visited Documents: ", "Visited Document Notes: ", "[docs_id:", "Reasoning: ", "Query: "
+LEGACY_QUESTION, LEGACY_NOW, LEGACY_MEMORY = "[Q] ", "[Now] ", "[Memory] "
+
 VISIT = "array<struct<docid:string,text:string,reasoning:string>>"
 
 
@@ -58,13 +63,13 @@ def rendered(annotated: DataFrame, corpus: DataFrame, question: Column, style: s
 
 
 def _or_empty(x: Column) -> Column:
-    return F.when(x == "", "<empty>").otherwise(x)
+    return F.when(x == "", EMPTY).otherwise(x)
 
 
 def _tagged(x: Column, tags: bool, n: int, docid: Column | str = "docid") -> Column:
     """The first n words with the document's id before them; empty stays empty."""
     docid = F.col(docid) if isinstance(docid, str) else docid
-    return let(truncate(x, n), lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("[docs_id:"), docid, F.lit("] "), t) if tags else t))
+    return let(truncate(x, n), lambda t: F.when(t == "", "").otherwise(F.concat(F.lit(DOCID), docid, F.lit("] "), t) if tags else t))
 
 
 def _items(visits_: Column, pick: Callable[[Column], Column], tags: bool, n: int) -> Column:
@@ -74,21 +79,21 @@ def _items(visits_: Column, pick: Callable[[Column], Column], tags: bool, n: int
 def _lines(style: str, number: Column, query: Column, docs: Column, notes: Column) -> Column:
     """One interaction's lines."""
     shows_docs, shows_notes, _, _ = STYLES[style]
-    lines = [F.concat(F.lit("Previous SubQuery "), number.cast("string"), F.lit(": "), query)]
+    lines = [F.concat(F.lit(SUBQUERY), number.cast("string"), F.lit(": "), query)]
     if shows_docs:
-        lines.append(F.concat(F.lit("Visited Documents: "), docs))
+        lines.append(F.concat(F.lit(DOCUMENTS), docs))
     if shows_notes:
-        lines.append(F.concat(F.lit("Visited Document Notes: "), notes))
+        lines.append(F.concat(F.lit(NOTES), notes))
     return F.concat_ws("\n", *lines)
 
 
 def _past(lines: Column) -> Column:
-    return F.when(F.size(lines) == 0, "Previous Interactions: <empty>").otherwise(F.concat_ws("\n", F.lit("Previous Interactions:"), F.array_join(lines, "\n")))
+    return F.when(F.size(lines) == 0, f"{PAST} {EMPTY}").otherwise(F.concat_ws("\n", F.lit(PAST), F.array_join(lines, "\n")))
 
 
 def _head(style: str, question: Column, query: Column, pre: Column) -> list[Column]:
-    now = [F.concat(F.lit("Current Reasoning: "), _or_empty(one_line(pre)))] if style == "i7" else []
-    return [F.concat(F.lit("Main Question: "), question), *now, F.concat(F.lit("Current Subquery: "), query)]
+    now = [F.concat(F.lit(REASONING), _or_empty(one_line(pre)))] if style == "i7" else []
+    return [F.concat(F.lit(QUESTION), question), *now, F.concat(F.lit(NOW), query)]
 
 
 def render(style: str, question: Column, query: Column = None, history: Column = None, pre: Column = None) -> Column:
@@ -98,7 +103,7 @@ def render(style: str, question: Column, query: Column = None, history: Column =
     if style == "i0":
         return query
     if style == "i6":
-        return F.concat(F.lit("Reasoning: "), F.when(pre == "", "Empty").otherwise(pre), F.lit("\n\nQuery: "), query)
+        return F.concat(F.lit(BARE_REASONING), F.when(pre == "", "Empty").otherwise(pre), F.lit("\n\n" + BARE_QUERY), query)
     head = _head(style, question, query, pre)
     if style == "i1":
         return F.concat_ws("\n", *head)
@@ -148,4 +153,4 @@ def with_memory(annotated: DataFrame) -> DataFrame:
 
 
 def legacy_query(question: Column, query: Column, memory: Column) -> Column:
-    return F.concat_ws("\n", F.concat(F.lit("[Q] "), question), F.concat(F.lit("[Now] "), query), F.when(memory != "", F.concat(F.lit("[Memory] "), memory)))
+    return F.concat_ws("\n", F.concat(F.lit(LEGACY_QUESTION), question), F.concat(F.lit(LEGACY_NOW), query), F.when(memory != "", F.concat(F.lit(LEGACY_MEMORY), memory)))

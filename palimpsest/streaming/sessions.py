@@ -1,8 +1,7 @@
 """Sessions as streams: de-duplicated search that goes on where the last batch stopped.
 
-The state of a session is the list of docids it has returned, bounded by the session's call budget times k; with
-``idle_ms`` it goes when nothing arrived for so long, which needs a query that keeps running. Resuming after a failure is
-the checkpoint's work.
+The state of a session is the list of docids it has returned, bounded by the session's call budget times k; it goes when nothing
+arrived for ``idle_ms``, by default a day, or stays for good where that is None. Resuming after a failure is the checkpoint's work.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.session import POOL, K
 
 POOLS = "traj string, step long, docids array<string>"
+IDLE_MS = 24 * 60 * 60 * 1000
 RESULTS = "traj string, step long, results array<string>, hidden array<string>"
 
 
@@ -47,7 +47,7 @@ def _fold(k: int, pool: int, idle_ms: int | None):
     return fold
 
 
-def dedup_search_stream(pools: DataFrame, k: int = K, pool: int = POOL, idle_ms: int | None = None) -> DataFrame:
+def dedup_search_stream(pools: DataFrame, k: int = K, pool: int = POOL, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """As operators.session.dedup_search, for a stream whose sessions' steps arrive in order."""
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return pools.groupBy("traj").applyInPandasWithState(_fold(k, pool, idle_ms), RESULTS, "seen array<string>", "append", timeout)

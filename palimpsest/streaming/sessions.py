@@ -1,7 +1,8 @@
 """Sessions as streams: de-duplicated search that goes on where the last batch stopped.
 
 The state of a session is the list of docids it has returned, bounded by the session's call budget times k; it goes when nothing
-arrived for ``idle_ms``, by default a day, or stays for good where that is None. Resuming after a failure is the checkpoint's work.
+arrived for ``idle_ms``. Such a timeout makes a query run on and on, so it is given to one that keeps running (IDLE_MS is a day); a query that
+takes what there is and ends has none, and its checkpoint holds the sessions. Resuming after a failure is the checkpoint's work.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def _fold(k: int, pool: int, idle_ms: int | None):
     return fold
 
 
-def dedup_search_stream(pools: DataFrame, k: int = K, pool: int = POOL, idle_ms: int | None = IDLE_MS) -> DataFrame:
+def dedup_search_stream(pools: DataFrame, k: int = K, pool: int = POOL, idle_ms: int | None = None) -> DataFrame:
     """As operators.session.dedup_search, for a stream whose sessions' steps arrive in order."""
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return pools.groupBy("traj").applyInPandasWithState(_fold(k, pool, idle_ms), RESULTS, "seen array<string>", "append", timeout)

@@ -1,47 +1,55 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Tokens are the words of a text, A-Z lower-cased, then one end; the end also stands before the first word. Counts of words and of
-word pairs are gathered over all training texts: tasks send counts of hashed keys, packed by range of the hash,
-and each range is merged once. Words keep exact counts. A pair seen c times has level floor(log2 c) + 1
-and goes into the filter once for each level up to its own; a query probes levels until one is absent and
-so learns the count within a factor of 2. No pair is left out, those seen once have a level too. Each range has its
-own part of the filter, so the filter grows with the pairs while a part does not: a larger corpus has more ranges.
+Tokens are the words of a text, A-Z lower-cased, then one end; the end also stands before the first word. Texts are read once and
+kept as blocks of token codes with the block's distinct words, so nothing later shuffles or hashes text. A block sends its distinct words and n-grams (pairs up to
+runs of ``order`` tokens) to ranges of their hashes, each with its count in the block's training texts. A range's task sums the counts. Words keep exact ones. An n-gram seen c times
+has level floor(log2 c) + 1 and goes into the range's part of the filter once for each level up to its own; a query probes levels until one is
+absent and so learns the count within a factor of 2. No n-gram is left out, those seen once have a level too: the filter grows
+with the n-grams while a part does not, a larger corpus has more ranges.
 
-    p(w | h) = KEEP q(h, w) / c(h) + (1 - KEEP s(h) / c(h)) (c(w) + 1) / (N + V + 1)
+    p1(w) = (c(w) + 1) / (N + V + 1)
+    pk(w | h) = (q(h w) + PRIOR pk-1(w | h less its first)) / (C(h) + PRIOR)
 
-with q the count that the probes give (a power of 2, at most the pair's count; false positives are checked against
-the words' exact counts), s(h) the sum of q over h's pairs in the filter. It sums to at most 1.
+with q the power of 2 that the probes give (at most the count; false positives are held to what shorter n-grams allow) and C(h) no less than the
+history's count: a word's is exact, a longer one's is 2 q(h) - 1. A history never seen passes on the shorter one's value. So probabilities sum to at most 1.
 
-Words and pairs are looked up without a broadcast, and nothing of the filter comes to the driver: texts are dealt into
-blocks, a block asks each range once for its distinct words and pairs, and the answers meet the block's texts again. Pairs are
-asked for by SLIM bits within their range, as differences; an answer is a byte for each, in the order of the question.
+A filter of all n-grams grows with the corpus and has no size bound, so it is not broadcast: the probes go to the parts. The packets that a block sent for counting are its
+questions too. The range's task probes its part for each packet's n-grams, and answers with a byte for each, in their order; the answers meet the block again.
+N-grams are known by SLIM bits within their range and travel as differences. Nothing of the filter comes to the driver.
 
 Cases: null and empty texts are one end; rows with a null id are scored and not learnt from; rows with equal ids are
-separate; an empty training set has N = V = 0. Words are told apart by 64-bit hashes. Other columns are ignored.
+separate; an empty training set has N = V = 0 and an empty table gives no rows. Words are told apart by 64-bit hashes. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import discard, keep, parts_for, pick, prepare, text_bytes, tidy
-from .words import BASE, Texts, U, mix, span_hashes, texts
+from .session import discard, keep, pick, prepare, text_bytes, tidy
+from .words import BASE, Texts, U, mix, release, span_hashes, texts
 
-KEEP, MOST_BITS, BITS_EACH, PROBES, LEVELS = 0.75, 1 << 28, 8, 5, 40
-#: Bits by which a pair is known within its range; a range has a bounded number of pairs.
-SLIM = 40
-#: Tokens counted together before they are sent; bytes of text for each range and block.
-PACKET, RANGE_BYTES, BLOCK_BYTES = 1 << 20, 24 << 20, 6 << 20
+ORDER, PRIOR, BITS_EACH, PROBES, LEVELS = 3, 4.0, 8, 5, 40
+#: Bits by which an n-gram is known within its range, which has a bounded number of them: at most some in 10,000 share theirs with another, few beside the filter's false positives.
+SLIM = 32
+#: Tokens in a block; bytes of text for each range.
+BLOCK_TOKENS, RANGE_BYTES = 1 << 20, 12 << 20
 END = U(0x2545F4914F6CDD1D)
 
-GRAMS = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-GRAMS_DDL = "kind int, range int, keys binary, counts binary"
+BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("flags", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("codes", pa.binary())])
+BLOCK_DDL = "block long, ids binary, flags binary, sizes binary, words binary, codes binary"
+ASK = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+ASK_DDL = "kind int, range int, block long, n int, keys binary, counts binary"
+TELL = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("found", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64())])
+TELL_DDL = "kind int, range int, block long, n int, found binary, types long, tokens long"
+SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def tokens(chunk: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -50,297 +58,266 @@ def tokens(chunk: Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(span_hashes(data, starts, ends), at[1:], END), at + np.arange(len(at))
 
 
-def before(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The token before each token."""
-    out = np.empty_like(h)
-    out[1:] = h[:-1]
-    out[at[:-1]] = END
-    return out
-
-
-def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A pair's key: 32 bits of the pair, then 32 of its first word."""
-    return (mix(first * U(BASE) + second) & U(0xFFFFFFFF00000000)) | (first & U(0xFFFFFFFF))
-
-
-def ranges(keys: np.ndarray, n: int) -> np.ndarray:
-    """The range of each pair."""
-    return keys >> U(64 - (n.bit_length() - 1)) if n > 1 else np.zeros(len(keys), U)
-
-
-def slim(keys: np.ndarray) -> np.ndarray:
-    """The bits of each pair that its range's filter knows."""
-    return mix(keys) >> U(64 - SLIM)
-
-
 def packed(x: np.ndarray) -> bytes:
-    """Ascending numbers of SLIM bits."""
-    return pa.compress(planes(np.diff(x, prepend=U(0)))[: SLIM // 8 * len(x)], "zstd", asbytes=True)
-
+    """Numbers in planes of their bytes, each alike byte beside its like, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), "zstd", asbytes=True)
 
-def unpacked(raw: pa.Buffer, n: int) -> np.ndarray:
-    return np.cumsum(unplanes(pa.decompress(raw, SLIM // 8 * n, "zstd", asbytes=True) + bytes((8 - SLIM // 8) * n), U), dtype=U)
 
-
-def planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
-
-def unplanes(raw: bytes, kind: type) -> np.ndarray:
+def unpacked(raw: pa.BinaryScalar, n: int, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys and their counts' sums."""
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    first = np.flatnonzero(new)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def _ranged(kind: int, keys: np.ndarray, counts: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    """Rows of GRAMS, by range: of words by the low bits, of pairs by the high ones."""
-    where = (keys & U(n - 1)) if kind == 0 else ranges(keys, n)
-    order = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(n + 1, dtype=U))
-    for r in range(n):
-        i = order[cuts[r] : cuts[r + 1]]
-        if len(i):
-            yield pa.record_batch([[kind], [r], [planes(keys[i])], [planes(counts[i].astype(np.int64))]], schema=GRAMS)
-
-
-def _count(n: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, size = [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for kind, held in ((0, words), (1, pairs)):
-                keys = np.concatenate(held)
-                held.clear()
-                yield from _ranged(kind, *summed(keys, np.ones(len(keys), np.int64)), n)
-
-        for chunk in texts(batches):
-            h, at = tokens(chunk)
-            words.append(h)
-            pairs.append(pair(before(h, at), h))
-            size += len(h)
-            if size >= PACKET:
-                yield from flush()
-                size = 0
-        if words:
-            yield from flush()
-
-    return count
-
-
-def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind, r = (k.as_py() for k in key)
-    keys, counts = [], []
+    flat = np.frombuffer(pa.decompress(raw.as_buffer(), size * n, "zstd"), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, n).T).view(kind).ravel()
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers."""
+    return np.diff(x, prepend=U(0))
+
+
+class Tokens(NamedTuple):
+    """A block: each text's id, whether it is valid, whether it is learnt from, its number of tokens; the distinct words in order, and each token's code."""
+
+    ids: np.ndarray
+    valid: np.ndarray
+    learn: np.ndarray
+    sizes: np.ndarray
+    words: np.ndarray
+    codes: np.ndarray
+
+    def row(self, block: int) -> pa.RecordBatch:
+        flags = self.valid.astype(np.uint8) + 2 * self.learn.astype(np.uint8)
+        often = np.argsort(-np.bincount(self.codes, minlength=len(self.words)), kind="stable")  # frequent words first, so their codes are small
+        rank = np.empty(len(often), np.uint32)
+        rank[often] = np.arange(len(often))
+        values = [packed(x) for x in (self.ids, flags, self.sizes.astype(np.uint32), self.words[often], rank[self.codes])]
+        lengths = np.array([len(self.ids), len(self.words), len(self.codes)], "<i4").tobytes()
+        values[1] = lengths + values[1]
+        return pa.record_batch([[block], *[[x] for x in values]], schema=BLOCK)
+
+    def grams(self, order: int) -> Iterator[np.ndarray]:
+        """For lengths from 2 to ``order``, the key of the n-gram that ends at each token; before a text stand ends."""
+        own = self.words[self.codes]
+        first = np.cumsum(self.sizes) - self.sizes
+        last, pad = own, END
+        for _ in range(2, order + 1):
+            before = np.empty_like(last)
+            before[1:] = last[:-1]
+            before[first] = pad
+            last = mix(before * U(BASE) + own)
+            yield last
+            pad = mix(np.array([pad], U) * U(BASE) + END)[0]
+
+
+def block_of(row: dict) -> Tokens:
+    n, v, t = np.frombuffer(row["flags"].as_buffer()[:12], "<i4").tolist()
+    flags = np.frombuffer(pa.decompress(row["flags"].as_buffer()[12:], n, "zstd"), np.uint8)
+    words = unpacked(row["words"], v, U)
+    order = np.argsort(words)
+    place = np.empty(v, np.uint32)
+    place[order] = np.arange(v)
+    return Tokens(unpacked(row["ids"], n, np.int64), flags & 1 > 0, flags & 2 > 0, unpacked(row["sizes"], n, np.uint32).astype(np.int64), words[order], place[unpacked(row["codes"], t, np.uint32)])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Tokens]]:
     for batch in batches:
-        keys += [unplanes(x.as_buffer(), U) for x in batch.column("keys")]
-        counts += [unplanes(x.as_buffer(), np.int64) for x in batch.column("counts")]
-    keys, counts = summed(np.concatenate(keys), np.concatenate(counts))
-    yield pa.record_batch([[kind], [r], [planes(keys)], [planes(counts)]], schema=GRAMS)
-
+        for i in range(batch.num_rows):
+            yield batch.column("block")[i].as_py(), block_of({c: batch.column(c)[i] for c in BLOCK.names[1:]})
 
-def level(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(counts).astype(np.int64) + 1, LEVELS)
-
-
-def mixed(keys: np.ndarray, q: int, probe: int) -> np.ndarray:
-    """48-bit hashes of a level's keys for one probe."""
-    return (mix(keys + U((q * BASE + probe * 0x1E3779B97F4A7C15) & (2**64 - 1))) >> U(16)).astype(np.int64)
 
+def blocks(docs: DataFrame, size: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of about ``size`` tokens of (doc_id, text, learn); no text is cut."""
 
-class Filter:
-    """The parts' bits end to end; ``first`` and ``size`` (in bits) of each part."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, made, part = [], 0, 0, TaskContext.get().partitionId()
 
-    def __init__(self, bits: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
-        self.bits, self.first, self.size = bits, first, size
-
-    def levels(self, known: np.ndarray, part: np.ndarray) -> np.ndarray:
-        """For each pair (its slim bits and part) the level that the probes give, 0 if absent."""
-        out = np.zeros(len(known), np.uint8)
-        alive = np.flatnonzero(self.size[part] > 0)
-        for q in range(1, LEVELS + 1):
-            for probe in range(PROBES):
-                if not len(alive):
-                    return out
-                p = part[alive]
-                spot = self.first[p] + mixed(known[alive], q, probe) % self.size[p]
-                alive = alive[(self.bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1]
-            out[alive] = q
-        return out
-
-    def counts(self, keys: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """For each pair the power of 2 that the probes give, 0 if absent; never above ``most``."""
-        return bounded(self.levels(slim(keys), ranges(keys, len(self.first)).astype(np.int64)), most)
+        def flush() -> pa.RecordBatch:
+            ids, valid, learn, sizes, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            words, codes = np.unique(h, return_inverse=True)
+            return Tokens(ids, valid, learn, sizes, words, codes).row(part << 32 | made)
 
+        for batch in batches:
+            ids, learn = batch.column("doc_id"), batch.column("learn").fill_null(False).to_numpy(zero_copy_only=False)
+            valid, ids = ~np.asarray(ids.is_null()), ids.fill_null(0).to_numpy()
+            for chunk in texts(iter([pa.record_batch([pa.array(np.arange(batch.num_rows)), batch.column("text")], names=["i", "text"])])):
+                h, at = tokens(chunk)
+                held.append((ids[chunk.ids], valid[chunk.ids], learn[chunk.ids] & valid[chunk.ids], np.diff(at), h))
+                total += len(h)
+                if total >= size:
+                    yield flush()
+                    total, made = 0, made + 1
+        if held:
+            yield flush()
+        release()
+
+    return docs.select("doc_id", "text", "learn").mapInArrow(cut, BLOCK_DDL)
 
-def bounded(levels: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """The levels' powers of 2, but never above ``most``: the power is then that of the probes that ``most`` leaves."""
-    top = np.minimum(levels, np.where(most > 0, level(np.maximum(most, 1)), 0)).astype(np.int64)
-    return np.where(top > 0, np.int64(1) << np.maximum(top - 1, 0), 0)
 
+def ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """The range of each key, by its first bits; ``n`` is a power of 2."""
+    return keys >> U(64 - (n.bit_length() - 1)) if n > 1 else np.zeros(len(keys), U)
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column("counts"):
-            c = unplanes(raw.as_buffer(), np.int64)
-            yield pa.record_batch([[len(c)], [int(c.sum())]], names=["types", "tokens"])
 
+def slots(keys: np.ndarray, n: int) -> np.ndarray:
+    """Ranges and SLIM bits of n-grams, in one number."""
+    return (ranges(keys, n) << U(SLIM)) | (mix(keys) >> U(64 - SLIM))
 
-PARTS = pa.schema([*GRAMS, ("bits", pa.binary())])
-PARTS_DDL = GRAMS_DDL + ", bits binary"
 
+def _by_range(kind: int, sorted_keys: np.ndarray, n: int) -> Iterator[tuple[int, slice, bytes]]:
+    """(range, place, packed keys) for each range that some of the keys (of words, or slots of n-grams) are in."""
+    edges = np.arange(n, dtype=U) << U(SLIM) if kind else np.arange(n, dtype=U) << U(64 - (n.bit_length() - 1)) if n > 1 else np.zeros(1, U)
+    cuts = [*np.searchsorted(sorted_keys, edges).tolist(), len(sorted_keys)]
+    for r in range(n):
+        own = sorted_keys[cuts[r] : cuts[r + 1]]
+        if len(own):
+            yield r, slice(cuts[r], cuts[r + 1]), packed(steps(own & U((1 << SLIM) - 1) if kind else own))
 
-def _build(n: int):
-    """The filter's part of each range (kind 1), and for each first word (32 bits of it) the sum of its pairs' powers of 2, by range of words (kind 2)."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r, raw, count in zip(*(batch.column(c) for c in ("range", "keys", "counts")), strict=True):
-                keys, levels = unplanes(raw.as_buffer(), U), level(unplanes(count.as_buffer(), np.int64))
-                size = max(8, -(-int(levels.sum()) * BITS_EACH // 8) * 8)
-                bits = np.zeros(size // 8, np.uint8)
-                known = slim(keys)
-                for q in range(1, int(levels.max(initial=0)) + 1):
-                    own = known[levels >= q]
-                    for probe in range(PROBES):
-                        spot = mixed(own, q, probe) % size
-                        np.bitwise_or.at(bits, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
-                yield pa.record_batch([[1], [r.as_py()], [b""], [b""], [bits.tobytes()]], schema=PARTS)
-                for made in _ranged(0, *summed(keys & U(0xFFFFFFFF), np.int64(1) << (levels - 1)), n):
-                    yield pa.record_batch([[2], made.column("range"), made.column("keys"), made.column("counts"), pa.nulls(1, pa.binary())], schema=PARTS)
+def _ask(n: int, order: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, block in _rows(batches):
+            learnt = np.repeat(block.learn, block.sizes)
+            many = np.bincount(block.codes[learnt], minlength=len(block.words))
+            for kind, keys, counts in _distinct(block, many, learnt, n, order):
+                for r, place, raw in _by_range(kind, keys, n):
+                    yield pa.record_batch([[kind], [r], [name], [place.stop - place.start], [raw], [packed(counts[place].astype(np.uint32))]], schema=ASK)
+        release()
 
-    return build
+    return ask
 
 
-ASK = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary())])
-ASK_DDL = "kind int, range int, block int, n int, keys binary"
-TELL = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("kept", pa.binary())])
-TELL_DDL = ASK_DDL + ", counts binary, kept binary"
+def _distinct(block: Tokens, many: np.ndarray, learnt: np.ndarray, n: int, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, distinct keys, their counts in training texts) of a block: kind 0 are words, then n-grams by their length less 1."""
+    yield 0, block.words, many
+    for kind, keys in enumerate(block.grams(order), 1):
+        keys, place = np.unique(slots(keys, n), return_inverse=True)
+        yield kind, keys, np.bincount(place[learnt], minlength=len(keys))
 
 
-def slots(keys: np.ndarray, n: int) -> np.ndarray:
-    """Ranges and slim bits of pairs, in one number."""
-    return (ranges(keys, n) << U(SLIM)) | slim(keys)
-
-
-def _ask(n: int):
-    def ask(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, block = [], [], key[0].as_py()
-        for chunk in texts(b.select(["doc_id", "text"]) for b in batches):
-            h, at = tokens(chunk)
-            words.append(np.unique(h))
-            pairs.append(np.unique(slots(pair(before(h, at), h), n)))
-            for held in (words, pairs):
-                if len(held) > 8:
-                    held[:] = [np.unique(np.concatenate(held))]
-        keys, asked = np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
-        for made in _ranged(0, keys, np.zeros(len(keys), np.int64), n):
-            yield pa.record_batch([pa.array([0], pa.int32()), made.column("range"), pa.array([block], pa.int32()), pa.array([0], pa.int32()), made.column("keys")], schema=ASK)
-        cuts = np.searchsorted(asked, np.arange(n + 1, dtype=U) << U(SLIM))
-        for r in np.flatnonzero(np.diff(cuts)).tolist():
-            own = asked[cuts[r] : cuts[r + 1]] & U((1 << SLIM) - 1)
-            yield pa.record_batch([[1], [r], [block], [len(own)], [packed(own)]], schema=ASK)
+def level(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(counts).astype(np.int64) + 1, LEVELS)
 
-    return ask
 
+def spots(known: np.ndarray, q: int, size: int) -> Iterator[np.ndarray]:
+    """The PROBES bits of each key and a level, in a part of ``size`` bits, by two hashes."""
+    h = mix(known + U(q * BASE & (2**64 - 1)))
+    spot, step = (h >> U(32)) % U(size), ((h & U(0xFFFFFFFF)) | U(1)) % U(size)
+    for probe in range(PROBES):
+        yield ((spot + U(probe) * step) % U(size)).view(np.int64)
+
+
+def part_of(known: np.ndarray, levels: np.ndarray, bits_each: int = BITS_EACH) -> np.ndarray:
+    """A part of the filter: each key once for each level up to its own."""
+    size = max(8, -(-int(levels.sum()) * bits_each // 8) * 8)
+    bits = np.zeros(size, bool)
+    for q in range(1, int(levels.max(initial=0)) + 1):
+        for spot in spots(known[levels >= q], q, size):
+            bits[spot] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def probed(bits: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For each key the level that repeated probes give, 0 if it is absent."""
+    out, alive = np.zeros(len(known), np.uint8), np.arange(len(known) if len(bits) else 0)
+    for q in range(1, LEVELS + 1):
+        if not len(alive):
+            break
+        there = np.ones(len(alive), bool)
+        for spot in spots(known[alive], q, 8 * len(bits)):
+            there &= (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+        alive = alive[there]
+        out[alive] = q
+    return out
 
-def _look(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(keys), np.int64)
-    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[place] == keys, values[place], 0)
-
-
-def _tell(asked: pa.Table, grams: pa.Table) -> pa.Table:
-    known, part = {}, np.zeros(0, np.uint8)
-    for kind, raw, count, bits in zip(grams.column("kind").to_pylist(), grams.column("keys"), grams.column("counts"), grams.column("bits"), strict=True):
-        if kind == 1:
-            part = np.frombuffer(bits.as_buffer(), np.uint8)
-        else:
-            known[kind] = unplanes(raw.as_buffer(), U), unplanes(count.as_buffer(), np.int64)
-    own = Filter(part, np.zeros(1, np.int64), np.array([8 * len(part)]))
-    none = np.zeros(0, U), np.zeros(0, np.int64)
-    sent, counts, kept = [], [], []
-    for kind, n, raw in zip(asked.column("kind").to_pylist(), asked.column("n").to_pylist(), asked.column("keys"), strict=True):
-        if kind == 1:
-            levels = own.levels(unpacked(raw.as_buffer(), n), np.zeros(n, np.int64))
-            sent.append(b"")
-            counts.append(pa.compress(levels.tobytes(), "zstd", asbytes=True))
-            kept.append(b"")
-            continue
-        keys = unplanes(raw.as_buffer(), U)
-        c = _look(keys, *known.get(0, none))
-        sent.append(raw.as_py())
-        counts.append(planes(c))
-        kept.append(planes(np.minimum(_look(keys & U(0xFFFFFFFF), *known.get(2, none)), c)))
-    return pa.table([*(asked.column(c) for c in ("kind", "range", "block", "n")), pa.array(sent, pa.binary()), pa.array(counts, pa.binary()), pa.array(kept, pa.binary())], schema=TELL)
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, their counts' sums, and for each of ``keys`` which of them it is."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    first = np.flatnonzero(new)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return keys[order[first]], np.add.reduceat(counts[order].astype(np.int64), first), which
 
-SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
+def _tell(bits_each: int):
+    """A range's answers to all packets: counts of words, levels of n-grams; with its first answer, how many words it has and how often."""
 
-def _score(n_tokens: int, n_types: int, n: int):
-    def score(told: pa.Table, docs: pa.Table) -> pa.Table:
-        of_kind = [told.filter(pc.equal(told.column("kind"), kind)).sort_by("range") for kind in (0, 1)]
-        join = lambda column, kind: np.concatenate([unplanes(x.as_buffer(), kind) for x in of_kind[0].column(column)])
-        keys = join("keys", U)
-        order = np.argsort(keys)
-        keys, counts, kept = keys[order], join("counts", np.int64)[order], join("kept", np.int64)[order]
-        levels = np.concatenate([np.frombuffer(pa.decompress(x.as_buffer(), size, "zstd", asbytes=True), np.uint8) for x, size in zip(of_kind[1].column("counts"), of_kind[1].column("n").to_pylist(), strict=True)])
-        chunks = [(chunk.ids, chunk.valid, *tokens(chunk)) for chunk in texts(docs.select(["doc_id", "text"]).to_batches())]
-        asked = np.unique(np.concatenate([np.unique(slots(pair(before(h, at), h), n)) for _, _, h, at in chunks]))
-        out = []
-        for ids, valid, h, at in chunks:
-            place = np.searchsorted(keys, h)
-            first = before(h, at)
-            c, last = counts[place], np.empty(len(h), np.int64)
-            last[1:] = place[:-1]
-            last[at[:-1]] = np.searchsorted(keys, END)
-            c_first, s_first = counts[last], kept[last]
-            p = (c + 1) / (n_tokens + n_types + 1)
-            q = bounded(levels[np.searchsorted(asked, slots(pair(first, h), n))], np.minimum(np.minimum(c_first, c), s_first))
-            seen = np.maximum(c_first, 1)
-            model = np.where(c_first > 0, KEEP * q / seen + (1 - KEEP * s_first / seen) * p, p)
-            total = lambda x: np.add.reduceat(x, at[:-1])
-            out.append(pa.record_batch([pa.array(ids, mask=~valid), pa.array(np.diff(at)), pa.array(total((c > 0).astype(np.int64))), pa.array(total(np.log10(p))), pa.array(total(np.log10(model)))], schema=SCORED))
-        return pa.Table.from_batches(out, SCORED)
+    def tell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, r = (k.as_py() for k in key)
+        names, asked, counts = [], [], []
+        for batch in batches:
+            names += batch.column("block").to_pylist()
+            for size, raw, count in zip(batch.column("n").to_pylist(), batch.column("keys"), batch.column("counts"), strict=True):
+                asked.append(np.cumsum(unpacked(raw, size, U), dtype=U))
+                counts.append(unpacked(count, size, np.uint32))
+        sizes = [len(x) for x in asked]
+        keys, counts, which = _summed(np.concatenate(asked), np.concatenate(counts))
+        asked.clear()
+        seen = counts > 0
+        found = probed(part_of(keys[seen], level(counts[seen]), bits_each), keys) if kind else counts
+        sums = (int(seen.sum()), int(counts.sum())) if kind == 0 else (0, 0)
+        at = 0
+        for name, size in zip(names, sizes, strict=True):
+            yield pa.record_batch([[kind], [r], [name], [size], [packed(found[which[at : at + size]])], [sums[0]], [sums[1]]], schema=TELL)
+            at, sums = at + size, (0, 0)
+        release()
+
+    return tell
+
+
+def power(levels: np.ndarray) -> np.ndarray:
+    """The least count of each level, 0 for level 0."""
+    return np.where(levels > 0, 2.0 ** (levels.astype(np.float64) - 1), 0.0)
+
+
+def _score(model_tokens: int, model_types: int, n: int, order: int, prior: float):
+    def score(told: pa.Table, rows: pa.Table) -> pa.Table:
+        answers = []
+        for kind in range(order):
+            own = told.filter(pc.equal(told.column("kind"), kind)).sort_by("range")
+            answers.append(np.concatenate([unpacked(raw, size, np.int64 if kind == 0 else np.uint8) for size, raw in zip(own.column("n").to_pylist(), own.column("found"), strict=True)]))
+        ((_, block),) = _rows(rows.combine_chunks().to_batches())
+        first = np.cumsum(block.sizes) - block.sizes
+        shifted = lambda x, start: np.insert(x[:-1], 0, start)
+        c = answers[0][block.codes]
+        end = int(answers[0][np.searchsorted(block.words, END)])
+        base = (c + 1) / (model_tokens + model_types + 1)
+        p, history, most = base, shifted(c, end), np.where(c > 0, level(np.maximum(c, 1)), 0)
+        history[first] = end
+        most = np.minimum(most, np.where(history > 0, level(np.maximum(history, 1)), 0))
+        for kind, keys in enumerate(block.grams(order), 1):
+            asked, place = np.unique(slots(keys, n), return_inverse=True)
+            levels = np.minimum(answers[kind][place], most).astype(np.int64)
+            longer = np.where(history > 0, (power(levels) + prior * p) / (history + prior), p)
+            if kind > 1:  # before the k-th token of a text an n-gram of k tokens has one more end, and says no more
+                for j in range(kind - 1):
+                    at = (first + j)[block.sizes > j]
+                    longer[at], levels[at] = p[at], last[at]  # noqa: F821
+            p, last = longer, levels
+            history = 2 * power(shifted(levels, 0)) - 1
+            history[first] = 0
+            most = np.minimum(levels, shifted(levels, 0))
+        total = lambda x: np.add.reduceat(x, first)
+        return pa.table([pa.array(block.ids, mask=~block.valid), pa.array(block.sizes), pa.array(total((c > 0).astype(np.int64))), pa.array(total(np.log10(base))), pa.array(total(np.log10(p)))], schema=SCORED)
 
     return score
 
 
-def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
-    """For each row: doc_id, n_tokens, n_known, train_tokens, base_score, score. ``learn``: which rows (by doc_id) are learnt from.
-
-    ``most_bits``: about the most bits of one range's part of the filter; smaller parts make more of them and lose nothing.
-    """
+def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float = PRIOR, bits_each: int = BITS_EACH, block_tokens: int = BLOCK_TOKENS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """For each row: doc_id, n_tokens, n_known, train_tokens, base_score, score. ``learn``: which rows (by doc_id) are learnt from."""
     prepare(docs.sparkSession)
-    spark = docs.sparkSession
     docs = pick(docs, doc_id=id_col, text=text_col)
-    size = text_bytes(docs)
-    n = 1
-    while n * RANGE_BYTES < size or n * most_bits < BITS_EACH * size / 6:  # a token has about six bytes and adds one level at most
+    table = keep(blocks(docs.withColumn("learn", learn), block_tokens))
+    size, n = text_bytes(docs), 1
+    while n * range_bytes < size:
         n *= 2
-    packets = docs.filter(learn).mapInArrow(_count(n), GRAMS_DDL)
-    grams = keep(packets.groupBy("kind", "range").applyInArrow(_merge, GRAMS_DDL))
-    tidy(spark)
-    pairs = grams.filter("kind = 1")
-    sizes = grams.filter("kind = 0").mapInArrow(_totals, "types long, tokens long").agg(F.coalesce(F.sum("types"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()
-    built = keep(pairs.mapInArrow(_build(n), PARTS_DDL))
-    kept = built.filter("kind = 2").drop("bits").groupBy("kind", "range").applyInArrow(_merge, GRAMS_DDL)
-    bare = grams.filter("kind = 0").unionByName(kept).withColumn("bits", F.lit(None).cast("binary"))
-    known = keep(bare.unionByName(built.filter("kind = 1")))
-    discard(grams, built)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts_for(size, BLOCK_BYTES))).cast("int"))
-    asked = dealt.groupBy("block").applyInArrow(_ask(n), ASK_DDL)
-    told = asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_tell, TELL_DDL)
-    told = keep(told)
-    discard(known)
-    out = told.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_score(sizes["n"], sizes["v"], n), "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(sizes["n"]).cast("bigint").alias("train_tokens"), "base_score", "score")
+    told = keep(table.mapInArrow(_ask(n, order), ASK_DDL).groupBy("kind", "range").applyInArrow(_tell(bits_each), TELL_DDL))
+    tidy(docs.sparkSession)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    sums = told.agg(total("types"), total("tokens")).first()
+    score = _score(sums["tokens"], sums["types"], n, order, prior)
+    out = keep(told.drop("types", "tokens").groupBy("block").cogroup(table.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double"))
+    discard(table, told)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(sums["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -129,7 +129,7 @@ def test_scores_equal_brute_force_and_no_ngram_is_left_out(frame):
     words = {i: t.encode().split() + [None] for i, t in enumerate(said)}
     learnt = [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2]
     for order in (1, 2, 3, 4):
-        wanted = brute_scores(words, learnt, order, 4.0)
+        wanted = brute_scores(words, learnt, order, lm_score.PRIOR)
         for options in ({}, {"block_tokens": 100, "range_bytes": 500}):
             for r in lm_rows(frame(said), len(said), order=order, bits_each=400, **options):
                 assert math.isclose(r["score"], wanted[r["doc_id"]], rel_tol=1e-9), (order, r)
@@ -143,14 +143,14 @@ def test_the_model_sums_to_at_most_one(frame):
     for before in (["a", "b"], ["e", "e"], ["c", "a"]):
         history = [w.encode() for w in before]
         tries = {i: [*history, w] for i, w in enumerate(tokens)}
-        whole = brute_scores({**words, **{1000 + i: t for i, t in tries.items()}, 2000: history}, learnt, 3, 4.0)
+        whole = brute_scores({**words, **{1000 + i: t for i, t in tries.items()}, 2000: history}, learnt, 3, lm_score.PRIOR)
         assert sum(10 ** (whole[1000 + i] - whole[2000]) for i in tries) <= 1 + 1e-9
 
 
 def test_the_filters_usual_size_changes_scores_little(frame):
     said = [" ".join(f"w{(i * 37 + k * (i + 1)) % 97}" for k in range(40)) for i in range(60)]
     words = {i: t.encode().split() + [None] for i, t in enumerate(said)}
-    wanted = brute_scores(words, [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2], 3, 4.0)
+    wanted = brute_scores(words, [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2], 3, lm_score.PRIOR)
     over = [abs(r["score"] - wanted[r["doc_id"]]) for r in lm_rows(frame(said), 60)]
     assert sum(over) < 0.03 * 60 * 41
 

@@ -16,5 +16,6 @@ def _ascii(x: str | None) -> str:
 def normalize(x: Column) -> Column:
     """Compatibility decomposition to ASCII, lower case, marks to spaces, single spaces. Texts that are ASCII skip Python."""
     fold = F.pandas_udf(lambda s: s.map(_ascii), T.StringType())
-    plain = F.when(x.rlike(r"^\p{ASCII}*$"), x).otherwise(fold(x))
+    is_plain = F.coalesce(F.octet_length(x) == F.length(x), F.lit(False))
+    plain = F.when(is_plain, x).otherwise(fold(F.when(~is_plain, x)))  # a condition alone doesn't keep rows from Python, so they go as nulls
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(plain, F.lit(""))), r"[^\w\s]", " "), r"\s+", " "))

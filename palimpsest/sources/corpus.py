@@ -150,10 +150,13 @@ def write_embeddings(vectors: DataFrame, path: str, rows: int = 10_000) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir; a temporary one only where there is one machine."""
+    """A new folder that all executors share: below spark.checkpoint.dir; a temporary one only where there is one machine. It goes when the driver's JVM ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="scratch-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path

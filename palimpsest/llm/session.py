@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; at Spark's default of 10,000 a run of long texts would not fit in a worker.
@@ -81,6 +81,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").cast(types[new]).alias(new) if new in types else F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts_for(total: float, each: float, least: int = 1) -> int:
     """How many parts of about ``each`` units hold ``total`` units."""
     return max(least, int(total // each) + 1)
@@ -91,25 +99,25 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(text).cast("bigint")), F.lit(0)).alias("n")).first()["n"]
 
 
-def _maybe(df: DataFrame, column: str, wanted: DataFrame) -> tuple[DataFrame, Column]:
-    """``df`` with a table of bits, and whether a row's key may be among the single column of ``wanted``.
+def _maybe(df: DataFrame, column: str, wanted: DataFrame) -> tuple[DataFrame, Column, str]:
+    """``df`` with a table of bits, whether a row's key may be among the single column of ``wanted``, and the table's name.
 
     The table has FILTER_WORDS words, whatever the size of ``wanted``: that bounds the broadcast.
     """
-    key = wanted.columns[0]
-    bit = lambda c, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(FILTER_WORDS * 64))
+    key, name = wanted.columns[0], fresh(df, "bits_")
+    bit = lambda c, seed: F.pmod(F.xxhash64(c.cast("bigint"), F.lit(seed)), F.lit(FILTER_WORDS * 64))
     slots = wanted.select(F.explode(F.array(*[bit(F.col(key), s) for s in (1, 2)])).alias("bit"))
     slots = slots.groupBy(F.expr("cast(bit div 64 as int)").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("word"))
     got = slots.toArrow()
     words = np.zeros(FILTER_WORDS, np.int64)
     words[got.column("slot").to_numpy()] = got.column("word").to_numpy()
-    filled = df.sparkSession.createDataFrame(pa.table({"words_": pa.array([words], pa.list_(pa.int64()))}))
+    filled = df.sparkSession.createDataFrame(pa.table({name: pa.array([words], pa.list_(pa.int64()))}))
 
     def hit(seed: int) -> Column:
-        b = bit(F.col(column), seed)
-        return F.expr("words_")[(b / 64).cast("int")].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (b % 64).cast("int"))) != 0
+        b = bit(F.col(f"`{column}`"), seed)
+        return F.col(name)[(b / 64).cast("int")].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (b % 64).cast("int"))) != 0
 
-    return df.crossJoin(F.broadcast(filled)), F.coalesce(hit(1) & hit(2) & F.col(column).isNotNull(), F.lit(False))
+    return df.crossJoin(F.broadcast(filled)), F.coalesce(hit(1) & hit(2) & F.col(f"`{column}`").isNotNull(), F.lit(False)), name
 
 
 def prefilter(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -117,16 +125,27 @@ def prefilter(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 
     It spares the shuffle of texts that no join needs.
     """
-    both, hit = _maybe(df, column, wanted)
-    return both.filter(hit).drop("words_")
+    both, hit, bits = _maybe(df, column, wanted)
+    return both.filter(hit).drop(bits)
 
 
 def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key isn't among the single column of ``gone``; only those that may be are shuffled."""
-    both, hit = _maybe(df, column, gone)
-    gone = gone.select(F.col(gone.columns[0]).cast("bigint").alias("gone_"))
-    some = both.filter(hit).drop("words_")
-    return both.filter(~hit).drop("words_").unionByName(some.join(gone, some[column].cast("bigint") == gone["gone_"], "left_anti"))
+    """Rows of ``df`` whose key isn't among the single column of ``gone``; only those that may be are shuffled. Null keys stay."""
+    both, hit, bits = _maybe(df, column, gone)
+    name = fresh(df, "gone_")
+    gone = gone.select(F.col(gone.columns[0]).cast("bigint").alias(name))
+    some = both.filter(hit).drop(bits)
+    return both.filter(~hit).drop(bits).unionByName(some.join(gone, F.col(f"`{column}`").cast("bigint") == F.col(name), "left_anti"))
+
+
+def one_each(df: DataFrame, column: str, repeated: DataFrame) -> DataFrame:
+    """Of the rows with a key among the single column of ``repeated`` one for each key, by a hash of all columns; other rows as they are."""
+    both, hit, bits = _maybe(df, column, repeated)
+    name = fresh(df, "rank_")
+    values = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    rank = F.row_number().over(Window.partitionBy(F.col(f"`{column}`")).orderBy(F.xxhash64(*values)))
+    some = both.filter(hit).drop(bits).withColumn(name, rank).filter(F.col(name) == 1).drop(name)
+    return both.filter(~hit).drop(bits).unionByName(some)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -183,3 +183,16 @@ def test_words_split_as_bytes_do():
         data, starts, ends, at = chunk.words()
         got = [[data[s:e].tobytes() for s, e in zip(starts[a:b], ends[a:b], strict=True)] for a, b in zip(at[:-1], at[1:], strict=True)]
         assert got == [r.lower().split() for r in raw]
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark, frame):
+    from palimpsest.llm.labelled import sample
+
+    docs = frame([*["x" * 100] * 20, "y" * 5000, None]).select("doc_id", "text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(22)], "doc_id long, toxic int")
+    rows = lambda **options: sample(docs, labels, "toxic", F.lit(True), per_class=True, **options)[0]
+    assert rows(most=8).num_rows == 8 and rows(most=100).num_rows == 22
+    some = rows(most=100, most_bytes=1000)
+    assert 1 <= some.num_rows < 22 and (some.num_rows == 1 or sum(len(t or "") for t in some.column("text").to_pylist()) <= 1000)
+    assert some.equals(rows(most=100, most_bytes=1000)) and rows(most=100, most_bytes=0).num_rows >= 1
+    assert sample(docs.limit(0), labels, "toxic", F.lit(True), 8, True)[0].num_rows == 0

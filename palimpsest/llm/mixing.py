@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import keep, pick, prepare
+from .session import fresh, keep, pick, prepare
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one (source, size) ranked together.
@@ -30,17 +30,31 @@ TOGETHER = 4096
 STEPS, CLOSE = 60, 1e-9
 
 
+def _before(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """Adds for each name the sum over all rows before a row in ``order``, by ranges of the order: sums before a range and those within it.
+
+    One row for each range is all that meets in one task.
+    """
+    ranged = keep(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    totals = totals.select("range", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_range") for n in sums])
+    out = ranged.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}).join(F.broadcast(totals), "range")
+    return out.withColumns({n: F.col(n) + F.col(f"{n}_range") for n in sums}).drop("range", *[f"{n}_range" for n in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """(k, source, source_size, target) from (source, source_size); k is the source's place. The number of sources is small beside the rows."""
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("k") - 1, F.lit(len(weights))) + 1)
-    named = sizes.withColumn("k", F.row_number().over(order)).withColumn("w", weight).withColumn("cap", F.col("source_size") * float(most))
-    level = Window.orderBy(F.col("cap") / F.col("w"), "k")
-    before, rest = level.rowsBetween(Window.unboundedPreceding, -1), level.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    spread = named.withColumn("c", (share * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest))
-    fits = F.min(F.when(F.col("c") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), "k", "c"))).over(every).getField("c")
-    return spread.withColumn("fit", fits).select("k", "source", "source_size", F.least("cap", F.coalesce(F.col("fit") * F.col("w"), F.col("cap"))).alias("target"))
+    """(k, source, source_size, target) from (source, source_size); k is the source's place."""
+    placed = _before(sizes, [F.col("source").isNull(), F.col("source")], k=F.lit(1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("k") - 1, F.lit(len(weights))).cast("int") + 1)
+    named = placed.withColumn("k", F.col("k") + 1).withColumn("w", weight).withColumn("cap", F.col("source_size") * float(most))
+    named = _before(named, [F.col("cap") / F.col("w"), F.col("k")], caps=F.col("cap"), lighter=F.col("w"))
+    totals = named.agg((F.sum("source_size") * share).alias("all"), F.sum("w").alias("weight"))
+    spread = named.crossJoin(F.broadcast(totals)).withColumn("c", (F.col("all") - F.col("caps")) / (F.col("weight") - F.col("lighter")))
+    fits = F.min(F.when(F.col("c") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), "k", "c"))).getField("c").alias("fit")
+    both = named.crossJoin(F.broadcast(spread.agg(fits)))  # one row
+    return both.select("k", "source", "source_size", F.least("cap", F.coalesce(F.col("fit") * F.col("w"), F.col("cap"))).alias("target"))
 
 
 def solve(counts: DataFrame, named: DataFrame, most: float) -> DataFrame:
@@ -107,9 +121,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     # Hashes pass over nulls, so which columns are null is hashed too; maps can't be hashed but as text.
     value = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
     row = F.xxhash64(*[value(f) for f in docs.schema], F.array(*[F.col(f"`{c}`").isNull() for c in docs.columns]))
-    named = docs.withColumn("h_", row)
-    copies = rates(named, id_col=id_col, text_col=text_col, source_col=source_col, row_col="h_", **options)
-    copies = copies.filter("copies > 0").groupBy(F.col("doc_id").alias("id_"), F.col("row").alias("h_")).agg(F.sum("copies").cast("int").alias("copies_"))
-    rows = named.withColumn("id_", F.col(id_col).cast("bigint")).dropDuplicates(["id_", "h_"])
-    joined = rows.alias("r").join(copies.alias("c"), F.col("r.id_").eqNullSafe(F.col("c.id_")) & (F.col("r.h_") == F.col("c.h_")))
-    return joined.withColumn("copy_", F.explode(F.array_repeat(F.lit(0), F.col("copies_")))).select(*[F.col(f"r.`{c}`") for c in docs.columns])
+    h, key, copy = (fresh(docs, n) for n in ("hash_", "id_", "copy_"))
+    named = docs.withColumn(h, row)
+    copies = rates(named, id_col=id_col, text_col=text_col, source_col=source_col, row_col=h, **options)
+    copies = copies.filter("copies > 0").groupBy(F.col("doc_id").alias("id"), "row").agg(F.sum("copies").cast("int").alias("copies"))
+    rows = named.withColumn(key, F.col(f"`{id_col}`").cast("bigint")).dropDuplicates([key, h])
+    joined = rows.alias("r").join(copies.alias("c"), F.col(f"r.{key}").eqNullSafe(F.col("c.id")) & (F.col(f"r.{h}") == F.col("c.row")))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col("c.copies")))).select(*[F.col(f"r.`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ does not meet in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .session import discard, keep
@@ -23,8 +23,10 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         pushed = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         up = labels.select(F.col("node").alias("new"), F.col("component").alias("top"))
-        moved = keep(pushed.join(up, "new", "left").select("node", "old", F.least("new", F.coalesce("top", "new")).alias("component")))
-        changed = moved.filter("component <> old").limit(1).count()
+        moved = pushed.join(up, "new", "left").select("node", "old", F.least("new", F.coalesce("top", "new")).alias("component"))
+        changes = Observation()
+        moved = keep(moved.observe(changes, F.count(F.when(F.col("component") != F.col("old"), 1)).alias("n")))  # counted as it is written
+        changed = changes.get["n"]
         discard(was)
         was, labels = moved, moved.select("node", "component")
         if not changed:

@@ -5,8 +5,8 @@ the hashes in each part: such a sketch is linear, so the parts in which two sket
 the symmetric difference of the sets. Sets with Jaccard similarity t and sizes below B differ in
 at most d = 2 (B - 1) (1 - t) / (1 + t) members, so all but d parts agree (pigeonhole): of the first
 d + 1 + s parts that each set has, in one order for all sets, at least s + 1 are the same. Those parts'
-digests are the join keys. Bands of sizes end at B = RATIO ** k; a set just below a band's end, which may
-link with one beyond it, sends keys for the next band too. The order puts parts first that hold a
+digests are the join keys. Bands of sizes end at B = RATIO ** k; a set sends keys for its own band and for each one
+beyond it that holds sizes it may link with, up to its size / t. The order puts parts first that hold a
 shingle which a sample of texts (SAMPLE texts; at most 2**18 shingles) does not show to be common. The
 sample decides the order alone: any order gives the same links, this one gives few candidates.
 
@@ -24,7 +24,8 @@ Cases: null or empty texts, and texts without words, have an empty set and no li
 the sequence is the only member. Equal ids are one node: rows stay, links of any of its texts count. Rows
 with a null id keep a null component. Other columns are ignored. Exact copies are found by two
 64-bit hashes of the set and its size; links between different sets are exact up to collisions of
-64-bit hashes of shingles.
+64-bit hashes of shingles. Components are what is returned: members that are known to be in one component are not
+compared any more, so links are not counted.
 """
 
 from __future__ import annotations
@@ -74,20 +75,18 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 def bands(size: int, t: float) -> list[tuple[int, int, int, int]]:
     """(band, differences d, slack s, parts m) for which a set of this size sends keys."""
-    if size < 3:
+    if size < 1:
         return []
-    k = int(np.floor(np.log(size) / np.log(RATIO) + 1e-9)) + 1
+    k = 1
     while RATIO**k <= size:
         k += 1
-    while k > 1 and RATIO ** (k - 1) > size:
-        k -= 1
     out = []
-    for band in [k, *([k + 1] if size >= t * RATIO**k - 1e-9 else [])]:
-        most = int(np.ceil(RATIO**band)) - 1
+    while not out or RATIO ** (k - 1) <= size / t + 1e-9:
+        most = int(np.ceil(RATIO**k)) - 1
         d = int(np.floor(2 * most * (1 - t) / (1 + t) + 1e-9))
-        if d:
-            out.append((band, d, 2 + d // 8, 2 * d + 6))
-    return out
+        out.append((k, d, 2 + d // 8, 2 * d + 6))
+        k += 1
+    return [x for x in out if x[1]]
 
 
 def sketch_keys(s: np.ndarray, t: float, common: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -148,7 +147,7 @@ def _expand(n: int, t: float, common: np.ndarray):
     def expand(chunk: Texts):
         owners, notes, keys, place = [], [], [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for ok, s in zip(chunk.valid, word_sets(chunk, n), strict=True):
-            if not ok or len(s) < 3:
+            if not ok or not len(s):
                 continue
             fp = fingerprint(s)[0]
             if fp in seen:  # a copy sends the same keys
@@ -262,6 +261,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Sets link when ``den`` * intersection >= ``num`` * union.
     """
+    if not 0 < num <= den:
+        raise ValueError("the similarity is above 0 and at most 1")
     prepare(docs.sparkSession)
     docs = pick(docs, doc_id=id_col, text=text_col)
     t = num / den
@@ -278,8 +279,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = keys.join(leaders, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     links = _linked(star, docs, classes, n, num, den)
     for _ in range(HUBS):
-        links = keep(links.union(_linked(hub_pairs(keys, components(links), links), docs, classes, n, num, den)))
-    cold, families = cross_pairs(keys, components(links), cross)
+        pairs, mixed = hub_pairs(keys.drop("part"), components(links), links)
+        discard(keys)
+        keys, links = mixed, keep(links.union(_linked(pairs, docs, classes, n, num, den)))
+    cold, families = cross_pairs(keys.drop("part"), components(links), cross)
     rest = cold.union(family_pairs(families, classes, num, den)).distinct()
     found = links.union(_linked(rest, docs, classes, n, num, den))
     # An id with several texts joins their components.
@@ -293,24 +296,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return signed.join(named, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _mixed(keys: DataFrame, parts: DataFrame, cross: int) -> DataFrame:
-    """(key, node, note, part, hot): members of the keys whose members are in several components."""
-    placed = keys.join(parts, "node", "left").select("key", "node", "note", F.coalesce("component", "node").alias("part"))
-    counted = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    sums = counted.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-    mixed = sums.filter("parts > 1").select("key", ((F.col("n") * F.col("n") - F.col("squares")) / 2 > cross * F.col("n")).alias("hot"))
-    return keep(placed.join(mixed, "key"))
+def _placed(keys: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, node, note, part): the members of the keys, and the component that each is in."""
+    return keys.join(parts, "node", "left").select("key", "node", "note", F.coalesce("component", "node").alias("part"))
 
 
-def hub_pairs(keys: DataFrame, parts: DataFrame, links: DataFrame) -> DataFrame:
-    """Each key's members against its member with the most links, where their components differ."""
+def hub_pairs(keys: DataFrame, parts: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each key's members against its member with the most links, where their components differ; and (key, node, note, part) of the keys whose members are in several components.
+
+    Components only grow, so no other key can be of use any more.
+    """
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    kept = _mixed(keys, parts, 0)
+    placed = _placed(keys, parts)
+    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+    kept = keep(placed.join(mixed, "key"))
     some = kept.join(degree, "node", "left")
     hub = some.groupBy("key").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.col("node").alias("b"), F.col("part").alias("part_b"))).alias("hub"))
-    pairs = keep(some.join(hub.select("key", "hub.b", "hub.part_b"), "key").filter("part <> part_b").select(F.col("node").alias("a"), "b").distinct())
-    discard(kept)
-    return pairs
+    pairs = some.join(hub.select("key", "hub.b", "hub.part_b"), "key").filter("part <> part_b").select(F.col("node").alias("a"), "b").distinct()
+    return keep(pairs), kept
 
 
 def cross_pairs(keys: DataFrame, parts: DataFrame, cross: int) -> tuple[DataFrame, DataFrame]:
@@ -318,7 +321,11 @@ def cross_pairs(keys: DataFrame, parts: DataFrame, cross: int) -> tuple[DataFram
 
     Keys with the same largest component are one family: its members meet once, not once for each key.
     """
-    some = _mixed(keys, parts, cross)
+    placed = _placed(keys, parts)
+    counted = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    sums = counted.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    several = sums.filter("parts > 1").select("key", ((F.col("n") * F.col("n") - F.col("squares")) / 2 > cross * F.col("n")).alias("hot"))
+    some = keep(placed.join(several, "key"))
     cold = some.filter("not hot")
     left = cold.select("key", F.col("node").alias("a"), F.col("part").alias("part_a"))
     right = cold.select("key", F.col("node").alias("b"), F.col("part").alias("part_b"))

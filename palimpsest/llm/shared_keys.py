@@ -4,7 +4,7 @@ Pigeonhole parts, deletion variants and chunk digests come to about one key a wo
 them occur once. Tasks send their keys packed, by range of the hash, and each range is sorted
 once; only keys with two owners or more become rows. A key that occurs many times in one task goes to
 its range once, with a mark, and its other rows bypass it: a range holds a key at most once for each
-packet, however hot the key is.
+packet, however hot the key is. Rows that bypass need no range, so they are dealt evenly.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .words import Texts, release, texts
@@ -89,7 +90,7 @@ def _sorted(keys: np.ndarray, owners: np.ndarray, distinct: bool) -> np.ndarray:
 
 
 def _sender(expand: Expand, bits: int, packet: int, distinct: bool, chunks=texts):
-    def flush(held) -> Iterator[pa.RecordBatch]:
+    def flush(held, sent) -> Iterator[pa.RecordBatch]:
         owners, remarks = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
         shift = np.cumsum([0] + [len(h[0]) for h in held])
         keys = np.concatenate([h[2] for h in held]) & ~np.uint64(255)
@@ -101,10 +102,11 @@ def _sender(expand: Expand, bits: int, packet: int, distinct: bool, chunks=texts
         del order
         first, several = _several(keys)
         rest = np.flatnonzero(~first)
-        # Rows that bypass the ranges travel in packets with a negative bucket.
+        # Rows that bypass the ranges travel in packets with a negative bucket, any will do.
         for at in range(0, len(rest), max(1, packet >> 3)):
             r = rest[at : at + max(1, packet >> 3)]
-            yield one(-1 - int(keys[r[0]] >> np.uint64(40)) % (1 << 20), _pack(keys[r], place[r], notes[r], np.ones(len(r), bool), owners, remarks))
+            sent[0] += 1
+            yield one(-1 - (TaskContext.get().partitionId() * 0x9E3779B1 + sent[0] * 0x85EBCA6B) % (1 << 20), _pack(keys[r], place[r], notes[r], np.ones(len(r), bool), owners, remarks))
         keys, place, notes, marks = keys[first], place[first], notes[first], several[first]
         cuts = np.searchsorted(keys, (np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64))
         for b, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
@@ -115,17 +117,17 @@ def _sender(expand: Expand, bits: int, packet: int, distinct: bool, chunks=texts
         return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([packed], pa.binary())], schema=PACK)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, sent = [], 0, [0]
         for chunk in chunks(batches):
             made = expand(chunk)
             if len(made[2]):
                 held.append(made)
                 n += len(made[2])
             if n >= packet:
-                yield from flush(held)
+                yield from flush(held, sent)
                 n = 0
         if held:
-            yield from flush(held)
+            yield from flush(held, sent)
         release()
 
     return send

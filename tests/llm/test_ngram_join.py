@@ -12,7 +12,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows):
+def brute(rows, num=75):
     """(n, component) of each (id, text)."""
     sets = [(i, shingles(t)) for i, t in rows]
     parent = {i: i for i, _ in sets}
@@ -23,7 +23,7 @@ def brute(rows):
         return x
 
     for (a, x), (b, y) in itertools.combinations(sets, 2):
-        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+        if x and y and 100 * len(x & y) >= num * len(x | y):
             p, q = sorted((top(a), top(b)))
             parent[q] = p
     return {i: top(i) for i, _ in sets}, {(i, len(s)) for i, s in sets}
@@ -31,7 +31,7 @@ def brute(rows):
 
 def check(df, rows, **options):
     got = J.jaccard_components(df, **options).collect()
-    parts, sizes = brute([r for r in rows if r[0] is not None])
+    parts, sizes = brute([r for r in rows if r[0] is not None], options.get("num", 75))
     assert {(r["doc_id"], r["n_shingles"]) for r in got if r["doc_id"] is not None} == sizes
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == parts
     assert len(got) == len(rows)
@@ -59,6 +59,18 @@ def test_components_equal_brute_force(frame, cross):
     check(frame(texts), list(enumerate(texts)), cross=cross)
 
 
+@pytest.mark.parametrize("num", [50, 60, 95])
+def test_other_thresholds_equal_brute_force(frame, num):
+    texts = [" ".join(prose(n + 4, seed)) for seed in range(8) for n in (1, 2, 3, 4, 6, 8, 190, 300)]  # runs of one text, of which the shorter is the longer's start
+    texts += [t for seed in range(8) for t in family(50 + seed, 6, 4 + seed)]
+    check(frame(texts), list(enumerate(texts)), num=num)
+
+
+def test_a_threshold_of_nothing_fails(frame):
+    with pytest.raises(ValueError):
+        J.jaccard_components(frame([]), num=0)
+
+
 def test_chains_link_through_members(frame):
     words = prose(100, 7)
     texts = [" ".join(words[i * 4 : 60 + i * 4]) for i in range(10)]
@@ -90,9 +102,10 @@ def test_sketch_bounds_the_difference():
         assert int(np.bitwise_count(J.fold(x, short) ^ J.fold(y, short)).sum()) <= len(np.setxor1d(a, b))
 
 
-def test_bands_of_linking_sizes_meet():
-    for n in range(3, 3000):
-        own = {b for b, *_ in J.bands(n, 0.75)}
-        for m in {n, int(n / 0.75)}:
-            if (n + m) // 7 >= 1:
-                assert own & {b for b, *_ in J.bands(m, 0.75)}, (n, m)
+@pytest.mark.parametrize("t", [0.75, 0.5, 0.3, 0.95])
+def test_bands_of_linking_sizes_meet(t):
+    for n in range(1, 3000):
+        own = {b for b, *_ in J.bands(n, t)}
+        for m in {n, int(n / t), int(n / t / 1.2)}:
+            if m >= n and int((n + m) * (1 - t) / (1 + t) + 1e-9) >= 1:
+                assert own & {b for b, *_ in J.bands(m, t)}, (n, m)

@@ -9,11 +9,11 @@ Beta(m + 1, n - m + 1), from a flat prior; a pair goes as soon as the posterior
 of the threshold or more. Signatures keep a byte of each minimum: bytes of different minima agree once in 256, which only makes a pair stay. Survivors
 are confirmed on their full sets.
 
-Hot keys. Copies are one class, whatever their number. A key's members are compared with one leader, then with the member that has the
-most links, and components form; only members of different components go on. A key that still has more than ``cross`` such pairs for each member is split
+Hot keys. Copies are one class, whatever their number. Each set is compared with the leader of its largest key, so a group costs a pair for each member and not
+one for each member and key; then, where a key's members are in different components, with its member that has the most links. Components form, and only members of different ones go on. A key that still has more than ``cross`` such pairs for each member is split
 further: its members are keyed again by the shingles that are rarest among them. A set's first size - ceil(t * size) + 1 shingles, in one order
 for all sets, hold one that any linked set has among its own first ones, so nothing is lost there. What is hot even so, by a
-shingle that is among the rarest of many sets without links, is compared in blocks of signatures, by the same bounds. So a group that shares a passage costs its size; only sets that share
+shingle that is among the rarest of many sets without links, is compared in blocks, by the same bounds and then on the sets; only links leave a block. So a group that shares a passage costs its size; only sets that share
 their rarest shingles and still don't link cost the square, some nanoseconds a pair, spread over tasks.
 
 Cases: null and empty texts and those without words have an empty set and link with nothing; with one to three words the sequence is
@@ -42,6 +42,8 @@ HASHES = BANDS * ROWS
 MISS = 1e-7
 #: Shingles whose minima are taken at once; slots that count shingles of hot sets.
 TOGETHER, SLOTS = 1 << 16, 1 << 18
+#: Members of the sets in a block, of 8 bytes each.
+MEMBERS = 1 << 20
 MULTIPLIERS = np.random.default_rng(13).integers(0, 1 << 63, HASHES, np.int64).astype(U) * U(2) + U(1)
 
 #: Which rows of two tables of signatures may be linked, given their sizes.
@@ -200,24 +202,36 @@ def rare_keys(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.mapInArrow(first, "key long, node long").withColumn("note", F.lit(1).cast("bigint"))
 
 
-def blocked(families: DataFrame, classes: DataFrame, num: int, den: int, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) of different components of one family that their signatures don't rule out, block against block."""
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("family", F.expr(f"cast(n div {block} + 1 as int)").alias("blocks"))
-    rows = families.join(sizes, "family").join(classes.select("node", "size", "signature"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = rows.select("family", "node", "part", "size", "signature", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "part", "size", "signature", "block")
+def blocked(families: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int, block: int = 1024, members: int = MEMBERS) -> DataFrame:
+    """Links (a, b) between different components of one family, block against block: by signatures, then on the full sets (node, members).
+
+    A block holds about ``block`` sets and ``members`` members. Only links come out; inside a pair of blocks, what is linked is not compared again.
+    """
+    own = families.join(classes.select("node", "size", "signature"), "node")
+    many = F.greatest(F.count(F.lit(1)) / block, F.sum("size") / members)
+    sizes = own.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.floor(many).cast("int").alias("more")).filter("n > 1").select("family", (F.col("more") + 1).alias("blocks"))
+    rows = own.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "part", "size", "signature", "members", "block")
     hold = bounds(num, den)
 
     def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).combine_chunks()
         node, part, size, own = (rows.column(c).to_numpy() for c in ("node", "part", "size", "block"))
+        part = part.copy()
         signed = _signed(rows.column("signature").chunk(0))
-        _, lo, hi = (k.as_py() for k in key)
-        there = np.flatnonzero(own == hi)
-        for i in np.flatnonzero(own == lo):
-            j = there[hold(signed[i : i + 1], signed[there], size[i : i + 1], size[there])] if len(there) > 1 else there
-            j = j[part[j] != part[i]]
+        every = [np.frombuffer(x.as_buffer(), U) for x in rows.column("members")]
+        there = np.flatnonzero(own == key[2].as_py())
+        for i in np.flatnonzero(own == key[1].as_py()):
+            j = there[part[there] != part[i]]
+            j = j[hold(signed[i : i + 1], signed[j], size[i : i + 1], size[j])] if len(j) > 1 else j
+            if len(j):
+                flat = np.concatenate([every[x] for x in j])
+                at = np.minimum(np.searchsorted(every[i], flat), len(every[i]) - 1)
+                both = np.add.reduceat((every[i][at] == flat).astype(np.int64), np.cumsum([0, *size[j][:-1]]))
+                j = j[den * both >= num * (size[i] + size[j] - both)]
             if len(j):
+                part[np.isin(part, part[j])] = part[i]
                 yield pa.record_batch([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], schema=PAIR)
 
     return met.groupBy("family", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
@@ -238,14 +252,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one = named.groupBy("fp").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("size"), "signature", "keys")).alias("one"))
     classes = keep(one.select(F.col("fp").alias("node"), "one.*"))
     every = classes.select(F.explode("keys").alias("key"), "node")
-    leaders = every.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last").select("key", "b")
-    keys = keep(every.join(leaders, "key").select("key", "node", "b", F.lit(1).cast("bigint").alias("note")))
+    leaders = every.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keys = keep(every.join(leaders, "key").select("key", "node", "b", "n", F.lit(1).cast("bigint").alias("note")))
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = _joined(pairs, classes, "size", "signature").mapInArrow(_alike(num, den), "a long, b long")
         return _confirmed(near, docs, classes, n, num, den)
 
-    links = linked(keys.filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    nearest = keys.filter("node <> b").groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", "key", "b")).getField("b").alias("b"))
+    links = linked(nearest)
     pairs, mixed = hub_pairs(keys.select("key", "node", "note"), components(links), links)
     discard(keys)
     links = keep(links.union(linked(pairs)))
@@ -273,6 +288,6 @@ def _split(families: DataFrame, parts: DataFrame, docs: DataFrame, classes: Data
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     keys = keep(keys.join(many, "key"))
     cold, rest = cross_pairs(keys, parts, cross)
-    links = linked(cold.union(blocked(rest, classes, num, den)).distinct())
+    links = keep(linked(cold).union(blocked(rest, classes, sets, num, den)))
     discard(nodes, sets, keys)
     return links

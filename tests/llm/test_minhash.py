@@ -71,10 +71,26 @@ def test_blocks_lose_no_link(frame, spark):
     texts = [changed(prose(80, seed), rng, 6) for seed in range(6) for _ in range(15)]
     signed = M.signatures(frame(texts).select("doc_id", "text"), 4).selectExpr("doc_id as node", "n_shingles as size", "signature")
     families = signed.selectExpr("1L as family", "node", "node as part")
-    found = {tuple(r) for r in M.blocked(families, signed, 80, 100, block=16).collect()}
+    nodes = signed.selectExpr("node", "node as doc_id")
+    full = M._sets_of(frame(texts).select("doc_id", "text"), nodes, 4)
     sets = [shingles(t) for t in texts]
     links = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    assert links <= found and len(found) < 15 * len(texts)
+
+    def top(pairs):
+        parent = list(range(len(texts)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(x) for x in range(len(texts))]
+
+    for options in ({"block": 16}, {"block": 1000}, {"members": 600}):
+        found = {tuple(r) for r in M.blocked(families, signed, full, 80, 100, **options).collect()}
+        assert found <= links and top(found) == top(links)
 
 
 def test_signatures_estimate_the_similarity():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import BM25, GRPS, INNER, MESSAGES, RUNS, SHARE, _best, _groups, _messages, _qrels, _runs, _vectors, register, stepped
 from .functions import text as T
-from .operators import control, encoding, retrieval, scoring, session, transcript
+from .operators import control, dense_index, encoding, lexical, retrieval, scoring, session, transcript
 from .plans import binding as bind
 from .plans import steps as st
 from .sources import corpus as io
@@ -117,7 +117,7 @@ def saved_cells_topk(spark, sf_dir):
     """An index written, read again, and probed in all its cells, which makes it exact."""
     queries, docs = _vectors(spark, sf_dir)
     path = io.scratch(spark, "cells")
-    retrieval.index_of(docs, "IVF16,Flat").save(path)
+    dense_index.index_of(docs, "IVF16,Flat").save(path)
     return retrieval.Cells.load(spark, path, probes=16).search(queries)
 
 
@@ -138,6 +138,87 @@ def saved_postings(spark, sf_dir):
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
+NEAREST = _best(10, f"SELECT q.vec_id::VARCHAR AS qid, d.vec_id::VARCHAR AS docid, {INNER} AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0")
+REACHED = "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0"
+
+
+@register(NEAREST)
+def growing_cells_topk(spark, sf_dir):
+    """An index of three shards, of which one comes twice, made one; all cells are probed, so the search is exact."""
+    queries, docs = _vectors(spark, sf_dir)
+    index = dense_index.GrowingCells(spark, io.scratch(spark, "growing"))
+    for i in (0, 1, 1, 2):
+        index = index.append(docs.filter(F.pmod(F.xxhash64("docid"), F.lit(3)) == i), f"shard {i}", cells=12)
+    return index.compact().search(queries, probes=12)
+
+
+def _reached(index: retrieval.Searcher, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    found = retrieval.recall(index.search(queries), retrieval.dense_topk(queries, docs))
+    return found.select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@register(REACHED)
+def quantised_reached(spark, sf_dir):
+    """Whether codes of eight bytes, ranked again, reach a recall of 0.9; the index is written and read again."""
+    queries, docs = _vectors(spark, sf_dir)
+    path = io.scratch(spark, "quantised")
+    dense_index.index_of(docs, "IVF4,PQ8").save(path)
+    return _reached(dense_index.Quantised.load(spark, path), queries, docs)
+
+
+@register("SELECT count(*) AS vectors, 8.0::DOUBLE AS code_bytes, avg(4 * len(embedding)) AS vector_bytes FROM embeddings")
+def quantised_sizes(spark, sf_dir):
+    return dense_index.index_of(_vectors(spark, sf_dir)[1], "PQ8").sizes()
+
+
+@register(REACHED)
+def graph_reached(spark, sf_dir):
+    """Whether walking the neighbour graph reaches a recall of 0.9."""
+    queries, docs = _vectors(spark, sf_dir)
+    return _reached(dense_index.index_of(docs, "HNSW16"), queries, docs)
+
+
+MIXED = "e AS (SELECT vec_id, CASE WHEN vec_id % 4 = 3 THEN embedding ELSE embedding[1:48] END AS embedding FROM embeddings WHERE vec_id % 4 <> 1)"
+
+
+@register(f"WITH {MIXED}, h AS (SELECT q.vec_id::VARCHAR AS qid, d.vec_id::VARCHAR AS docid, {INNER} AS score FROM (SELECT * FROM e WHERE vec_id % 50 IN (0, 3)) q JOIN e d ON len(q.embedding) = len(d.embedding)) {_best(10, 'SELECT * FROM h')}")
+def mixed_lengths_topk(spark, sf_dir):
+    """Vectors of two lengths, and some that hold a null."""
+    kind, v = F.col("vec_id") % 4, F.col("embedding")
+    vector = F.when((kind == 0) | (kind == 2), F.slice(v, 1, 48)).when(kind == 1, F.concat(F.slice(v, 1, 10), F.array(F.lit(None).cast("float")))).otherwise(v)
+    rows = bind.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("docid"), vector.alias("embedding"))
+    return retrieval.dense_topk(rows.filter((F.col("docid") % 50).isin(0, 3)).withColumnRenamed("docid", "qid"), rows)
+
+
+def _lexical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, lexical.LexicalIndex]:
+    """Questions, documents, and an index of the latter made of two shards, the second of which comes twice."""
+    items, docs = bind.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), bind.corpus(spark, sf_dir)
+    path, odd = io.scratch(spark, "lexical"), F.pmod(F.xxhash64("docid"), F.lit(2)) == 1
+    index = lexical.LexicalIndex(spark, path).append(docs.filter(odd), "odd").append(docs.filter(~odd), "even").append(docs.filter(~odd), "even")
+    return items, docs, lexical.LexicalIndex(spark, index.path)
+
+
+@register(BM25 + _best(10, "SELECT * FROM h"))
+def saved_bm25_topk(spark, sf_dir):
+    items, _, index = _lexical(spark, sf_dir)
+    return index.search(items)
+
+
+@register("SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS total_len, (SELECT count(DISTINCT t) FROM (SELECT unnest(w) AS t FROM w)) AS n_terms FROM w".join(["WITH w AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents) ", ""]))
+def saved_bm25_stats(spark, sf_dir):
+    """Sizes of an index as it was written, after its segments became one."""
+    return _lexical(spark, sf_dir)[2].compact().stats()
+
+
+@register(BM25 + "SELECT count(*) AS postings, true AS fewer FROM q JOIN p USING (term)")
+def bm25_reads(spark, sf_dir):
+    """How many postings the questions' terms have, and whether the search reads fewer."""
+    items, _, index = _lexical(spark, sf_dir)
+    steps = index.reads(items)
+    every = F.sum(F.when(F.col("step") == "postings", F.col("n")))
+    return steps.agg(every.alias("postings"), (F.sum(F.when(F.col("step").startswith("step"), F.col("n"))) < every).alias("fewer"))
+
+
 @register("SELECT * FROM (VALUES (0, 'pooling: index has ''mean'', wanted ''cls'''), (1, 'normalize: index has True, wanted False')) x(nth, problem)")
 def stamp_check(spark, sf_dir):
     path = io.scratch(spark, "stamp")

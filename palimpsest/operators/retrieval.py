@@ -7,6 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +28,19 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def sound(df: DataFrame, key: str, dims: int | None = None) -> DataFrame:
+    """(key as text, embedding) of the rows that have a key and a vector (of ``dims`` components) without nulls, NaN and infinities."""
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fits = F.size("embedding") > 0 if dims is None else F.size("embedding") == dims
+    return df.filter(F.col(key).isNotNull() & fits & ~bad).select(F.col(key).cast("string").alias(key), "embedding")
+
+
 def _scorer(ids: list, matrix: np.ndarray, k: int, digits: int):
+    """Scores the rows whose vectors are as long as the matrix's."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column("embedding")), matrix.shape[1]))
             if not batch.num_rows:
                 continue
             docs = np.asarray(batch.column("docid").to_pylist(), object)
@@ -49,9 +60,9 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int =
 
     ``queries`` (qid, embedding) are the stated set; they go in blocks of at most ``block`` as a matrix to one pass
     over ``corpus`` (docid, embedding) each, whose batches are multiplied at once and cut to k before the exchange.
-    Rows with a null or empty vector take no part; with fewer than k documents there are fewer hits.
+    Rows with a null or empty vector, or one with a null or non-finite component, take no part; a query meets the documents whose vectors are
+    as long as its own. With fewer than k of them there are fewer hits.
     """
-    sound = lambda df, key: df.filter(F.col(key).isNotNull() & (F.size("embedding") > 0)).select(F.col(key).cast("string").alias(key), "embedding")
     queries, corpus = sound(queries, "qid"), sound(corpus, "docid")
     blocks, out = queries.count() // block + 1, None
     for b in range(blocks):
@@ -59,22 +70,32 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int =
         got = own.toArrow()
         if not len(got):
             continue
-        matrix = np.array(got.column("embedding").to_pylist(), np.float64)
-        part = corpus.mapInArrow(_scorer(got.column("qid").to_pylist(), matrix, k, digits), HITS)
-        out = part if out is None else out.union(part)
+        sizes = np.asarray(pc.list_value_length(got.column("embedding")))
+        for size in np.unique(sizes):
+            some = got.filter(pa.array(sizes == size))
+            matrix = np.array(some.column("embedding").to_pylist(), np.float64)
+            part = corpus.mapInArrow(_scorer(some.column("qid").to_pylist(), matrix, k, digits), HITS)
+            out = part if out is None else out.union(part)
     return _ranked(corpus.sparkSession.createDataFrame([], HITS) if out is None else out, k)
 
 
+def sampled(corpus: DataFrame, sample: int) -> tuple[DataFrame, np.ndarray]:
+    """The sound vectors of one length, and at most ``sample`` of them as a matrix."""
+    some = sound(corpus, "docid").orderBy(F.xxhash64("docid")).limit(sample).select("embedding").toArrow()
+    dims = len(some.column(0)[0]) if some.num_rows else 1
+    points = np.array([x for x in some.column(0).to_pylist() if len(x) == dims], np.float32).reshape(-1, dims)
+    return sound(corpus, "docid", dims), points
+
+
 class Cells:
     """An inverted file: vectors in the cells of their ``spill`` nearest centres, found in each query's ``probes`` nearest cells.
 
     Centres come from at most ``sample`` vectors by k-means on the driver, in float32; every vector is indexed. More probes find more; all of them make the search exact.
+    Vectors are as long as the first of the sample; others, and those with a null or non-finite component, are in no index.
     """
 
     def __init__(self, corpus: DataFrame, cells: int = 32, sample: int = 20_000, rounds: int = 10, seed: int = 1, probes: int = 16, spill: int = 2) -> None:
-        vectors = corpus.filter(F.size("embedding") > 0)
-        some = vectors.orderBy(F.xxhash64("docid")).limit(sample).select("embedding").toArrow()
-        points = np.asarray(some.column(0).combine_chunks().flatten()).astype(np.float32).reshape(some.num_rows, -1) if some.num_rows else np.zeros((0, 1), np.float32)
+        vectors, points = sampled(corpus, sample)
         rng = np.random.default_rng(seed)
         centres = points[rng.choice(len(points), min(cells, len(points)), replace=False)]
         for _ in range(rounds if len(points) else 0):
@@ -120,7 +141,7 @@ class Cells:
 
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
         """Top k among the documents in each query's nearest cells; a cell's queries and documents are multiplied as matrices."""
-        asked = self._placed(queries.filter(F.size("embedding") > 0), "qid", probes or self.probes)
+        asked = self._placed(sound(queries, "qid", self.centres.shape[1]), "qid", probes or self.probes)
         schema = pa.schema([("qid", pa.string()), ("docid", pa.string()), ("score", pa.float64())])
 
         def meet(own: pa.Table, docs: pa.Table) -> pa.Table:
@@ -130,24 +151,18 @@ class Cells:
             out = [part for part in _scorer(own.column("qid").to_pylist(), matrix, k, 6)(docs.to_batches(max_chunksize=4096))]
             return pa.Table.from_batches([b.cast(schema) for b in out], schema)
 
-        # A cell is dealt into parts of some thousand documents, so a large one is not one task's; the few queries go to each part.
-        counts = self.index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.expr(f"cast(n div {PART} + 1 as int)").alias("parts"))
-        docs = self.index.join(counts, "cell").withColumn("part", F.pmod(F.xxhash64("docid"), F.col("parts")).cast("int")).drop("parts")
-        asked = asked.join(counts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        hits = asked.groupBy("cell", "part").cogroup(docs.groupBy("cell", "part")).applyInArrow(meet, HITS)
-        return _ranked(hits.groupBy("qid", "docid").agg(F.max("score").alias("score")), k)
-
-
-def index_of(corpus: DataFrame, factory: str, **options) -> Searcher:
-    """An index by its factory's name: ``Flat`` is exact, ``IVFn,Flat`` has n cells. A graph (``HNSW...``) is no table, cells stand for it."""
-    kind = factory.split(",")[0].upper()
-    if kind == "FLAT":
-        return DenseSearcher(corpus)
-    if kind.startswith("IVF") and kind[3:].isdigit():
-        return Cells(corpus, cells=int(kind[3:]), **options)
-    if kind.startswith("HNSW"):
-        return Cells(corpus, **options)
-    raise ValueError(f"unknown factory {factory}")
+        return _ranked(meet_cells(self.index, asked, meet).groupBy("qid", "docid").agg(F.max("score").alias("score")), k)
+
+
+def meet_cells(index: DataFrame, asked: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    """Hits of each cell's queries among its documents.
+
+    A cell is dealt into parts of some thousand documents, so a large one is not one task's; the few queries go to each part.
+    """
+    counts = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.expr(f"cast(n div {PART} + 1 as int)").alias("parts"))
+    docs = index.join(counts, "cell").withColumn("part", F.pmod(F.xxhash64("docid"), F.col("parts")).cast("int")).drop("parts")
+    asked = asked.join(counts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return asked.groupBy("cell", "part").cogroup(docs.groupBy("cell", "part")).applyInArrow(meet, HITS)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import control, encoding, retrieval, session
+from palimpsest.operators import control, dense_index, encoding, retrieval, session
 from palimpsest.sources import corpus as io
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -110,7 +110,7 @@ def test_saved_cells_find_what_they_found_before(spark, tmp_path):
     rows = [(str(i), [float(x) for x in v / np.linalg.norm(v)]) for i, v in enumerate(rng.normal(size=(400, 16)))]
     corpus = spark.createDataFrame([*rows, ("none", None), ("empty", [])], "docid string, embedding array<double>")
     queries = corpus.filter("docid in ('3', '50', '399', 'none')").withColumnRenamed("docid", "qid")
-    own = retrieval.index_of(corpus, "IVF8,Flat")
+    own = dense_index.index_of(corpus, "IVF8,Flat")
     own.save(str(tmp_path / "i"))
     again = retrieval.Cells.load(spark, str(tmp_path / "i"), probes=8)
     exact = retrieval.dense_topk(queries, corpus)
@@ -119,7 +119,7 @@ def test_saved_cells_find_what_they_found_before(spark, tmp_path):
     assert retrieval.recall(retrieval.Cells(corpus).search(queries), exact).first()["recall"] >= 0.9
     assert key(own.search(queries, probes=1)) == key(retrieval.Cells.load(spark, str(tmp_path / "i")).search(queries, probes=1))
     with pytest.raises(ValueError):
-        retrieval.index_of(corpus, "PQ")
+        dense_index.index_of(corpus, "PQ")
     assert retrieval.Cells(corpus.limit(0)).search(queries).collect() == []
 
 

@@ -1,0 +1,90 @@
+"""Codes, the neighbour graph and the index that grows, against all products."""
+
+import numpy as np
+import pytest
+
+from palimpsest.operators import dense_index as D
+from palimpsest.operators import retrieval as R
+
+
+def unit(n, dims, seed):
+    v = np.random.default_rng(seed).normal(size=(n, dims))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def corpus_of(spark, vectors, first=0):
+    return spark.createDataFrame([(str(first + i), [float(x) for x in v]) for i, v in enumerate(vectors)], "docid string, embedding array<double>")
+
+
+def key(df):
+    return sorted((r["qid"], r["rank"], r["docid"], r["score"]) for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    corpus = corpus_of(spark, unit(900, 16, 1))
+    odd = spark.createDataFrame([("none", None), ("empty", []), ("short", [1.0] * 3), ("null", [None] * 16), ("nan", [float("nan")] * 16)], corpus.schema)
+    asked = corpus_of(spark, unit(30, 16, 2)).withColumnRenamed("docid", "qid")
+    return corpus, odd, asked
+
+
+def test_codes_are_found_saved_and_small(spark, made, tmp_path):
+    corpus, odd, asked = made
+    exact = R.dense_topk(asked, corpus)
+    own = D.Quantised(corpus.union(odd), parts=4, cells=3)
+    assert R.recall(own.search(asked), exact).first()["recall"] >= 0.9
+    assert key(own.search(asked, rerank=90)) == key(exact)  # every vector is ranked again
+    own.save(str(tmp_path / "q"))
+    assert key(D.Quantised.load(spark, str(tmp_path / "q")).search(asked)) == key(own.search(asked))
+    assert tuple(own.sizes().first()) == (900, 4.0, 64.0)
+    assert D.Quantised(corpus.limit(0)).search(asked).collect() == []
+    with pytest.raises(ValueError, match="don't divide"):
+        D.Quantised(corpus, parts=5)
+
+
+def test_graph_finds_the_nearest_and_equal_vectors(spark, made):
+    corpus, odd, asked = made
+    same = corpus_of(spark, [[1.0] + [0.0] * 15] * 300, 5000)  # a vector that a fourth of the rows repeat
+    own = D.Graph(corpus.union(odd).union(same), degree=12, rounds=2, width=96)
+    exact = R.dense_topk(asked, corpus.union(same))
+    assert R.recall(own.search(asked), exact).first()["recall"] >= 0.9
+    assert own.edges.groupBy("a").count().agg({"count": "max"}).first()[0] <= 24
+    only = same.limit(1).selectExpr("'q' as qid", "embedding")
+    assert [r["docid"] for r in own.search(only, 3).orderBy("rank").collect()] == ["5000", "5001", "5002"]
+    assert D.Graph(corpus.limit(0)).search(asked).collect() == []
+    assert [r["docid"] for r in D.Graph(corpus.filter("docid = '7'")).search(asked.limit(1)).collect()] == ["7"]
+
+
+def test_factories(spark, made):
+    corpus, _, _ = made
+    assert isinstance(D.index_of(corpus, "flat"), R.DenseSearcher)
+    assert len(D.index_of(corpus, "IVF5,Flat").centres) == 5
+    coded = D.index_of(corpus, "IVF4,PQ8")
+    assert len(coded.coarse.centres) == 4 and len(coded.books) == 8
+    for wrong in ("IVF4", "PQ", "IVF4,SQ8", "OPQ8,PQ8", "PQ8x4", "IVF0,Flat", "IVF4,PQ8,Flat", "LSH", ""):
+        with pytest.raises(ValueError):
+            D.index_of(corpus, wrong)
+
+
+def test_index_of_shards_equals_the_index_of_both(spark, made, tmp_path):
+    corpus, odd, asked = made
+    first, second = corpus.filter("docid < '5'"), corpus.filter("docid >= '5'").union(odd)
+    path = str(tmp_path / "g")
+    assert D.GrowingCells(spark, path).search(asked).collect() == []
+    own = D.GrowingCells(spark, path).append(first, "a", cells=8)
+    assert key(own.search(asked, probes=8)) == key(R.dense_topk(asked, first))
+    own = own.append(second, "b").append(second, "b")
+    both = key(R.dense_topk(asked, corpus))
+    assert own.segments.shards == ["a", "b"] and key(own.search(asked, probes=8)) == both
+    assert key(own.search(asked, probes=2)) == key(D.GrowingCells(spark, path).compact().search(asked, probes=2))
+    assert key(D.GrowingCells(spark, path).search(asked, probes=8)) == both
+    assert key(D.GrowingCells(spark, path, version=1).search(asked, probes=8)) == key(R.dense_topk(asked, first))
+
+
+def test_vectors_of_several_lengths_do_not_meet(spark):
+    nan = float("nan")
+    rows = [("a", [1.0, 2.0, 3.0]), ("b", [1.0] * 5), ("c", [2.0] * 4), ("d", [1.0, None, 1.0, 1.0]), ("e", [nan] * 4), ("f", []), ("g", None), ("h", [-1.0] * 4)]
+    corpus = spark.createDataFrame(rows, "docid string, embedding array<double>")
+    asked = spark.createDataFrame([("x", [1.0] * 4), ("y", [1.0, 0.0, 0.0]), ("z", [1.0] * 7), ("n", [None] * 4)], "qid string, embedding array<double>")
+    assert key(R.dense_topk(asked, corpus)) == [("x", 1, "c", 8.0), ("x", 2, "h", -4.0), ("y", 1, "a", 1.0)]
+    assert R.dense_topk(asked.limit(0), corpus).collect() == [] and R.dense_topk(asked, corpus.limit(0)).collect() == []

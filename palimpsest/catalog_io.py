@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import BM25, GRPS, INNER, MESSAGES, RUNS, SHARE, _best, _groups, _messages, _qrels, _runs, _vectors, register, stepped
+from .catalog import ASKED, BM25, GRPS, INNER, MESSAGES, RUNS, SHARE, _asked, _best, _groups, _messages, _qrels, _runs, _vectors, register, stepped
 from .functions import text as T
-from .operators import control, dense_index, encoding, lexical, retrieval, scoring, session, transcript
+from .operators import control, dense_index, encoding, lexical, quarantine, retrieval, scoring, session, transcript, verdicts
 from .plans import binding as bind
 from .plans import steps as st
 from .sources import corpus as io
+from .streaming import live, questions
 
 CLEAR = r"trim(regexp_replace(text, '[\t\n\r]+', ' ', 'g'))"
 
@@ -338,3 +339,92 @@ def encoder_shards(spark, sf_dir):
         part = control.shard(items, "item_id", 4, i).withColumn("turn_of", F.lit(i).cast("bigint"))
         out = part if out is None else out.unionByName(part)
     return out.select("item_id", "turn_of", "text")
+
+
+# ---- verdicts, faults, streams
+
+
+@register(f"WITH {ASKED}, p AS (SELECT count(DISTINCT (question, x)) AS n FROM a) SELECT docid, strlen(x) % 3 = 0 AS relevant, n AS asked, 0::BIGINT AS again FROM a, p")
+def verdicts_once(spark, sf_dir):
+    """Verdicts on documents and their questions, asked twice: how many pairs the judge saw in each run."""
+    rows = _asked(spark, sf_dir).select("docid", "question", "text")
+    store = verdicts.VerdictStore(spark, io.scratch(spark, "verdicts"))
+    judge = lambda question, text: "RELEVANT" if len(text.encode()) % 3 == 0 else "<think>RELEVANT</think> no"
+    store.ask(rows, "question", "text", judge)
+    first = store.known().count()
+    found = store.ask(rows, "question", "text", judge)
+    return found.select("docid", "relevant", F.lit(first).cast("bigint").alias("asked"), F.lit(store.known().count() - first).cast("bigint").alias("again"))
+
+
+REASONS = "CASE traj % 50 WHEN 1 THEN 'a step has no place' WHEN 2 THEN 'a step is of no known type' WHEN 3 THEN 'two steps have the same place' END"
+
+
+@stepped(GRPS, f"SELECT traj, {REASONS} AS reason, NULL::BIGINT AS n_groups FROM st WHERE traj % 50 IN (1, 2, 3) GROUP BY traj UNION ALL SELECT traj, NULL, count(*) FROM grp WHERE traj % 50 NOT IN (1, 2, 3) GROUP BY traj")
+def quarantined(spark, sf_dir, an):
+    """Groups of the sound trajectories, and the reasons for which the others were set aside."""
+    kind, first = F.col("traj") % 50, F.col("idx") == 1
+    steps = bind.steps(spark, sf_dir)
+    broken = steps.withColumn("type", F.when((kind == 2) & first, "jump").otherwise(F.col("type"))).withColumn("idx", F.when((kind == 1) & first, None).when((kind == 3) & first, 2).otherwise(F.col("idx")))
+    sound, dead = quarantine.quarantine(broken)
+    groups = _groups(spark, sf_dir, st.annotate(sound)).groupBy("traj").agg(F.count(F.lit(1)).alias("n_groups"))
+    return dead.select("traj", "reason", F.lit(None).cast("bigint").alias("n_groups")).unionByName(groups.select("traj", F.lit(None).cast("string").alias("reason"), "n_groups"))
+
+
+LIVE = """cl AS (SELECT i.traj, i.idx, i.type, i.query, i.docid, i.k % 5 <> 0 AS found, lag(i.type) OVER w AS was, coalesce(r.said, '') AS said, sum(CASE WHEN i.type = 'search' THEN 1 ELSE 0 END) OVER w AS turn
+  FROM isl i LEFT JOIN (SELECT traj, isl.done + 1 AS done, string_agg(output, ' ' ORDER BY idx) AS said FROM isl WHERE type = 'reasoning' GROUP BY traj, isl.done) r ON r.traj = i.traj AND r.done = i.done
+  WHERE i.type <> 'reasoning' WINDOW w AS (PARTITION BY i.traj ORDER BY i.idx)),
+vs AS (SELECT * FROM cl WHERE type = 'visit' AND found AND turn > 0),
+pa AS (SELECT cl.traj, cl.idx, any_value(cl.said) AS said, max(v.idx) AS target FROM cl JOIN vs v ON v.traj = cl.traj AND v.idx < cl.idx WHERE cl.was = 'visit' AND cl.said <> '' GROUP BY cl.traj, cl.idx),
+f1 AS (SELECT traj, target, min(idx) AS idx, arg_min(said, idx) AS said FROM pa GROUP BY traj, target),
+gr AS (SELECT s.traj, s.idx, g.turn, '#' || any_value(g.query) || coalesce(string_agg('[' || v.docid || '=' || coalesce(f1.said, '') || ']', '' ORDER BY v.idx), '') AS x
+  FROM cl s JOIN cl g ON g.traj = s.traj AND g.type = 'search' AND g.idx < s.idx LEFT JOIN vs v ON v.traj = s.traj AND v.turn = g.turn AND v.idx < s.idx
+  LEFT JOIN f1 ON f1.traj = v.traj AND f1.target = v.idx AND f1.idx <= s.idx WHERE s.type = 'search' GROUP BY s.traj, s.idx, g.turn),
+hi AS (SELECT traj, idx, string_agg(x, '' ORDER BY turn) AS x FROM gr GROUP BY traj, idx)"""
+
+
+@stepped(LIVE, "SELECT c.traj::VARCHAR AS traj, c.idx, c.said AS reasoning, md5(coalesce(hi.x, '')) AS history FROM cl c LEFT JOIN hi USING (traj, idx) WHERE c.type = 'search'")
+def live_history(spark, sf_dir, an):
+    """Sessions as a stream that stops halfway and goes on: what each search is conditioned on."""
+    text = F.when(F.col("type") == "search", F.col("query")).when(F.col("type") == "visit", F.col("docid")).otherwise(F.col("output"))
+    steps = bind.steps(spark, sf_dir).select("traj", F.col("idx").alias("step"), "type", text.alias("text"), (F.col("docid").cast("bigint") % 5 != 0).alias("found"))
+    source, out, checkpoint = (io.scratch(spark, f"live-{n}") for n in ("steps", "out", "checkpoint"))
+    live.use_rocksdb(spark)
+    for early in (True, False):
+        steps.filter((F.col("step") <= 20) == early).write.mode("append").json(source)
+        live.live_searches(live.read_steps(spark, source)).writeStream.format("json").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    group = lambda g: F.concat(F.lit("#"), g.query, F.array_join(F.zip_with(g.docids, g.reasonings, lambda d, r: F.concat(F.lit("["), d, F.lit("="), r, F.lit("]"))), ""))
+    return spark.read.schema(live.OUT).json(out).select("traj", F.col("step").alias("idx"), "reasoning", F.md5(F.array_join(F.transform("history", group), "")).alias("history"))
+
+
+@register(f"SELECT item_id::VARCHAR AS qid, len({CLEAR})::INT AS answer FROM benchmark")
+def answered_once(spark, sf_dir):
+    """Questions as a stream of two runs, in the second of which half of them come again."""
+    source, out = io.scratch(spark, "asked"), io.scratch(spark, "answers")
+    items = bind.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), _clear().alias("question"))
+    answer = lambda rows: rows.select("qid", F.length("question").alias("answer"))
+    for run, rows in (("one", items.filter("qid % 2 = 0")), ("two", items)):
+        rows.write.mode("append").option("sep", "\t").csv(source)
+        questions.answer_stream(questions.read_questions(spark, source), answer, "qid string, answer int", out, io.scratch(spark, "checkpoint"), run).awaitTermination()
+    return questions.answered(spark, out, "qid string, answer int").select("qid", "answer")
+
+
+@register("SELECT dims::INT AS dims, problem FROM (SELECT DISTINCT len(embedding) AS dims FROM embeddings), (VALUES ('passage_max_len: index has 512, wanted 256'), ('pooling: index has ''mean'', wanted ''cls''')) x(problem)")
+def table_stamps(spark, sf_dir):
+    """A stamp for each length of vectors in the table, written beside their index, and what in it differs from what is wanted."""
+    dims = bind.table(spark, sf_dir, "embeddings").select(F.size("embedding").alias("dims")).distinct()
+    rows = []
+    for d in (r["dims"] for r in dims.collect()):  # an index for each length
+        path = io.scratch(spark, "stamp")
+        io.write_stamp(spark, {"retriever": f"dense-{d}", "passage_max_len": 512, "pooling": "mean", "normalize": True}, path)
+        rows += [(d, p) for p in control.check_stamp(io.read_stamp(spark, path), {"retriever": f"dense-{d}", "passage_max_len": 256, "pooling": "cls", "normalize": True})]
+    return spark.createDataFrame(rows, "dims int, problem string")
+
+
+@register("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text || chr(10) || 'more' WHEN 1 THEN text ELSE '' END AS reasoning FROM conversations")
+def reasoning_texts(spark, sf_dir):
+    """Reasoning items with a summary, with contents only, and with neither."""
+    rows, n = bind.table(spark, sf_dir, "conversations"), F.col("turn") % 3
+    part = lambda *texts: F.array(*[F.struct(t.alias("text")) for t in texts])
+    summary = F.when(n == 0, part(F.col("text"), F.lit(""), F.lit("more")))
+    content = F.when(n == 1, part(F.col("text"))).when(n == 0, part(F.lit("not this")))
+    return rows.select("conv_id", "turn", transcript.reasoning_text(summary, content).alias("reasoning"))

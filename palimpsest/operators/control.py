@@ -23,9 +23,8 @@ def pending(questions: DataFrame, done: DataFrame, key: str = "qid") -> DataFram
 
 
 def shard(rows: DataFrame, order: str, n: int, i: int) -> DataFrame:
-    """Every n-th row from the i-th on, by ``order``; a place for all rows is one global sort, so this is for lists of questions."""
-    place = F.row_number().over(Window.orderBy(order)) - 1
-    return rows.withColumn("place_", place).filter(F.pmod("place_", F.lit(n)) == i).drop("place_")
+    """Every n-th row from the i-th on, by ``order``."""
+    return batches(rows, [order], n).filter(F.col("place") == i).drop("batch", "place")
 
 
 def check_stamp(stamp: dict | None, wanted: dict) -> list[str]:
@@ -69,15 +68,22 @@ def judge_model(named: str | None, served: Callable[[], list[str]]) -> str:
     return models[0]
 
 
-def tried(call: Callable[[], bool], attempts: int = 3, wait: float = 1.0) -> bool:
-    """The call's answer, false if all attempts fail."""
+def tried(call: Callable[[], bool], attempts: int = 3, wait: float = 1.0, failed: bool | None = False) -> bool | None:
+    """The call's answer, ``failed`` if all attempts fail."""
     for left in range(attempts - 1, -1, -1):
         try:
             return call()
         except Exception:
             if left:
                 time.sleep(wait)
-    return False
+    return failed
+
+
+def says_relevant(answer: str | None) -> bool:
+    """Whether the first word after an answer's thoughts is RELEVANT."""
+    said = (answer or "").strip()
+    words = said.split("</think>", 1)[-1].split()
+    return bool(words) and words[0] == "RELEVANT"
 
 
 def with_verdicts(rows: DataFrame, text: str, judge: Callable[[str], str], attempts: int = 3, wait: float = 1.0, verdict: str = "relevant") -> DataFrame:
@@ -88,13 +94,8 @@ def with_verdicts(rows: DataFrame, text: str, judge: Callable[[str], str], attem
     place = rows.columns.index(text)
 
     def ask(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(x: str) -> bool:
-            said = (judge(x) or "").strip()
-            words = said.split("</think>", 1)[-1].split() if "</think>" in said else said.split()
-            return bool(words) and words[0] == "RELEVANT"
-
         for batch in batches_:
-            found = [tried(lambda x=x: one(x), attempts, wait) for x in batch.column(place).to_pylist()]
+            found = [tried(lambda x=x: says_relevant(judge(x)), attempts, wait) for x in batch.column(place).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(found, pa.bool_())], names=[*batch.schema.names, verdict])
 
     from pyspark.sql import types as T

@@ -11,6 +11,7 @@ from .operators import control, dense_index, encoding, lexical, quarantine, retr
 from .plans import binding as bind
 from .plans import steps as st
 from .sources import corpus as io
+from .sources.run_files import register_runs
 from .streaming import live, questions
 
 CLEAR = r"trim(regexp_replace(text, '[\t\n\r]+', ' ', 'g'))"
@@ -43,6 +44,19 @@ def trajectory_files(spark, sf_dir, an):
     return rows.select(T.plain_qid("query_id").alias("qid"), F.when(~F.col("bad"), F.size("result")).cast("bigint").alias("steps"), "bad")
 
 
+@stepped("", "SELECT traj::VARCHAR AS qid, 'run_' || traj || '.json' AS file, count(*) AS steps, count(*) FILTER (type <> 'reasoning') AS calls FROM st GROUP BY traj")
+def run_format(spark, sf_dir, an):
+    """Runs written and read by their data source, one named file for each."""
+    register_runs(spark)
+    path = io.scratch(spark, "runs")
+    kind = F.when(F.col("type") == "reasoning", "reasoning").otherwise("tool_call").alias("type")
+    step = F.struct(kind, F.col("type").alias("tool_name"), F.to_json(F.struct("query", "docid")).alias("arguments"), "output")
+    runs = an.groupBy(F.col("traj").cast("string").alias("qid")).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", step.alias("step")))), lambda x: x["step"]).alias("result"))
+    runs.repartition(4, "qid").write.format("runs").mode("append").save(path)
+    rows = spark.read.format("runs").load(path).filter("not bad")
+    return rows.select("qid", "file", F.size("result").cast("bigint").alias("steps"), F.size(F.filter("result", lambda s: s.type == "tool_call")).cast("bigint").alias("calls"))
+
+
 @stepped("", "SELECT arm, count(DISTINCT traj) AS runs, count(DISTINCT traj) FILTER (traj % 10 = 0) AS bad FROM st, (VALUES ('a'), ('b')) x(arm) GROUP BY arm")
 def arms_sweep(spark, sf_dir, an):
     path = io.scratch(spark, "arms")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .catalog import ASKED, BM25, GRPS, INNER, MESSAGES, RUNS, SHARE, _asked, _best, _groups, _messages, _qrels, _runs, _vectors, register, stepped
 from .functions import text as T
-from .operators import control, dense_index, encoding, lexical, quarantine, retrieval, scoring, session, transcript, verdicts
+from .functions import tokens
+from .operators import control, dense_index, encoding, history, lexical, quarantine, retrieval, scoring, session, transcript, verdicts
 from .plans import binding as bind
 from .plans import steps as st
 from .sources import corpus as io
@@ -442,3 +443,36 @@ def reasoning_texts(spark, sf_dir):
     summary = F.when(n == 0, part(F.col("text"), F.lit(""), F.lit("more")))
     content = F.when(n == 1, part(F.col("text"))).when(n == 0, part(F.lit("not this")))
     return rows.select("conv_id", "turn", transcript.reasoning_text(summary, content).alias("reasoning"))
+
+
+# ---- in a tokenizer's tokens
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("SELECT doc_id::VARCHAR AS docid, true AS same, true AS fits FROM documents")
+def token_cuts(spark, sf_dir):
+    """Whether the table of cuts has what the tokenizer makes of each document, and whether that fits."""
+    docs = bind.corpus(spark, sf_dir).select("docid", T.one_line("text").alias("text"))
+    cut = tokens.cuts(docs, "text", tokenizer_path(), 64)
+    rows = docs.join(cut, "text", "left").select("docid", F.coalesce("cut", F.lit("")).alias("cut"), F.coalesce("tokens", F.lit(0)).alias("n"), tokens.truncate_tokens(F.col("text"), tokenizer_path(), 64).alias("own"))
+    return rows.select("docid", (F.col("cut") == F.col("own")).alias("same"), (F.col("n") <= 64).alias("fits"))
+
+
+@stepped("", "SELECT traj, idx, true AS same FROM st WHERE type = 'search'")
+def token_styles(spark, sf_dir, an):
+    """Searches in the style of snippets and notes, cut by the tokenizer, against documents and notes that were cut before."""
+    path, corpus, question = tokenizer_path(), bind.corpus(spark, sf_dir), bind.question()
+    cut = lambda x, n: tokens.truncate_tokens(x, path, n)
+    own = history.rendered(an, corpus, question, "i3", tokens=path).withColumnRenamed("rendered", "own")
+    opened = st.visits(an).filter("turn > 0").select("docid").distinct()
+    shown = corpus.join(opened, "docid", "left_semi").select("docid", cut(T.one_line("text"), 64).alias("snippet"))
+    visits = st.visits(an).filter("turn > 0").join(shown, "docid").filter("snippet <> ''").groupBy("traj", "turn").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "snippet"))), lambda x: x.snippet).alias("s"))
+    line = F.concat(F.lit("Previous SubQuery "), F.col("turn"), F.lit(": "), F.col("query"), F.lit("\nVisited Documents: "), F.coalesce(F.array_join("s", " ; "), F.lit("<empty>")))
+    past = st.searches(an).join(visits, ["traj", "turn"], "left").withColumn("past", F.collect_list(line).over(st.before()))
+    plain = F.when(F.size("past") == 0, "Previous Interactions: <empty>").otherwise(F.concat(F.lit("Previous Interactions:\n"), F.array_join("past", "\n")))
+    return past.withColumn("plain", plain).join(own, ["traj", "idx"]).select("traj", "idx", F.expr("endswith(own, concat('\n', plain))").alias("same"))

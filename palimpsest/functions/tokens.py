@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,3 +41,20 @@ def count_tokens(x: Column, path: str) -> Column:
             yield pd.Series([len(e.ids) for e in own.encode_batch([t or "" for t in batch], add_special_tokens=False)], index=batch.index, dtype="int64")
 
     return count(x)
+
+
+def cuts(texts: DataFrame, text: str, path: str, n: int) -> DataFrame:
+    """(text, cut, tokens) of each distinct text: its first ``n`` tokens, decoded again, and how many tokens that has.
+
+    A text is encoded once, however many rows have it; what is done with the cuts then needs no Python.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _tokenizer(path)
+        for batch in batches:
+            said = batch.column(0).to_pylist()
+            short = [own.decode(e.ids[:n], skip_special_tokens=False) for e in own.encode_batch(said, add_special_tokens=False)]
+            many = [len(e.ids) for e in own.encode_batch(short, add_special_tokens=False)]
+            yield pa.record_batch([batch.column(0), pa.array(short, pa.string()), pa.array(many, pa.int32())], names=[text, "cut", "tokens"])
+
+    return texts.filter(F.col(text) != "").select(text).distinct().mapInArrow(cut, f"`{text}` string, cut string, tokens int")

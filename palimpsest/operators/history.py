@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_note, clean_reasoning, let, one_line, token_length, truncate
+from ..functions.tokens import cuts
 from ..plans.steps import before, searches, visits
+from ..sources.corpus import scratch
 
 # For each style whether it shows documents, notes, their ids, and words of a document.
 STYLES = {"i2": (False, False, True, 128), "i3": (True, False, False, 64), "i4": (False, True, True, 128), "i5": (True, True, False, 64), "i7": (False, False, True, 128)}
@@ -28,6 +30,14 @@ def _shown(corpus: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return corpus.join(wanted.select("docid").distinct(), "docid", "left_semi").select("docid", truncate("text", n).alias("text"))
 
 
+def _cut(rows: DataFrame, column: str, path: str, n: int) -> DataFrame:
+    """``rows`` with the text's first n tokens and their number (tokens); the rows are written first, as their texts are read twice."""
+    place = scratch(rows.sparkSession, "texts")
+    rows.write.parquet(place)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(place)
+    return rows.join(cuts(rows, column, path, n), column, "left").withColumn(column, F.coalesce("cut", column)).drop("cut")
+
+
 def with_history(annotated: DataFrame, corpus: DataFrame) -> DataFrame:
     """(traj, idx, query, pre, history): each search with the interactions before it, [(query, [(docid, text, reasoning)])].
 
@@ -41,10 +51,11 @@ def with_history(annotated: DataFrame, corpus: DataFrame) -> DataFrame:
     return each.withColumn("history", F.collect_list(F.struct("query", seen.alias("visits"))).over(before())).select("traj", "idx", "query", "pre", "history")
 
 
-def rendered(annotated: DataFrame, corpus: DataFrame, question: Column, style: str) -> DataFrame:
+def rendered(annotated: DataFrame, corpus: DataFrame, question: Column, style: str, tokens: str | None = None) -> DataFrame:
     """(traj, idx, rendered): each search's query in one style; ``question`` is a Column of a trajectory.
 
     A visit's document and note are cut and cleaned once, an interaction's lines are made once; later searches collect the lines.
+    They are cut to words, or to the tokens of the tokenizer whose file ``tokens`` names.
     """
     rows = searches(annotated)
     if style not in STYLES:
@@ -52,9 +63,13 @@ def rendered(annotated: DataFrame, corpus: DataFrame, question: Column, style: s
     docs, notes, tags, n = STYLES[style]
     opened = visits(annotated).filter("turn > 0")
     if docs:
-        opened = opened.join(_shown(corpus, opened, n), "docid", "left")
-    doc = _tagged(F.coalesce(F.col("text"), F.lit("")), tags, n) if docs else F.lit("")
-    note = _tagged(clean_note("reasoning", question), tags, NOTE_WORDS) if notes else F.lit("")
+        shown = _shown(corpus, opened, n) if tokens is None else _cut(corpus.join(opened.select("docid").distinct(), "docid", "left_semi").select("docid", one_line("text").alias("text")), "text", tokens, n).drop("tokens")
+        opened = opened.join(shown, "docid", "left")
+    if notes and tokens is not None:
+        opened = _cut(opened.withColumn("note", one_line(clean_note("reasoning", question))), "note", tokens, NOTE_WORDS)
+    tagged = _tagged if tokens is None else lambda x, tags, _: _marked(x, tags, F.col("docid"))
+    doc = tagged(F.coalesce(F.col("text"), F.lit("")), tags, n) if docs else F.lit("")
+    note = tagged(clean_note("reasoning", question) if tokens is None else F.col("note"), tags, NOTE_WORDS) if notes else F.lit("")
     grouped = opened.groupBy("traj", "turn").agg(F.sort_array(F.collect_list(F.struct("idx", doc.alias("doc"), note.alias("note")))).alias("v"))
     listed = lambda name: _or_empty(F.array_join(F.filter(F.transform(F.coalesce("v", F.array().cast("array<struct<idx:bigint,doc:string,note:string>>")), lambda x: x[name]), lambda x: x != ""), " ; "))
     lines = _lines(style, F.col("turn"), F.col("query"), listed("doc"), listed("note"))
@@ -68,8 +83,11 @@ def _or_empty(x: Column) -> Column:
 
 def _tagged(x: Column, tags: bool, n: int, docid: Column | str = "docid") -> Column:
     """The first n words with the document's id before them; empty stays empty."""
-    docid = F.col(docid) if isinstance(docid, str) else docid
-    return let(truncate(x, n), lambda t: F.when(t == "", "").otherwise(F.concat(F.lit(DOCID), docid, F.lit("] "), t) if tags else t))
+    return _marked(truncate(x, n), tags, F.col(docid) if isinstance(docid, str) else docid)
+
+
+def _marked(x: Column, tags: bool, docid: Column) -> Column:
+    return let(x, lambda t: F.when(t == "", "").otherwise(F.concat(F.lit(DOCID), docid, F.lit("] "), t) if tags else t))
 
 
 def _items(visits_: Column, pick: Callable[[Column], Column], tags: bool, n: int) -> Column:
@@ -119,14 +137,14 @@ def render(style: str, question: Column, query: Column = None, history: Column =
     return F.concat_ws("\n", *head, _past(F.transform(history, turn)))
 
 
-def _within(items: Column, budget: int, least: int) -> Column:
+def _within(items: Column, budget: int, least: int, text: Callable[[Column], Column] = lambda x: x, length: Callable[[Column], Column] = token_length) -> Column:
     """Items (newest first) until the first one beyond the budget; as none has less than ``least`` words, only so many can count."""
     start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("kept"))
 
     def step(s: Column, x: Column) -> Column:
-        used = s["used"] + token_length(x)
+        used = s["used"] + length(x)
         full = s["full"] | (used > budget)
-        return F.struct(F.when(full, s["used"]).otherwise(used).alias("used"), full.alias("full"), F.when(full, s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"))
+        return F.struct(F.when(full, s["used"]).otherwise(used).alias("used"), full.alias("full"), F.when(full, s["kept"]).otherwise(F.concat(s["kept"], F.array(text(x)))).alias("kept"))
 
     return F.array_join(F.aggregate(F.slice(items, 1, budget // max(least, 1) + 1), start, step)["kept"], " ; ")
 
@@ -137,9 +155,18 @@ def memory_block(reasonings: Column, question: Column, each: int = MEMORY_EACH,
     return _within(F.transform(made, lambda c: truncate(c, each)), budget, min(least, each))
 
 
-def with_memories(annotated: DataFrame, question: Column, each: int = MEMORY_EACH, budget: int = MEMORY_ALL, least: int = MEMORY_LEAST) -> DataFrame:
-    """(traj, idx, query, memory): each search with its memory block; a visit's reasoning is cleaned once, not once for each later search."""
+def with_memories(annotated: DataFrame, question: Column, each: int = MEMORY_EACH, budget: int = MEMORY_ALL, least: int = MEMORY_LEAST, tokens: str | None = None) -> DataFrame:
+    """(traj, idx, query, memory): each search with its memory block; a visit's reasoning is cleaned once, not once for each later search.
+
+    ``each`` and ``budget`` count words, or the tokens of the tokenizer whose file ``tokens`` names; ``least`` always counts words.
+    """
     noted = (F.col("type") == "visit") & F.col("docid").isNotNull() & (F.col("reasoning") != "")
+    if tokens is not None:
+        item = F.when(noted, let(clean_reasoning("reasoning", question), lambda c: F.when(token_length(c) >= least, c)))
+        rows = _cut(annotated.select("traj", "idx", "type", "query", item.alias("item")), "item", tokens, each)
+        said = F.collect_list(F.when(F.col("item").isNotNull(), F.struct("item", "tokens"))).over(before())
+        rows = rows.withColumn("items", said).filter("type = 'search'")
+        return rows.select("traj", "idx", "query", _within(F.reverse("items"), budget, 1, lambda x: x["item"], lambda x: x["tokens"]).alias("memory"))
     item = F.when(noted, let(clean_reasoning("reasoning", question), lambda c: F.when(token_length(c) >= least, truncate(c, each))))
     said = F.collect_list("item").over(before())
     rows = annotated.select("traj", "idx", "type", "query", item.alias("item")).withColumn("items", said).filter("type = 'search'")

@@ -1,0 +1,91 @@
+"""Styles and memory in a tokenizer's tokens, against its own cuts."""
+
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.functions.text import clean_note, clean_reasoning, one_line
+from palimpsest.operators import history as H
+from palimpsest.plans.steps import annotate
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+STEPS = "traj long, idx long, type string, query string, docid string, returned array<string>, output string"
+QUESTION = "Which painter of the old harbour was born on an island?"
+
+pytestmark = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer here")
+
+
+def said(rng, n):
+    return " ".join(rng.choice(["harbour", "painter", "œuvre", "naïve", "été", "island-born", "1889", "unbelievably", "the", "of", "日本語", "a."]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    rng = random.Random(3)
+    docs = [(str(i), said(rng, rng.choice([0, 5, 60, 400])) + ("\n\n x" if i % 2 else "")) for i in range(12)]
+    steps = []
+    for t in range(4):
+        for i in range(40):
+            kind = "search" if i == 0 else rng.choice(["search", "visit", "visit", "reasoning"])
+            kind = "reasoning" if steps and steps[-1][2] == "visit" and steps[-1][0] == t and rng.random() < 0.8 else kind
+            steps.append((t, i, kind, f"query {i}" if kind == "search" else None, str(rng.randrange(14)) if kind == "visit" else None, [] if kind == "search" else None, f"We saw {said(rng, rng.choice([3, 12, 90, 200]))}." if kind == "reasoning" else None))
+    return annotate(spark.createDataFrame(steps, STEPS)).persist(), spark.createDataFrame(docs, "docid string, text string"), dict(docs)
+
+
+def test_styles_are_cut_as_the_tokenizer_cuts(spark, made):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(TOKENIZER)
+    cut = lambda x, n: own.decode(own.encode(x, add_special_tokens=False).ids[:n], skip_special_tokens=False)
+    steps, corpus, docs = made
+    rows = steps.withColumn("note", one_line(clean_note("reasoning", F.lit(QUESTION)))).orderBy("traj", "idx").collect()
+    for style, (shows_docs, shows_notes, tags, n) in H.STYLES.items():
+        if style not in ("i3", "i4", "i5"):
+            continue
+        want, past = {}, {}
+        for r in rows:
+            groups = past.setdefault(r["traj"], [])
+            if r["type"] == "search":
+                lines = []
+                for k, (query, visits) in enumerate(groups, 1):
+                    tag = lambda d, x: f"[docs_id:{d}] {x}" if tags else x
+                    shown = [tag(d, cut(" ".join(docs.get(d, "").split()), n)) for d, _ in visits if docs.get(d, "").split()]
+                    noted = [tag(d, cut(x, 128)) for d, x in visits if x]
+                    lines.append(f"Previous SubQuery {k}: {query}")
+                    lines += [f"Visited Documents: {' ; '.join(shown) or '<empty>'}"] * shows_docs + [f"Visited Document Notes: {' ; '.join(noted) or '<empty>'}"] * shows_notes
+                want[r["traj"], r["idx"]] = lines
+                groups.append((r["query"], []))
+            elif r["type"] == "visit":
+                groups[-1][1].append((r["docid"], r["note"]))
+        got = {(r["traj"], r["idx"]): r["rendered"].split("\n") for r in H.rendered(steps, corpus, F.lit(QUESTION), style, tokens=TOKENIZER).collect()}
+        assert {k: v[3:] for k, v in got.items()} == want
+    assert any(len(own.encode(" ".join(t.split()), add_special_tokens=False).ids) > 64 for t in docs.values())
+
+
+def test_memory_counts_tokens(spark, made):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(TOKENIZER)
+    ids = lambda x: own.encode(x, add_special_tokens=False).ids
+    steps, _, _ = made
+    rows = steps.withColumn("clean", clean_reasoning("reasoning", F.lit(QUESTION))).orderBy("traj", "idx").collect()
+    want, notes = {}, {}
+    for r in rows:
+        held = notes.setdefault(r["traj"], [])
+        if r["type"] == "search":
+            kept, used = [], 0
+            for x in reversed(held):
+                if len(x.split()) < 8:
+                    continue
+                snippet = own.decode(ids(x)[:64], skip_special_tokens=False)
+                if used + len(ids(snippet)) > 256:
+                    break
+                kept.append(snippet)
+                used += len(ids(snippet))
+            want[r["traj"], r["idx"]] = " ; ".join(kept)
+        elif r["type"] == "visit" and r["reasoning"]:
+            held.append(r["clean"])
+    got = {(r["traj"], r["idx"]): r["memory"] for r in H.with_memories(steps, F.lit(QUESTION), tokens=TOKENIZER).collect()}
+    assert got == want and any(len(x) > 300 for x in want.values())

@@ -624,7 +624,7 @@ def docids_from_json(spark, sf_dir, an):
     return st.searches(an).select("traj", "idx", payload.docids_in_json(output).alias("docids"))
 
 
-@register(f"SELECT doc_id::VARCHAR AS docid, '[{{\"docid\":\"' || doc_id || '\",\"score\":1.5}}]' AS plain, '{{\"results\":[{{\"docid\":\"' || doc_id || '\",\"score\":1.5}}],\"returned_earlier_note\":\"{payload.EARLIER}\",\"returned_earlier\":[{{\"docid\":\"' || doc_id || '\",\"title\":' || to_json({TITLE}) || '}}]}}' AS both FROM documents")
+@register(f"SELECT doc_id::VARCHAR AS docid, '[{{\"docid\":\"' || doc_id || '\",\"score\":1.5}}]' AS plain, '{{\"results\":[{{\"docid\":\"' || doc_id || '\",\"score\":1.5}}],\"returned_earlier_note\":\"Relevant docs hidden because an earlier search already returned them — you may NOT have read them yet; use get_document to read any.\",\"returned_earlier\":[{{\"docid\":\"' || doc_id || '\",\"title\":' || to_json({TITLE}) || '}}]}}' AS both FROM documents")
 def json_payload(spark, sf_dir):
     rows = bind.corpus(spark, sf_dir)
     results = F.array(F.struct("docid", F.lit(1.5).alias("score")))

@@ -18,6 +18,7 @@ INSTRUCTIONS = {
     "i6": "Given the agent's reasoning that led to the current sub-query, retrieve documents relevant to the current sub-query that provide NEW information beyond what the reasoning already covers.",
     "i7": "Given the main question, the agent's reasoning and the current sub-query it led to, and the sub-queries already tried in previous interactions, retrieve documents relevant to the current sub-query that provide NEW information not yet found.",
 }
+# Fixed value: the note that comes with results that were returned before.
 EARLIER = "Relevant docs hidden because an earlier search already returned them — you may NOT have read them yet; use get_document to read any."
 
 

@@ -89,12 +89,17 @@ def tool_counts(dispatched: DataFrame, answered: Column) -> DataFrame:
     return dispatched.groupBy("traj", tool.alias("tool")).agg(F.count(F.lit(1)).alias("all_calls"), F.count(F.when(F.col("error").isNull() & answered, 1)).alias("answered_calls"))
 
 
+# How runs are said to have ended.
+ANSWERED, NO_CALLS, NO_ANSWER = "answer", "exceed available llm calls", "answer not found"
+FORCED, FORCED_BADLY = "generate an answer as token limit reached", "format error: generate an answer as token limit reached"
+
+
 def ended(last_message: Column, calls_left: Column, token_limit: Column) -> Column:
     """How a run ended, from its last message, the calls it had left, and whether its tokens (or calls) ran out and a final answer was asked for."""
     answered = F.coalesce(last_message.contains("<answer>"), F.lit(False))
     whole = answered & F.coalesce(last_message.contains("</answer>"), F.lit(False))
-    forced = F.when(whole, "generate an answer as token limit reached").otherwise("format error: generate an answer as token limit reached")
-    free = F.when(answered, "answer").when(calls_left == 0, "exceed available llm calls").otherwise("answer not found")
+    forced = F.when(whole, FORCED).otherwise(FORCED_BADLY)
+    free = F.when(answered, ANSWERED).when(calls_left == 0, NO_CALLS).otherwise(NO_ANSWER)
     return F.when(F.coalesce(token_limit, F.lit(False)), forced).otherwise(free)
 
 

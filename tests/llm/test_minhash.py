@@ -8,7 +8,6 @@ import pytest
 from llm_helpers import prose
 
 from palimpsest.llm import minhash as M
-from palimpsest.llm.ngram_join import word_sets  # noqa: F401  the sets that signatures are made of
 
 
 def shingles(text, n=4):
@@ -44,12 +43,11 @@ def changed(words, rng, most):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("cross", [4, 0])
-def test_components_equal_brute_force(frame, cross):
+def test_components_equal_brute_force(frame):
     rng = random.Random(1)
     texts = [changed(base, rng, 1 + seed) for seed in range(10) for base in [prose([6, 40, 120, 300][seed % 4], seed)] for _ in range(12)]
     texts += [" ".join(prose(30, 100 + i)) + " some passage that very many of the texts here have in common with others of them" for i in range(40)]
-    check(frame(texts), list(enumerate(texts)), cross=cross)
+    check(frame(texts), list(enumerate(texts)))
 
 
 def test_hot_keys_are_split_and_lose_no_link(frame, monkeypatch):
@@ -129,6 +127,6 @@ def test_all_kinds_of_rows(frame):
     check(frame(texts), list(enumerate(texts)))
     got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in M.near_copies(frame(["a b c d e", "a b c d e", "x y", "p q r s t", "x y"], ids=[5, None, 5, 4, 3])).collect())
     assert got == [(0, None, True), (3, 3, True), (4, 4, True), (5, 3, False), (5, 3, False)]
-    assert M.near_copies(frame([])).collect() == [] and len(M.near_copies(frame([None, ""])).collect()) == 2
+    assert M.near_copies(frame([])).collect() == []
     with pytest.raises(ValueError):
         M.near_copies(frame([]), num=0)

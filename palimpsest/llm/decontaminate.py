@@ -16,8 +16,8 @@ the class's words as its edits leave.
 Hits of an item whose windows overlap are one candidate, verified by exact edit distance; it must first hold as many of the item's words
 as the bound leaves, which loses nothing.
 
-Items are the stated query set: in blocks of at most ITEMS they go to all tasks, one pass over the texts for each
-block. Texts are not shuffled.
+Items are the stated query set: in blocks they go to all tasks, one pass over the texts for each block. A block holds at most ITEMS items, and at most ITEM_BYTES
+of their texts besides its last item. Texts are not shuffled.
 
 Cases: null and empty texts and items match nothing; items under seven words at the default ratio match exactly only; repeated
 items and rows each give their rows; null ids are kept. Other columns are ignored.
@@ -30,13 +30,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import parts_for, pick, prepare
+from .session import keep, parts_for, pick, prepare
 from .words import Texts, U, mix, span_hashes, texts
 
 RATIO, PART, WALKS, SAMPLES, ITEMS = 0.15, 13, 16, 3, 20_000
+#: Bytes of items' texts in a block; prepared items take some 20 to 30 times as much in each worker.
+ITEM_BYTES = 4 << 20
 #: Steps of a walk for each word of its class's least part, of which SAMPLES are read.
 REACH = 1.4
 #: Classes hold parts whose lengths differ by less than this factor.
@@ -277,17 +279,33 @@ def hashed_words(chunk: Texts) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, starts, ends), at
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", ratio: float = RATIO, block: int = ITEMS) -> DataFrame:
+def item_blocks(items: DataFrame, block: int = ITEMS, block_bytes: int = ITEM_BYTES) -> list[DataFrame]:
+    """``items`` in blocks of at most ``block`` rows and, besides the last one's, ``block_bytes`` of their texts.
+
+    Rows are dealt to buckets by chance, so repeated ones don't meet; buckets that came out too large are cut.
+    """
+    least = -(-block_bytes // block)
+    weight = F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(least)).cast("bigint")
+    total = items.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first()["n"]
+    if total <= block_bytes:
+        return [items]
+    buckets = parts_for(total, 0.8 * block_bytes)
+    dealt = items.withColumn("weight", weight).withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    before = F.sum("weight").over(Window.partitionBy("bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
+    cut = keep(dealt.withColumn("before", F.coalesce(before, F.lit(0))).select("item_id", "text", "bucket", F.expr(f"before div {block_bytes}").alias("cut")))
+    return [cut.filter((F.col("bucket") == b) & (F.col("cut") == c)).select("item_id", "text") for b, c in cut.select("bucket", "cut").distinct().orderBy("bucket", "cut").collect()]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", ratio: float = RATIO, block: int = ITEMS, block_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, distance): for each text and item that match, the nearest window (the first of equals)."""
     spark = docs.sparkSession
     prepare(spark)
     docs = pick(docs, doc_id=id_col, text=text_col)
     items = pick(benchmark, item_id=item_col, text=item_text)
-    blocks = parts_for(items.count(), block + 1)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int64())])
     out = None
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").toArrow()
+    for some in item_blocks(items, block, block_bytes):
+        rows = some.orderBy("item_id", "text").toArrow()
         words = []
         for chunk in texts(rows.to_batches()):
             h, at = hashed_words(chunk)

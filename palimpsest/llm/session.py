@@ -54,13 +54,18 @@ def keep(df: DataFrame) -> DataFrame:
     prepare(spark)
     path = f"{shared_dir(spark)}/kept/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    passing(spark, path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
     return kept
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """Have the folder deleted when the driver's JVM ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of keep() that nothing needs any more, and let Spark drop shuffle files that nothing refers to."""
     for df in tables:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .session import parts_for, pick, prepare, shared_dir, text_bytes
+from .session import parts_for, passing, pick, prepare, shared_dir, text_bytes
 from .words import SPACE, Texts, kept, span_hashes, texts
 
 BLOCK, FILE_IDS, SHARD_BYTES = 1 << 16, 1 << 20, 24 << 20
@@ -254,7 +254,9 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = 0, width:
     prepare(docs.sparkSession)
     docs = pick(docs, doc_id=id_col, text=text_col)
     shards = parts_for(text_bytes(docs), SHARD_BYTES)
-    dealt = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ["doc_id", "text_hash", "row"]  # rows that share an id, or have none, may be in several shards; equal rows too, they have equal tokens
+    rows = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     dealt.mapInArrow(_writer(tokenizer, end, width), "shard int, file int, documents long, ids long, blob binary").write.mode("overwrite").parquet(out)
 
 
@@ -279,8 +281,10 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
 
 
 def tokens_round_trip(docs: DataFrame, tokenizer: str, out: str | None = None, **options) -> DataFrame:
-    """write_tokens, then read_tokens; by default in a new folder of the shared storage, which stays."""
+    """write_tokens, then read_tokens; by default in a new folder of the shared storage, which goes when the driver's JVM ends."""
     spark = docs.sparkSession
-    out = out or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, out, tokenizer, **options)
-    return read_tokens(spark, out)
+    own = out or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(docs, own, tokenizer, **options)
+    if out is None:
+        passing(spark, own)
+    return read_tokens(spark, own)

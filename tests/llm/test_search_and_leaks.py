@@ -116,6 +116,21 @@ def test_leaks_of_short_items_and_empty_tables(spark, frame):
     assert D.contaminated(frame([]), bench).collect() == [] and D.contaminated(frame(["a"]), bench.limit(0)).collect() == []
 
 
+def test_items_in_blocks_of_bounded_bytes(spark, frame):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(10))) for i in range(30)] + [(99, "one repeated item of some seven or more words here")] * 20
+    items += [(200 + i, " ".join(f"long{i}x{k}" for k in range(300))) for i in range(4)] + [(None, "an item without an id has words as well"), (5, None), (6, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks = [b.collect() for b in D.item_blocks(bench, 10, 1000)]
+    sizes = [sorted(len(r["text"] or "") for r in b) for b in blocks]
+    assert len(blocks) > 5 and all(len(b) <= 11 and sum(s) <= 1000 + s[-1] for b, s in zip(blocks, sizes, strict=True))
+    assert sorted(map(repr, (r for b in blocks for r in b))) == sorted(map(repr, bench.collect()))
+    docs = frame([f"see {t} there" for _, t in items if t] + ["no match", None], ids=[*range(len([t for _, t in items if t])), None, None])
+    docs = docs.unionByName(frame([items[0][1]], ids=[None]))
+    rows = lambda **options: sorted(map(repr, D.contaminated(docs, bench, **options).collect()))
+    whole = rows()
+    assert len(whole) == 30 + 1 + 20 * 20 + 4 + 1 and whole == rows(block=10, block_bytes=1000)
+
+
 def test_nearest_window():
     word = lambda s: np.array([ord(c) for c in s], np.uint64)
     assert D.nearest(word("abc"), word("xxabcxx")) == (0, 2, 5)

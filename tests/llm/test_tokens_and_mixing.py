@@ -47,6 +47,27 @@ def test_tokens_of_equal_and_null_ids_and_of_nothing(spark, frame, tmp_path):
     assert token_files.tokens_round_trip(frame([]), tokenizer_path(), str(tmp_path / "e")).collect() == []
 
 
+def test_rows_without_an_id_and_of_one_id_fill_several_shards(frame, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 2000)
+    said = [" ".join(prose(20, i)) for i in range(60)] + ["the same text"] * 200 + [" ".join(prose(15, 99 + i)) for i in range(60)]
+    ids = [None] * 60 + [None] * 200 + [7] * 60
+    docs = frame(said, ids)
+    got = token_files.tokens_round_trip(docs, tokenizer_path(), str(tmp_path / "t")).orderBy("start").collect()
+    files = docs.sparkSession.read.parquet(str(tmp_path / "t")).select("shard", "documents").collect()
+    assert len({f["shard"] for f in files}) > 4 and max(f["documents"] for f in files) < 160
+    assert [r["doc_id"] for r in got] == [None] * 260 + [7] * 60
+    own = lambda t: plain.encode(t, add_special_tokens=False).ids + [0]
+    crc = lambda x: zlib.crc32(struct.pack(f"<{len(x)}I", *x))
+    assert sorted(r["ids_crc32"] for r in got) == sorted(crc(own(t)) for t in said)
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 def targets_brute(sizes):
     """Resharing of the excess until no target is above twice its size."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))

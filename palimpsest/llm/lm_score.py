@@ -1,11 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Tokens are the words of a text, A-Z lower-cased, then one end; the end also stands before the first word. Texts are read once and
-kept as blocks of token codes with the block's distinct words, so nothing later shuffles or hashes text. A block sends its distinct words and n-grams (pairs up to
-runs of ``order`` tokens) to ranges of their hashes, each with its count in the block's training texts. A range's task sums the counts. Words keep exact ones. An n-gram seen c times
-has level floor(log2 c) + 1 and goes into the range's part of the filter once for each level up to its own; a query probes levels until one is
-absent and so learns the count within a factor of 2. No n-gram is left out, those seen once have a level too: the filter grows
-with the n-grams while a part does not, a larger corpus has more ranges.
+kept as blocks of token codes with the block's distinct words, so nothing later shuffles or hashes text.
+
+fit() builds a model and saves it, kind by kind: words first, then pairs, up to runs of ``order`` tokens. A block sends its training texts' distinct words or n-grams to
+ranges of their hashes, each with its count. A range's task sums the counts. Words keep exact ones. An n-gram seen c times
+has level floor(log2 c) + 1 and goes into the range's part of the filter once for each level up to its own. Only the part's bits are saved, no n-gram and no count. No
+n-gram is left out, those seen once have a level too: the filter grows with the n-grams while a part does not, a larger corpus has more ranges.
+
+score() asks a saved model about any texts. Blocks send their distinct words and n-grams to the ranges, where a task probes the part: level after level until one is
+absent, so it learns the count within a factor of 2. It answers with a byte for each, in their order; the answers meet the block again. scores() does both over one table's
+blocks, each kind learnt, saved, then asked about, and its parts deleted before the next one.
 
     p1(w) = (c(w) + 1) / (N + V + 1)
     pk(w | h) = (q(h w) + PRIOR pk-1(w | h less its first)) / (C(h) + PRIOR)
@@ -13,8 +18,8 @@ with the n-grams while a part does not, a larger corpus has more ranges.
 with q the power of 2 that the probes give (at most the count; false positives are held to what shorter n-grams allow) and C(h) no less than the
 history's count: a word's is exact, a longer one's is 2 q(h) - 1. A history never seen passes on the shorter one's value. So probabilities sum to at most 1.
 
-A filter of all n-grams grows with the corpus and has no size bound, so it is not broadcast: the probes go to the parts. The packets that a block sent for counting are its
-questions too. The range's task probes its part for each packet's n-grams, and answers with a byte for each, in their order; the answers meet the block again.
+A filter of all n-grams grows with the corpus and has no size bound, so it is not broadcast: the probes go to the parts. Where more text is scored than was
+learnt from, a range's questions are split by block, and each split has its own copy of the part.
 N-grams are known by SLIM bits within their range and travel as differences. Nothing of the filter comes to the driver.
 
 Cases: null and empty texts are one end; rows with a null id are scored and not learnt from; rows with equal ids are
@@ -30,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import discard, keep, pick, prepare, text_bytes, tidy
@@ -46,10 +51,13 @@ END = U(0x2545F4914F6CDD1D)
 
 BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("flags", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("codes", pa.binary())])
 BLOCK_DDL = "block long, ids binary, flags binary, sizes binary, words binary, codes binary"
-ASK = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-ASK_DDL = "kind int, range int, block long, n int, keys binary, counts binary"
-TELL = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("found", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64())])
-TELL_DDL = "kind int, range int, block long, n int, found binary, types long, tokens long"
+SENT = pa.schema([("range", pa.int32()), ("salt", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+SENT_DDL = "range int, salt int, block long, n int, keys binary, counts binary"
+#: A range's part of a model: of kind 0 its words and their counts, of other kinds the filter's bits. ``n`` is how many keys it was made of, ``tokens`` how often they occur.
+PART = pa.schema([("range", pa.int32()), ("ranges", pa.int32()), ("n", pa.int64()), ("tokens", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("bits", pa.binary())])
+PART_DDL = "range int, ranges int, n long, tokens long, words binary, counts binary, bits binary"
+TOLD = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("found", pa.binary())])
+TOLD_DDL = "kind int, range int, block long, n int, found binary"
 SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -166,33 +174,46 @@ def slots(keys: np.ndarray, n: int) -> np.ndarray:
 
 def _by_range(kind: int, sorted_keys: np.ndarray, n: int) -> Iterator[tuple[int, slice, bytes]]:
     """(range, place, packed keys) for each range that some of the keys (of words, or slots of n-grams) are in."""
-    edges = np.arange(n, dtype=U) << U(SLIM) if kind else np.arange(n, dtype=U) << U(64 - (n.bit_length() - 1)) if n > 1 else np.zeros(1, U)
-    cuts = [*np.searchsorted(sorted_keys, edges).tolist(), len(sorted_keys)]
-    for r in range(n):
-        own = sorted_keys[cuts[r] : cuts[r + 1]]
-        if len(own):
-            yield r, slice(cuts[r], cuts[r + 1]), packed(steps(own & U((1 << SLIM) - 1) if kind else own))
+    if not len(sorted_keys):
+        return
+    of = sorted_keys >> U(SLIM) if kind else ranges(sorted_keys, n)
+    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(sorted_keys)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        own = sorted_keys[lo:hi]
+        yield int(of[lo]), slice(lo, hi), packed(steps(own & U((1 << SLIM) - 1) if kind else own))
 
 
-def _ask(n: int, order: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, block in _rows(batches):
-            learnt = np.repeat(block.learn, block.sizes)
-            many = np.bincount(block.codes[learnt], minlength=len(block.words))
-            for kind, keys, counts in _distinct(block, many, learnt, n, order):
-                for r, place, raw in _by_range(kind, keys, n):
-                    yield pa.record_batch([[kind], [r], [name], [place.stop - place.start], [raw], [packed(counts[place].astype(np.uint32))]], schema=ASK)
-        release()
+def learnt_keys(block: Tokens, kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a block's training texts, in order, and how often each occurs: kind 0 are words, then n-grams by their length less 1."""
+    learnt = np.repeat(block.learn, block.sizes)
+    if kind == 0:
+        many = np.bincount(block.codes[learnt], minlength=len(block.words))
+        return block.words[many > 0], many[many > 0]
+    *_, last = block.grams(kind + 1)
+    return np.unique(slots(last[learnt], n), return_counts=True)
+
+
+def asked_keys(block: Tokens, kind: int, n: int) -> np.ndarray:
+    """The distinct keys of all texts of a block, in order."""
+    if kind == 0:
+        return block.words
+    *_, last = block.grams(kind + 1)
+    return np.unique(slots(last, n))
 
-    return ask
 
+def _send(kind: int, n: int, learn: bool, salts: int = 1):
+    """A block's packets, one for each range: keys with counts to learn from, or keys to ask about."""
 
-def _distinct(block: Tokens, many: np.ndarray, learnt: np.ndarray, n: int, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, distinct keys, their counts in training texts) of a block: kind 0 are words, then n-grams by their length less 1."""
-    yield 0, block.words, many
-    for kind, keys in enumerate(block.grams(order), 1):
-        keys, place = np.unique(slots(keys, n), return_inverse=True)
-        yield kind, keys, np.bincount(place[learnt], minlength=len(keys))
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, block in _rows(batches):
+            keys, counts = learnt_keys(block, kind, n) if learn else (asked_keys(block, kind, n), None)
+            salt = int(mix(np.array([name], np.int64).view(U))[0] % U(salts))
+            rows = [(r, salt, name, place.stop - place.start, raw, packed(counts[place].astype(np.uint32)) if learn else None) for r, place, raw in _by_range(kind, keys, n)]
+            if rows:
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), SENT, strict=True)], schema=SENT)
+        release()
+
+    return send
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -231,41 +252,54 @@ def probed(bits: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, their counts' sums, and for each of ``keys`` which of them it is."""
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their counts' sums."""
     order = np.argsort(keys)
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order[1:]] != keys[order[:-1]]
-    first = np.flatnonzero(new)
-    which = np.empty(len(keys), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return keys[order[first]], np.add.reduceat(counts[order].astype(np.int64), first), which
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([np.ones(1, bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first)
 
 
-def _tell(bits_each: int):
-    """A range's answers to all packets: counts of words, levels of n-grams; with its first answer, how many words it has and how often."""
+def _build(kind: int, n: int, bits_each: int):
+    """A range's part of the model, from all packets sent to it."""
 
-    def tell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, r = (k.as_py() for k in key)
-        names, asked, counts = [], [], []
+    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [], []
         for batch in batches:
-            names += batch.column("block").to_pylist()
             for size, raw, count in zip(batch.column("n").to_pylist(), batch.column("keys"), batch.column("counts"), strict=True):
-                asked.append(np.cumsum(unpacked(raw, size, U), dtype=U))
+                keys.append(np.cumsum(unpacked(raw, size, U), dtype=U))
                 counts.append(unpacked(count, size, np.uint32))
-        sizes = [len(x) for x in asked]
-        keys, counts, which = _summed(np.concatenate(asked), np.concatenate(counts))
-        asked.clear()
-        seen = counts > 0
-        found = probed(part_of(keys[seen], level(counts[seen]), bits_each), keys) if kind else counts
-        sums = (int(seen.sum()), int(counts.sum())) if kind == 0 else (0, 0)
-        at = 0
-        for name, size in zip(names, sizes, strict=True):
-            yield pa.record_batch([[kind], [r], [name], [size], [packed(found[which[at : at + size]])], [sums[0]], [sums[1]]], schema=TELL)
-            at, sums = at + size, (0, 0)
+        keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
+        parts = [None, None, part_of(keys, level(counts), bits_each).tobytes()] if kind else [packed(steps(keys)), packed(counts), None]
+        yield pa.record_batch([pa.array([x], f.type) for x, f in zip([key[0].as_py(), n, len(keys), int(counts.sum()), *parts], PART, strict=True)], schema=PART)
+        release()
+
+    return build
+
+
+def _answer(kind: int):
+    """A range's answers to all packets, from its part alone: counts of words, or levels of n-grams; 0 where the part is missing."""
+
+    def answer(key: tuple, asked: pa.Table, parts: pa.Table) -> pa.Table:
+        if parts.num_rows == 0:
+            look = lambda keys: np.zeros(len(keys), np.uint8 if kind else np.int64)
+        elif kind:
+            bits = np.frombuffer(parts.column("bits")[0].as_buffer(), np.uint8)
+            look = lambda keys: probed(bits, keys)
+        else:
+            size = parts.column("n")[0].as_py()
+            words, counts = np.cumsum(unpacked(parts.column("words")[0], size, U), dtype=U), unpacked(parts.column("counts")[0], size, np.int64)
+
+            def look(keys: np.ndarray) -> np.ndarray:
+                at = np.minimum(np.searchsorted(words, keys), size - 1)
+                return np.where(words[at] == keys, counts[at], 0)
+
+        sizes = asked.column("n").to_pylist()
+        found = [packed(look(np.cumsum(unpacked(raw, size, U), dtype=U))) for size, raw in zip(sizes, asked.column("keys"), strict=True)]
         release()
+        return pa.table([pa.array([kind] * len(sizes), pa.int32()), pa.array([key[0].as_py()] * len(sizes), pa.int32()), asked.column("block"), asked.column("n"), pa.array(found, pa.binary())], schema=TOLD)
 
-    return tell
+    return answer
 
 
 def power(levels: np.ndarray) -> np.ndarray:
@@ -306,19 +340,98 @@ def _score(model_tokens: int, model_types: int, n: int, order: int, prior: float
     return score
 
 
+class Model(NamedTuple):
+    """A saved model: where its parts are, how many ranges it has, the longest n-gram's tokens; V and N of its training texts."""
+
+    path: str
+    ranges: int
+    order: int
+    types: int
+    tokens: int
+
+
+def _learnt(table: DataFrame, kind: int, n: int, bits_each: int) -> DataFrame:
+    """The parts of one kind."""
+    return table.mapInArrow(_send(kind, n, True), SENT_DDL).groupBy("range").applyInArrow(_build(kind, n, bits_each), PART_DDL)
+
+
+def _told(table: DataFrame, parts: DataFrame, kind: int, n: int, salts: int = 1) -> DataFrame:
+    """What the parts of one kind answer to the blocks."""
+    asked = table.mapInArrow(_send(kind, n, False, salts), SENT_DDL)
+    copies = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return asked.groupBy("range", "salt").cogroup(copies.groupBy("range", "salt")).applyInArrow(_answer(kind), TOLD_DDL)
+
+
+def _sums(parts: DataFrame) -> tuple[int, int]:
+    """V and N, of the parts of kind 0."""
+    got = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "tokens")]).first()
+    return got["n"], got["tokens"]
+
+
+def _ranges_for(docs: DataFrame, range_bytes: int) -> int:
+    size, n = text_bytes(docs), 1
+    while n * range_bytes < size:
+        n *= 2
+    return n
+
+
+def _scored(table: DataFrame, told: list[DataFrame], n: int, types: int, tokens: int, prior: float) -> DataFrame:
+    answers = told[0]
+    for more in told[1:]:
+        answers = answers.unionByName(more)
+    score = _score(tokens, types, n, len(told), prior)
+    out = keep(answers.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double"))
+    discard(table, *told)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+def fit(docs: DataFrame, out: str, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, bits_each: int = BITS_EACH, block_tokens: int = BLOCK_TOKENS, range_bytes: int = RANGE_BYTES) -> Model:
+    """Learn from the rows of ``docs`` with an id (those that ``learn`` picks by doc_id) and save the model's parts in the new folder ``out``."""
+    prepare(docs.sparkSession)
+    docs = pick(docs, doc_id=id_col, text=text_col)
+    table = keep(blocks(docs.withColumn("learn", F.lit(True) if learn is None else learn), block_tokens))
+    n = _ranges_for(docs, range_bytes)
+    for kind in range(order):
+        _learnt(table, kind, n, bits_each).write.option("compression", "zstd").parquet(f"{out}/kind={kind}")
+        tidy(docs.sparkSession)
+    discard(table)
+    return load(docs.sparkSession, out)
+
+
+def parts(spark: SparkSession, path: str) -> DataFrame:
+    """All parts of a saved model."""
+    return spark.read.schema(f"{PART_DDL}, kind int").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    """A model that fit() saved."""
+    saved = parts(spark, path)
+    most = saved.agg(F.max("ranges").alias("ranges"), F.max("kind").alias("kind")).first()
+    return Model(path, most["ranges"] or 1, (most["kind"] or 0) + 1, *_sums(saved.filter("kind = 0")))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, block_tokens: int = BLOCK_TOKENS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """For each row: doc_id, n_tokens, n_known, train_tokens, base_score, score by a saved model."""
+    prepare(docs.sparkSession)
+    docs = pick(docs, doc_id=id_col, text=text_col)
+    table = keep(blocks(docs.withColumn("learn", F.lit(False)), block_tokens))
+    salts = -(-_ranges_for(docs, range_bytes) // model.ranges)
+    saved = parts(docs.sparkSession, model.path)
+    told = [keep(_told(table, saved.filter(F.col("kind") == kind), kind, model.ranges, salts)) for kind in range(model.order)]
+    return _scored(table, told, model.ranges, model.types, model.tokens, prior)
+
+
 def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float = PRIOR, bits_each: int = BITS_EACH, block_tokens: int = BLOCK_TOKENS, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """For each row: doc_id, n_tokens, n_known, train_tokens, base_score, score. ``learn``: which rows (by doc_id) are learnt from."""
     prepare(docs.sparkSession)
     docs = pick(docs, doc_id=id_col, text=text_col)
     table = keep(blocks(docs.withColumn("learn", learn), block_tokens))
-    size, n = text_bytes(docs), 1
-    while n * range_bytes < size:
-        n *= 2
-    told = keep(table.mapInArrow(_ask(n, order), ASK_DDL).groupBy("kind", "range").applyInArrow(_tell(bits_each), TELL_DDL))
-    tidy(docs.sparkSession)
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    sums = told.agg(total("types"), total("tokens")).first()
-    score = _score(sums["tokens"], sums["types"], n, order, prior)
-    out = keep(told.drop("types", "tokens").groupBy("block").cogroup(table.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double"))
-    discard(table, told)
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(sums["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")
+    n, told, types, tokens = _ranges_for(docs, range_bytes), [], 0, 0
+    for kind in range(order):
+        own = keep(_learnt(table, kind, n, bits_each))
+        tidy(docs.sparkSession)
+        if kind == 0:
+            types, tokens = _sums(own)
+        told.append(keep(_told(table, own, kind, n)))
+        discard(own)
+    return _scored(table, told, n, types, tokens, prior)

@@ -135,6 +135,47 @@ def test_scores_equal_brute_force_and_no_ngram_is_left_out(frame):
                 assert math.isclose(r["score"], wanted[r["doc_id"]], rel_tol=1e-9), (order, r)
 
 
+def test_a_saved_model_scores_another_table(spark, frame, tmp_path):
+    said = [" ".join(f"w{(i * 37 + k * (i + 1)) % 97}" for k in range(40)) for i in range(60)] + ["", "w1 w1 w1 w1 w1"]
+    other = [" ".join(f"w{(i * 11 + k * (i + 2)) % 97}" for k in range(25)) for i in range(30)] + said[:5] + ["nothing known", "", None, "w1 w1 w1 w1 w1"]
+    learnt = {i: t.encode().split() + [None] for i, t in enumerate(said)}
+    asked = {1000 + i: (t or "").encode().split() + [None] for i, t in enumerate(other)}
+    for order, options in ((1, {}), (3, {}), (3, {"block_tokens": 100, "range_bytes": 2000}), (4, {"block_tokens": 200, "range_bytes": 500})):
+        out = str(tmp_path / f"m{order}{len(options)}")
+        model = lm_score.fit(frame([*said, "no id"], [*range(len(said)), None]), out, order=order, bits_each=400, **options)
+        saved = lm_score.parts(spark, out)
+        assert saved.filter("kind > 0 and (words is not null or counts is not null)").count() == 0 and saved.select("kind").distinct().count() == order
+        again = lm_score.load(spark, out)
+        assert again == model and model.tokens == sum(map(len, learnt.values()))
+        # More text than was learnt from splits the ranges' questions.
+        docs = frame(other * 3, [*asked, *[None] * 2 * len(other)])
+        rows = lm_score.score(docs, again, block_tokens=50, range_bytes=300).collect()
+        wanted = brute_scores({**learnt, **asked}, learnt, order, lm_score.PRIOR)
+        assert len(rows) == 3 * len(other) and {r["train_tokens"] for r in rows} == {model.tokens}
+        for r in rows:
+            if r["doc_id"] is not None:
+                assert math.isclose(r["score"], wanted[r["doc_id"]], rel_tol=1e-9), (order, r)
+
+
+def test_a_model_of_nothing_scores(spark, frame, tmp_path):
+    model = lm_score.fit(frame([]), str(tmp_path / "m"))
+    assert (model.types, model.tokens) == (0, 0) and lm_score.load(spark, model.path) == model
+    (row,) = lm_score.score(frame(["a b"]), model).collect()
+    assert (row["n_known"], row["n_tokens"], row["score"]) == (0, 3, 0)
+    assert lm_score.score(frame([]), model).collect() == []
+
+
+def test_keys_go_to_the_ranges_that_they_are_in():
+    rng = np.random.default_rng(5)
+    words = np.unique(rng.integers(0, 2**63, 2000, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+    for n in (1, 4, 1 << 16):
+        for kind, keys in ((0, words), (1, np.unique(lm_score.slots(words, n)))):
+            got = list(lm_score._by_range(kind, keys, n))
+            assert [r for r, _, _ in got] == sorted({int(r) for r in (keys >> np.uint64(lm_score.SLIM) if kind else lm_score.ranges(keys, n))})
+            assert [p.start for _, p, _ in got] == [0, *[p.stop for _, p, _ in got[:-1]]] and got[-1][1].stop == len(keys)
+    assert list(lm_score._by_range(1, words[:0], 4)) == []
+
+
 def test_the_model_sums_to_at_most_one(frame):
     said = [" ".join("abcde"[(i * k + k * k) % 5] for k in range(30)) for i in range(40)]
     words = {i: t.encode().split() + [None] for i, t in enumerate(said)}

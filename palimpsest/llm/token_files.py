@@ -37,8 +37,8 @@ from .words import SPACE, Texts, kept, span_hashes, texts
 
 BLOCK, FILE_IDS, SHARD_BYTES = 1 << 16, 1 << 20, 24 << 20
 MAGIC, VERSION, HEAD = b"PLNE", 1, struct.Struct("<4sIIQQI")
-#: Slots in which a worker remembers pieces' ids (12 bytes each), ids it remembers, and unseen pieces that are encoded together.
-SLOTS, REMEMBERED, TOGETHER = 1 << 22, 3 << 20, 1 << 14
+#: Slots in which a worker remembers pieces' ids (12 bytes each), ids it remembers, unseen pieces that are encoded together, and bytes of text in a piece of a batch.
+SLOTS, REMEMBERED, TOGETHER, CHUNK = 1 << 21, 3 << 20, 1 << 12, 1 << 19
 #: ASCII bytes beside which a space is no cut, and first bytes of Unicode's other spaces.
 BLANK, LEAD = SPACE.copy(), np.zeros(256, bool)
 BLANK[28:32] = True
@@ -235,7 +235,7 @@ def _writer(path: str, end: int, width: int):
             keys, valid, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             return pa.record_batch([[shard], [file], [len(keys)], [len(ids)], [write_file(keys, valid, counts, ids, width)]], schema=schema)
 
-        for chunk in texts(batches):
+        for chunk in texts(batches, CHUNK):
             ids, counts = encode(chunk)
             encoder(path, end)  # still in use
             held.append((chunk.ids, chunk.valid, counts, ids))

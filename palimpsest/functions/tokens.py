@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +17,32 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _ids(column: pa.Array, path: str, n: int | None = None) -> Iterator[list[int]]:
+    """The ids of each text, or its first n.
+
+    Texts are encoded one at a time: what the tokenizer makes of a text takes some 100 bytes a token, of a whole batch more than a worker has.
+    """
+    own = _tokenizer(path)
+    for said in column:
+        yield own.encode(said.as_py() or "", add_special_tokens=False).ids[:n]
+
+
+def _cut(column: pa.Array, path: str, n: int) -> pa.Array:
+    own = _tokenizer(path)
+    return pa.array((own.decode(ids, skip_special_tokens=False) for ids in _ids(column, path, n)), pa.string())
+
+
+def _counts(column: pa.Array, path: str, kind: pa.DataType) -> pa.Array:
+    return pa.array((len(ids) for ids in _ids(column, path)), kind)
+
+
 def truncate_tokens(x: Column, path: str, n: int) -> Column:
     """The first n tokens, decoded again; null is empty."""
 
-    @F.pandas_udf("string")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = _tokenizer(path)
+    @F.arrow_udf("string")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = own.encode_batch([t or "" for t in batch], add_special_tokens=False)
-            yield pd.Series([own.decode(e.ids[:n], skip_special_tokens=False) for e in found], index=batch.index, dtype=object)
+            yield _cut(batch, path, n)
 
     return cut(x)
 
@@ -34,11 +50,10 @@ def truncate_tokens(x: Column, path: str, n: int) -> Column:
 def count_tokens(x: Column, path: str) -> Column:
     """How many tokens a text has; null has none."""
 
-    @F.pandas_udf("bigint")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = _tokenizer(path)
+    @F.arrow_udf("bigint")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([len(e.ids) for e in own.encode_batch([t or "" for t in batch], add_special_tokens=False)], index=batch.index, dtype="int64")
+            yield _counts(batch, path, pa.int64())
 
     return count(x)
 
@@ -50,11 +65,8 @@ def cuts(texts: DataFrame, text: str, path: str, n: int) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _tokenizer(path)
         for batch in batches:
-            said = batch.column(0).to_pylist()
-            short = [own.decode(e.ids[:n], skip_special_tokens=False) for e in own.encode_batch(said, add_special_tokens=False)]
-            many = [len(e.ids) for e in own.encode_batch(short, add_special_tokens=False)]
-            yield pa.record_batch([batch.column(0), pa.array(short, pa.string()), pa.array(many, pa.int32())], names=[text, "cut", "tokens"])
+            short = _cut(batch.column(0), path, n)
+            yield pa.record_batch([batch.column(0), short, _counts(short, path, pa.int32())], names=[text, "cut", "tokens"])
 
     return texts.filter(F.col(text) != "").select(text).distinct().mapInArrow(cut, f"`{text}` string, cut string, tokens int")

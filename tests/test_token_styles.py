@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import tokens as Tokens
 from palimpsest.functions.text import clean_note, clean_reasoning, one_line
 from palimpsest.operators import history as H
 from palimpsest.plans.steps import annotate
@@ -89,3 +90,44 @@ def test_memory_counts_tokens(spark, made):
             held.append(r["clean"])
     got = {(r["traj"], r["idx"]): r["memory"] for r in H.with_memories(steps, F.lit(QUESTION), tokens=TOKENIZER).collect()}
     assert got == want and any(len(x) > 300 for x in want.values())
+
+
+class Watched:
+    """A tokenizer that notes how many characters it is given at once."""
+
+    def __init__(self, own):
+        self.own, self.most = own, 0
+
+    def encode(self, text, **options):
+        self.most = max(self.most, len(text))
+        return self.own.encode(text, **options)
+
+    def encode_batch(self, texts, **options):
+        self.most = max(self.most, sum(map(len, texts)))
+        return self.own.encode_batch(texts, **options)
+
+    def decode(self, ids, **options):
+        return self.own.decode(ids, **options)
+
+
+def test_a_batch_of_long_texts_is_not_encoded_at_once(monkeypatch):
+    """What a tokenizer makes of all texts of a batch doesn't fit in a worker."""
+    import pyarrow as pa
+
+    own = Watched(Tokens._tokenizer(TOKENIZER))
+    monkeypatch.setattr(Tokens, "_tokenizer", lambda _: own)
+    said = [" ".join(str(i * k) for k in range(500)) for i in range(40)]
+
+    class Rows:
+        """Stands for the distinct texts of a table; runs the function over one batch."""
+
+        def __getattr__(self, _):
+            return lambda *_: self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return list(run(iter([pa.record_batch([pa.array(said)], names=["text"])])))
+
+    monkeypatch.setattr(Tokens.F, "col", lambda name: name)
+    (batch,) = Tokens.cuts(Rows(), "text", TOKENIZER, 64)
+    assert batch.num_rows == 40 and max(batch.column("tokens").to_pylist()) <= 65
+    assert own.most <= max(map(len, said))

@@ -206,7 +206,7 @@ def dense_ann_recall(spark, sf_dir):
 
 @register("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 6)) AS unit FROM embeddings")
 def l2_normalize(spark, sf_dir):
-    return bind.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(T.l2_normalize("embedding"), lambda x: F.round(x, 6)).alias("unit"))
+    return bind.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(T.l2_normalize("embedding"), lambda x: T.rounded(x, 6)).alias("unit"))
 
 
 BM25 = """WITH w AS (SELECT doc_id::VARCHAR AS docid, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),

@@ -186,6 +186,11 @@ def safe_name(x: Text) -> Column:
     return F.regexp_replace(_c(x).cast("string"), r"[^A-Za-z0-9_.\-]", "_")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded half away from zero; a number that becomes zero keeps its sign, which Spark's round drops and a file or a hash shows."""
+    return F.abs(F.round(x, digits)) * F.signum(x)
+
+
 def l2_normalize(v: Text) -> Column:
     v = F.transform(_c(v), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))

@@ -51,3 +51,21 @@ def test_overlap_is_strict_and_spares_short_sentences(spark):
 def test_nulls_are_empty(spark):
     df = spark.createDataFrame([(None,)], "x string").select(T.one_line("x"), T.title("x"), T.clean_note("x", F.lit("q")), T.token_length("x"), T.verdict("x"))
     assert list(df.first()) == ["", "", "", 0, False]
+
+
+def signed_zeros(spark, folder):
+    """Vectors with components that become zero when they are rounded."""
+    import duckdb
+
+    small = [(0, [-0.0000002, 0.0000002, -0.0, 0.0, 0.6] + [0.0125] * 59), (1, [0.1] * 5 + [-0.0000001] * 59), (2, [-0.0] * 63 + [1.0])]
+    spark.createDataFrame(small, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    return duckdb.sql(f"SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+
+
+def test_l2_normalize_keeps_the_sign_of_what_is_rounded_to_zero(spark, tmp_path):
+    from oracle import same
+
+    from palimpsest import catalog
+
+    embeddings = signed_zeros(spark, tmp_path)
+    assert same(catalog.QUERIES["l2_normalize"](spark, str(tmp_path)), embeddings.query("embeddings", catalog.ORACLE_SQL["l2_normalize"])) == 3

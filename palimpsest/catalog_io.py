@@ -334,7 +334,7 @@ def pooled_states(spark, sf_dir):
     """A vector as four states of which the last is padding."""
     states = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.transform(F.slice("embedding", i * 16 + 1, 16), lambda x: x.cast("double")))
     rows = bind.table(spark, sf_dir, "embeddings").select("vec_id", states.alias("s"), F.array(*[F.lit(x) for x in (1, 1, 1, 0)]).alias("m"))
-    shown = lambda how: F.transform(encoding.pool(F.col("s"), F.col("m"), how), lambda x: F.round(x, 6))
+    shown = lambda how: F.transform(encoding.pool(F.col("s"), F.col("m"), how), lambda x: T.rounded(x, 6))
     return rows.select("vec_id", shown("mean").alias("mean"), shown("cls").alias("first"))
 
 

@@ -40,7 +40,7 @@ def pool(states: Column, mask: Column, how: str = "mean", pooled: Column | None
     if how != "mean":
         raise ValueError(f"unknown pooling {how}")
     inside = F.transform(F.filter(F.arrays_zip(states.alias("s"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["s"])
-    zero = F.transform(F.get(states, F.lit(0)), lambda _: F.lit(0.0))
+    zero = F.transform(F.get(states, F.lit(0)), lambda _: F.lit(-0.0))  # with it a sum of negative zeros keeps its sign
     total = F.aggregate(inside, zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
     return F.transform(total, lambda x: x / F.size(inside))
 

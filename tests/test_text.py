@@ -69,3 +69,12 @@ def test_l2_normalize_keeps_the_sign_of_what_is_rounded_to_zero(spark, tmp_path)
 
     embeddings = signed_zeros(spark, tmp_path)
     assert same(catalog.QUERIES["l2_normalize"](spark, str(tmp_path)), embeddings.query("embeddings", catalog.ORACLE_SQL["l2_normalize"])) == 3
+
+
+def test_pooled_states_keep_the_sign_of_what_is_rounded_to_zero(spark, tmp_path):
+    from oracle import same
+
+    import __spark_entry__ as driver
+
+    embeddings = signed_zeros(spark, tmp_path)
+    assert same(driver.queries()["pooled_states"](spark, str(tmp_path)), embeddings.query("embeddings", driver.oracle_sql()["pooled_states"])) == 3

@@ -18,6 +18,10 @@ from .encoding import REASONING_INSTRUCTION, Encoder, encode
 BLOCK = 4096
 #: Documents of one cell that a task holds.
 PART = 1 << 15
+#: Queries of one cell that a task holds.
+ASKED = 1 << 13
+#: Scores (of some queries with a batch's documents) that a task holds at once.
+AT_ONCE = 1 << 20
 K1, B = 0.9, 0.4
 HITS = "qid string, docid string, score double"
 
@@ -35,8 +39,27 @@ def sound(df: DataFrame, key: str, dims: int | None = None) -> DataFrame:
     return df.filter(F.col(key).isNotNull() & fits & ~bad).select(F.col(key).cast("string").alias(key), "embedding")
 
 
+def best_places(scores: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the places of its k greatest scores, greatest first, ties to the first place."""
+    n = scores.shape[1]
+    if k >= n or np.isnan(scores).any():
+        return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    floor = np.partition(scores, n - k, axis=1)[:, n - k, None]
+    over, ties = scores > floor, scores == floor
+    over |= ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= k - over.sum(axis=1, keepdims=True))
+    found = np.nonzero(over)[1].reshape(-1, k)
+    order = np.argsort(-np.take_along_axis(scores, found, 1), axis=1, kind="stable")
+    return np.take_along_axis(found, order, 1)
+
+
+def some_rows(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of a matrix's rows of AT_ONCE scores each."""
+    step = max(1, AT_ONCE // max(columns, 1))
+    return (slice(lo, lo + step) for lo in range(0, rows, step))
+
+
 def _scorer(ids: list, matrix: np.ndarray, k: int, digits: int):
-    """Scores the rows whose vectors are as long as the matrix's."""
+    """Scores the rows whose vectors are as long as the matrix's, for some of the queries at a time."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,13 +67,12 @@ def _scorer(ids: list, matrix: np.ndarray, k: int, digits: int):
             if not batch.num_rows:
                 continue
             docs = np.asarray(batch.column("docid").to_pylist(), object)
-            vectors = np.asarray(batch.column("embedding").flatten()).astype(np.float64).reshape(len(docs), -1)
-            scores = np.round(matrix @ vectors.T, digits)
             order = np.argsort(docs)
-            docs, scores = docs[order], scores[:, order]
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            n = best.shape[1]
-            yield pa.record_batch([pa.array(np.repeat(ids, n)), pa.array(docs[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["qid", "docid", "score"])
+            docs, vectors = docs[order], np.asarray(batch.column("embedding").flatten()).astype(np.float64).reshape(len(docs), -1)[order]
+            for some in some_rows(len(matrix), len(docs)):
+                scores = np.round(matrix[some] @ vectors.T, digits)
+                best = best_places(scores, k)
+                yield pa.record_batch([pa.array(np.repeat(ids[some], best.shape[1])), pa.array(docs[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["qid", "docid", "score"])
 
     return score
 
@@ -148,21 +170,25 @@ class Cells:
             if not len(own) or not len(docs):
                 return schema.empty_table()
             matrix = np.asarray(own.column("embedding").combine_chunks().flatten()).reshape(len(own), -1)
-            out = [part for part in _scorer(own.column("qid").to_pylist(), matrix, k, 6)(docs.to_batches(max_chunksize=4096))]
-            return pa.Table.from_batches([b.cast(schema) for b in out], schema)
+            (batch,) = docs.select(["docid", "embedding"]).combine_chunks().to_batches()
+            return pa.Table.from_batches([b.cast(schema) for b in _scorer(own.column("qid").to_pylist(), matrix, k, 6)(iter([batch]))], schema)
 
         return _ranked(meet_cells(self.index, asked, meet).groupBy("qid", "docid").agg(F.max("score").alias("score")), k)
 
 
-def meet_cells(index: DataFrame, asked: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+def meet_cells(index: DataFrame, asked: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table], part: int = PART) -> DataFrame:
     """Hits of each cell's queries among its documents.
 
-    A cell is dealt into parts of some thousand documents, so a large one is not one task's; the few queries go to each part.
+    A cell is dealt into parts of some thousand documents, so a large one is not one task's; its queries go to each part, in blocks of some thousand.
     """
-    counts = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.expr(f"cast(n div {PART} + 1 as int)").alias("parts"))
-    docs = index.join(counts, "cell").withColumn("part", F.pmod(F.xxhash64("docid"), F.col("parts")).cast("int")).drop("parts")
-    asked = asked.join(counts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return asked.groupBy("cell", "part").cogroup(docs.groupBy("cell", "part")).applyInArrow(meet, HITS)
+    counts = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.expr(f"cast(n div {part} + 1 as int)").alias("parts"))
+    many = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.expr(f"cast(n div {ASKED} + 1 as int)").alias("blocks"))
+    dealt = lambda key, parts: F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    counts = counts.join(many, "cell")
+    docs = index.join(counts, "cell").withColumn("part", dealt("docid", "parts")).withColumn("block", every("blocks")).drop("parts", "blocks")
+    asked = asked.join(counts, "cell").withColumn("part", every("parts")).withColumn("block", dealt("qid", "blocks")).drop("parts", "blocks")
+    return asked.groupBy("cell", "part", "block").cogroup(docs.groupBy("cell", "part", "block")).applyInArrow(meet, HITS)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 """Codes, the neighbour graph and the index that grows, against all products."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.operators import dense_index as D
@@ -88,3 +91,37 @@ def test_vectors_of_several_lengths_do_not_meet(spark):
     asked = spark.createDataFrame([("x", [1.0] * 4), ("y", [1.0, 0.0, 0.0]), ("z", [1.0] * 7), ("n", [None] * 4)], "qid string, embedding array<double>")
     assert key(R.dense_topk(asked, corpus)) == [("x", 1, "c", 8.0), ("x", 2, "h", -4.0), ("y", 1, "a", 1.0)]
     assert R.dense_topk(asked.limit(0), corpus).collect() == [] and R.dense_topk(asked, corpus.limit(0)).collect() == []
+
+
+def peak_of(run):
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def vectors_of(vectors):
+    return pa.array(list(vectors), pa.list_(pa.float64()))
+
+
+def test_many_queries_are_scored_a_few_at_a_time():
+    asked, docs = unit(9000, 4, 3), unit(2000, 4, 4)
+    batch = pa.record_batch([pa.array([str(i) for i in range(2000)]), vectors_of(docs)], names=["docid", "embedding"])
+    found, peak = peak_of(lambda: list(R._scorer([str(i) for i in range(9000)], asked, 5, 6)(iter([batch]))))
+    assert peak < 100 << 20  # all scores are 144 MB, their order as much again
+    rows = {}
+    for b in found:
+        for q, d, s in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            rows.setdefault(q, []).append((-s, d))
+    assert len(rows) == 9000
+    for q in (0, 4500, 8999):
+        every = sorted((-s, str(i)) for i, s in enumerate(np.round(docs @ asked[q], 6)))
+        assert sorted(rows[str(q)]) == every[:5]
+
+
+def test_best_places_are_those_of_a_stable_order():
+    scores = np.random.default_rng(5).integers(0, 6, (50, 40)).astype(float)
+    for k in (1, 7, 39, 40, 99):
+        assert (R.best_places(scores, k) == np.argsort(-scores, axis=1, kind="stable")[:, :k]).all()

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..sources.corpus import scratch
 from ..sources.segments import Segments
-from .retrieval import HITS, Cells, DenseSearcher, Searcher, _ranked, meet_cells, register_searcher, sampled, sound
+from .retrieval import HITS, Cells, DenseSearcher, Searcher, _ranked, best_places, meet_cells, register_searcher, sampled, some_rows, sound
+
+#: Codes that a task looks through at once, each of which parts has its best ranked again.
+CODES = 1 << 13
 
 HIT = pa.schema([("qid", pa.string()), ("docid", pa.string()), ("score", pa.float64())])
 
@@ -55,11 +58,12 @@ class Quantised:
 
     A code holds what a vector differs by from its cell's centre. Centres and codebooks (of 256 entries) come from at most ``sample`` vectors
     by k-means on the driver; every vector of the sample's length is coded. A search sums a query's products with the codebooks' entries as the codes say,
-    in its ``probes`` nearest cells; the best ``rerank`` * k of each query are joined with their vectors and scored exactly.
+    in its ``probes`` nearest cells; of each CODES codes of a cell the best ``rerank`` * k are scored exactly by their vectors, where these are. So what is ranked again
+    grows with the index, and its recall doesn't fall; only k hits leave a part.
     """
 
     def __init__(self, corpus: DataFrame, parts: int = 8, cells: int = 1, probes: int | None = None, rerank: int = 20, sample: int = 20_000, rounds: int = 10, seed: int = 1) -> None:
-        self.vectors, points = sampled(corpus, sample)
+        points = sampled(corpus, sample)[1]
         if points.shape[1] % parts and len(points):
             raise ValueError(f"{parts} parts don't divide {points.shape[1]} dimensions")
         coarse = Cells(corpus, cells=cells, sample=sample, rounds=rounds, seed=seed, probes=probes or cells, spill=1)
@@ -78,16 +82,15 @@ class Quantised:
                 if batch.num_rows:
                     rest = _matrix(batch.column("embedding")) - centres[batch.column("cell").to_numpy()]
                     codes = np.stack([_nearest(x, b) for x, b in zip(np.split(rest, len(books), axis=1), books, strict=True)], axis=1).astype(np.uint8)
-                    yield pa.record_batch([batch.column("docid"), batch.column("cell"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["docid", "cell", "code"])
+                    yield pa.record_batch([batch.column("docid"), batch.column("cell"), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("embedding")], names=["docid", "cell", "code", "embedding"])
 
-        return placed.mapInArrow(code, "docid string, cell int, code binary")
+        return placed.mapInArrow(code, "docid string, cell int, code binary, embedding array<double>")
 
     def save(self, path: str) -> None:
-        """Centres, codebooks, vectors, and codes in a folder for each cell."""
-        spark = self.vectors.sparkSession
+        """Centres, codebooks, and codes with their vectors (columns that are read by themselves) in a folder for each cell."""
+        spark = self.codes.sparkSession
         rows = [("centre", i, 0, [float(x) for x in c]) for i, c in enumerate(self.coarse.centres)] + [("book", p, e, [float(x) for x in c]) for p, b in enumerate(self.books) for e, c in enumerate(b)]
         spark.createDataFrame(rows, "kind string, place int, entry int, x array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/books")
-        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
         self.codes.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/codes")
 
     @classmethod
@@ -99,14 +102,12 @@ class Quantised:
         own.books = np.array([r["x"] for r in rows if r["kind"] == "book"]).reshape(parts, -1, centres.shape[1] // parts)
         own.coarse, own.rerank = Cells.__new__(Cells), rerank
         own.coarse._use(centres, probes or len(centres))
-        own.vectors = spark.read.parquet(f"{path}/vectors")
-        own.codes = spark.read.schema("docid string, code binary, cell int").parquet(f"{path}/codes")
+        own.codes = spark.read.schema("docid string, code binary, embedding array<double>, cell int").parquet(f"{path}/codes")
         return own
 
     def sizes(self) -> DataFrame:
         """(vectors, code_bytes, vector_bytes): how many, and the mean bytes of a code and of its vector's floats."""
-        both = self.codes.join(self.vectors, "docid")
-        return both.agg(F.count(F.lit(1)).alias("vectors"), F.avg(F.octet_length("code")).alias("code_bytes"), F.avg(4 * F.size("embedding")).alias("vector_bytes"))
+        return self.codes.agg(F.count(F.lit(1)).alias("vectors"), F.avg(F.octet_length("code")).alias("code_bytes"), F.avg(4 * F.size("embedding")).alias("vector_bytes"))
 
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, rerank: int | None = None) -> DataFrame:
         if not self.books.size:
@@ -117,18 +118,22 @@ class Quantised:
         def meet(own: pa.Table, docs: pa.Table) -> pa.Table:
             if not len(own) or not len(docs):
                 return HIT.empty_table()
-            asked = _matrix(own.column("embedding"))
+            docs = docs.sort_by("docid")
+            asked, vectors, ids = _matrix(own.column("embedding")), _matrix(docs.column("embedding")), np.asarray(docs.column("docid").to_pylist(), object)
             codes = np.frombuffer(b"".join(docs.column("code").to_pylist()), np.uint8).reshape(len(docs), -1)
-            scores = np.repeat((asked @ centres[docs.column("cell")[0].as_py()])[:, None], len(docs), axis=1)
-            for p, x in enumerate(np.split(asked, len(books), axis=1)):
-                scores += (x @ books[p].T)[:, codes[:, p]]
-            best = np.argpartition(-scores, min(most, len(docs)) - 1, axis=1)[:, :most]
-            n = best.shape[1]
-            ids = np.asarray(docs.column("docid").to_pylist(), object)
-            return pa.table([pa.array(np.repeat(own.column("qid").to_pylist(), n)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], schema=HIT)
-
-        near = _ranked(meet_cells(self.codes, self.coarse._placed(queries, "qid", probes or self.coarse.probes), meet), most)
-        return _ranked(_exact(near, queries, self.vectors), k)
+            qids, centre, out = own.column("qid").to_pylist(), centres[docs.column("cell")[0].as_py()], []
+            for some in some_rows(len(asked), len(docs)):
+                scores = np.repeat((asked[some] @ centre)[:, None], len(docs), axis=1)
+                for p, x in enumerate(np.split(asked[some], len(books), axis=1)):
+                    scores += (x @ books[p].T)[:, codes[:, p]]
+                near = np.sort(best_places(scores, most), axis=1)
+                exact = np.stack([np.round(vectors[at] @ x, 6) for at, x in zip(near, asked[some], strict=True)])
+                best = best_places(exact, k)
+                found = np.take_along_axis(near, best, 1)
+                out.append(pa.table([pa.array(np.repeat(qids[some], best.shape[1])), pa.array(ids[found].ravel()), pa.array(np.take_along_axis(exact, best, 1).ravel())], schema=HIT))
+            return pa.concat_tables(out)
+
+        return _ranked(meet_cells(self.codes, self.coarse._placed(queries, "qid", probes or self.coarse.probes), meet, CODES), k)
 
 
 class Graph:

@@ -125,3 +125,26 @@ def test_best_places_are_those_of_a_stable_order():
     scores = np.random.default_rng(5).integers(0, 6, (50, 40)).astype(float)
     for k in (1, 7, 39, 40, 99):
         assert (R.best_places(scores, k) == np.argsort(-scores, axis=1, kind="stable")[:, :k]).all()
+
+
+def test_codes_of_many_queries_are_looked_up_a_few_at_a_time(spark, made, monkeypatch):
+    corpus, _, asked = made
+    own, taken = D.Quantised(corpus, parts=4), []
+    monkeypatch.setattr(D, "meet_cells", lambda codes, placed, meet, *rest: taken.append(meet) or spark.createDataFrame([], R.HITS))
+    own.search(asked)
+    rng = np.random.default_rng(6)
+    docs = pa.table({"docid": [str(i) for i in range(3000)], "cell": pa.array([0] * 3000, pa.int32()), "code": [rng.bytes(4) for _ in range(3000)], "embedding": vectors_of(unit(3000, 16, 7))})
+    many = pa.table({"qid": [str(i) for i in range(6000)], "embedding": vectors_of(unit(6000, 16, 8)), "cell": pa.array([0] * 6000, pa.int32())})
+    found, peak = peak_of(lambda: taken[0](many, docs))
+    assert len(set(found.column("qid").to_pylist())) == 6000 and peak < 120 << 20  # all scores are 144 MB, their order as much again
+
+
+def test_recall_does_not_fall_as_the_index_grows(spark):
+    rng = np.random.default_rng(9)
+    centres = unit(10, 64, 10)
+    vectors = centres[rng.integers(0, 10, 24_000)] * 0.5 + rng.normal(size=(24_000, 64)) * 0.12
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    corpus = spark.createDataFrame(pa.table({"docid": [str(i) for i in range(24_000)], "embedding": vectors_of(vectors)}))
+    asked = corpus.filter("docid % 600 = 0").withColumnRenamed("docid", "qid")
+    own = D.index_of(corpus, "IVF2,PQ8")
+    assert R.recall(own.search(asked), R.dense_topk(asked, corpus)).first()["recall"] >= 0.9

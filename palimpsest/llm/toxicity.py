@@ -2,9 +2,10 @@
 
 A word is the sum of hashed embeddings of itself and its first four and six bytes. Filters of widths 1, 2
 and 3 run over the words, each is max-pooled over the whole text, and a logistic layer gives the score.
-Training (Adam for the filters, AdaGrad for embeddings) is on the driver, over at most TRAIN_DOCS labelled
-texts, half of each label at most; the bias is then set to the labels' share in all labelled
-rows. A part of the sample is kept out of training to calibrate for each language the score from which a text is
+Training (Adam for the filters, AdaGrad for embeddings) goes over all labelled texts in EPOCHS rounds: every task trains a copy of the model on its
+own texts, and ``RDD.treeAggregate`` averages the copies, an embedding by how much each copy learnt of it. The driver sees one model a round, whose size is
+fixed. Both labels weigh as much in training; the bias is then set to the labels' share in all labelled
+rows. A sixth of the labelled texts, by a hash of their ids, is kept out of training to calibrate for each language the score from which a text is
 rejected. The language is never an input of the score. To score, embeddings and filters are multiplied
 into one table of BUCKETS rows, which is the broadcast's bound.
 
@@ -24,11 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .labelled import sample
-from .session import prepare
+from .session import discard, keep, parts_for, prefilter, prepare
 from .words import Texts, U, span_hashes, texts
 
-TRAIN_DOCS, EPOCHS, BATCH = 6000, 6, 32
+EPOCHS, BATCH = 6, 32
+#: Bytes of labelled text that make a part of their table, that a copy of the model is trained on in a round, and whose words a task holds.
+PART_BYTES, COPY_BYTES, HELD_BYTES = 16 << 20, 64 << 20, 2 << 20
+#: Scores from which a text may be rejected.
+GRID = np.round(np.arange(0.05, 0.96, 0.05), 2)
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 PADS = max(WIDTHS)
 #: Words whose table rows are summed at once.
@@ -107,16 +111,30 @@ def mask_pads(conv: np.ndarray, spots: np.ndarray) -> np.ndarray:
     return conv
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 1):
-    """(embeddings, filters, bias, out, shift) from each text's word buckets and label."""
+class State(NamedTuple):
+    """A model in training: embeddings, what AdaGrad has summed for each, filters with bias and output layer, Adam's moments, and steps made."""
+
+    emb: np.ndarray
+    grown: np.ndarray
+    params: list[np.ndarray]
+    first: list[np.ndarray]
+    second: list[np.ndarray]
+    step: int
+
+
+def begin(seed: int = 1) -> State:
     rng = np.random.default_rng(seed)
     emb = np.zeros((BUCKETS + 1, DIM), np.float32)
     emb[:BUCKETS] = rng.normal(0, 0.3, (BUCKETS, DIM))
-    grown = np.full((BUCKETS + 1, 1), 1e-3, np.float32)
     params = [rng.normal(0, 0.4, (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     params += [np.zeros(FILTERS * len(WIDTHS), np.float32), rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32), np.zeros(1, np.float32)]
-    first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for epoch in range(epochs):
+    return State(emb, np.full((BUCKETS + 1, 1), 1e-3, np.float32), params, [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0)
+
+
+def trained(state: State, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rate: float, seed: int) -> State:
+    """The state after one pass over texts' word buckets with their labels and weights; the arrays are changed in place."""
+    (emb, grown, params, first, second, step), rng = state, np.random.default_rng(seed)
+    if docs:
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), BATCH):
             rows = order[lo : lo + BATCH]
@@ -134,7 +152,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
             top = np.concatenate(tops, axis=1) + params[3]
             hidden = np.maximum(top, 0)
             p = 1 / (1 + np.exp(-(hidden @ params[4] + params[5][0])))
-            err = ((p - y[rows]) / len(rows)).astype(np.float32)
+            err = (weight[rows] * (p - y[rows]) / len(rows)).astype(np.float32)
             back = np.outer(err, params[4]) * (top > 0)
             grads = [np.zeros_like(q) for q in params]
             grads[3], grads[4], grads[5] = back.sum(axis=0), hidden.T @ err + 1e-4 * params[4], err.sum(keepdims=True)
@@ -156,54 +174,119 @@ def train(docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
             grown[used] += (total**2).mean(axis=1, keepdims=True)
             emb[used] -= 0.1 * total / np.sqrt(grown[used])
             step += 1
-            rate = 0.01 * (1 - 0.8 * epoch / epochs)
             for q, g, m, v in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return emb, params[:3], params[3], params[4], float(params[5][0])
+    return State(emb, grown, params, first, second, step)
+
+
+def _learner(state: State, weights: tuple[float, float], rate: float, seed: int):
+    """Trains a copy of the state on a task's rows (text, y); gives what it learnt: sums over one copy, to be added up."""
+    held = [state.emb, state.grown, state.params, state.first, state.second, state.step]
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emb, grown, *rest = held
+        own = State(emb.copy(), grown.copy(), *[[x.copy() for x in part] for part in rest[:3]], rest[3])
+        docs, marks, size, many = [], [], 0, 0
+
+        def go() -> None:
+            nonlocal own, docs, marks, size
+            y = np.array(marks, np.float32)
+            own = trained(own, docs, y, np.where(y == 1, weights[1], weights[0]).astype(np.float32), rate, seed + many)
+            docs, marks, size = [], [], 0
+
+        for batch in batches:
+            said, at = batch.column("y").to_numpy(), 0
+            two = pa.record_batch([pa.array(np.zeros(batch.num_rows, np.int64)), batch.column("text")], names=["i", "text"])
+            for chunk in texts(iter([two])):
+                words, edges = tokens(chunk)
+                words = words.astype(np.uint16)
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    docs.append(words[a:b])
+                    marks.append(said[at])
+                    at, many, size = at + 1, many + 1, size + 6 * int(b - a)
+                    if size > HELD_BYTES:
+                        go()
+        go()
+        if many:
+            learnt = own.grown - grown
+            small = np.concatenate([x.ravel() for part in (own.params, own.first, own.second) for x in part]).astype(np.float64) * many
+            out = [learnt, (own.emb - emb) * learnt, learnt * learnt, small, np.array([many, many * own.step], np.float64)]
+            yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in out], names=list(LEARNT))
 
+    return learn
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_fold: Column | None = None, most: int = TRAIN_DOCS, lang_col: str | None = "lang") -> Model:
-    """Train on rows of ``docs`` (doc_id, text, perhaps a language) that ``labels`` (doc_id, label) marks."""
+
+#: What a task gives of its copy: by embedding the weight, the weighted change and AdaGrad's weighted growth; other numbers times the task's texts; texts.
+LEARNT = {"weight": np.float32, "change": np.float32, "growth": np.float32, "small": np.float64, "texts": np.float64}
+
+
+def _added(total: list[np.ndarray] | None, row) -> list[np.ndarray]:
+    return _merged(total, [np.frombuffer(row[name], kind) for name, kind in LEARNT.items()])
+
+
+def _merged(a: list[np.ndarray] | None, b: list[np.ndarray] | None) -> list[np.ndarray] | None:
+    return b if a is None else a if b is None else [x + y for x, y in zip(a, b, strict=True)]
+
+
+def _averaged(state: State, total: list[np.ndarray]) -> State:
+    weight, change, growth, small, (many, steps) = total
+    sure = np.maximum(weight, 1e-12)[:, None]
+    means, at, parts = small / many, 0, []
+    for part in (state.params, state.first, state.second):
+        parts.append([])
+        for x in part:
+            parts[-1].append(means[at : at + x.size].reshape(x.shape).astype(np.float32))
+            at += x.size
+    return State(state.emb + change.reshape(state.emb.shape) / sure, state.grown + growth[:, None] / sure, *parts, max(1, round(steps / many)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_fold: Column | None = None, lang_col: str | None = "lang", rounds: int = EPOCHS) -> Model:
+    """Train on all rows of ``docs`` (doc_id, text, perhaps a language) that ``labels`` (doc_id, label) marks with 0 or 1; an id with several labels counts as its largest."""
     prepare(docs.sparkSession)
-    columns = ["doc_id", "text", *([F.col(lang_col).alias("lang")] if lang_col else [])]
-    got, counts = sample(docs.select(*columns), labels, label, F.lit(True) if train_fold is None else train_fold, most, True)
+    use = labels.filter(F.col(label).isin(0, 1) & (F.lit(True) if train_fold is None else train_fold)).filter("doc_id is not null").groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    use = keep(use)
+    counts = {r["y"]: r["n"] for r in use.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     ones, zeros = counts.get(1, 0), counts.get(0, 0)
     width = FILTERS * len(WIDTHS)
-    odds = np.log((ones + 1) / (zeros + 1))
-    if not ones or not zeros or got.num_rows < 2:
-        return Model(np.zeros((BUCKETS + 1, FILTERS * sum(WIDTHS)), np.float32), np.zeros(width, np.float32), np.zeros(width, np.float32), float(odds), {"": 0.5})
-    y = got.column("y").to_numpy().astype(np.float32)
-    found: list[np.ndarray] = []
-    for chunk in texts(got.select(["doc_id", "text"]).to_batches()):
-        words, at = tokens(chunk)
-        found += [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-    held = np.arange(len(y)) % 6 == 5
-    if len(set(y[~held])) < 2:
-        held[:] = False
-    emb, filters, bias, out, shift = train([w for w, h in zip(found, held, strict=True) if not h], y[~held])
-    table = np.concatenate([emb @ f[j * DIM : (j + 1) * DIM] for f, w in zip(filters, WIDTHS, strict=True) for j in range(w)], axis=1)
-    share = np.log(max(y[~held].sum(), 1) / max((1 - y[~held]).sum(), 1))
-    model = Model(table, bias, out, float(shift + odds - share), {"": 0.5})
-    score = np.concatenate([model.scores(c) for c in texts(got.select(["doc_id", "text"]).to_batches())])
-    lang = np.array(got.column("lang").to_pylist() if lang_col else [""] * len(y), object)
-    weight = np.where(y == 1, ones / max(y.sum(), 1), zeros / max((1 - y).sum(), 1))
-    use = held if held.any() else ~held
-    model.thresholds.update(calibrate(score[use], y[use], weight[use], lang[use]))
+    odds = float(np.log((ones + 1) / (zeros + 1)))
+    plain = Model(np.zeros((BUCKETS + 1, FILTERS * sum(WIDTHS)), np.float32), np.zeros(width, np.float32), np.zeros(width, np.float32), odds, {"": 0.5})
+    if not ones or not zeros:
+        discard(use)
+        return plain
+    own = docs.select("doc_id", "text", (F.col(lang_col) if lang_col else F.lit("")).cast("string").alias("lang"))
+    found = prefilter(own, "doc_id", use.select("doc_id")).join(use, "doc_id")
+    held = (F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(6)) == 0).alias("held")
+    size = found.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)).alias("n")).first()["n"]
+    rows = keep(found.select("doc_id", "text", "lang", "y", held).repartition(parts_for(size, PART_BYTES), F.xxhash64("doc_id", F.lit(7))))
+    seen = {(r["held"], r["y"]): r["n"] for r in rows.groupBy("held", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    apart = all(seen.get((False, y), 0) for y in (0, 1))  # else all of the few texts are trained on
+    many = [seen.get((False, y), 0) + (0 if apart else seen.get((True, y), 0)) for y in (0, 1)]
+    if not sum(many):
+        discard(use, rows)
+        return plain
+    marked = (rows.filter("not held") if apart else rows).select("text", "y").coalesce(parts_for(size, COPY_BYTES))
+    weights = tuple(sum(many) / 2 / max(n, 1) for n in many)
+    state = begin()
+    for r in range(rounds):
+        learnt = marked.mapInArrow(_learner(state, weights, 0.01 * (1 - 0.8 * r / rounds), 1000 * r), ", ".join(f"{name} binary" for name in LEARNT))
+        state = _averaged(state, learnt.rdd.treeAggregate(None, _added, _merged))
+    _, _, (*filters, bias, out, shift), *_ = state
+    table = np.concatenate([state.emb @ f[j * DIM : (j + 1) * DIM] for f, w in zip(filters, WIDTHS, strict=True) for j in range(w)], axis=1)
+    share = 0.0 if all(many) else float(np.log(max(many[1], 1) / max(many[0], 1)))
+    model = Model(table, bias, out, float(shift[0]) + odds - share, {"": 0.5})
+    model.thresholds.update(calibrated(with_toxicity((rows.filter("held") if apart else rows).select("text", "lang", "y"), model)))
+    discard(use, rows)
     return model
 
 
-def calibrate(score: np.ndarray, y: np.ndarray, weight: np.ndarray, lang: np.ndarray, least: int = 20) -> dict[str, float]:
-    """For each language with at least ``least`` texts of each label, the score with fewest weighted errors, nearest 0.5 of equals."""
-    grid = np.round(np.arange(0.05, 0.96, 0.05), 2)
-    out = {}
-    for name in {x for x in lang if x is not None}:
-        at = lang == name
-        if min((y[at] == 1).sum(), (y[at] == 0).sum()) >= least:
-            wrong = np.array([(weight[at] * ((score[at] >= t) != (y[at] == 1))).sum() for t in grid])
-            out[name] = float(grid[np.lexsort((np.abs(grid - 0.5), wrong))[0]])
-    return out
+def calibrated(scored: DataFrame, least: int = 20) -> dict[str, float]:
+    """For each language with at least ``least`` texts of each label in ``scored`` (lang, y, score), the score with fewest errors, nearest 0.5 of equals."""
+    one, wrong = F.col("y") == 1, lambda t: F.count(F.when((F.col("score") >= float(t)) != (F.col("y") == 1), 1))
+    by = scored.filter("lang is not null").groupBy("lang").agg(F.count(F.when(one, 1)).alias("ones"), F.count(F.when(~one, 1)).alias("zeros"), F.array(*[wrong(t) for t in GRID]).alias("wrong"))
+    rows = by.filter(F.least("ones", "zeros") >= least).collect()  # one row for each language
+    return {r["lang"]: float(GRID[np.lexsort((np.abs(GRID - 0.5), np.array(r["wrong"])))[0]]) for r in rows}
 
 
 def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = None, score_col: str = "score", reject_col: str | None = None) -> DataFrame:

@@ -33,6 +33,22 @@ def test_toxic_words_are_learnt_and_thresholds_go_by_language(spark, frame):
     assert 0 <= toxicity.with_toxicity(clash, model).first()["score"] <= 1
 
 
+def test_all_labelled_texts_are_trained_on_by_several_copies(spark, frame, monkeypatch):
+    said, marks = toxic_corpus(900)
+    said += [f"kind{i % 7}" for i in range(6600)]
+    docs = frame(said)
+    labels = spark.createDataFrame([(i, m) for i, m in enumerate(marks + [0] * 6600)], "doc_id long, toxic int")
+    seen, averaged = [], toxicity._averaged
+    monkeypatch.setattr(toxicity, "_averaged", lambda state, total: seen.append(int(total[-1][0])) or averaged(state, total))
+    monkeypatch.setattr(toxicity, "PART_BYTES", 50_000)
+    monkeypatch.setattr(toxicity, "COPY_BYTES", 100_000)
+    model = toxicity.fit(docs.select("doc_id", "text", "lang"), labels, train_fold=fold("doc_id", 5) != 0)
+    kept = docs.filter(fold("doc_id", 5) != 0).filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(6)) != 0).count()
+    assert set(seen) == {kept} and kept > 4900
+    rows = toxicity.with_toxicity(docs.filter("doc_id < 900"), model).filter(fold("doc_id", 5) == 0).collect()
+    assert sum((r["score"] >= 0.5) == bool(marks[r["doc_id"]]) for r in rows) >= 0.9 * len(rows)
+
+
 def test_long_texts_are_scored_whole():
     rng = np.random.default_rng(2)
     width = toxicity.FILTERS * len(toxicity.WIDTHS)

@@ -220,8 +220,8 @@ def bm25_stats(docs: DataFrame) -> DataFrame:
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
     """(qid, docid, score, rank) for queries (qid, text) by BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Only the queries' terms are kept of the documents, before anything is shuffled by document; a term's idf meets its postings
-    by a join on the term, which adaptive execution splits where a term is hot.
+    Only the queries' terms are kept of the documents, before anything is shuffled by document. The queries' terms with their idf go to all tasks;
+    a document's postings meet them in one task, so what a query and a document share is added up there and only each task's best k are shuffled.
     """
     asked = queries.select(F.col("qid").cast("string").alias("qid"), F.explode(word_set("text")).alias("term"))
     wanted = asked.select("term").distinct()
@@ -232,8 +232,8 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1,
     sizes = lengths(docs).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
     weight = df.crossJoin(F.broadcast(sizes)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    scored = postings.join(weight, "term").select("docid", "term", part.alias("part"))
-    hits = asked.join(scored, "term").groupBy("qid", F.col("docid").cast("string").alias("docid")).agg(F.round(F.sum("part"), digits).alias("score"))
+    dealt = postings.select(F.col("docid").cast("string").alias("docid"), "term", "len", "tf").repartition("docid")
+    hits = dealt.join(F.broadcast(asked.join(weight, "term")), "term").groupBy("qid", "docid").agg(F.round(F.sum(part), digits).alias("score"))
     return _ranked(hits, k)
 
 

@@ -90,3 +90,13 @@ def test_query_reads_the_saved_index(spark):
     items, docs, index = _lexical(spark, SF)
     assert index.segments.shards == ["odd", "even"]
     assert rows(index.search(items.filter(F.col("qid") < 5))) == rows(bm25_topk(items.filter(F.col("qid") < 5), docs))
+
+
+def test_scores_are_added_up_before_anything_is_shuffled_by_question(spark):
+    from palimpsest.operators import retrieval
+
+    docs = spark.createDataFrame([(str(i), f"a b c{i % 3} d{i}") for i in range(50)], "docid string, text string")
+    hits = retrieval.bm25_topk(spark.createDataFrame([(1, "a c1"), (2, "b d7")], "qid int, text string"), docs, 3)
+    assert hits.count() == 6
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(qid" in plan and "docid" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(qid")[1:])

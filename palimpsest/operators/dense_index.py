@@ -142,7 +142,7 @@ class Graph:
     Equal vectors are one node. First neighbours are the nearest of some thousand nodes on the same side of random planes (``planes`` times); then, ``rounds`` times,
     the neighbours of each node, in both directions, are compared with each other, and every node keeps its best (NN-descent). A search holds ``width`` nodes a query; each step expands
     the best ``beam`` of them that were not yet, by a join with the edges, until none is left. It starts at ``entries`` nodes.
-    The graph is approximate: of the edges that lead to a node the best ``degree`` are followed backwards.
+    Beyond 2,048 nodes both grow with the square root of the nodes. The graph is approximate: of the edges that lead to a node the best ``degree`` are followed backwards.
     """
 
     def __init__(self, corpus: DataFrame, degree: int = 16, rounds: int = 3, planes: int = 3, block: int = 512, entries: int = 64, width: int = 128, beam: int = 32, seed: int = 1) -> None:
@@ -154,6 +154,8 @@ class Graph:
         own = vectors.withColumn("embedding", F.col("embedding").cast("array<double>")).join(grouped, "embedding").select("docid", "node")
         self.nodes, self.members = grouped, self._kept(own)
         n = grouped.count()
+        wider = max(1.0, (n / 2048) ** 0.5)  # else the recall falls as the graph grows
+        self.width, self.beam = round(width * wider), round(beam * wider)
         rng = np.random.default_rng(seed)
         edges = None
         for r in range(planes):

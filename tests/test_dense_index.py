@@ -148,3 +148,9 @@ def test_recall_does_not_fall_as_the_index_grows(spark):
     asked = corpus.filter("docid % 600 = 0").withColumnRenamed("docid", "qid")
     own = D.index_of(corpus, "IVF2,PQ8")
     assert R.recall(own.search(asked), R.dense_topk(asked, corpus)).first()["recall"] >= 0.9
+
+
+def test_a_larger_graph_is_searched_wider(spark):
+    corpus = spark.createDataFrame(pa.table({"docid": [str(i) for i in range(8192)], "embedding": vectors_of(unit(8192, 8, 11))}))
+    own = D.Graph(corpus, degree=2, rounds=0, planes=1)
+    assert (own.width, own.beam) == (256, 64)

@@ -468,11 +468,15 @@ def token_styles(spark, sf_dir, an):
     """Searches in the style of snippets and notes, cut by the tokenizer, against documents and notes that were cut before."""
     path, corpus, question = tokenizer_path(), bind.corpus(spark, sf_dir), bind.question()
     cut = lambda x, n: tokens.truncate_tokens(x, path, n)
-    own = history.rendered(an, corpus, question, "i3", tokens=path).withColumnRenamed("rendered", "own")
+    own = history.rendered(an, corpus, question, "i3", tokens=path)
+    own = own.select("traj", "idx", F.md5(F.expr(f"substr(rendered, locate('\n{history.PAST}', rendered) + 1)")).alias("own"))
     opened = st.visits(an).filter("turn > 0").select("docid").distinct()
+    # No filter on the snippets: it would be moved below the join, and every document cut, those visited twice.
     shown = corpus.join(opened, "docid", "left_semi").select("docid", cut(T.one_line("text"), 64).alias("snippet"))
-    visits = st.visits(an).filter("turn > 0").join(shown, "docid").filter("snippet <> ''").groupBy("traj", "turn").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "snippet"))), lambda x: x.snippet).alias("s"))
-    line = F.concat(F.lit("Previous SubQuery "), F.col("turn"), F.lit(": "), F.col("query"), F.lit("\nVisited Documents: "), F.coalesce(F.array_join("s", " ; "), F.lit("<empty>")))
+    snippets = F.collect_list(F.when(F.col("snippet") != "", F.struct("idx", "snippet")))
+    visits = st.visits(an).filter("turn > 0").join(shown, "docid").groupBy("traj", "turn").agg(F.transform(F.sort_array(snippets), lambda x: x.snippet).alias("s"))
+    line = F.concat(F.lit("Previous SubQuery "), F.col("turn"), F.lit(": "), F.col("query"), F.lit("\nVisited Documents: "), F.coalesce(F.nullif(F.array_join("s", " ; "), F.lit("")), F.lit("<empty>")))
     past = st.searches(an).join(visits, ["traj", "turn"], "left").withColumn("past", F.collect_list(line).over(st.before()))
     plain = F.when(F.size("past") == 0, "Previous Interactions: <empty>").otherwise(F.concat(F.lit("Previous Interactions:\n"), F.array_join("past", "\n")))
-    return past.withColumn("plain", plain).join(own, ["traj", "idx"]).select("traj", "idx", F.expr("endswith(own, concat('\n', plain))").alias("same"))
+    # Digests are joined: the texts grow with the square of a trajectory's searches.
+    return past.select("traj", "idx", F.md5(plain).alias("plain")).join(own, ["traj", "idx"]).select("traj", "idx", (F.col("own") == F.col("plain")).alias("same"))

@@ -131,3 +131,29 @@ def test_a_batch_of_long_texts_is_not_encoded_at_once(monkeypatch):
     (batch,) = Tokens.cuts(Rows(), "text", TOKENIZER, 64)
     assert batch.num_rows == 40 and max(batch.column("tokens").to_pylist()) <= 65
     assert own.most <= max(map(len, said))
+
+
+def test_only_visited_documents_are_cut(spark, monkeypatch):
+    """Each once: a filter on the cuts moved them below the join with the visited documents, and all documents were cut."""
+    import pyarrow as pa
+    from oracle import SF
+    from palimpsest import catalog, catalog_io  # noqa: F401
+    from palimpsest.plans import binding as bind
+    from palimpsest.plans import steps as st
+
+    cut = spark.sparkContext.accumulator(0)
+
+    def counted(x, path, n):
+        @F.arrow_udf("string")
+        def count(batch: pa.Array) -> pa.Array:
+            cut.add(len(batch))
+            return Tokens._cut(batch, path, n)
+
+        return count(x)
+
+    monkeypatch.setattr(Tokens, "truncate_tokens", counted)
+    rows = catalog.QUERIES["token_styles"](spark, SF)
+    opened = st.visits(bind.annotated(spark, SF)).filter("turn > 0").select("docid").distinct()
+    visited = bind.corpus(spark, SF).join(opened, "docid", "left_semi").count()
+    assert visited < bind.corpus(spark, SF).count()
+    assert {r["same"] for r in rows.collect()} == {True} and 0 < cut.value <= visited

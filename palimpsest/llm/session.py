@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,9 +76,28 @@ def discard(*tables: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files that nothing refers to; else they stay until the driver happens to collect its garbage."""
+    """Let Spark drop shuffle files that nothing refers to; else they stay until the driver happens to collect its garbage. Then trim()."""
     gc.collect()
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Have the driver's JVM give freed native memory back to the system, if it knows how (Java 17.0.9, or 18, on Linux); whether it did.
+
+    Each join and each broadcast has threads of its own for a minute, and what they freed would stay in the allocator's pools, one for each few threads.
+    """
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    kinds, values = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = named(kind)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return False
+    return True
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

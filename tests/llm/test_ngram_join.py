@@ -109,3 +109,30 @@ def test_bands_of_linking_sizes_meet(t):
         for m in {n, int(n / t), int(n / t / 1.2)}:
             if m >= n and int((n + m) * (1 - t) / (1 + t) + 1e-9) >= 1:
                 assert own & {b for b, *_ in J.bands(m, t)}, (n, m)
+
+
+def test_the_driver_gives_freed_native_memory_back(spark):
+    """The join's many exchanges have threads of their own, whose freed memory stayed in the pools of the driver's allocator."""
+    import gc
+    import re
+    from pathlib import Path
+
+    from palimpsest.llm.session import tidy
+
+    pid = spark._jvm.ProcessHandle.current().pid()
+    mb = lambda: int(re.search(r"\nAnonymous:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+    made = [spark._jvm.java.util.zip.Deflater() for _ in range(400)]  # each takes native memory
+    for d in made:
+        d.setInput(bytearray(100))
+        d.deflate(bytearray(1000))
+    for i, d in enumerate(made):
+        if i % 40:  # the others keep the pool from shrinking by itself
+            d.end()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+    was = mb()
+    tidy(spark)
+    assert mb() < was - 20
+    for d in made[::40]:
+        d.end()

@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from .session import discard, keep
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for each node of ``links`` (a, b): the least node that it reaches."""
+def components(links: DataFrame, few: float = 0) -> DataFrame:
+    """(node, component) for each node of ``links`` (a, b): the least node that it reaches.
+
+    With ``few`` rounds end when no more than this share of the labels has moved. A label is then a node that is reached, if not always the least:
+    nodes with one label are in one component, but a component may have several labels.
+    """
     both = keep(links.filter("a <> b").select("a", "b").union(links.filter("a <> b").select("b", "a")).distinct())
     labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
     was = labels
@@ -25,10 +29,10 @@ def components(links: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("new"), F.col("component").alias("top"))
         moved = pushed.join(up, "new", "left").select("node", "old", F.least("new", F.coalesce("top", "new")).alias("component"))
         changes = Observation()
-        moved = keep(moved.observe(changes, F.count(F.when(F.col("component") != F.col("old"), 1)).alias("n")))  # counted as it is written
-        changed = changes.get["n"]
+        moved = keep(moved.observe(changes, F.count(F.when(F.col("component") != F.col("old"), 1)).alias("n"), F.count(F.lit(1)).alias("all")))  # counted as it is written
+        seen = changes.get
         discard(was)
         was, labels = moved, moved.select("node", "component")
-        if not changed:
+        if seen["n"] <= few * seen["all"]:
             discard(both)
             return labels

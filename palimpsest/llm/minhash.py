@@ -11,7 +11,7 @@ are confirmed on their full sets.
 
 Hot keys. Copies are one class, whatever their number. Each set is compared with the leader of its largest key, so a group costs a pair for each member and not
 one for each member and key; then, where a key's members are in different components, with its member that has the most links. Components form, and only members of different ones go on. A key that still has more than ``cross`` such pairs for each member is split
-further: its members are keyed again by the shingles that are rarest among them. A set's first size - ceil(t * size) + 1 shingles, in one order
+further: its members are keyed again by the shingles that are rarest among them, and the pairs of these keys are confirmed together with those of the other keys. A set's first size - ceil(t * size) + 1 shingles, in one order
 for all sets, hold one that any linked set has among its own first ones, so nothing is lost there. What is hot even so, by a
 shingle that is among the rarest of many sets without links, is compared in blocks, by the same bounds and then on the sets; only links leave a block. So a group that shares a passage costs its size; only sets that share
 their rarest shingles and still don't link cost the square, some nanoseconds a pair, spread over tasks.
@@ -40,6 +40,8 @@ BANDS, ROWS, BATCH = 40, 5, 40
 HASHES = BANDS * ROWS
 #: Probability of a similarity at the threshold or above at which a pair is given up.
 MISS = 1e-7
+#: Share of the labels that may still move when components that only spare work are taken as they are.
+FEW = 0.02
 #: Shingles whose minima are taken at once; slots that count shingles of hot sets.
 TOGETHER, SLOTS = 1 << 16, 1 << 18
 #: Members of the sets in a block, of 8 bytes each.
@@ -148,7 +150,8 @@ def _alike(num: int, den: int):
 
 
 def _joined(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-    for side in "ab":
+    """b comes first: where many pairs share a leader they meet it as bare pairs, and what is attached is dealt out by a."""
+    for side in "ba":
         pairs = pairs.join(table.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
     return pairs
 
@@ -259,15 +262,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         near = _joined(pairs, classes, "size", "signature").mapInArrow(_alike(num, den), "a long, b long")
         return _confirmed(near, docs, classes, n, num, den)
 
+    # Until the last one, components only spare comparisons: labels that are a step behind do.
     nearest = keys.filter("node <> b").groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", "key", "b")).getField("b").alias("b"))
     links = linked(nearest)
-    pairs, mixed = hub_pairs(keys.select("key", "node", "note"), components(links), links)
+    pairs, mixed = hub_pairs(keys.select("key", "node", "note"), components(links, FEW), links)
     discard(keys)
-    links = keep(links.union(linked(pairs)))
-    cold, families = cross_pairs(mixed.drop("part"), components(links), cross)
-    links = keep(links.union(linked(cold)))
-    if not families.isEmpty():
-        links = keep(links.union(_split(families, components(links), docs, classes, linked, n, num, den, cross)))
+    links = links.union(linked(pairs))
+    parts = components(links, FEW)
+    pairs, families = cross_pairs(mixed.drop("part"), parts, cross, every=True)
+    if families.isEmpty():
+        links = links.union(linked(pairs))
+    else:
+        links = keep(links.union(_split(families, parts, pairs, docs, classes, linked, n, num, den, cross)))
     # An id with several texts joins their components.
     same = named.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("doc_id", "a")
     final = components(links.union(named.join(same, "doc_id").select("a", F.col("fp").alias("b")).distinct()))
@@ -280,14 +286,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _split(families: DataFrame, parts: DataFrame, docs: DataFrame, classes: DataFrame, linked: Callable[[DataFrame], DataFrame], n: int, num: int, den: int, cross: int) -> DataFrame:
-    """Links among the members of hot keys: by their rarest shingles, and in blocks where those are hot as well."""
+def _split(families: DataFrame, parts: DataFrame, pairs: DataFrame, docs: DataFrame, classes: DataFrame, linked: Callable[[DataFrame], DataFrame], n: int, num: int, den: int, cross: int) -> DataFrame:
+    """Links among ``pairs`` and the members of hot keys: these by their rarest shingles, and in blocks where those are hot as well."""
     nodes = keep(families.select("node").distinct().join(classes, "node").select("node", "doc_id"))
     sets = keep(_chosen_sets(docs, nodes, classes, n))
     keys = rare_keys(sets, num, den)
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     keys = keep(keys.join(many, "key"))
-    cold, rest = cross_pairs(keys, parts, cross)
-    links = keep(linked(cold).union(blocked(rest, classes, sets, num, den)))
+    cold, rest = cross_pairs(keys, parts, cross, every=True)
+    links = keep(linked(pairs.union(cold).distinct()).union(blocked(rest, classes, sets, num, den)))
     discard(nodes, sets, keys)
     return links

@@ -316,10 +316,11 @@ def hub_pairs(keys: DataFrame, parts: DataFrame, links: DataFrame) -> tuple[Data
     return keep(pairs), kept
 
 
-def cross_pairs(keys: DataFrame, parts: DataFrame, cross: int) -> tuple[DataFrame, DataFrame]:
+def cross_pairs(keys: DataFrame, parts: DataFrame, cross: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of one key's members from different components; and what is left of the keys set aside: (family, node, part).
 
     Keys with the same largest component are one family: its members meet once, not once for each key.
+    ``every``: a link may be lost by a single key set aside, whatever its notes say.
     """
     placed = _placed(keys, parts)
     counted = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -331,8 +332,10 @@ def cross_pairs(keys: DataFrame, parts: DataFrame, cross: int) -> tuple[DataFram
     right = cold.select("key", F.col("node").alias("b"), F.col("part").alias("part_b"))
     pairs = left.join(right, "key").filter("part_a < part_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     hot = some.filter("hot")
-    risky = hot.groupBy("node", "note").agg(F.count(F.lit(1)).alias("n")).filter("n >= note & 16777215").select("node", "note")
-    hot = hot.join(risky, ["node", "note"], "left_semi").select("key", "node", "part")
+    if not every:
+        risky = hot.groupBy("node", "note").agg(F.count(F.lit(1)).alias("n")).filter("n >= note & 16777215").select("node", "note")
+        hot = hot.join(risky, ["node", "note"], "left_semi")
+    hot = hot.select("key", "node", "part")
     largest = hot.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "part")).getField("part").alias("family"))
     out = keep(pairs), keep(hot.join(largest, "key").select("family", "node", "part").distinct())
     discard(some)

@@ -130,3 +130,23 @@ def test_all_kinds_of_rows(frame):
     assert M.near_copies(frame([])).collect() == []
     with pytest.raises(ValueError):
         M.near_copies(frame([]), num=0)
+
+
+def test_hot_keys_cost_three_passes_over_the_texts(frame, monkeypatch):
+    """Pairs of the cold keys and of the rarest shingles are confirmed together, by components that are found once."""
+    passage = " ".join(prose(150, 1))
+    rng = random.Random(4)
+    texts = [passage + " " + changed(prose(60, 1000 + k // 2), rng, 1) for k in range(40)]
+    passes = []
+    for name in ("_confirmed", "components"):
+        monkeypatch.setattr(M, name, lambda *a, name=name, whole=getattr(M, name): passes.append(name) or whole(*a))
+    check(frame(texts), list(enumerate(texts)), cross=0)
+    assert passes.count("_confirmed") == 3 and passes.count("components") == 3
+
+
+def test_components_that_end_early_are_sound(spark):
+    links = [(i, i + 1) for i in range(40)] + [(i, 100) for i in range(101, 140)]
+    whole, early = ({r["node"]: r["component"] for r in M.components(spark.createDataFrame(links, "a long, b long"), few).collect()} for few in (0, 1))
+    assert whole == {i: 0 if i <= 40 else 100 for i in range(140) if i <= 40 or i >= 100}
+    assert early.keys() == whole.keys() and all(whole[label] == whole[node] for node, label in early.items())
+    assert {early[i] for i in range(100, 140)} == {100}

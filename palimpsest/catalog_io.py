@@ -465,18 +465,30 @@ def token_cuts(spark, sf_dir):
 
 @stepped("", "SELECT traj, idx, true AS same FROM st WHERE type = 'search'")
 def token_styles(spark, sf_dir, an):
-    """Searches in the style of snippets and notes, cut by the tokenizer, against documents and notes that were cut before."""
+    """Searches in all styles, cut by the tokenizer, against whole queries made of documents and notes that were cut one by one."""
     path, corpus, question = tokenizer_path(), bind.corpus(spark, sf_dir), bind.question()
-    cut = lambda x, n: tokens.truncate_tokens(x, path, n)
-    own = history.rendered(an, corpus, question, "i3", tokens=path)
-    own = own.select("traj", "idx", F.md5(F.expr(f"substr(rendered, locate('\n{history.PAST}', rendered) + 1)")).alias("own"))
-    opened = st.visits(an).filter("turn > 0").select("docid").distinct()
+    digest = lambda made: F.md5(F.concat(*[F.md5(made[s]) for s in history.ALL_STYLES])).alias("digest")
+    own = history.in_styles(an, corpus, question, tokens=path)
+    own = own.select("traj", "idx", digest(own))
+    opened = st.visits(an).filter("turn > 0")
     # No filter on the snippets: it would be moved below the join, and every document cut, those visited twice.
-    shown = corpus.join(opened, "docid", "left_semi").select("docid", cut(T.one_line("text"), 64).alias("snippet"))
-    snippets = F.collect_list(F.when(F.col("snippet") != "", F.struct("idx", "snippet")))
-    visits = st.visits(an).filter("turn > 0").join(shown, "docid").groupBy("traj", "turn").agg(F.transform(F.sort_array(snippets), lambda x: x.snippet).alias("s"))
-    line = F.concat(F.lit("Previous SubQuery "), F.col("turn"), F.lit(": "), F.col("query"), F.lit("\nVisited Documents: "), F.coalesce(F.nullif(F.array_join("s", " ; "), F.lit("")), F.lit("<empty>")))
-    past = st.searches(an).join(visits, ["traj", "turn"], "left").withColumn("past", F.collect_list(line).over(st.before()))
-    plain = F.when(F.size("past") == 0, "Previous Interactions: <empty>").otherwise(F.concat(F.lit("Previous Interactions:\n"), F.array_join("past", "\n")))
+    shown = corpus.join(opened.select("docid").distinct(), "docid", "left_semi").select("docid", tokens.truncate_tokens(T.one_line("text"), path, 64).alias("snippet"))
+    said = opened.select("traj", "turn", "idx", "docid", T.one_line(T.clean_note("reasoning", question)).alias("note"))
+    noted = said.join(shown, "docid", "left").withColumn("note", tokens.truncating(path, 128)(F.col("note")))
+    visits = noted.groupBy("traj", "turn").agg(F.sort_array(F.collect_list(F.struct("idx", "docid", "snippet", "note"))).alias("v"))
+    some = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit("<empty>"))
+    items = lambda make, text: some(F.array_join(F.transform(F.filter("v", lambda x: x[text] != ""), make), " ; "))
+    docs = F.concat(F.lit("\nVisited Documents: "), items(lambda x: x.snippet, "snippet"))
+    notes = F.concat(F.lit("\nVisited Document Notes: "), items(lambda x: x.note, "note"))
+    tagged = F.concat(F.lit("\nVisited Document Notes: "), items(lambda x: F.concat(F.lit("[docs_id:"), x.docid, F.lit("] "), x.note), "note"))
+    line = F.concat(F.lit("Previous SubQuery "), F.col("turn"), F.lit(": "), F.col("query"))
+    lines = {"i2": line, "i3": F.concat(line, docs), "i4": F.concat(line, tagged), "i5": F.concat(line, docs, notes)}
+    past = st.searches(an).join(visits, ["traj", "turn"], "left").withColumns({s: F.collect_list(x).over(st.before()) for s, x in lines.items()})
+    ask, now = F.concat(F.lit("Main Question: "), question, F.lit("\n")), F.concat(F.lit("Current Subquery: "), F.col("query"))
+    told = {s: F.concat(now, F.lit("\nPrevious Interactions:"), F.when(F.size(s) == 0, " <empty>").otherwise(F.concat(F.lit("\n"), F.array_join(s, "\n")))) for s in lines}
+    plain = {s: F.concat(ask, x) for s, x in told.items()} | {"i0": F.col("query"), "i1": F.concat(ask, now)}
+    plain["i6"] = F.concat(F.lit("Reasoning: "), F.coalesce(F.nullif("pre", F.lit("")), F.lit("Empty")), F.lit("\n\nQuery: "), F.col("query"))
+    plain["i7"] = F.concat(ask, F.lit("Current Reasoning: "), some(T.one_line("pre")), F.lit("\n"), told["i2"])
     # Digests are joined: the texts grow with the square of a trajectory's searches.
-    return past.select("traj", "idx", F.md5(plain).alias("plain")).join(own, ["traj", "idx"]).select("traj", "idx", (F.col("own") == F.col("plain")).alias("same"))
+    plain = past.select("traj", "idx", digest(plain).alias("plain"))
+    return plain.join(own, ["traj", "idx"]).select("traj", "idx", (F.col("digest") == F.col("plain")).alias("same"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -36,15 +36,20 @@ def _counts(column: pa.Array, path: str, kind: pa.DataType) -> pa.Array:
     return pa.array((len(ids) for ids in _ids(column, path)), kind)
 
 
-def truncate_tokens(x: Column, path: str, n: int) -> Column:
-    """The first n tokens, decoded again; null is empty."""
+def truncating(path: str, n: int) -> Callable[[Column], Column]:
+    """A function of texts: their first n tokens, decoded again; null is empty."""
 
     @F.arrow_udf("string")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield _cut(batch, path, n)
 
-    return cut(x)
+    return cut
+
+
+def truncate_tokens(x: Column, path: str, n: int) -> Column:
+    """The first n tokens, decoded again; null is empty."""
+    return truncating(path, n)(x)
 
 
 def count_tokens(x: Column, path: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,17 +31,22 @@ def _shown(corpus: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def _cut(rows: DataFrame, column: str, path: str, n: int) -> DataFrame:
-    """``rows`` with the text's first n tokens and their number (tokens); the rows are written first, as their texts are read twice."""
+    """``rows`` with the text's first n tokens and their number (tokens); the rows are written first, as their texts are read twice.
+
+    Rows without a text, often most, are not joined: they would all meet in one task.
+    """
     place = scratch(rows.sparkSession, "texts")
     rows.write.parquet(place)
     rows = rows.sparkSession.read.schema(rows.schema).parquet(place)
-    return rows.join(cuts(rows, column, path, n), column, "left").withColumn(column, F.coalesce("cut", column)).drop("cut")
+    some = F.coalesce(F.col(column), F.lit("")) != ""
+    cut = rows.filter(some).join(cuts(rows, column, path, n), column, "left").withColumn(column, F.coalesce("cut", column)).drop("cut")
+    return cut.unionByName(rows.filter(~some).withColumn("tokens", F.lit(None).cast("int")))
 
 
 def with_history(annotated: DataFrame, corpus: DataFrame) -> DataFrame:
     """(traj, idx, query, pre, history): each search with the interactions before it, [(query, [(docid, text, reasoning)])].
 
-    Of a document's text the first words are there, as many as a style can show. To render one style, rendered() does with less.
+    Of a document's text the first words are there, as many as a style can show. To render styles, in_styles() does with less.
     """
     opened = visits(annotated).filter("turn > 0")
     opened = opened.join(_shown(corpus, opened, max(x[3] for x in STYLES.values())), "docid", "left")
@@ -52,29 +57,47 @@ def with_history(annotated: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def rendered(annotated: DataFrame, corpus: DataFrame, question: Column, style: str, tokens: str | None = None) -> DataFrame:
-    """(traj, idx, rendered): each search's query in one style; ``question`` is a Column of a trajectory.
+    """(traj, idx, rendered): each search's query in one style, as in_styles() makes it."""
+    return in_styles(annotated, corpus, question, (style,), tokens).withColumnRenamed(style, "rendered")
+
+
+def in_styles(annotated: DataFrame, corpus: DataFrame, question: Column, styles: Sequence[str] = ALL_STYLES, tokens: str | None = None) -> DataFrame:
+    """(traj, idx, a column for each style): each search's query in the ``styles``; ``question`` is a Column of a trajectory.
 
-    A visit's document and note are cut and cleaned once, an interaction's lines are made once; later searches collect the lines.
+    A visit's document and note are cut and cleaned once for all styles, an interaction's lines are made once; later searches collect the lines.
     They are cut to words, or to the tokens of the tokenizer whose file ``tokens`` names.
     """
-    rows = searches(annotated)
-    if style not in STYLES:
-        return rows.select("traj", "idx", render(style, question, history=F.array()).alias("rendered"))
+    rows, told = searches(annotated), [s for s in styles if s in STYLES]
+    if told:
+        sizes = sorted({STYLES[s][3] for s in told if STYLES[s][0]})
+        rows = rows.join(_seen(annotated, corpus, question, sizes, any(STYLES[s][1] for s in told), tokens), ["traj", "turn"], "left")
+        rows = rows.withColumns({f"past_{s}": F.collect_list(_told(s)).over(before()) for s in told})
+    pre = F.coalesce(F.col("pre"), F.lit(""))
+    made = lambda s: F.concat_ws("\n", *_head(s, question, F.col("query"), pre), _past(F.col(f"past_{s}"))) if s in told else render(s, question, history=F.array())
+    return rows.select("traj", "idx", *[made(s).alias(s) for s in styles])
+
+
+def _seen(annotated: DataFrame, corpus: DataFrame, question: Column, sizes: list[int], notes: bool, tokens: str | None) -> DataFrame:
+    """(traj, turn, v): an interaction's visits in order, [(idx, docid, note, doc<n> for each n of ``sizes``)]."""
+    opened = visits(annotated).filter("turn > 0").select("traj", "idx", "turn", "docid", (clean_note("reasoning", question) if notes else F.lit("")).alias("note"))
+    if notes:
+        opened = opened.withColumn("note", truncate("note", NOTE_WORDS)) if tokens is None else _cut(opened.withColumn("note", one_line("note")), "note", tokens, NOTE_WORDS)
+    for n in sizes:
+        shown = _shown(corpus, opened, n) if tokens is None else _cut(corpus.join(opened.select("docid").distinct(), "docid", "left_semi").select("docid", one_line("text").alias("text")), "text", tokens, n)
+        opened = opened.join(shown.select("docid", F.col("text").alias(f"doc{n}")), "docid", "left")
+    docs = [F.coalesce(f"doc{n}", F.lit("")).alias(f"doc{n}") for n in sizes]
+    return opened.groupBy("traj", "turn").agg(F.sort_array(F.collect_list(F.struct("idx", "docid", "note", *docs))).alias("v"))
+
+
+def _told(style: str) -> Column:
+    """The lines of a row's interaction, of the visits in v."""
     docs, notes, tags, n = STYLES[style]
-    opened = visits(annotated).filter("turn > 0")
-    if docs:
-        shown = _shown(corpus, opened, n) if tokens is None else _cut(corpus.join(opened.select("docid").distinct(), "docid", "left_semi").select("docid", one_line("text").alias("text")), "text", tokens, n).drop("tokens")
-        opened = opened.join(shown, "docid", "left")
-    if notes and tokens is not None:
-        opened = _cut(opened.withColumn("note", one_line(clean_note("reasoning", question))), "note", tokens, NOTE_WORDS)
-    tagged = _tagged if tokens is None else lambda x, tags, _: _marked(x, tags, F.col("docid"))
-    doc = tagged(F.coalesce(F.col("text"), F.lit("")), tags, n) if docs else F.lit("")
-    note = tagged(clean_note("reasoning", question) if tokens is None else F.col("note"), tags, NOTE_WORDS) if notes else F.lit("")
-    grouped = opened.groupBy("traj", "turn").agg(F.sort_array(F.collect_list(F.struct("idx", doc.alias("doc"), note.alias("note")))).alias("v"))
-    listed = lambda name: _or_empty(F.array_join(F.filter(F.transform(F.coalesce("v", F.array().cast("array<struct<idx:bigint,doc:string,note:string>>")), lambda x: x[name]), lambda x: x != ""), " ; "))
-    lines = _lines(style, F.col("turn"), F.col("query"), listed("doc"), listed("note"))
-    past = rows.join(grouped, ["traj", "turn"], "left").withColumn("past", F.collect_list(lines).over(before()))
-    return past.select("traj", "idx", F.concat_ws("\n", *_head(style, question, F.col("query"), F.coalesce("pre", F.lit(""))), _past(F.col("past"))).alias("rendered"))
+
+    def listed(name: str) -> Column:
+        items = F.filter(F.transform("v", lambda x: _marked(x[name], tags, x["docid"])), lambda t: t != "")
+        return _or_empty(F.coalesce(F.array_join(items, " ; "), F.lit("")))
+
+    return _lines(style, F.col("turn"), F.col("query"), listed(f"doc{n}") if docs else F.lit(""), listed("note") if notes else F.lit(""))
 
 
 def _or_empty(x: Column) -> Column:

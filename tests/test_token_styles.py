@@ -157,3 +157,28 @@ def test_only_visited_documents_are_cut(spark, monkeypatch):
     visited = bind.corpus(spark, SF).join(opened, "docid", "left_semi").count()
     assert visited < bind.corpus(spark, SF).count()
     assert {r["same"] for r in rows.collect()} == {True} and 0 < cut.value <= visited
+
+
+@pytest.mark.parametrize(("name", "value"), [("NOTE_WORDS", 3), ("DOCID", "[id:"), ("NOW", "Now: "), ("REASONING", "Thoughts: "), ("BARE_QUERY", "Asked: ")])
+def test_the_query_checks_whole_texts_of_all_styles(spark, monkeypatch, name, value):
+    """Notes were never cut, nor anything before the past interactions compared, and only i3 was made."""
+    from oracle import SF
+    from palimpsest import catalog, catalog_io  # noqa: F401
+
+    monkeypatch.setattr(H, name, value)
+    assert False in {r["same"] for r in catalog.QUERIES["token_styles"](spark, SF).collect()}
+
+
+@pytest.mark.parametrize("tokens", [None, TOKENIZER])
+def test_all_styles_at_once_are_each_style_of_the_history(spark, made, tokens):
+    steps, corpus, _ = made
+    rows = H.in_styles(steps, corpus, F.lit(QUESTION), tokens=tokens)
+    assert rows.columns == ["traj", "idx", *H.ALL_STYLES]
+    got = {(r["traj"], r["idx"]): r for r in rows.collect()}
+    assert len(got) == steps.filter("type = 'search'").count() > 20
+    for style in H.ALL_STYLES:
+        if tokens is None:
+            want = H.with_history(steps, corpus).select("traj", "idx", H.render(style, F.lit(QUESTION)).alias("rendered"))
+        else:
+            want = H.rendered(steps, corpus, F.lit(QUESTION), style, tokens=tokens)
+        assert {k: r[style] for k, r in got.items()} == {(r["traj"], r["idx"]): r["rendered"] for r in want.collect()}

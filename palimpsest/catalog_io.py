@@ -472,7 +472,8 @@ def token_styles(spark, sf_dir, an):
     own = own.select("traj", "idx", digest(own))
     opened = st.visits(an).filter("turn > 0")
     # No filter on the snippets: it would be moved below the join, and every document cut, those visited twice.
-    shown = corpus.join(opened.select("docid").distinct(), "docid", "left_semi").select("docid", tokens.truncate_tokens(T.one_line("text"), path, 64).alias("snippet"))
+    wanted = history.written(opened.select("docid").distinct(), "docids")
+    shown = corpus.join(wanted, "docid", "left_semi").select("docid", tokens.truncate_tokens(T.one_line("text"), path, 64).alias("snippet"))
     said = opened.select("traj", "turn", "idx", "docid", T.one_line(T.clean_note("reasoning", question)).alias("note"))
     noted = said.join(shown, "docid", "left").withColumn("note", tokens.truncating(path, 128)(F.col("note")))
     visits = noted.groupBy("traj", "turn").agg(F.sort_array(F.collect_list(F.struct("idx", "docid", "snippet", "note"))).alias("v"))

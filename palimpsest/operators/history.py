@@ -30,14 +30,19 @@ def _shown(corpus: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return corpus.join(wanted.select("docid").distinct(), "docid", "left_semi").select("docid", truncate("text", n).alias("text"))
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` from a file: made once, however often they are read, and of known size, so that few are sent to the other side of a join."""
+    place = scratch(rows.sparkSession, name)
+    rows.write.parquet(place)
+    return rows.sparkSession.read.schema(rows.schema).parquet(place)
+
+
 def _cut(rows: DataFrame, column: str, path: str, n: int) -> DataFrame:
     """``rows`` with the text's first n tokens and their number (tokens); the rows are written first, as their texts are read twice.
 
     Rows without a text, often most, are not joined: they would all meet in one task.
     """
-    place = scratch(rows.sparkSession, "texts")
-    rows.write.parquet(place)
-    rows = rows.sparkSession.read.schema(rows.schema).parquet(place)
+    rows = written(rows, "texts")
     some = F.coalesce(F.col(column), F.lit("")) != ""
     cut = rows.filter(some).join(cuts(rows, column, path, n), column, "left").withColumn(column, F.coalesce("cut", column)).drop("cut")
     return cut.unionByName(rows.filter(~some).withColumn("tokens", F.lit(None).cast("int")))
@@ -82,8 +87,9 @@ def _seen(annotated: DataFrame, corpus: DataFrame, question: Column, sizes: list
     opened = visits(annotated).filter("turn > 0").select("traj", "idx", "turn", "docid", (clean_note("reasoning", question) if notes else F.lit("")).alias("note"))
     if notes:
         opened = opened.withColumn("note", truncate("note", NOTE_WORDS)) if tokens is None else _cut(opened.withColumn("note", one_line("note")), "note", tokens, NOTE_WORDS)
+    wanted = opened.select("docid").distinct() if tokens is None or not sizes else written(opened.select("docid").distinct(), "docids")
     for n in sizes:
-        shown = _shown(corpus, opened, n) if tokens is None else _cut(corpus.join(opened.select("docid").distinct(), "docid", "left_semi").select("docid", one_line("text").alias("text")), "text", tokens, n)
+        shown = _shown(corpus, wanted, n) if tokens is None else _cut(corpus.join(wanted, "docid", "left_semi").select("docid", one_line("text").alias("text")), "text", tokens, n)
         opened = opened.join(shown.select("docid", F.col("text").alias(f"doc{n}")), "docid", "left")
     docs = [F.coalesce(f"doc{n}", F.lit("")).alias(f"doc{n}") for n in sizes]
     return opened.groupBy("traj", "turn").agg(F.sort_array(F.collect_list(F.struct("idx", "docid", "note", *docs))).alias("v"))
